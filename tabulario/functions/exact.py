@@ -35,11 +35,15 @@ def _power_sums(col: Column) -> tuple[Column, Column, Column]:
 
 
 def variance(col: Column) -> Column:
-    """Population variance of integers from exact power sums (aggregate)."""
+    """Population variance of integers from exact power sums (aggregate).
+
+    Falls back to the built-in floating estimate where the sums outgrow a
+    38-digit decimal.
+    """
     n, s, s2 = _power_sums(col)
     n = n.cast("decimal(18,0)")
-    spread = (n * s2 - s * s).cast("double")
-    return spread / F.nullif((n * n).cast("double"), F.lit(0.0))
+    spread = F.try_subtract(F.try_multiply(n, s2), F.try_multiply(s, s)).cast("double")
+    return F.coalesce(spread / F.nullif((n * n).cast("double"), F.lit(0.0)), F.var_pop(col))
 
 
 def deviation(col: Column) -> Column:

@@ -7,10 +7,10 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulario.operators import sales
-from tabulario.sources.fixtures import SALES_PERIODS, Tables
+from tabulario.operators import eda, sales
+from tabulario.sources.fixtures import LOG_PERIODS, SALES_PERIODS, Tables
 
-ORACLES = ["sales"]
+ORACLES = ["sales", "eda"]
 
 
 def _sales(fn, **kw):
@@ -59,7 +59,62 @@ SALES = {
     "s38_rows_without_category": _sales(sales.rows_without_category),
 }
 
-FAMILIES = [SALES]
+def _eda(fn, **kw):
+    return lambda t: fn(t.productos_por_trimestre, **kw)
+
+
+def _eda_dated(fn, **kw):
+    return lambda t: fn(t.productos_por_trimestre, LOG_PERIODS, **kw)
+
+
+EDA = {
+    "e01_pre_check": _eda_dated(eda.pre_check),
+    "e02_null_profile": _eda(eda.null_profile),
+    "e03_null_summary": _eda(eda.null_summary),
+    "e04_consistency_pre_check": _eda_dated(eda.consistency_pre_check),
+    "e05_consistency_report": _eda_dated(eda.consistency_report),
+    "e06_group_consistency": _eda(eda.group_consistency),
+    "e07_worst_records": _eda_dated(eda.worst_records),
+    "e08_valid_counts": _eda_dated(eda.valid_counts),
+    "e09_numeric_summary": _eda(eda.numeric_summary),
+    "e10_binary_summary": _eda(eda.binary_summary),
+    "e11_quarter_comparison": _eda_dated(eda.quarter_comparison),
+    "e12_histogram": _eda(eda.histogram),
+    "e13_executive_dashboard": _eda_dated(eda.executive_dashboard),
+    "e14_percentiles": _eda(eda.percentiles),
+    "e15_flag_correlation": _eda(eda.flag_correlation),
+    "e16_structure": _eda(eda.structure),
+    "e17_null_report": _eda(eda.null_report),
+    "e18_time_integrity": _eda_dated(eda.time_integrity),
+    "e18_numeric_ranges": _eda(eda.numeric_ranges),
+    "e19_descriptive_statistics": _eda(eda.descriptive_statistics),
+    "e20_distribution_shape": _eda(eda.distribution_shape),
+    "e21_iqr_outliers": _eda(eda.iqr_outliers),
+    "e21_iqr_outliers_true_quartiles": _eda(eda.iqr_outliers, mode="iqr"),
+    "e22_rare_combinations": _eda(eda.rare_combinations),
+    "e23_exact_duplicates": _eda(eda.exact_duplicates),
+    "e24_logical_duplicates": _eda(eda.logical_duplicates),
+    "e25_category_pareto": _eda(eda.category_pareto),
+    "e26_category_cardinality": _eda(eda.category_cardinality),
+    "e27_weekday_hour_pattern": _eda_dated(eda.weekday_hour_pattern),
+    "e28_date_gaps": _eda_dated(eda.date_gaps),
+    "e29_correlation_matrix": _eda(eda.correlation_matrix),
+    "e30_contingency": _eda(eda.contingency),
+    "e31_evolution_dashboard": _eda_dated(eda.evolution_dashboard),
+    "e32_category_stability": _eda_dated(eda.category_stability),
+    "e33_session_durations": _eda(eda.session_durations),
+    "e34_business_rules": _eda_dated(eda.business_rules),
+    "e35_cumulative_histogram": _eda(eda.cumulative_histogram),
+    "e36_user_profile": _eda(eda.user_profile),
+    "e37_anomaly_scores": _eda(eda.anomaly_scores),
+    "e38_hourly_throughput": _eda_dated(eda.hourly_throughput),
+    "e39_trend_projection": _eda_dated(eda.trend_projection),
+    "e40_quality_scorecard": _eda_dated(eda.quality_scorecard),
+    "e41_normality": _eda(eda.normality),
+    "e42_chi_square": _eda(eda.chi_square),
+}
+
+FAMILIES = [SALES, EDA]
 
 
 def _bind(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

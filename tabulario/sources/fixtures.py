@@ -64,6 +64,11 @@ class Tables:
             f"{_SECOND_OF_DAY} + (case when k % 9 = 0 then -1 else 1 end) * cast(floor(value * 20) as int) as cHFin_seg",
         ), PRODUCTOS)
 
+    @cached_property
+    def productos_por_trimestre(self) -> DataFrame:
+        """Rows tagged with the quarterly table they would sit in."""
+        return LOG_PERIODS.tag(self.productos, "cFecha", inclusive_end=True)
+
     @cached_property
     def llamadas(self) -> DataFrame:
         return conform(self._events.selectExpr(

@@ -71,6 +71,12 @@ class Periods(Sequence):
     def order_of(self, trimestre: Column) -> Column:
         return F.coalesce(*[F.when(trimestre == p.trimestre, F.lit(i)) for i, p in enumerate(self, 1)])
 
+    def start_of(self, trimestre: Column) -> Column:
+        return F.coalesce(*[F.when(trimestre == p.trimestre, F.lit(p.inicio)) for p in self])
+
+    def end_of(self, trimestre: Column) -> Column:
+        return F.coalesce(*[F.when(trimestre == p.trimestre, F.lit(p.fin)) for p in self])
+
     def tag(self, df: DataFrame, date_col: str, inclusive_end: bool = False) -> DataFrame:
         """Rows inside some period, with their `trimestre`."""
         when = F.col(date_col)
