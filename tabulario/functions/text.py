@@ -60,3 +60,10 @@ def sorted_set(col: Column, sep: str = ", ") -> Column:
 def clock(seconds: Column) -> Column:
     """Second of the day as 'HH:mm'."""
     return F.format_string("%02d:%02d", F.floor(seconds / 3600).cast("int"), F.floor(seconds % 3600 / 60).cast("int"))
+
+
+def clock_full(seconds: Column) -> Column:
+    """Second of the day as 'HH:mm:ss'."""
+    return F.format_string(
+        "%02d:%02d:%02d", F.floor(seconds / 3600).cast("int"), F.floor(seconds % 3600 / 60).cast("int"), (seconds % 60).cast("int")
+    )

@@ -94,3 +94,23 @@ llamadas AS (SELECT event_id AS idRe,
  CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN 'X12' ELSE cast(380000000000 + event_id AS VARCHAR) END AS cIdentifica,
  CASE WHEN k % 8 = 0 THEN NULL ELSE concat('MQ', cast(2185000000 + user_id AS VARCHAR)) END AS nidMQ
  FROM ev)"""
+
+CRUDAS = EV + """,
+cr AS (SELECT CASE WHEN dd < DATE '2024-01-11' THEN 'Q01_24' WHEN dd < DATE '2024-01-21' THEN 'Q02_24' ELSE 'Q03_24' END AS trimestre,
+ CASE WHEN k % 50 = 21 THEN event_id % 1000 ELSE event_id END AS idRe,
+ CASE k WHEN 99 THEN NULL WHEN 98 THEN '0000000' WHEN 97 THEN '123' WHEN 96 THEN 'ABC123' WHEN 95 THEN '' ELSE cast(2185000000 + user_id AS VARCHAR) END AS numero_entrada,
+ CASE WHEN k % 10 = 0 THEN NULL WHEN k = 11 THEN '' WHEN k = 12 THEN '12' WHEN k = 13 THEN '12-34-56' ELSE cast(2185000000 + (user_id * 7 + k) % 150 AS VARCHAR) END AS numero_digitado,
+ CASE k % 12 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'cte_colgo' WHEN 3 THEN 'SDO' ELSE event_type END AS menu,
+ CASE WHEN k % 7 = 0 THEN '' ELSE cast(k % 7 AS VARCHAR) END AS opcion,
+ CASE k % 6 WHEN 0 THEN cast(9000 + k % 4 AS VARCHAR) WHEN 1 THEN '' WHEN 2 THEN 'EXT-1' ELSE NULL END AS id_CTransferencia,
+ CASE k WHEN 13 THEN '31/02/2024' WHEN 14 THEN 'sin fecha' WHEN 15 THEN '01/01/2031' ELSE strftime(ts, '%d/%m/%Y') END AS fecha,
+ CASE user_id % 3 WHEN 0 THEN 'NORTE' WHEN 1 THEN 'SUR' ELSE 'CENTRO' END AS division, concat('AREA_', cast(user_id % 7 AS VARCHAR)) AS area,
+ CASE WHEN k % 50 = 17 THEN strftime(ts, '%d/%m/%Y') ELSE '01/01/1900' END AS base_inicio, ini, fin,
+ concat('Z', cast(user_id % 8 AS VARCHAR)) AS id_8T, CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN NULL ELSE 'ZMB,MGC' END AS etiquetas,
+ CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'X12' ELSE cast(380000000000 + event_id AS VARCHAR) END AS cIdentifica,
+ cast(ts AS DATE) + CASE WHEN k % 10 = 3 THEN 1 ELSE 0 END AS insertado,
+ CASE WHEN k % 8 = 0 THEN NULL ELSE concat('MQ', cast(2185000000 + user_id AS VARCHAR)) END AS nidMQ
+ FROM (SELECT *, cast(ts AS DATE) - CASE WHEN k = 22 THEN 10 ELSE 0 END AS dd, cast(hour(ts)*3600 + minute(ts)*60 + second(ts) AS INT) AS ini,
+  cast(((hour(ts)*3600 + minute(ts)*60 + second(ts) + (CASE WHEN k % 9 = 0 THEN -1 ELSE 1 END) * cast(floor(value) AS INT)) % 86400 + 86400) % 86400 AS INT) AS fin FROM ev)),
+crudas AS (SELECT *, try_strptime(fecha, '%d/%m/%Y')::DATE AS dia, fin < ini AS invertido,
+ format('{} {:02d}:{:02d}:{:02d}', base_inicio, ini // 3600, ini // 60 % 60, ini % 60) AS hora_inicio FROM cr)"""

@@ -31,13 +31,12 @@ def _div(a: Column, b: int) -> Column:
     return F.floor((a - a % b) / b)
 
 
-def _descend(counts: DataFrame, scope: Sequence[str], slot: str, wanted: DataFrame) -> DataFrame:
-    """Find, per wanted rank, the slot that holds it and the rank inside the slot."""
+def _locate(counts: DataFrame, scope: Sequence[str], slot: str) -> DataFrame:
+    """Keep the slot that holds the wanted rank `_k` and make the rank relative to it."""
     w = Window.partitionBy(*scope).orderBy(slot)
-    running = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_before", F.col("_upto") - F.col("_n"))
-    return running.join(F.broadcast(wanted), list(scope)).where(
-        (F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_upto"))
-    ).withColumn("_k", F.col("_k") - F.col("_before")).drop("_n", "_upto", "_before")
+    running = counts.withColumn("_upto", F.sum("_n").over(w))
+    before = F.col("_upto") - F.col("_n")
+    return running.where((F.col("_k") >= before) & (F.col("_k") < F.col("_upto"))).withColumn("_k", F.col("_k") - before).drop("_n", "_upto")
 
 
 def order_statistics(
@@ -61,18 +60,17 @@ def order_statistics(
         for name, rank in ranks.items()
     ])))
 
-    # Bounded by groups x ranks, hence safe to broadcast.
+    # The broadcast sides hold at most groups x ranks rows.
     sliced = rows.join(F.broadcast(bounds), keys).withColumn("_s1", F.expr("(_v - _lo) div _w1")).withColumn(
         "_s2", F.expr("(_v - _lo - _s1 * _w1) div _w2")
-    )
-    scope1 = keys
-    found = _descend(sliced.groupBy(*scope1, "_s1").agg(F.count("*").alias("_n")), scope1, "_s1", wanted)
-    scope2 = [*keys, "_s1"]
-    inside = sliced.join(F.broadcast(found.select(*scope2).distinct()), scope2, "left_semi")
-    found = _descend(inside.groupBy(*scope2, "_s2").agg(F.count("*").alias("_n")), scope2, "_s2", found)
-    scope3 = [*keys, "_s1", "_s2"]
-    inside = sliced.join(F.broadcast(found.select(*scope3).distinct()), scope3, "left_semi")
-    found = _descend(inside.groupBy(*scope3, "_v").agg(F.count("*").alias("_n")), scope3, "_v", found)
+    ).select(*keys, "_s1", "_s2", "_v")
+    scope = [*keys, "_name"]
+    coarse = sliced.groupBy(*keys, "_s1").agg(F.count("*").alias("_n")).join(F.broadcast(wanted), keys)
+    found = _locate(coarse, scope, "_s1")
+    fine = sliced.join(F.broadcast(found), [*keys, "_s1"]).groupBy(*scope, "_k", "_s1", "_s2").agg(F.count("*").alias("_n"))
+    found = _locate(fine, scope, "_s2")
+    exact = sliced.join(F.broadcast(found), [*keys, "_s1", "_s2"]).groupBy(*scope, "_k", "_v").agg(F.count("*").alias("_n"))
+    found = _locate(exact, scope, "_v")
 
     out = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
     return out.drop("_all")

@@ -55,13 +55,15 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 
 
 def bounded_list(
-    df: DataFrame, keys: Sequence[str], value: str, k: int, sep: str, name: str, order: Sequence[Column] | None = None
+    df: DataFrame, keys: Sequence[str], value: str, k: int, sep: str, name: str,
+    order: Sequence[Column] | None = None, order_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Per key, the first `k` distinct values as one string (keys, name).
 
-    Values are de-duplicated and cut to `k` before they are collected.
+    Values are de-duplicated and cut to `k` before they are collected. An
+    `order` other than by value names the extra columns it reads.
     """
-    distinct = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    distinct = df.where(F.col(value).isNotNull()).select(*keys, value, *order_cols).distinct()
     ranked = top_per_key(distinct, keys, order or [F.col(value)], k)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.col(value).cast("string").alias("v")))), lambda s: s["v"]), sep)
     return ranked.groupBy(*keys).agg(joined.alias(name))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulario.operators import eda, sales
+from tabulario.operators import calls, eda, sales
+from tabulario.sources.calls import normalise
 from tabulario.sources.fixtures import LOG_PERIODS, SALES_PERIODS, Tables
 
-ORACLES = ["sales", "eda"]
+ORACLES = ["sales", "eda", "calls"]
+
+# Run date of the reports that look back from a day.
+AS_OF = dt.date(2024, 1, 31)
 
 
 def _sales(fn, **kw):
@@ -114,7 +119,53 @@ EDA = {
     "e42_chi_square": _eda(eda.chi_square),
 }
 
-FAMILIES = [SALES, EDA]
+
+def _calls(fn, **kw):
+    return lambda t: fn(t.llamadas_por_trimestre, **kw)
+
+
+def _raw(fn, **kw):
+    return lambda t: fn(t.llamadas_crudas, **kw)
+
+
+CALLS = {
+    "c01_cardinality": _calls(calls.cardinality),
+    "c02_completeness": _calls(calls.completeness),
+    "c02_field_domains": _calls(calls.field_domains),
+    "c03_criticality": _calls(calls.criticality),
+    "c04_value_domains": _calls(calls.value_domains),
+    "c05_division_areas": _calls(calls.division_areas),
+    "c05_menu_options": _calls(calls.menu_options),
+    "c05_zone_locations": _calls(calls.zone_locations),
+    "c06_key_checks": lambda t: calls.key_checks(t.llamadas_crudas, LOG_PERIODS),
+    "c07_repeated_ids": _raw(calls.repeated_ids),
+    "c08_daily_distribution": _calls(calls.daily_distribution),
+    "c09_time_inconsistencies": _raw(calls.time_inconsistencies),
+    "c10_reference_prefixes": _calls(calls.reference_prefixes),
+    "c10_queue_vs_dialled": _calls(calls.queue_vs_dialled),
+    "c11_integral_quality": _calls(calls.integral_quality),
+    "c12_inverted_times": _calls(calls.inverted_times),
+    "c13_base_dates": _raw(calls.base_dates),
+    "c14_label_consistency": _calls(calls.label_consistency),
+    "c15_outside_calendar": lambda t: calls.outside_calendar(t.llamadas_crudas, LOG_PERIODS),
+    "c16_malformed_references": _raw(calls.malformed_references),
+    "c17_number_formats": _raw(calls.number_formats),
+    "c17_number_formats_strict": _raw(calls.number_formats, shortest=7, reject_ones=False),
+    "c18_date_validation": _raw(calls.date_validation),
+    "c19_user_outliers": _calls(calls.user_outliers),
+    "c19_user_outliers_interpolated": _calls(calls.user_outliers, mode="interpolated"),
+    "c20_quality_scores": lambda t: calls.quality_scores(normalise(t.llamadas_crudas)),
+    "c21_cleaning_impact": _calls(calls.cleaning_impact),
+    "c21_cleaning_impact_any_time": _calls(calls.cleaning_impact, ordered_times=False),
+    "c22_clean_calls": lambda t: calls.clean_calls(normalise(t.llamadas_crudas)),
+    "c23_problem_records": lambda t: calls.problem_records(normalise(t.llamadas_crudas)),
+    "c24_quality_dashboard": lambda t: calls.quality_dashboard(normalise(t.llamadas_crudas), AS_OF),
+    "c25_sample_rows": _calls(calls.sample_rows),
+    "c25_number_bounds": _calls(calls.number_bounds),
+    "c26_quarter_quality": _calls(calls.quarter_quality),
+}
+
+FAMILIES = [SALES, EDA, CALLS]
 
 
 def _bind(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

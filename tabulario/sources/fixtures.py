@@ -97,3 +97,39 @@ class Tables:
             "when event_type = 'error' then if(k % 7 = 6, 'NoTmx_SOMC,NoTmx_SOMC,', '') "
             "when k % 7 = 3 then 'ZMB,WTS,TELCO,,' else 'ZMB,MGC' end as etiquetas",
         ), LLAMADAS)
+
+    @cached_property
+    def llamadas_por_trimestre(self) -> DataFrame:
+        return LOG_PERIODS.tag(self.llamadas, "fecha")
+
+    @cached_property
+    def llamadas_crudas(self) -> DataFrame:
+        """Text form of the log with broken dates, odd numbers, repeated ids and rows in a wrong table."""
+        day = F.expr("date_sub(cast(ts as date), case when k = 22 then 10 else 0 end)")
+        fin = f"pmod({_SECOND_OF_DAY} + (case when k % 9 = 0 then -1 else 1 end) * cast(floor(value) as int), 86400)"
+        texts = self._events.withColumns({
+            "trimestre": F.coalesce(LOG_PERIODS.label_of(day), F.lit(LOG_PERIODS[0].trimestre)),
+            "ini": F.expr(_SECOND_OF_DAY), "fin": F.expr(fin),
+        }).selectExpr(
+            "trimestre", "case when k % 50 = 21 then event_id % 1000 else event_id end as idRe",
+            "case k when 99 then null when 98 then '0000000' when 97 then '123' when 96 then 'ABC123' when 95 then '' "
+            "else cast(2185000000 + user_id as string) end as numero_entrada",
+            "case when k % 10 = 0 then null when k = 11 then '' when k = 12 then '12' when k = 13 then '12-34-56' "
+            "else cast(2185000000 + (user_id * 7 + k) % 150 as string) end as numero_digitado",
+            "case k % 12 when 0 then null when 1 then '' when 2 then 'cte_colgo' when 3 then 'SDO' else event_type end as menu",
+            "case when k % 7 = 0 then '' else cast(k % 7 as string) end as opcion",
+            "case k % 6 when 0 then cast(9000 + k % 4 as string) when 1 then '' when 2 then 'EXT-1' else null end as id_CTransferencia",
+            "case k when 13 then '31/02/2024' when 14 then 'sin fecha' when 15 then '01/01/2031' "
+            "else date_format(cast(ts as date), 'dd/MM/yyyy') end as fecha",
+            "case user_id % 3 when 0 then 'NORTE' when 1 then 'SUR' else 'CENTRO' end as division",
+            "concat('AREA_', cast(user_id % 7 as string)) as area",
+            "concat(case when k % 50 = 17 then date_format(cast(ts as date), 'dd/MM/yyyy') else '01/01/1900' end, ' ', "
+            "lpad(cast(ini div 3600 as string), 2, '0'), ':', lpad(cast(ini div 60 % 60 as string), 2, '0'), ':', lpad(cast(ini % 60 as string), 2, '0')) as hora_inicio",
+            "concat('01/01/1900 ', lpad(cast(fin div 3600 as string), 2, '0'), ':', lpad(cast(fin div 60 % 60 as string), 2, '0'), ':', lpad(cast(fin % 60 as string), 2, '0')) as hora_fin",
+            "concat('Z', cast(user_id % 8 as string)) as id_8T",
+            "case when k % 5 = 0 then '' when k % 5 = 1 then null else 'ZMB,MGC' end as etiquetas",
+            "case k % 4 when 0 then '' when 1 then 'X12' else cast(380000000000 + event_id as string) end as cIdentifica",
+            "concat(date_format(date_add(cast(ts as date), if(k % 10 = 3, 1, 0)), 'dd/MM/yyyy'), ' 23:59:59') as fecha_inserta",
+            "case when k % 8 = 0 then null else concat('MQ', cast(2185000000 + user_id as string)) end as nidMQ",
+        )
+        return texts
