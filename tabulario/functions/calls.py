@@ -60,23 +60,26 @@ def different() -> Column:
 def transfer(mode: str = "null_kept") -> Column:
     """Row predicate of a transfer; NULL callers never qualify.
 
-    strict:     dialled number known and different
-    null_kept:  different, or dialled number missing
-    only_null:  dialled number missing
-    trimmed:    as strict, ignoring surrounding blanks
+    strict:         dialled number known and different
+    null_kept:      a missing dialled number counts as the empty text
+    explicit_null:  different, or dialled number missing
+    trimmed:        as null_kept, ignoring surrounding blanks and blank callers
     """
     known = caller().isNotNull()
     if mode == "strict":
         return known & dialled().isNotNull() & different()
     if mode == "null_kept":
+        return known & (caller() != F.coalesce(dialled(), F.lit("")))
+    if mode == "explicit_null":
         return known & (dialled().isNull() | different())
-    if mode == "only_null":
-        return known & dialled().isNull()
     if mode == "trimmed":
-        return known & dialled().isNotNull() & (F.trim(caller()) != F.trim(dialled()))
+        return known & (F.trim(caller()) != F.coalesce(F.trim(dialled()), F.lit(""))) & (F.trim(caller()) != "")
     raise ValueError(f"unknown transfer mode: {mode}")
 
 
+TRANSFER_MODES = ("strict", "null_kept", "explicit_null", "trimmed")
+
+
 def redirected() -> Column:
     return filled(F.col("id_CTransferencia"))
 
@@ -107,6 +110,20 @@ def success() -> Column:
     return F.coalesce(F.col("menu").isin(*SUCCESS_MENUS), F.lit(False))
 
 
+def menu_option(sep: str = ":") -> Column:
+    """Menu and option; NULL when either is missing."""
+    return F.concat("menu", F.lit(sep), "opcion")
+
+
+def location() -> Column:
+    return F.concat("division", F.lit("-"), "area")
+
+
+def kind() -> Column:
+    """OFICIAL when caller and dialled number are equal, DERIVADO otherwise (also for a missing number)."""
+    return F.when(equal(), "OFICIAL").otherwise("DERIVADO")
+
+
 def step(arrow: str = ":") -> Column:
     """Menu and option as one step text; missing parts are empty."""
     return F.concat(F.coalesce("menu", F.lit("")), F.lit(arrow), F.coalesce("opcion", F.lit("")))

@@ -51,14 +51,16 @@ def deviation(col: Column) -> Column:
     return F.sqrt(variance(col))
 
 
-def cents(col: Column) -> Column:
-    """A figure already rounded to two decimals, as an integer number of hundredths."""
-    return F.round(col * 100).cast("bigint")
+def cents(col: Column, places: int = 2) -> Column:
+    """A figure already rounded to `places` decimals, as an integer number of last digits."""
+    return F.round(col * 10**places).cast("bigint")
 
 
-def mean_of_rounded(col: Column, digits: int = 2) -> Column:
-    """Average of two-decimal figures without summing doubles (aggregate)."""
-    return F.round(
-        F.sum(cents(col)).cast("decimal(18,0)") / F.nullif((F.count(col) * 100).cast("decimal(18,0)"), F.lit(Decimal(0))),
-        digits,
-    ).cast("double")
+def mean_of_rounded(col: Column, digits: int = 2, places: int = 2) -> Column:
+    """Average of rounded figures without summing doubles (aggregate)."""
+    return ratio(F.sum(cents(col, places)), F.count(col) * 10**places, digits, 1)
+
+
+def mean_share(part: Column, whole: Column, digits: int = 1) -> Column:
+    """Average of per-row percentages, each kept to four decimals (aggregate)."""
+    return mean_of_rounded(ratio(part, whole, 4), digits, 4)

@@ -53,8 +53,9 @@ def week_from_monday(date: Column) -> Column:
 
 
 def sorted_set(col: Column, sep: str = ", ") -> Column:
-    """Distinct values as one sorted string (aggregate); for columns with few distinct values."""
-    return F.array_join(F.array_sort(F.collect_set(col)), sep)
+    """Distinct values as one sorted string, NULL without values (aggregate); for small vocabularies."""
+    values = F.array_sort(F.collect_set(col))
+    return F.when(F.size(values) > 0, F.array_join(values, sep))
 
 
 def clock(seconds: Column) -> Column:

@@ -35,8 +35,12 @@ def deviation(col: str) -> str:
     return f"sqrt({variance(col)})"
 
 
-def mean_of_rounded(col: str, digits: int = 2) -> str:
-    return ratio(f"sum(round(({col}) * 100)::BIGINT)", f"count({col}) * 100", digits, 1)
+def mean_of_rounded(col: str, digits: int = 2, places: int = 2) -> str:
+    return ratio(f"sum(round(({col}) * {10**places})::BIGINT)", f"count({col}) * {10**places}", digits, 1)
+
+
+def mean_share(part: str, whole: str, digits: int = 1) -> str:
+    return mean_of_rounded(ratio(part, whole, 4), digits, 4)
 
 
 def big(expr: str) -> str:

@@ -74,3 +74,15 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     r = right.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])
     cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return left.join(r, cond, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def only(rows: DataFrame, top: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is among the few rows of `top` (a limited frame, hence safe to broadcast)."""
+    few = F.broadcast(top.select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
+    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return rows.join(few, cond, "left_semi")
+
+
+def ranked(df: DataFrame, by: str, keys: Sequence[str], limit: int) -> DataFrame:
+    """Top `limit` rows by a figure, ties broken by key."""
+    return df.orderBy(F.col(by).desc(), *[F.col(k).asc_nulls_first() for k in keys]).limit(limit)

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulario.operators import calls, eda, sales
+from tabulario.functions.calls import transfer
+from tabulario.operators import calls, eda, reports, sales, transfers
 from tabulario.sources.calls import normalise
 from tabulario.sources.fixtures import LOG_PERIODS, SALES_PERIODS, Tables
 
-ORACLES = ["sales", "eda", "calls"]
+ORACLES = ["sales", "eda", "calls", "reports", "transfers"]
 
 # Run date of the reports that look back from a day.
 AS_OF = dt.date(2024, 1, 31)
@@ -128,6 +130,15 @@ def _raw(fn, **kw):
     return lambda t: fn(t.llamadas_crudas, **kw)
 
 
+def _calls_dated(fn, **kw):
+    return lambda t: fn(t.llamadas_por_trimestre, LOG_PERIODS, **kw)
+
+
+def _pairs_of_first_quarter(t: Tables) -> DataFrame:
+    rows = t.llamadas_por_trimestre.where(F.col("trimestre") == LOG_PERIODS[0].trimestre)
+    return rows.where(transfer()).select(*transfers.PAIR).distinct()
+
+
 CALLS = {
     "c01_cardinality": _calls(calls.cardinality),
     "c02_completeness": _calls(calls.completeness),
@@ -165,7 +176,54 @@ CALLS = {
     "c26_quarter_quality": _calls(calls.quarter_quality),
 }
 
-FAMILIES = [SALES, EDA, CALLS]
+REPORTS = {
+    "r01_daily_average": _calls(reports.daily_average),
+    "r01_daily_average_filtered": _calls(reports.daily_average_filtered),
+    "r02_weekly_average": _calls(reports.weekly_average),
+    "r02_monthly_average": _calls(reports.monthly_average),
+    "r02_annual_average": _calls(reports.annual_average),
+    "r03_clean_interactions": _calls_dated(reports.clean_interactions),
+    "r04_daily_sessions": _calls_dated(reports.daily_sessions),
+    "r05_daily_report": _calls_dated(reports.daily_report),
+    "r06_weekly_report": _calls_dated(reports.weekly_report),
+    "r06_monthly_report": _calls_dated(reports.monthly_report),
+    "r06_quarterly_report": _calls_dated(reports.quarterly_report),
+    "r06_annual_report": _calls_dated(reports.annual_report),
+    "r07_official_beside_derived": _calls_dated(reports.official_beside_derived),
+    "r08_quarter_context": _calls_dated(reports.quarter_context),
+    "r09_usage_by_kind": _calls_dated(reports.usage_by_kind),
+    "r09_usage_by_kind_recorded": _calls(reports.usage_by_kind_recorded),
+}
+
+TRANSFERS = {
+    "t01_transfer_pairs": _calls(transfers.transfer_pairs),
+    "t02_complete_pairs": _calls(transfers.complete_pairs),
+    "t02_complete_pairs_of_quarter": _calls(transfers.complete_pairs, limit=10, trimestre="Q02_24"),
+    "t03_first_of_pair": _calls(transfers.first_of_pair),
+    "t04_pairs_joined_to_dates": _calls(transfers.pairs_joined_to_dates),
+    "t05_pairs_by_null": _calls(transfers.pairs_by_null),
+    "t06_pairs_by_quarter_totals": _calls(transfers.pairs_by_quarter_totals),
+    "t07_top_pairs_per_quarter": _calls(transfers.top_pairs_per_quarter),
+    "t08_appearance_dates": lambda t: transfers.appearance_dates(t.llamadas_por_trimestre, _pairs_of_first_quarter(t)),
+    "t09_pair_summary": _calls(transfers.pair_summary),
+    "t10_transfer_variants": _calls(transfers.transfer_variants),
+    "t11_redirections": _calls(transfers.redirections),
+    "t12_processing_types": _calls(transfers.processing_types),
+    "t12_number_relation": _calls(transfers.number_relation),
+    "t13_external_references": _calls(transfers.external_references),
+    "t14_redirection_profiles": _calls(transfers.redirection_profiles),
+    "t15_transfer_network": _calls(transfers.transfer_network),
+    "t16_redirection_edges": _calls(transfers.redirection_edges),
+    "t16_redirection_nodes": _calls(transfers.redirection_nodes),
+    "t17_official_vs_derived": _calls_dated(transfers.official_vs_derived),
+    "t17_official_vs_derived_by_zone": _calls(transfers.official_vs_derived_by_zone),
+    "t17_derived_share_by_quarter": _calls_dated(transfers.derived_share_by_quarter),
+    "t18_derived_pairs": _calls_dated(transfers.derived_pairs),
+    "t18_derived_pairs_by_zone": _calls(transfers.derived_pairs_by_zone),
+    "t18_suspicious_pairs": _calls_dated(transfers.suspicious_pairs, days=25),
+}
+
+FAMILIES = [SALES, EDA, CALLS, REPORTS, TRANSFERS]
 
 
 def _bind(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
