@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulario.functions.calls import transfer
-from tabulario.operators import calls, eda, reports, sales, transfers
+from tabulario.operators import calls, eda, labels, reports, sales, transfers
 from tabulario.sources.calls import normalise
 from tabulario.sources.fixtures import LOG_PERIODS, SALES_PERIODS, Tables
 
-ORACLES = ["sales", "eda", "calls", "reports", "transfers"]
+ORACLES = ["sales", "eda", "calls", "reports", "transfers", "labels"]
 
 # Run date of the reports that look back from a day.
 AS_OF = dt.date(2024, 1, 31)
+# Label fragments that occur in the test tables.
+OTHER_CODES = {"TELCO": "TELECOM", "SOMC": "FUERA_MEXICO", "QJA_": "PROCESO_QUEJA"}
 
 
 def _sales(fn, **kw):
@@ -223,7 +225,51 @@ TRANSFERS = {
     "t18_suspicious_pairs": _calls_dated(transfers.suspicious_pairs, days=25),
 }
 
-FAMILIES = [SALES, EDA, CALLS, REPORTS, TRANSFERS]
+LABELS = {
+    "l01_exploded_labels": _calls(labels.exploded_labels),
+    "l02_label_frequency": _calls(labels.label_frequency),
+    "l02_label_functions": _calls(labels.label_functions),
+    "l03_label_indicators": _calls(labels.label_indicators),
+    "l04_menu_usage": _calls(labels.menu_usage),
+    "l04_menu_abandonment": _calls(labels.menu_abandonment),
+    "l05_option_usage": _calls(labels.option_usage),
+    "l05_option_transfers": _calls(labels.option_transfers),
+    "l06_combination_success": _calls(labels.combination_success),
+    "l07_menu_label_patterns": _calls(labels.menu_label_patterns),
+    "l08_option_reflection": _calls(labels.option_reflection),
+    "l09_menu_option_flow": _calls(labels.menu_option_flow),
+    "l10_rule_violations": _calls(labels.rule_violations),
+    "l10_rule_violation_counts": _calls(labels.rule_violation_counts),
+    "l11_pattern_evolution": _calls(labels.pattern_evolution),
+    "l12_menu_dashboard": _calls(labels.menu_dashboard),
+    "l13_combination_search": _calls(labels.combination_search, etiqueta="ZMB"),
+    "l14_menu_classes": _calls(labels.menu_classes),
+    "l15_option_types": _calls(labels.option_types),
+    "l16_combination_profile": _calls(labels.combination_profile),
+    "l17_rule_compliance": _calls(labels.rule_compliance),
+    "l18_option_label_consistency": _calls(labels.option_label_consistency),
+    "l19_complete_flows": _calls(labels.complete_flows),
+    "l20_record_anomalies": _calls(labels.record_anomalies),
+    "l21_routes": _calls(labels.routes, good=(60, 30)),
+    "l22_label_validity": _calls(labels.label_validity),
+    "l22_label_kinds": _calls(labels.label_kinds),
+    "l23_service_levels": _calls(labels.service_levels),
+    "l24_technical_codes": _calls(labels.technical_codes),
+    "l24_technical_codes_custom": _calls(labels.technical_codes, codes=OTHER_CODES),
+    "l25_label_segments": _calls(labels.label_segments),
+    "l26_labels_and_behaviour": _calls(labels.labels_and_behaviour),
+    "l27_labels_by_hour": _calls(labels.labels_by_hour),
+    "l28_label_correlation": _calls(labels.label_correlation),
+    "l29_option_label_dependency": _calls(labels.option_label_dependency),
+    "l30_label_combinations": _calls(labels.label_combinations),
+    "l30_navigation_by_relation": _calls(labels.navigation_by_relation),
+    "l31_combination_usage": _calls(labels.combination_usage),
+    "l31_combination_usage_repaired": _calls(labels.combination_usage_repaired),
+    "l32_menu_efficiency": _calls(labels.menu_efficiency),
+    "l32_menu_efficiency_by_destination": _calls(labels.menu_efficiency_by_destination),
+}
+
+FAMILIES = [SALES, EDA, CALLS, REPORTS, TRANSFERS, LABELS]
 
 
 def _bind(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
