@@ -58,13 +58,31 @@ def sorted_set(col: Column, sep: str = ", ") -> Column:
     return F.when(F.size(values) > 0, F.array_join(values, sep))
 
 
+def _of_day(seconds: Column) -> Column:
+    """Second of the day; a repaired start may lie before midnight."""
+    return F.pmod(seconds, F.lit(86400))
+
+
+def hour_of(seconds: Column) -> Column:
+    return F.floor(_of_day(seconds) / 3600).cast("int")
+
+
 def clock(seconds: Column) -> Column:
     """Second of the day as 'HH:mm'."""
-    return F.format_string("%02d:%02d", F.floor(seconds / 3600).cast("int"), F.floor(seconds % 3600 / 60).cast("int"))
+    s = _of_day(seconds)
+    return F.format_string("%02d:%02d", F.floor(s / 3600).cast("int"), F.floor(s % 3600 / 60).cast("int"))
 
 
 def clock_full(seconds: Column) -> Column:
     """Second of the day as 'HH:mm:ss'."""
-    return F.format_string(
-        "%02d:%02d:%02d", F.floor(seconds / 3600).cast("int"), F.floor(seconds % 3600 / 60).cast("int"), (seconds % 60).cast("int")
-    )
+    return F.concat(clock(seconds), F.format_string(":%02d", (_of_day(seconds) % 60).cast("int")))
+
+
+def week_index(date: Column) -> Column:
+    """Consecutive number of the Sunday-based week, continuous over New Year."""
+    return F.floor(F.datediff(date, F.lit("1970-01-04").cast("date")) / 7)
+
+
+def whole_minutes(seconds: Column) -> Column:
+    """Complete minutes, cut towards zero."""
+    return F.when(seconds < 0, F.ceil(seconds / 60)).otherwise(F.floor(seconds / 60))

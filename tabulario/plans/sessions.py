@@ -36,19 +36,22 @@ def sessions(
     mins: Mapping[str, Column] | None = None,
     maxs: Mapping[str, Column] | None = None,
     firsts: Mapping[str, Column] | None = None,
+    lists: Mapping[str, tuple[Column, str]] | None = None,
 ) -> DataFrame:
     """One row per session: `n` rows, optional `journey` text in time order and partial figures.
 
-    sums/mins/maxs aggregate a value, sets count distinct values of a small
-    vocabulary, firsts take the value of the earliest row; ties go by idRe.
+    sums/mins/maxs aggregate a value, sets count distinct values, lists join
+    the distinct values in order (NULL without any), firsts take the earliest
+    known value; ties go by idRe.
     """
-    sums, sets, mins, maxs, firsts = (dict(x or {}) for x in (sums, sets, mins, maxs, firsts))
+    sums, sets, mins, maxs, firsts, lists = (dict(x or {}) for x in (sums, sets, mins, maxs, firsts, lists))
     rows = _slotted(df, at)
     order = F.struct("_at", "idRe")
     per_minute = [F.count("*").alias("n")]
     per_minute += [F.sum(c).alias(k) for k, c in sums.items()] + [F.collect_set(c).alias(k) for k, c in sets.items()]
     per_minute += [F.min(c).alias(k) for k, c in mins.items()] + [F.max(c).alias(k) for k, c in maxs.items()]
-    per_minute += [F.min(F.struct(F.col("_at"), F.col("idRe"), c.alias("v"))).alias(k) for k, c in firsts.items()]
+    per_minute += [F.min(F.when(c.isNotNull(), F.struct(F.col("_at"), F.col("idRe"), c.alias("v")))).alias(k) for k, c in firsts.items()]
+    per_minute += [F.collect_set(c).alias(k) for k, (c, _) in lists.items()]
     if step is not None:
         entry = F.when(step.isNotNull(), F.struct(order.alias("o"), step.alias("t")))
         per_minute.append(_joined(F.collect_list(entry), sep).alias("_text"))
@@ -58,6 +61,9 @@ def sessions(
     whole += [F.sum(k).alias(k) for k in sums] + [F.min(k).alias(k) for k in mins] + [F.max(k).alias(k) for k in maxs]
     whole += [F.size(F.array_distinct(F.flatten(F.collect_list(k)))).cast("bigint").alias(k) for k in sets]
     whole += [F.min(k)["v"].alias(k) for k in firsts]
+    for k, (_, list_sep) in lists.items():
+        values = F.array_sort(F.array_distinct(F.flatten(F.collect_list(k))))
+        whole.append(F.when(F.size(values) > 0, F.array_join(values, list_sep)).alias(k))
     if step is not None:
         entry = F.when(F.col("_text") != "", F.struct(F.col(_SLOT).alias("o"), F.col("_text").alias("t")))
         whole.append(F.nullif(_joined(F.collect_list(entry), sep), F.lit("")).alias("journey"))

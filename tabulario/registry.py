@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulario.functions.calls import transfer
-from tabulario.operators import calls, eda, labels, reports, sales, transfers
+from tabulario.operators import calls, eda, journeys, labels, reports, sales, transfers
 from tabulario.sources.calls import normalise
 from tabulario.sources.fixtures import LOG_PERIODS, SALES_PERIODS, Tables
 
-ORACLES = ["sales", "eda", "calls", "reports", "transfers", "labels"]
+ORACLES = ["sales", "eda", "calls", "reports", "transfers", "labels", "journeys"]
 
 # Run date of the reports that look back from a day.
 AS_OF = dt.date(2024, 1, 31)
@@ -269,7 +269,36 @@ LABELS = {
     "l32_menu_efficiency_by_destination": _calls(labels.menu_efficiency_by_destination),
 }
 
-FAMILIES = [SALES, EDA, CALLS, REPORTS, TRANSFERS, LABELS]
+JOURNEYS = {
+    "j01_daily_journeys": _calls(journeys.daily_journeys),
+    "j01_daily_journeys_with_destinations": _calls(journeys.daily_journeys_with_destinations),
+    "j01_detailed_journeys": _calls(journeys.detailed_journeys),
+    "j01_recorded_journeys": _calls(journeys.recorded_journeys),
+    "j01_validated_journeys": _calls(journeys.validated_journeys),
+    "j02_frequent_sequences": _calls(journeys.frequent_sequences),
+    "j03_transitions": _calls(journeys.transitions),
+    "j03_step_transitions": _calls(journeys.step_transitions),
+    "j04_user_patterns": _calls(journeys.user_patterns),
+    "j05_user_types": _calls(journeys.user_types),
+    "j06_anomalous_users": _calls(journeys.anomalous_users, volume=2),
+    "j07_behaviour_clusters": _calls(journeys.behaviour_clusters),
+    "j08_five_profiles": _calls(journeys.five_profiles),
+    "j09_score_clusters": _calls(journeys.score_clusters),
+    "j10_circadian": _calls(journeys.circadian),
+    "j11_user_evolution": _calls(journeys.user_evolution),
+    "j12_intensity_segments": _calls(journeys.intensity_segments),
+    "j13_number_behaviour": _calls(journeys.number_behaviour),
+    "j14_time_direction": _calls(journeys.time_direction),
+    "j14_anomaly_list": _calls(journeys.anomaly_list),
+    "j15_hourly_activity": _calls(journeys.hourly_activity),
+    "j15_daily_hourly_activity": _calls(journeys.daily_hourly_activity),
+    "j16_zone_behaviour": _calls(journeys.zone_behaviour),
+    "j16_zone_division_area": _calls(journeys.zone_division_area),
+    "j16_zone_totals": _calls_dated(journeys.zone_totals),
+    "j17_division_area": _calls(journeys.division_area),
+}
+
+FAMILIES = [SALES, EDA, CALLS, REPORTS, TRANSFERS, LABELS, JOURNEYS]
 
 
 def _bind(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
