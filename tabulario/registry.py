@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulario.functions.calls import transfer
-from tabulario.operators import calls, eda, journeys, labels, reports, sales, transfers
+from tabulario.operators import calls, digital, eda, journeys, labels, operations, reports, sales, service, transfers
 from tabulario.sources.calls import normalise
 from tabulario.sources.fixtures import LOG_PERIODS, SALES_PERIODS, Tables
 
-ORACLES = ["sales", "eda", "calls", "reports", "transfers", "labels", "journeys"]
+ORACLES = ["sales", "eda", "calls", "reports", "transfers", "labels", "journeys", "service"]
 
 # Run date of the reports that look back from a day.
 AS_OF = dt.date(2024, 1, 31)
@@ -298,7 +298,30 @@ JOURNEYS = {
     "j17_division_area": _calls(journeys.division_area),
 }
 
-FAMILIES = [SALES, EDA, CALLS, REPORTS, TRANSFERS, LABELS, JOURNEYS]
+SERVICE = {
+    "v01_abandoned_sequences": _calls(service.abandoned_sequences, min_sessions=2),
+    "v02_abandonment_points": _calls(service.abandonment_points),
+    "v03_resolution_time": _calls(service.resolution_time),
+    "v04_frustration": _calls(service.frustration),
+    "v05_weekly_kpis": _calls(service.weekly_kpis),
+    "o01_hourly_load": _calls(operations.hourly_load),
+    "o02_zone_efficiency": _calls(operations.zone_efficiency),
+    "o03_capacity": _calls(operations.capacity),
+    "o04_load_distribution": _calls(operations.load_distribution),
+    "o05_bottlenecks": _calls(operations.bottlenecks),
+    "o06_operating_cost": _calls(operations.operating_cost),
+    "o07_daily_kpis": _calls(operations.daily_kpis),
+    "d01_archetypes": _calls(digital.archetypes),
+    "d02_segment_journeys": _calls(digital.segment_journeys),
+    "d03_retention_cohorts": _calls(digital.retention_cohorts),
+    "d04_churn_risk": _calls(digital.churn_risk, as_of=AS_OF),
+    "d05_funnel": _calls(digital.funnel),
+    "d06_journey_variants": _calls(digital.journey_variants, min_sessions=2),
+    "d07_feature_preference": _calls(digital.feature_preference),
+    "d08_weekly_ux": _calls(digital.weekly_ux),
+}
+
+FAMILIES = [SALES, EDA, CALLS, REPORTS, TRANSFERS, LABELS, JOURNEYS, SERVICE]
 
 
 def _bind(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
