@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tabulario.functions.calls import FAILED_MENUS, inverted, labelled, option_reflected, has_label
 from tabulario.functions.exact import ratio, share
 from tabulario.functions.text import clock_full, filled, is_blank, sorted_set
+from tabulario.plans.materialise import materialise
 from tabulario.plans.order_stats import order_statistics, percentile_rank
-from tabulario.plans.shape import bounded_list, first_match, join_on, matching, rows_of, top_per_key
+from tabulario.plans.shape import bounded_list, first_match, join_on, leading_list, matching, rows_of, top_per_key
 from tabulario.sources.calls import normalise, parse_date
 from tabulario.sources.periods import Periods
 
@@ -135,12 +136,11 @@ def key_checks(llamadas: DataFrame, periods: Periods) -> DataFrame:
 
 def repeated_ids(llamadas: DataFrame) -> DataFrame:
     per_id = llamadas.groupBy("idRe").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("trimestre")).alias("q")).where(F.col("n") > 1)
-    one = F.lit(0).alias("_k")
-    totals = per_id.groupBy(one).agg(
+    shown = leading_list(per_id, "idRe", _LIST, ",", [F.col("n").desc(), F.col("idRe")])
+    return per_id.agg(
         F.count("*").alias("ids_duplicados_total"), F.coalesce(F.sum("n"), F.lit(0)).alias("registros_afectados"),
-        sorted_set(F.array_join("q", ","), ";").alias("combinaciones_trimestres"))
-    listed = bounded_list(per_id.select(one, "idRe", "n"), ["_k"], "idRe", _LIST, ",", "ejemplos_ids_duplicados", [F.col("n").desc(), F.col("idRe")], ["n"])
-    return totals.join(F.broadcast(listed), "_k", "left").withColumn("ejemplos_ids_duplicados", _cut("ejemplos_ids_duplicados")).drop("_k")
+        sorted_set(F.array_join("q", ","), ";").alias("combinaciones_trimestres"),
+    ).withColumn("ejemplos_ids_duplicados", F.nullif(F.left(shown, F.lit(100)), F.lit("")))
 
 
 def daily_distribution(llamadas: DataFrame) -> DataFrame:
@@ -190,12 +190,11 @@ def inverted_times(llamadas: DataFrame) -> DataFrame:
 def base_dates(crudas: DataFrame, base: str = "01/01/1900") -> DataFrame:
     """Use of the dummy base date in the raw time texts."""
     a, b = F.left(F.col("hora_inicio"), F.lit(10)), F.left(F.col("hora_fin"), F.lit(10))
-    key = F.lit("Análisis_timestamps").alias("analisis")
-    counts = crudas.groupBy(key).agg(
-        F.count("*").alias("total_registros"), F.count_distinct(a).alias("fechas_diferentes_hora_inicio"),
-        F.count_distinct(b).alias("fechas_diferentes_hora_fin"), _n(a == base, "usa_fecha_base_inicio"), _n(b == base, "usa_fecha_base_fin"))
-    odd = bounded_list(crudas.where(a != base).select(key, "hora_inicio"), ["analisis"], "hora_inicio", _LIST, ",", "ejemplos_fechas_anomalas")
-    return counts.join(F.broadcast(odd), "analisis", "left").withColumn("ejemplos_fechas_anomalas", _cut("ejemplos_fechas_anomalas"))
+    odd = leading_list(crudas.where(a != base).select("hora_inicio").distinct(), "hora_inicio", _LIST, ",")
+    return crudas.agg(
+        F.lit("Análisis_timestamps").alias("analisis"), F.count("*").alias("total_registros"), F.count_distinct(a).alias("fechas_diferentes_hora_inicio"),
+        F.count_distinct(b).alias("fechas_diferentes_hora_fin"), _n(a == base, "usa_fecha_base_inicio"), _n(b == base, "usa_fecha_base_fin"),
+    ).withColumn("ejemplos_fechas_anomalas", F.nullif(F.left(odd, F.lit(100)), F.lit("")))
 
 
 def _option_not_reflected() -> Column:
@@ -299,8 +298,9 @@ def user_outliers(llamadas: DataFrame, mode: str = "position") -> DataFrame:
     mode='position' takes the element at floor(0.95 n); mode='interpolated'
     the linear interpolation between neighbours.
     """
-    users = llamadas.where(F.col("numero_entrada").isNotNull()).groupBy("numero_entrada").agg(
-        F.count("*").alias("v"), F.count_distinct("id_8T").alias("z"), F.count_distinct("menu").alias("m"))
+    # One row per caller, read by every round of the percentile search.
+    users = materialise(llamadas.where(F.col("numero_entrada").isNotNull()).groupBy("numero_entrada").agg(
+        F.count("*").alias("v"), F.count_distinct("id_8T").alias("z"), F.count_distinct("menu").alias("m")))
     # Metric label and the tenths of P95 a caller has to exceed.
     metrics = [("usuarios_outliers_volumen", "v", 20), ("usuarios_outliers_geograficos", "z", 15), ("usuarios_outliers_diversidad", "m", 15)]
     long = rows_of(users, ["tipo_outlier", "valor", "factor"], [(name, F.col(c), f) for name, c, f in metrics], keep=["numero_entrada"])

@@ -1,0 +1,27 @@
+"""Cutting the lineage of an intermediate result that is read several times."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder of the cluster (`spark.checkpoint.dir`).
+
+    The data is written once to reliable storage, so a lost executor costs
+    nothing that was computed before. A folder of its own is made only on a
+    single-process session without the setting.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get(CHECKPOINT_DIR, None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="tabulario-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

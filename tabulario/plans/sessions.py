@@ -1,30 +1,58 @@
 """Daily sessions and their steps.
 
-A session is every row of one caller on one day. One caller may hold a large
-part of the log, so nothing here gathers a session's rows in one task: rows are
-first grouped per minute of the session, and only the per-minute results (at
-most 1440 per day) meet in the second step.
+A session is every row of one caller on one day, normally a handful. One caller
+may however hold a large part of the log, so sessions that are too big for one
+task are found first and treated apart: their rows are grouped per minute, and
+only per-minute results (at most 1440 a day) meet in the second step. Both ways
+give the same result; without big sessions the second branch is dropped at run
+time because the list of big sessions is empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SESSION = ("numero_entrada", "fecha")
+# Rows that make a session big, and the share of rows looked at to find out (1 in PROBE).
+BIG_ROWS = 1_000_000
+PROBE = 1024
+# Most sessions treated apart; any further big ones go the ordinary way, which is exact too.
+MOST_BIG = 10_000
 _SLOT = "_minute"
 
 
-def _slotted(df: DataFrame, at: Column) -> DataFrame:
-    return df.withColumn("_at", at).withColumn(_SLOT, F.floor(F.col("_at") / 60))
+def big_sessions(df: DataFrame, keys: Sequence[str], rows: int | None = None, probe: int | None = None) -> DataFrame:
+    """Keys of the biggest sessions, at most MOST_BIG of them.
+
+    Counted on a fixed pseudo-random part of the rows. The part is chosen by a
+    hash of the row id, so a recomputed task finds the same sessions.
+    """
+    rows, probe = rows or BIG_ROWS, probe or PROBE
+    seen = df.where(F.pmod(F.xxhash64("idRe"), F.lit(probe)) == 0).groupBy(*keys).agg(F.count("*").alias("_n"))
+    big = seen.where(F.col("_n") * probe >= rows)
+    return big.orderBy(F.col("_n").desc(), *keys).limit(MOST_BIG).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+
+
+def _apart(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(ordinary rows, rows of big sessions)"""
+    big = F.broadcast(big_sessions(df, keys))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(big, same, "left_anti"), df.join(big, same, "left_semi").withColumn(_SLOT, F.floor(F.col("_at") / 60))
 
 
 def _joined(entries: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(entries), lambda e: e["t"]), sep)
 
 
+def _text(order: Column, step: Column, sep: str) -> Column:
+    """Known steps in order as one text; empty without any (aggregate)."""
+    return _joined(F.collect_list(F.when(step.isNotNull(), F.struct(order.alias("o"), step.alias("t")))), sep)
+
+
 def sessions(
     df: DataFrame,
     at: Column,
@@ -45,55 +73,60 @@ def sessions(
     known value; ties go by idRe.
     """
     sums, sets, mins, maxs, firsts, lists = (dict(x or {}) for x in (sums, sets, mins, maxs, firsts, lists))
-    rows = _slotted(df, at)
+    collected = [*sets, *lists]
     order = F.struct("_at", "idRe")
-    per_minute = [F.count("*").alias("n")]
-    per_minute += [F.sum(c).alias(k) for k, c in sums.items()] + [F.collect_set(c).alias(k) for k, c in sets.items()]
-    per_minute += [F.min(c).alias(k) for k, c in mins.items()] + [F.max(c).alias(k) for k, c in maxs.items()]
-    per_minute += [F.min(F.when(c.isNotNull(), F.struct(F.col("_at"), F.col("idRe"), c.alias("v")))).alias(k) for k, c in firsts.items()]
-    per_minute += [F.collect_set(c).alias(k) for k, (c, _) in lists.items()]
+
+    partial = [F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]]
+    partial += [F.min(c).alias(k) for k, c in mins.items()] + [F.max(c).alias(k) for k, c in maxs.items()]
+    partial += [F.collect_set(c).alias(k) for k, c in sets.items()] + [F.collect_set(c).alias(k) for k, (c, _) in lists.items()]
+    partial += [F.min(F.when(c.isNotNull(), F.struct(order.alias("o"), c.alias("v")))).alias(k) for k, c in firsts.items()]
+    merge = [F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums], *[F.min(k).alias(k) for k in [*mins, *firsts]], *[F.max(k).alias(k) for k in maxs]]
+    merge += [F.array_distinct(F.flatten(F.collect_list(k))).alias(k) for k in collected]
     if step is not None:
-        entry = F.when(step.isNotNull(), F.struct(order.alias("o"), step.alias("t")))
-        per_minute.append(_joined(F.collect_list(entry), sep).alias("_text"))
-    inner = rows.groupBy(*keys, _SLOT).agg(*per_minute)
-
-    whole = [F.sum("n").alias("n")]
-    whole += [F.sum(k).alias(k) for k in sums] + [F.min(k).alias(k) for k in mins] + [F.max(k).alias(k) for k in maxs]
-    whole += [F.size(F.array_distinct(F.flatten(F.collect_list(k)))).cast("bigint").alias(k) for k in sets]
-    whole += [F.min(k)["v"].alias(k) for k in firsts]
-    for k, (_, list_sep) in lists.items():
-        values = F.array_sort(F.array_distinct(F.flatten(F.collect_list(k))))
-        whole.append(F.when(F.size(values) > 0, F.array_join(values, list_sep)).alias(k))
+        partial.append(_text(order, step, sep).alias("journey"))
+        merge.append(_text(F.col(_SLOT), F.nullif("journey", F.lit("")), sep).alias("journey"))
+
+    rows = df.withColumn("_at", at)
+    if step is None and not collected:
+        grouped = rows.groupBy(*keys).agg(*partial)
+    else:
+        ordinary, big = _apart(rows, keys)
+        grouped = ordinary.groupBy(*keys).agg(*partial).unionByName(big.groupBy(*keys, _SLOT).agg(*partial).groupBy(*keys).agg(*merge))
+
+    final = {k: F.size(k).cast("bigint") for k in sets} | {k: F.col(k)["v"] for k in firsts}
+    final |= {k: F.when(F.size(k) > 0, F.array_join(F.array_sort(k), s)) for k, (_, s) in lists.items()}
     if step is not None:
-        entry = F.when(F.col("_text") != "", F.struct(F.col(_SLOT).alias("o"), F.col("_text").alias("t")))
-        whole.append(F.nullif(_joined(F.collect_list(entry), sep), F.lit("")).alias("journey"))
-    return inner.groupBy(*keys).agg(*whole)
+        final["journey"] = F.nullif("journey", F.lit(""))
+    return grouped.withColumns(final) if final else grouped
+
+
+def _numbered(rows: DataFrame, scope: Sequence[str], held: Column) -> DataFrame:
+    w = Window.partitionBy(*scope).orderBy("_at", "idRe")
+    return rows.withColumns({"paso": F.row_number().over(w).cast("bigint"), "anterior": F.lag(held).over(w)})
 
 
-def steps(df: DataFrame, at: Column, keys: Sequence[str] = SESSION, carry: Sequence[str] = ()) -> DataFrame:
+def steps(df: DataFrame, at: Column, keys: Sequence[str] = SESSION, carry: Sequence[str] = ("idRe",)) -> DataFrame:
     """Rows with `paso` (1-based position), `pasos` (session length) and `anterior` (struct of `carry` of the row before).
 
-    Positions and predecessors are taken inside the minute; across minutes they
-    come from the per-minute counts and last rows. The earliest row has a NULL
-    `anterior`.
+    The earliest row of a session has a NULL `anterior`. In big sessions the
+    position and the row before are taken inside the minute, and across minutes
+    from the per-minute counts and last rows.
     """
-    rows = _slotted(df, at)
-    inside = Window.partitionBy(*keys, _SLOT).orderBy("_at", "idRe")
-    held = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.col("idRe"))
-    numbered = rows.withColumns({"_pos": F.row_number().over(inside), "_prev": F.lag(held).over(inside)})
+    held = F.struct(*[F.col(c) for c in carry])
+    ordinary, big = _apart(df.withColumn("_at", at), keys)
+    whole = Window.partitionBy(*keys)
+    ordinary = _numbered(ordinary, keys, held).withColumn("pasos", F.count("*").over(whole))
 
     order = F.struct("_at", "idRe")
-    minutes = rows.groupBy(*keys, _SLOT).agg(F.count("*").alias("_n"), F.max(F.struct(order.alias("o"), held.alias("h"))).alias("_last"))
-    session = Window.partitionBy(*keys)
-    earlier = session.orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    minutes = big.groupBy(*keys, _SLOT).agg(F.count("*").alias("_n"), F.max(F.struct(order.alias("o"), held.alias("h"))).alias("_last"))
+    by_minute = whole.orderBy(_SLOT)
     minutes = minutes.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_SLOT).alias("_k_slot"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(session).alias("pasos"),
-        F.lag(F.col("_last")["h"]).over(session.orderBy(_SLOT)).alias("_last_before"),
+        F.coalesce(F.sum("_n").over(by_minute.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("pasos"), F.lag(F.col("_last")["h"]).over(by_minute).alias("_last_before"),
     )
-    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(_SLOT) == F.col("_k_slot")]
-    out = numbered.join(minutes, cond).withColumns({
-        "paso": F.col("_before") + F.col("_pos"),
-        "anterior": F.when(F.col("_pos") == 1, F.col("_last_before")).otherwise(F.col("_prev")),
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col(_SLOT) == F.col("_k_slot"))
+    big = _numbered(big, [*keys, _SLOT], held).join(minutes, same).withColumns({
+        "anterior": F.when(F.col("paso") == 1, F.col("_last_before")).otherwise(F.col("anterior")), "paso": F.col("_before") + F.col("paso"),
     })
-    return out.drop(*[f"_k_{k}" for k in keys], "_k_slot", "_before", "_pos", "_prev", "_last_before", "_at", _SLOT)
+    return ordinary.unionByName(big.select(*ordinary.columns)).drop("_at")

@@ -69,6 +69,18 @@ def bounded_list(
     return ranked.groupBy(*keys).agg(joined.alias(name))
 
 
+def leading_list(df: DataFrame, value: str, k: int, sep: str, order: Sequence[Column] | None = None) -> Column:
+    """First `k` rows of the whole frame by `order` (default: the value) as one string, usable as a column.
+
+    The cut is a distributed top-k; only its `k` rows are joined to a text.
+    """
+    order = order or [F.col(value)]
+    w = Window.orderBy(*order)
+    best = df.where(F.col(value).isNotNull()).orderBy(*order).limit(k).withColumn("_rn", F.row_number().over(w))
+    entries = F.collect_list(F.struct("_rn", F.col(value).cast("string").alias("v")))
+    return best.agg(F.array_join(F.transform(F.array_sort(entries), lambda s: s["v"]), sep)).scalar()
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi join whose keys may be NULL; key columns come from the left side."""
     r = right.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])

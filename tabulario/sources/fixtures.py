@@ -21,6 +21,13 @@ LOG_PERIODS = Periods.of(
     ("Q03_24", "2024-01-21", "2024-01-30"),
 )
 
+# Columns read from the driver tables; a given schema spares the job that infers it.
+_TABLES = {
+    "lineitem": "l_partkey bigint, l_returnflag string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_brand string, p_size int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 _SECOND_OF_DAY = "hour(ts) * 3600 + minute(ts) * 60 + cast(second(ts) as int)"
 
 
@@ -31,7 +38,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def ventas(self) -> DataFrame:
