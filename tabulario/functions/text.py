@@ -63,19 +63,33 @@ def _of_day(seconds: Column) -> Column:
     return F.pmod(seconds, F.lit(86400))
 
 
+def vocabulary(col: Column | str) -> Column:
+    """Distinct values of a small vocabulary such as menus, zones or dates (aggregate).
+
+    The values are gathered map-side in a set, one pass for any number of
+    columns; several exact distinct counts would copy every row once per column.
+    For columns without a bound on their values use `count_distinct`.
+    """
+    return F.size(F.collect_set(col)).cast("bigint")
+
+
 def hour_of(seconds: Column) -> Column:
     return F.floor(_of_day(seconds) / 3600).cast("int")
 
 
+def _wall_clock(seconds: Column) -> Column:
+    midnight = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", seconds, midnight).cast("string")
+
+
 def clock(seconds: Column) -> Column:
     """Second of the day as 'HH:mm'."""
-    s = _of_day(seconds)
-    return F.format_string("%02d:%02d", F.floor(s / 3600).cast("int"), F.floor(s % 3600 / 60).cast("int"))
+    return F.substring(_wall_clock(seconds), 12, 5)
 
 
 def clock_full(seconds: Column) -> Column:
     """Second of the day as 'HH:mm:ss'."""
-    return F.concat(clock(seconds), F.format_string(":%02d", (_of_day(seconds) % 60).cast("int")))
+    return F.substring(_wall_clock(seconds), 12, 8)
 
 
 def week_index(date: Column) -> Column:

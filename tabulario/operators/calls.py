@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulario.functions.calls import FAILED_MENUS, inverted, labelled, option_reflected, has_label
 from tabulario.functions.exact import ratio, share
-from tabulario.functions.text import clock_full, filled, is_blank, sorted_set
+from tabulario.functions.text import clock_full, filled, is_blank, sorted_set, vocabulary
 from tabulario.plans.materialise import materialise
 from tabulario.plans.order_stats import order_statistics, percentile_rank
 from tabulario.plans.shape import bounded_list, first_match, join_on, leading_list, matching, rows_of, top_per_key
@@ -36,15 +36,15 @@ def _cut(col: str, chars: int = 100) -> Column:
 
 
 def cardinality(llamadas: DataFrame, approximate: bool = False) -> DataFrame:
-    """Rows and distinct values per quarter; `approximate` trades exact counts for a single small shuffle."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    names = {
+    """Rows and distinct values per quarter; `approximate` estimates the open-ended columns in one small shuffle."""
+    open_ended = {
         "ids_unicos": "idRe", "numeros_entrada_unicos": "numero_entrada", "numeros_digitado_unicos": "numero_digitado",
-        "menus_diferentes": "menu", "opciones_diferentes": "opcion", "destinos_transferencia_unicos": "id_CTransferencia",
-        "zonas_geograficas": "id_8T", "divisiones": "division", "areas": "area", "claves_cIdentifica": "cIdentifica",
+        "destinos_transferencia_unicos": "id_CTransferencia", "claves_cIdentifica": "cIdentifica",
     }
+    small = {"menus_diferentes": "menu", "opciones_diferentes": "opcion", "zonas_geograficas": "id_8T", "divisiones": "division", "areas": "area"}
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     return llamadas.groupBy(F.col("trimestre").alias("tabla")).agg(
-        F.count("*").alias("total_registros"), *[distinct(c).alias(a) for a, c in names.items()],
+        F.count("*").alias("total_registros"), *[distinct(c).alias(a) for a, c in open_ended.items()], *[vocabulary(c).alias(a) for a, c in small.items()],
         F.min("fecha").alias("fecha_minima"), F.max("fecha").alias("fecha_maxima"),
     )
 
@@ -94,19 +94,19 @@ def value_domains(llamadas: DataFrame, limit: int = 20) -> DataFrame:
 
 def division_areas(llamadas: DataFrame) -> DataFrame:
     return llamadas.where(F.col("division").isNotNull() & F.col("area").isNotNull()).groupBy("division").agg(
-        F.count_distinct("area").alias("areas_por_division"), sorted_set(F.col("area"), ",").alias("areas_listado"))
+        vocabulary("area").alias("areas_por_division"), sorted_set(F.col("area"), ",").alias("areas_listado"))
 
 
 def menu_options(llamadas: DataFrame, limit: int = 15) -> DataFrame:
     per_menu = llamadas.where(F.col("menu").isNotNull()).groupBy("menu").agg(
-        F.count_distinct("opcion").alias("opciones_por_menu"), F.count("*").alias("total_usos"),
+        vocabulary("opcion").alias("opciones_por_menu"), F.count("*").alias("total_usos"),
         sorted_set(F.col("opcion"), ",").alias("opciones_disponibles"))
     return per_menu.orderBy(F.col("total_usos").desc(), "menu").limit(limit)
 
 
 def zone_locations(llamadas: DataFrame) -> DataFrame:
     return llamadas.where(F.col("id_8T").isNotNull() & F.col("division").isNotNull()).groupBy("id_8T").agg(
-        F.count_distinct("division").alias("divisiones_por_zona"), F.count_distinct("area").alias("areas_por_zona"),
+        vocabulary("division").alias("divisiones_por_zona"), vocabulary("area").alias("areas_por_zona"),
         sorted_set(F.concat("division", F.lit("-"), "area"), ",").alias("ubicaciones"))
 
 
@@ -147,7 +147,7 @@ def daily_distribution(llamadas: DataFrame) -> DataFrame:
     return llamadas.groupBy("fecha").agg(
         F.count("*").alias("registros_por_dia"), F.count_distinct("numero_entrada").alias("usuarios_unicos_dia"),
         F.min("hora_inicio_seg").alias("primera_hora"), F.max("hora_fin_seg").alias("ultima_hora"),
-        F.count_distinct("menu").alias("menus_activos_dia"))
+        vocabulary("menu").alias("menus_activos_dia"))
 
 
 def time_inconsistencies(crudas: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def user_outliers(llamadas: DataFrame, mode: str = "position") -> DataFrame:
     """
     # One row per caller, read by every round of the percentile search.
     users = materialise(llamadas.where(F.col("numero_entrada").isNotNull()).groupBy("numero_entrada").agg(
-        F.count("*").alias("v"), F.count_distinct("id_8T").alias("z"), F.count_distinct("menu").alias("m")))
+        F.count("*").alias("v"), vocabulary("id_8T").alias("z"), vocabulary("menu").alias("m")))
     # Metric label and the tenths of P95 a caller has to exceed.
     metrics = [("usuarios_outliers_volumen", "v", 20), ("usuarios_outliers_geograficos", "z", 15), ("usuarios_outliers_diversidad", "m", 15)]
     long = rows_of(users, ["tipo_outlier", "valor", "factor"], [(name, F.col(c), f) for name, c, f in metrics], keep=["numero_entrada"])
@@ -404,7 +404,7 @@ def number_bounds(llamadas: DataFrame) -> DataFrame:
     return llamadas.agg(
         F.min("numero_entrada").alias("min_numero_entrada"), F.max("numero_entrada").alias("max_numero_entrada"),
         F.min("numero_digitado").alias("min_numero_digitado"), F.max("numero_digitado").alias("max_numero_digitado"),
-        F.count_distinct("menu").alias("menus_distintos"), F.count_distinct("opcion").alias("opciones_distintas"))
+        vocabulary("menu").alias("menus_distintos"), vocabulary("opcion").alias("opciones_distintas"))
 
 
 def quarter_quality(llamadas: DataFrame) -> DataFrame:

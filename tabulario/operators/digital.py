@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabulario.functions.calls import raw_seconds
 from tabulario.functions.exact import cents, deviation, mean, mean_of_rounded, ratio
-from tabulario.functions.text import whole_minutes
+from tabulario.functions.text import vocabulary, whole_minutes
 from tabulario.plans.official import journey_table, official, session_table, success_days, with_week
 from tabulario.plans.sessions import SESSION
 from tabulario.plans.shape import first_match, over_all
@@ -45,7 +45,7 @@ def _menu_days(llamadas: DataFrame) -> DataFrame:
     groups = official(llamadas).groupBy(*SESSION, "menu").agg(
         F.count("*").alias("n"), whole_minutes(F.max("hora_fin_seg") - F.min("hora_inicio_seg")).alias("mins"))
     return groups.groupBy("numero_entrada").agg(
-        F.avg("n").alias("n"), F.avg("mins").alias("mins"), F.count_distinct("menu").alias("m"), F.count_distinct("fecha").alias("d"))
+        F.avg("n").alias("n"), F.avg("mins").alias("mins"), vocabulary("menu").alias("m"), vocabulary("fecha").alias("d"))
 
 
 def segment_journeys(llamadas: DataFrame, min_sessions: int = 2) -> DataFrame:

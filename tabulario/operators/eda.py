@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulario.functions.exact import cents, deviation, mean, mean_of_rounded, ratio, share, variance
-from tabulario.functions.text import day_name, stamp
+from tabulario.functions.text import day_name, stamp, vocabulary
 from tabulario.plans.order_stats import ntile_start, order_statistics, percentile_rank
 from tabulario.plans.shape import first_match, rows_of, top_per_key
 from tabulario.sources.periods import Periods
@@ -628,7 +628,7 @@ def user_profile(productos: DataFrame, ids: Sequence[int] | None = None) -> Data
     prods, cats = F.col("productos_diferentes"), F.col("categorias_diferentes")
     return _rows(productos, ids).where(_seconds().isNotNull()).groupBy("trimestre", "cIDT").agg(
         F.count("*").alias("total_actividad"), F.count_distinct("cProducto").alias("productos_diferentes"),
-        F.count_distinct("cCategoria").alias("categorias_diferentes"), F.count_distinct(_day()).alias("dias_activos"),
+        F.count_distinct("cCategoria").alias("categorias_diferentes"), vocabulary(_day()).alias("dias_activos"),
         mean(F.col("cSeleccion")).alias("tasa_seleccion"), mean(F.col("cIOT")).alias("tasa_iot"),
         mean(_seconds(), 0).alias("duracion_promedio_seg"), F.min(_day()).alias("_a"), F.max(_day()).alias("_b"),
     ).withColumns({

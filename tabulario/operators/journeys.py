@@ -9,7 +9,7 @@ from tabulario.functions.calls import (
     different, end, equal, failed, has_label, hour, inverted, labelled, location, menu_option, raw_seconds, redirected, seconds, start, unlabelled,
 )
 from tabulario.functions.exact import deviation, mean, mean_of_rounded, mean_share, ratio, share
-from tabulario.functions.text import clock, clock_full, day_name, filled, hour_of, is_blank, sorted_set
+from tabulario.functions.text import clock, clock_full, day_name, filled, hour_of, is_blank, sorted_set, vocabulary
 from tabulario.operators.labels import _commercial, _n, _res, _users
 from tabulario.plans.materialise import materialise
 from tabulario.plans.sessions import SESSION, sessions, steps
@@ -135,7 +135,7 @@ def _avg_secs() -> Column:
 def user_patterns(llamadas: DataFrame) -> DataFrame:
     n, bad, serv, moves = (F.col(c) for c in ("total_interacciones", "interacciones_fallidas", "interacciones_servicio", "transferencias_realizadas"))
     users = llamadas.groupBy("numero_entrada").agg(
-        F.count("*").alias("total_interacciones"), F.count_distinct("fecha").alias("dias_activos"), _n(failed(), "interacciones_fallidas"),
+        F.count("*").alias("total_interacciones"), vocabulary("fecha").alias("dias_activos"), _n(failed(), "interacciones_fallidas"),
         _n(_res(), "interacciones_servicio"), _n(_commercial(), "_com"), _n(F.col("menu") == "SDO", "_sdo"),
         (F.count_distinct("numero_digitado") - 1).alias("transferencias_realizadas"), mean(raw_seconds()).alias("duracion_promedio_seg"))
     return users.withColumn("patron_comportamiento", first_match([
@@ -147,7 +147,7 @@ def user_patterns(llamadas: DataFrame) -> DataFrame:
 def user_types(llamadas: DataFrame) -> DataFrame:
     n, days, bad, kinds = F.col("n"), F.col("days"), F.col("bad"), F.col("kinds")
     users = _known(llamadas).groupBy("numero_entrada").agg(
-        F.count("*").alias("n"), F.count_distinct("fecha").alias("days"), F.count_distinct("menu").alias("kinds"), _n(_res(), "serv"), _n(_commercial(), "com"),
+        F.count("*").alias("n"), vocabulary("fecha").alias("days"), vocabulary("menu").alias("kinds"), _n(_res(), "serv"), _n(_commercial(), "com"),
         _n(failed(), "bad"), _n(F.col("menu") == "SDO", "sdo")).withColumn("per_day", ratio(n, days, 2, 1))
     label = first_match([
         (F.col("per_day") >= 10, "USUARIO_INTENSIVO"), (F.col("com") > 0, "USUARIO_COMERCIAL"), (F.col("serv") > bad, "USUARIO_SERVICIOS"),
@@ -162,9 +162,9 @@ def anomalous_users(llamadas: DataFrame, volume: int = 20) -> DataFrame:
     """Callers beyond one of four limits, with the kind of anomaly."""
     n, days, menus, zones, divs, avg = (F.col(c) for c in ("total_interacciones", "dias_activos", "menus_diferentes", "zonas_geograficas", "divisiones_diferentes", "_avg"))
     users = llamadas.groupBy("numero_entrada").agg(
-        F.count("*").alias("total_interacciones"), F.count_distinct("fecha").alias("dias_activos"), F.count_distinct("menu").alias("menus_diferentes"),
+        F.count("*").alias("total_interacciones"), vocabulary("fecha").alias("dias_activos"), vocabulary("menu").alias("menus_diferentes"),
         F.count_distinct("numero_digitado").alias("numeros_destino"), sorted_set(F.col("menu"), ",").alias("menus_usados"),
-        F.count_distinct("id_8T").alias("zonas_geograficas"), F.count_distinct("division").alias("divisiones_diferentes"), _avg_secs().alias("_avg"),
+        vocabulary("id_8T").alias("zonas_geograficas"), vocabulary("division").alias("divisiones_diferentes"), _avg_secs().alias("_avg"),
         mean(raw_seconds()).alias("duracion_promedio_seg"), F.min("fecha").alias("primera_fecha"), F.max("fecha").alias("ultima_fecha"))
     odd = users.where((n > days * volume) | ((menus == 1) & (n > 10)) | (avg < 5) | (zones > 3))
     return odd.withColumns({
@@ -184,7 +184,7 @@ def _with_sample(users: DataFrame, key: str, found: DataFrame, sample: int, name
 def behaviour_clusters(llamadas: DataFrame, sample: int = 3) -> DataFrame:
     n, days, key = F.col("n"), F.col("days"), "cluster_comportamiento"
     users = llamadas.groupBy("numero_entrada").agg(
-        F.count("*").alias("n"), F.count_distinct("fecha").alias("days"), _n(_res(), "serv"), _n(failed(), "bad"), _n(_commercial(), "com"),
+        F.count("*").alias("n"), vocabulary("fecha").alias("days"), _n(_res(), "serv"), _n(failed(), "bad"), _n(_commercial(), "com"),
         _n(different(), "moved"), F.round(_avg_secs(), 4).alias("avg"))
     users = users.withColumn(key, first_match([
         (n == 1, "SINGLE_TOUCH"), (F.col("com") * 100 > n * 50, "COMERCIAL_ORIENTED"), (F.col("serv") * 100 > n * 60, "SERVICE_ORIENTED"),
@@ -202,11 +202,11 @@ def five_profiles(llamadas: DataFrame, min_rows: int = 2) -> DataFrame:
     c = F.col
     n, vsi = c("total_interacciones"), c("vsi")
     users = _known(llamadas).groupBy("numero_entrada").agg(
-        F.count("*").alias("total_interacciones"), F.count_distinct("fecha").alias("dias_activos"), F.count_distinct("menu").alias("diversidad_menus"),
+        F.count("*").alias("total_interacciones"), vocabulary("fecha").alias("dias_activos"), vocabulary("menu").alias("diversidad_menus"),
         _n(_res(), "serv"), _n(_commercial(), "com"), _n(c("menu") == "SDO", "sdo"), _n(failed(), "bad"), _n(c("menu").like("Desborde_%"), "over"),
         _n(has_label("VSI"), "vsi"), _n(has_label("NOBOT"), "human"), _n(has_label("NoTmx_SOMC"), "error"), _n(unlabelled(), "empty"),
-        F.count_distinct("id_CTransferencia").alias("destinos_redireccion"), F.count_distinct("id_8T").alias("zonas_geograficas"),
-        F.count_distinct("division").alias("divs"), F.count_distinct("area").alias("areas"),
+        F.count_distinct("id_CTransferencia").alias("destinos_redireccion"), vocabulary("id_8T").alias("zonas_geograficas"),
+        vocabulary("division").alias("divs"), vocabulary("area").alias("areas"),
     ).where(n >= min_rows).withColumn("intensidad_diaria", ratio(n, c("dias_activos"), 2, 1))
     i, d, z = c("intensidad_diaria"), c("diversidad_menus"), c("zonas_geograficas")
     return users.select(
@@ -234,7 +234,7 @@ def score_clusters(llamadas: DataFrame, min_rows: int = 2, sample: int = 5) -> D
     c, key = F.col, "cluster_comportamiento"
     n, vsi = c("n"), c("vsi")
     users = _known(llamadas).groupBy("numero_entrada").agg(
-        F.count("*").alias("n"), F.count_distinct("menu").alias("menus"), _n(has_label("VSI"), "vsi"), _n(_commercial(), "com"), _n(_res(), "serv"),
+        F.count("*").alias("n"), vocabulary("menu").alias("menus"), _n(has_label("VSI"), "vsi"), _n(_commercial(), "com"), _n(_res(), "serv"),
         _n(c("menu") == "SDO", "sdo")).where(n >= min_rows).withColumns({
         "vol": _stepped(n, (2, 5, 10, 20)),
         "div": first_match([(c("menus") == 1, 1), (c("menus") <= 3, 3), (c("menus") <= 5, 5), (c("menus") <= 8, 7)], 9),
@@ -288,7 +288,7 @@ def user_evolution(llamadas: DataFrame, min_sessions: int = 3) -> DataFrame:
 
 def intensity_segments(llamadas: DataFrame) -> DataFrame:
     n = F.col("n")
-    users = llamadas.groupBy("numero_entrada").agg(F.count("*").alias("n"), F.count_distinct("menu").alias("menus"), (_avg_secs() / 60).alias("mins"))
+    users = llamadas.groupBy("numero_entrada").agg(F.count("*").alias("n"), vocabulary("menu").alias("menus"), (_avg_secs() / 60).alias("mins"))
     label = first_match([(n == 1, "1_SINGLE_TOUCH"), (n <= 5, "2-5_MODERATE"), (n <= 10, "6-10_ACTIVE")], "11+_POWER_USER")
     return users.groupBy(label.alias("segmento_usuario")).agg(
         F.count("numero_entrada").alias("cantidad_usuarios"), mean(n, 4).alias("promedio_interacciones"), mean(F.col("menus"), 4).alias("promedio_menus"),
@@ -298,8 +298,8 @@ def intensity_segments(llamadas: DataFrame) -> DataFrame:
 def number_behaviour(llamadas: DataFrame) -> DataFrame:
     n, days, avg = F.col("total_interacciones"), F.col("dias_activos"), F.col("_avg")
     return llamadas.groupBy("numero_entrada", "numero_digitado").agg(
-        F.count("*").alias("total_interacciones"), F.count_distinct("fecha").alias("dias_activos"), F.count_distinct("menu").alias("menus_diferentes"),
-        F.count_distinct("opcion").alias("opciones_diferentes"), ratio(F.count("*"), F.count_distinct("fecha"), 2, 1).alias("interacciones_por_dia"),
+        F.count("*").alias("total_interacciones"), vocabulary("fecha").alias("dias_activos"), vocabulary("menu").alias("menus_diferentes"),
+        vocabulary("opcion").alias("opciones_diferentes"), ratio(F.count("*"), vocabulary("fecha"), 2, 1).alias("interacciones_por_dia"),
         F.min("fecha").alias("primera_aparicion"), F.max("fecha").alias("ultima_aparicion"), mean(seconds()).alias("duracion_promedio_seg"), F.avg(seconds()).alias("_avg"),
     ).withColumn("patron_comportamiento", first_match([
         (n > days * 20, "ALTO_VOLUMEN"), ((F.col("menus_diferentes") == 1) & (n > 10), "MENU_UNICO"), (avg < 5, "DURACION_MUY_CORTA"),
@@ -342,21 +342,21 @@ def daily_hourly_activity(llamadas: DataFrame) -> DataFrame:
 
 
 def _per_user_day() -> Column:
-    return ratio(F.count("*"), F.count_distinct("numero_entrada") * F.count_distinct("fecha"), 2, 1)
+    return ratio(F.count("*"), F.count_distinct("numero_entrada") * vocabulary("fecha"), 2, 1)
 
 
 def zone_behaviour(llamadas: DataFrame) -> DataFrame:
     return llamadas.groupBy(F.col("id_8T").alias("zona_geografica")).agg(
-        F.count("*").alias("total_interacciones"), _users("usuarios_unicos_zona"), F.count_distinct("fecha").alias("dias_activos"),
+        F.count("*").alias("total_interacciones"), _users("usuarios_unicos_zona"), vocabulary("fecha").alias("dias_activos"),
         _per_user_day().alias("promedio_interacciones_usuario_dia"), share(equal(), 1).alias("porcentaje_numeros_iguales"),
-        F.count_distinct(menu_option()).alias("combinaciones_menu_opcion"), sorted_set(F.col("menu"), ",").alias("menus_disponibles"))
+        vocabulary(menu_option()).alias("combinaciones_menu_opcion"), sorted_set(F.col("menu"), ",").alias("menus_disponibles"))
 
 
 def zone_division_area(llamadas: DataFrame, sample: int = 3) -> DataFrame:
     keys = ["zona_geografica", "division", "area"]
     rows = llamadas.where(F.col("id_8T").isNotNull()).withColumnRenamed("id_8T", "zona_geografica")
     found = rows.groupBy(*keys).agg(
-        F.count("*").alias("total_interacciones"), _users(), F.count_distinct("fecha").alias("dias_activos"),
+        F.count("*").alias("total_interacciones"), _users(), vocabulary("fecha").alias("dias_activos"),
         _per_user_day().alias("promedio_interacciones_usuario_dia"), share(equal(), 1).alias("pct_numeros_iguales"),
         share(inverted(), 1).alias("pct_timestamps_invertidos"))
     return join_on(found, bounded_list(rows, keys, "menu", sample, ",", "menus_principales"), keys)
@@ -364,11 +364,11 @@ def zone_division_area(llamadas: DataFrame, sample: int = 3) -> DataFrame:
 
 def zone_totals(llamadas: DataFrame, periods: Periods) -> DataFrame:
     return periods.tag(llamadas.drop("trimestre"), "fecha").groupBy(F.col("id_8T").alias("zona")).agg(
-        F.count("*").alias("total_interacciones"), _users(), F.count_distinct("fecha").alias("dias_activos"), _per_user_day().alias("promedio_bruto_diario"),
+        F.count("*").alias("total_interacciones"), _users(), vocabulary("fecha").alias("dias_activos"), _per_user_day().alias("promedio_bruto_diario"),
         _n(equal(), "oficiales"), _n(different(), "derivadas"), share(equal(), 1).alias("pct_oficiales"))
 
 
 def division_area(llamadas: DataFrame) -> DataFrame:
     return llamadas.where(F.col("division").isNotNull() & F.col("area").isNotNull()).groupBy("division", "area").agg(
         F.count("*").alias("total_interacciones"), _users(), F.count("*").cast("double").alias("promedio_por_area"), _n(equal(), "numeros_iguales"),
-        _n(different(), "numeros_diferentes"), F.count_distinct(menu_option()).alias("diversidad_navegacion"), F.count_distinct("id_8T").alias("zonas_geograficas"))
+        _n(different(), "numeros_diferentes"), vocabulary(menu_option()).alias("diversidad_navegacion"), vocabulary("id_8T").alias("zonas_geograficas"))

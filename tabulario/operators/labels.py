@@ -13,7 +13,7 @@ from tabulario.functions.calls import (
 )
 from tabulario.functions.exact import mean, mean_share, ratio, share
 from tabulario.functions.labels import clean_list, comma_count, entries
-from tabulario.functions.text import filled, is_blank, sorted_set
+from tabulario.functions.text import filled, is_blank, sorted_set, vocabulary
 from tabulario.operators.calls import GENERIC_OPTIONS
 from tabulario.plans.shape import bounded_list, first_match, join_on, matching, only, ranked, top_per_key
 
@@ -91,7 +91,7 @@ def menu_usage(llamadas: DataFrame, limit: int = 15) -> DataFrame:
     total = llamadas.agg(F.count("*")).scalar()
     per_menu = llamadas.where(F.col("menu").isNotNull()).groupBy("menu").agg(
         F.count("*").alias("total_usos"), _users(), ratio(F.count("*"), F.count_distinct("numero_entrada"), 2, 1).alias("promedio_por_usuario"),
-        F.count_distinct("fecha").alias("dias_activos"))
+        vocabulary("fecha").alias("dias_activos"))
     return _top(per_menu, "total_usos", ["menu"], limit).withColumn("porcentaje_total", ratio(F.col("total_usos"), total))
 
 
@@ -102,7 +102,7 @@ def menu_abandonment(llamadas: DataFrame, min_rows: int = 10) -> DataFrame:
 
 def option_usage(llamadas: DataFrame, sample: int = 10) -> DataFrame:
     rows = llamadas.where(filled(F.col("opcion")))
-    used = rows.groupBy("opcion").agg(F.count("*").alias("frecuencia"), F.count_distinct("menu").alias("menus_diferentes"))
+    used = rows.groupBy("opcion").agg(F.count("*").alias("frecuencia"), vocabulary("menu").alias("menus_diferentes"))
     return used.join(bounded_list(rows, ["opcion"], "menu", sample, ",", "menus_asociados"), "opcion", "left")
 
 
@@ -201,7 +201,7 @@ def pattern_evolution(llamadas: DataFrame) -> DataFrame:
     combo = F.concat("menu", F.lit("|"), F.coalesce("opcion", F.lit("NULL")))
     res_vsi = _res() & has_label("VSI")
     return llamadas.where(F.col("menu").isNotNull()).groupBy("trimestre").agg(
-        F.count_distinct(combo).alias("combinaciones_menu_opcion"), F.count_distinct("etiquetas").alias("patrones_etiquetas_unicos"),
+        vocabulary(combo).alias("combinaciones_menu_opcion"), F.count_distinct("etiquetas").alias("patrones_etiquetas_unicos"),
         _n(res_vsi, "res_con_vsi"), _n(_res(), "total_res"), ratio(F.count_if(res_vsi), F.count_if(_res())).alias("consistencia_res_vsi"),
         F.count_distinct(F.concat("menu", F.lit(":"), "etiquetas")).alias("patrones_completos"))
 
@@ -252,7 +252,7 @@ def option_types(llamadas: DataFrame) -> DataFrame:
         (is_blank(o), "OPCION_FALTANTE"), (o == "DEFAULT", "DEFAULT"), (o.isin("1", "2", "5", "11", "21"), "OPCION_NUMERICA"),
         (o.isin("2L", "1L", "ML"), "TIPO_LINEA"), (F.octet_length(o) > 5, "OPCION_COMPLEJA")], "OPCION_ESPECIFICA")
     return llamadas.groupBy(label.alias("tipo_opcion")).agg(
-        F.count("*").alias("frecuencia"), F.count_distinct("menu").alias("menus_asociados"), _n(labelled(), "con_resultado"),
+        F.count("*").alias("frecuencia"), vocabulary("menu").alias("menus_asociados"), _n(labelled(), "con_resultado"),
         share(labelled()).alias("tasa_efectividad"), F.left(sorted_set(o), F.lit(100)).alias("valores_opcion_reales"))
 
 
@@ -372,7 +372,7 @@ def service_levels(llamadas: DataFrame, sample: int = 5) -> DataFrame:
     served = F.coalesce(~F.col("menu").isin(*FAILED_MENUS), F.lit(False))
     found = rows.groupBy(key).agg(
         F.count("*").alias("total_casos"), _users(), _n(served, "interacciones_exitosas"), share(served, 1).alias("tasa_exito_pct"),
-        mean(raw_seconds()).alias("duracion_promedio_seg"), F.count_distinct("id_8T").alias("zonas_geograficas"), F.count_distinct("division").alias("divisiones_activas"))
+        mean(raw_seconds()).alias("duracion_promedio_seg"), vocabulary("id_8T").alias("zonas_geograficas"), vocabulary("division").alias("divisiones_activas"))
     return found.join(bounded_list(rows, [key], "menu", sample, ",", "menus_por_nivel"), key, "left")
 
 
@@ -455,7 +455,7 @@ def option_label_dependency(llamadas: DataFrame, min_pattern: int = 2, min_rows:
 def label_combinations(llamadas: DataFrame) -> DataFrame:
     return llamadas.where(labelled()).groupBy("etiquetas").agg(
         F.count("*").alias("frecuencia"), _users("numeros_entrada_unicos"), F.count_distinct("numero_digitado").alias("numeros_digitado_unicos"),
-        _n(equal(), "iguales"), _n(different(), "diferentes"), F.count_distinct(menu_option()).alias("combinaciones_menu_opcion"))
+        _n(equal(), "iguales"), _n(different(), "diferentes"), vocabulary(menu_option()).alias("combinaciones_menu_opcion"))
 
 
 def navigation_by_relation(llamadas: DataFrame, limit: int = 20, sample: int = 10) -> DataFrame:
@@ -470,14 +470,14 @@ def navigation_by_relation(llamadas: DataFrame, limit: int = 20, sample: int = 1
 def combination_usage(llamadas: DataFrame) -> DataFrame:
     return llamadas.groupBy(*KEY).agg(
         F.count("*").alias("frecuencia_total"), _users(), mean(raw_seconds()).alias("duracion_promedio_seg"), _n(equal(), "con_numeros_iguales"),
-        _n(different(), "con_numeros_diferentes"), F.count_distinct("id_8T").alias("zonas_geograficas_activas"), F.count_distinct("fecha").alias("dias_activos"))
+        _n(different(), "con_numeros_diferentes"), vocabulary("id_8T").alias("zonas_geograficas_activas"), vocabulary("fecha").alias("dias_activos"))
 
 
 def combination_usage_repaired(llamadas: DataFrame, limit: int = 20, sample: int = 3) -> DataFrame:
     rows = llamadas.where(F.col("menu").isNotNull())
     found = rows.groupBy(*KEY).agg(
         F.count("*").alias("frecuencia_uso"), _users(), share(equal(), 1).alias("pct_numeros_iguales"), mean(seconds()).alias("duracion_promedio_seg"),
-        F.count_distinct("id_8T").alias("zonas_geograficas"))
+        vocabulary("id_8T").alias("zonas_geograficas"))
     return join_on(_top(found, "frecuencia_uso", KEY, limit), bounded_list(rows, KEY, "division", sample, ",", "divisiones_principales"), KEY)
 
 
@@ -497,5 +497,5 @@ def menu_efficiency_by_destination(llamadas: DataFrame, sample: int = 3) -> Data
     found = rows.groupBy(*KEY).agg(
         F.count("*").alias("total_usos"), _users(), _n(_validated(), "interacciones_exitosas"), _n(failed(), "interacciones_fallidas"),
         share(_validated()).alias("tasa_exito_pct"), F.count_distinct("numero_digitado").alias("destinos_diferentes"), _n(different(), "transferencias"),
-        mean(raw_seconds()).alias("duracion_promedio_seg"), F.count_distinct("division").alias("divisiones_activas"))
+        mean(raw_seconds()).alias("duracion_promedio_seg"), vocabulary("division").alias("divisiones_activas"))
     return join_on(found, bounded_list(rows, KEY, "division", sample, ",", "principales_divisiones"), KEY)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulario.functions.calls import hour, raw_seconds
 from tabulario.functions.exact import deviation, mean, mean_of_rounded, ratio
-from tabulario.functions.text import day_name
+from tabulario.functions.text import day_name, vocabulary
 from tabulario.operators.eda import DIAS
 from tabulario.plans.official import official, success_days
 from tabulario.plans.sessions import SESSION
@@ -58,7 +58,7 @@ def _zone_totals(llamadas: DataFrame) -> DataFrame:
 def zone_efficiency(llamadas: DataFrame) -> DataFrame:
     c, n = F.col, F.col("n")
     spread = _zoned(llamadas).groupBy("zona").agg(
-        F.count_distinct("numero_entrada").alias("u"), F.count_distinct("fecha").alias("d"), F.count_distinct("fecha", "hora").alias("h"))
+        F.count_distinct("numero_entrada").alias("u"), vocabulary("fecha").alias("d"), F.count_distinct("fecha", "hora").alias("h"))
     t = _zone_totals(llamadas).join(spread, "zona")  # one row per zone
     secs, depth = c("seg") / n, c("nn") / n
     score = (100 - F.least(F.lit(100.0), secs)) * 0.3 + F.least(F.lit(100.0), c("won") * 100.0 / n) * 0.4 + (100 - F.least(F.lit(100.0), depth * 10)) * 0.3
@@ -98,8 +98,8 @@ def load_distribution(llamadas: DataFrame) -> DataFrame:
     c = F.col
     n, days, hours = c("total_operaciones"), c("d"), c("horas_operativas_diferentes")
     z = _zoned(llamadas).groupBy("zona").agg(
-        F.count("*").alias("total_operaciones"), F.count_distinct("numero_entrada").alias("usuarios_unicos"), F.count_distinct("fecha").alias("d"),
-        F.min("hora").alias("a"), F.max("hora").alias("b"), F.count_distinct("hora").alias("horas_operativas_diferentes"), F.avg("seg").alias("s"),
+        F.count("*").alias("total_operaciones"), F.count_distinct("numero_entrada").alias("usuarios_unicos"), vocabulary("fecha").alias("d"),
+        F.min("hora").alias("a"), F.max("hora").alias("b"), vocabulary("hora").alias("horas_operativas_diferentes"), F.avg("seg").alias("s"),
         mean(c("seg"), 1).alias("tiempo_promedio_seg"))
     z = z.select(
         "zona", "total_operaciones", "usuarios_unicos", ratio(n, days, 4, 1).alias("operaciones_promedio_dia"),

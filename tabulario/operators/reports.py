@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulario.functions.calls import different, end, failed, has_label, inverted, kind, menu_option, raw_seconds, start
 from tabulario.functions.exact import deviation, mean, mean_of_rounded, ratio, share
-from tabulario.functions.text import month_name, sorted_set, week_from_monday
+from tabulario.functions.text import month_name, sorted_set, vocabulary, week_from_monday
 from tabulario.plans.sessions import sessions
 from tabulario.plans.shape import join_on
 from tabulario.sources.periods import Periods
@@ -21,8 +21,8 @@ def daily_average(llamadas: DataFrame) -> DataFrame:
     return llamadas.where(F.col("numero_entrada").isNotNull()).groupBy("fecha").agg(
         F.count_distinct("numero_entrada").alias("usuarios_activos"), F.count("*").alias("total_interacciones"),
         _per_user().alias("promedio_interacciones_por_usuario"), F.min("hora_inicio_seg").alias("primera_interaccion_dia"),
-        F.max("hora_fin_seg").alias("ultima_interaccion_dia"), F.count_distinct("menu").alias("menus_utilizados"),
-        F.count_distinct("id_8T").alias("zonas_activas"))
+        F.max("hora_fin_seg").alias("ultima_interaccion_dia"), vocabulary("menu").alias("menus_utilizados"),
+        vocabulary("id_8T").alias("zonas_activas"))
 
 
 def daily_average_filtered(llamadas: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def daily_average_filtered(llamadas: DataFrame) -> DataFrame:
 
 
 def _period_average(llamadas: DataFrame, keys: list[Column], unit: str) -> DataFrame:
-    users, days = F.count_distinct("numero_entrada"), F.count_distinct("fecha")
+    users, days = F.count_distinct("numero_entrada"), vocabulary("fecha")
     return llamadas.where(F.col("numero_entrada").isNotNull()).groupBy(*keys).agg(
         days.alias("dias_con_datos"), users.alias(f"usuarios_unicos_{unit}"), F.count("*").alias(f"total_interacciones_{unit}"),
         _per_user().alias(f"promedio_interacciones_usuario_{unit}"), ratio(F.count("*"), users * days, 2, 1).alias(f"promedio_diario_en_{unit}"),
@@ -57,7 +57,7 @@ def monthly_average(llamadas: DataFrame) -> DataFrame:
 def annual_average(llamadas: DataFrame) -> DataFrame:
     month = F.month("fecha")
     return llamadas.where(F.col("numero_entrada").isNotNull()).groupBy(F.year("fecha").alias("año")).agg(
-        F.count_distinct("fecha").alias("dias_con_datos"), F.count_distinct("numero_entrada").alias("usuarios_unicos_año"),
+        vocabulary("fecha").alias("dias_con_datos"), F.count_distinct("numero_entrada").alias("usuarios_unicos_año"),
         F.count("*").alias("total_interacciones_año"), _per_user().alias("promedio_interacciones_usuario_año"),
         *[F.count_if(month.between(3 * q - 2, 3 * q)).alias(f"interacciones_Q{q}") for q in range(1, 5)])
 
@@ -106,7 +106,7 @@ def daily_report(llamadas: DataFrame, periods: Periods) -> DataFrame:
 
 def _roll_up(daily: DataFrame, keys: list, average: str, total: str) -> DataFrame:
     return daily.groupBy(*keys).agg(
-        F.count_distinct("fecha").alias("dias_con_datos"), mean_of_rounded(F.col("promedio_interacciones_por_usuario")).alias(average),
+        vocabulary("fecha").alias("dias_con_datos"), mean_of_rounded(F.col("promedio_interacciones_por_usuario")).alias(average),
         mean(F.col("usuarios_activos"), 0).alias("usuarios_promedio_dia"), F.sum("interacciones_totales").alias(total),
         sorted_set(F.col("trimestre"), ",").alias("_q"))
 
@@ -152,7 +152,7 @@ def official_beside_derived(llamadas: DataFrame, periods: Periods) -> DataFrame:
 def quarter_context(llamadas: DataFrame, periods: Periods) -> DataFrame:
     counts = periods.tag(llamadas.drop("trimestre"), "fecha").groupBy("trimestre").agg(
         F.count("*").alias("total_registros"), F.count_distinct("numero_entrada").alias("usuarios_unicos"),
-        F.count_distinct("fecha").alias("dias_con_datos"), F.count_distinct("id_8T").alias("zonas_activas"),
+        vocabulary("fecha").alias("dias_con_datos"), vocabulary("id_8T").alias("zonas_activas"),
         F.count_if(inverted()).alias("timestamps_invertidos"), F.count_if(different()).alias("llamadas_derivadas"),
         share(inverted()).alias("pct_timestamps_mal"), share(different()).alias("pct_derivadas"))
     zeros = ["total_registros", "usuarios_unicos", "dias_con_datos", "zonas_activas", "timestamps_invertidos", "llamadas_derivadas"]

@@ -113,10 +113,9 @@ class Tables:
     def llamadas_crudas(self) -> DataFrame:
         """Text form of the log with broken dates, odd numbers, repeated ids and rows in a wrong table."""
         day = F.expr("date_sub(cast(ts as date), case when k = 22 then 10 else 0 end)")
-        fin = f"pmod({_SECOND_OF_DAY} + (case when k % 9 = 0 then -1 else 1 end) * cast(floor(value) as int), 86400)"
         texts = self._events.withColumns({
             "trimestre": F.coalesce(LOG_PERIODS.label_of(day), F.lit(LOG_PERIODS[0].trimestre)),
-            "ini": F.expr(_SECOND_OF_DAY), "fin": F.expr(fin),
+            "fin": F.expr("timestampadd(SECOND, (case when k % 9 = 0 then -1 else 1 end) * cast(floor(value) as int), ts)"),
         }).selectExpr(
             "trimestre", "case when k % 50 = 21 then event_id % 1000 else event_id end as idRe",
             "case k when 99 then null when 98 then '0000000' when 97 then '123' when 96 then 'ABC123' when 95 then '' "
@@ -130,9 +129,8 @@ class Tables:
             "else date_format(cast(ts as date), 'dd/MM/yyyy') end as fecha",
             "case user_id % 3 when 0 then 'NORTE' when 1 then 'SUR' else 'CENTRO' end as division",
             "concat('AREA_', cast(user_id % 7 as string)) as area",
-            "concat(case when k % 50 = 17 then date_format(cast(ts as date), 'dd/MM/yyyy') else '01/01/1900' end, ' ', "
-            "lpad(cast(ini div 3600 as string), 2, '0'), ':', lpad(cast(ini div 60 % 60 as string), 2, '0'), ':', lpad(cast(ini % 60 as string), 2, '0')) as hora_inicio",
-            "concat('01/01/1900 ', lpad(cast(fin div 3600 as string), 2, '0'), ':', lpad(cast(fin div 60 % 60 as string), 2, '0'), ':', lpad(cast(fin % 60 as string), 2, '0')) as hora_fin",
+            "concat(case when k % 50 = 17 then date_format(cast(ts as date), 'dd/MM/yyyy') else '01/01/1900' end, substring(cast(ts as string), 11, 9)) as hora_inicio",
+            "concat('01/01/1900', substring(cast(fin as string), 11, 9)) as hora_fin",
             "concat('Z', cast(user_id % 8 as string)) as id_8T",
             "case when k % 5 = 0 then '' when k % 5 = 1 then null else 'ZMB,MGC' end as etiquetas",
             "case k % 4 when 0 then '' when 1 then 'X12' else cast(380000000000 + event_id as string) end as cIdentifica",
