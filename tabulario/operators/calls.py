@@ -121,7 +121,7 @@ def key_checks(llamadas: DataFrame, periods: Periods) -> DataFrame:
     c = [F.col(f"c{i}") for i in range(len(labels))]
     sums = per_id.agg(
         *[F.coalesce(F.sum(F.greatest(x - 1, F.lit(0).cast("bigint"))), F.lit(0)).alias(f"d{i}") for i, x in enumerate(c)],
-        *[F.coalesce(F.sum(a * b), F.lit(0)).alias(f"x{i}") for i, (a, b) in enumerate(zip(c, c[1:]))],
+        *[F.coalesce(F.sum(a.cast("decimal(18,0)") * b.cast("decimal(18,0)")).cast("bigint"), F.lit(0)).alias(f"x{i}") for i, (a, b) in enumerate(zip(c, c[1:]))],
     )
     ids = rows_of(sums, ["analisis", "trimestre", "n"], [
         *[("idRe_duplicados", t, F.col(f"d{i}")) for i, t in enumerate(labels)],

@@ -50,7 +50,7 @@ def _zone_totals(llamadas: DataFrame) -> DataFrame:
     """Per zone: rows, seconds, rows on successful days, and rows weighted by session size."""
     n = F.col("n")
     return _zone_sessions(llamadas).groupBy("zona").agg(
-        F.sum(n).alias("n"), F.sum("seg").alias("seg"), F.sum("won").alias("won"), F.sum(n * n).alias("nn"),
+        F.sum(n).alias("n"), F.sum("seg").alias("seg"), F.sum("won").alias("won"), F.sum(n.cast("decimal(18,0)") * n.cast("decimal(18,0)")).alias("nn"),
         F.sum(F.when(n == 1, n).otherwise(0)).alias("simple"), F.sum(F.when(n.between(2, 5), n).otherwise(0)).alias("media"),
         F.sum(F.when(n > 5, n).otherwise(0)).alias("compleja"))
 
@@ -60,12 +60,12 @@ def zone_efficiency(llamadas: DataFrame) -> DataFrame:
     spread = _zoned(llamadas).groupBy("zona").agg(
         F.count_distinct("numero_entrada").alias("u"), vocabulary("fecha").alias("d"), F.count_distinct("fecha", "hora").alias("h"))
     t = _zone_totals(llamadas).join(spread, "zona")  # one row per zone
-    secs, depth = c("seg") / n, c("nn") / n
+    secs, depth = c("seg") / n, c("nn").cast("double") / n
     score = (100 - F.least(F.lit(100.0), secs)) * 0.3 + F.least(F.lit(100.0), c("won") * 100.0 / n) * 0.4 + (100 - F.least(F.lit(100.0), depth * 10)) * 0.3
     z = t.select(
         "zona", n.alias("total_interacciones"), c("u").alias("usuarios_unicos"), ratio(n, c("d"), 0, 1).alias("interacciones_promedio_dia"),
         ratio(c("u"), c("d"), 0, 1).alias("usuarios_promedio_dia"), ratio(c("seg"), n, 1, 1).alias("tiempo_promedio_seg"),
-        ratio(n, c("u"), 1, 1).alias("interacciones_por_usuario"), ratio(c("nn"), n, 1, 1).alias("complejidad_sesion"),
+        ratio(n, c("u"), 1, 1).alias("interacciones_por_usuario"), F.round(c("nn") / n.cast("decimal(18,0)"), 1).cast("double").alias("complejidad_sesion"),
         ratio(n, c("h"), 1, 1).alias("interacciones_promedio_hora"), ratio(c("won"), n, 1).alias("tasa_exito_pct"), F.round(score, 1).alias("score_eficiencia_operativa"))
     s, rate, secs_r = c("score_eficiencia_operativa"), c("tasa_exito_pct"), c("tiempo_promedio_seg")
     return z.withColumns({
