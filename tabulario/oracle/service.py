@@ -2,7 +2,7 @@
 
 from tabulario.oracle.base import LLAMADAS, LOG_PERIODS, deviation, mean, mean_of_rounded, q, ratio
 from tabulario.oracle.calls import C
-from tabulario.oracle.labels import DUR, USR
+from tabulario.oracle.labels import USR
 
 OK = "(menu IN ('CONFIRMACION', 'EXITO', 'COMPLETADO'))"
 MINS = "trunc((max(hora_fin_seg) - min(hora_inicio_seg)) / 60.0)::BIGINT"
@@ -22,10 +22,6 @@ def s(*parts: str) -> str:
     return q(LLAMADAS, LOG_PERIODS, C, O, SES, WON, *parts)
 
 
-def half(x: str) -> str:
-    return f"{x}::DOUBLE"
-
-
 SQL = {
     "v01_abandoned_sequences": s(f"g AS (SELECT j AS secuencia_completa, count(*) AS frecuencia_journey, avg(n) AS promedio_pasos, avg(mins) AS promedio_duracion_min, sum(e)::BIGINT AS completados_exitosos, (count(*) - sum(e))::BIGINT AS abandonados FROM ses WHERE n > 1 GROUP BY 1 HAVING count(*) >= 2)", f"""SELECT *, {ratio('abandonados', 'frecuencia_journey', 1)} AS tasa_abandono_pct, CASE WHEN promedio_duracion_min > 10 AND abandonados * 100 > frecuencia_journey * 70 THEN 'CRITICO' WHEN promedio_pasos > 6 AND abandonados * 100 > frecuencia_journey * 50 THEN 'ALTO' WHEN abandonados * 100 > frecuencia_journey * 30 THEN 'MEDIO' ELSE 'BAJO' END AS nivel_problematico
  FROM g ORDER BY tasa_abandono_pct DESC, frecuencia_journey DESC, secuencia_completa NULLS FIRST LIMIT 20"""),

@@ -29,10 +29,11 @@ def big_sessions(df: DataFrame, keys: Sequence[str], rows: int | None = None, pr
     """Keys of the biggest sessions, at most MOST_BIG of them.
 
     Counted on a fixed pseudo-random part of the rows. The part is chosen by a
-    hash of the row id, so a recomputed task finds the same sessions.
+    hash of row id and time, so a recomputed task finds the same sessions.
     """
     rows, probe = rows or BIG_ROWS, probe or PROBE
-    seen = df.where(F.pmod(F.xxhash64("idRe"), F.lit(probe)) == 0).groupBy(*keys).agg(F.count("*").alias("_n"))
+    row = [c for c in ("idRe", "_at") if c in df.columns]
+    seen = df.where(F.pmod(F.xxhash64(*row), F.lit(probe)) == 0).groupBy(*keys).agg(F.count("*").alias("_n"))
     big = seen.where(F.col("_n") * probe >= rows)
     return big.orderBy(F.col("_n").desc(), *keys).limit(MOST_BIG).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
 

@@ -76,6 +76,12 @@ def _eda_dated(fn, **kw):
     return lambda t: fn(t.productos_por_trimestre, LOG_PERIODS, **kw)
 
 
+def _delivered_twice(t: Tables) -> DataFrame:
+    """Every tenth id delivered a second time."""
+    rows = t.productos_por_trimestre
+    return rows.unionByName(rows.where(F.col("cIDT") % 10 == 0))
+
+
 EDA = {
     "e01_pre_check": _eda_dated(eda.pre_check),
     "e02_null_profile": _eda(eda.null_profile),
@@ -101,7 +107,7 @@ EDA = {
     "e21_iqr_outliers": _eda(eda.iqr_outliers),
     "e21_iqr_outliers_true_quartiles": _eda(eda.iqr_outliers, mode="iqr"),
     "e22_rare_combinations": _eda(eda.rare_combinations),
-    "e23_exact_duplicates": _eda(eda.exact_duplicates),
+    "e23_exact_duplicates": lambda t: eda.exact_duplicates(_delivered_twice(t)),
     "e24_logical_duplicates": _eda(eda.logical_duplicates),
     "e25_category_pareto": _eda(eda.category_pareto),
     "e26_category_cardinality": _eda(eda.category_cardinality),
