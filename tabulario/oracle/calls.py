@@ -3,7 +3,6 @@
 from tabulario.oracle.base import CRUDAS, LLAMADAS, LOG_PERIODS, q, ratio, share
 
 C = "c AS (SELECT trimestre, orden, llamadas.*, hora_fin_seg < hora_inicio_seg AS inv FROM llamadas JOIN per ON fecha BETWEEN inicio AND fin)"
-LIST = "WHERE r <= 101"
 
 
 def s(*parts: str) -> str:

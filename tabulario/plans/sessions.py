@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 SESSION = ("numero_entrada", "fecha")
 # Rows that make a session big, and the share of rows looked at to find out (1 in PROBE).
-BIG_ROWS = 1_000_000
+BIG_ROWS = 200_000
 PROBE = 1024
 # Most sessions treated apart; any further big ones go the ordinary way, which is exact too.
 MOST_BIG = 10_000

@@ -16,9 +16,12 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("trimestre"
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, by: Sequence[str] = ("numero_entrada", "fecha"), mode: str = "overwrite") -> None:
+def write_bucketed(
+    df: DataFrame, table: str, buckets: int, by: Sequence[str] = ("numero_entrada", "fecha"), path: str | None = None, mode: str = "overwrite"
+) -> None:
     """Catalog table bucketed by session, so that later session groupings on it need no shuffle."""
-    df.write.mode(mode).bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+    writer = df.write.mode(mode).bucketBy(buckets, *by).sortBy(*by)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
 def as_view(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from tabulario.sources.calls import normalise, union_quarters
 from tabulario.sources.periods import Periods
 from tabulario.sources.readers import read_partitioned, read_quarters, read_table
 from tabulario.sources.schemas import LLAMADAS_CRUDAS, VENTAS, conform
-from tabulario.sources.sinks import as_view, write_partitioned
+from tabulario.sources.sinks import as_view, write_bucketed, write_partitioned
 
 PERIODS = Periods.of(("A", "2025-01-01", "2025-03-31"), ("B", "2025-04-01", "2025-06-30"))
 
@@ -94,6 +94,15 @@ def test_partitioned_output_is_pruned(spark, tmp_path):
     assert "trimestre" in plan.split("PartitionFilters: ")[1].split("]")[0]
 
 
+def test_bucketed_sessions_need_no_shuffle(spark, tmp_path):
+    df = spark.range(100).selectExpr("cast(id % 7 as string) as numero_entrada", "date_add(date'2024-01-01', cast(id % 3 as int)) as fecha")
+    write_bucketed(df, "por_sesion", 4, path=str(tmp_path / "b"))
+    grouped = spark.table("por_sesion").groupBy("numero_entrada", "fecha").count()
+    assert grouped.count() == 21
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    spark.sql("drop table por_sesion")
+
+
 def test_view_and_catalog_table(spark):
     as_view(spark.range(2), "dos")
     assert read_table(spark, "dos", fmt="table").count() == 2
