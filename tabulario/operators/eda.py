@@ -415,14 +415,14 @@ def distribution_shape(productos: DataFrame, ids: Sequence[int] | None = None) -
     )
 
 
-def iqr_outliers(productos: DataFrame, ids: Sequence[int] | None = None, mode: str = "reference") -> DataFrame:
+def iqr_outliers(productos: DataFrame, ids: Sequence[int] | None = None, mode: str = "tiles") -> DataFrame:
     """Rows beyond 1.5 IQR of the quartiles.
 
-    mode='reference' takes Q1 and Q3 as the first values of the first and third
+    mode='tiles' takes Q1 and Q3 as the first values of the first and third
     NTILE(4) buckets (so Q1 is the minimum); mode='iqr' takes the first values
     of the second and fourth buckets.
     """
-    tiles = {"reference": (1, 3), "iqr": (2, 4)}[mode]
+    tiles = {"tiles": (1, 3), "iqr": (2, 4)}[mode]
     rows, x = _rows(productos, ids).where(F.col("cProducto").isNotNull()), F.col("cProducto")
     q = order_statistics(rows, ["trimestre"], "cProducto", {"Q1": ntile_start(tiles[0], 4), "Q3": ntile_start(tiles[1], 4)})
     limits = q.withColumn("IQR", F.col("Q3") - F.col("Q1")).withColumns({
@@ -558,7 +558,7 @@ def _quality_inputs(productos: DataFrame, periods: Periods, ids, mode: str) -> D
         "crecimiento_pct", ratio(F.col("total_registros") - F.col("registros_trimestre_anterior"), F.col("registros_trimestre_anterior")))
 
 
-def evolution_dashboard(productos: DataFrame, periods: Periods, ids: Sequence[int] | None = None, mode: str = "reference") -> DataFrame:
+def evolution_dashboard(productos: DataFrame, periods: Periods, ids: Sequence[int] | None = None, mode: str = "tiles") -> DataFrame:
     """Quality index per quarter with measured outliers and duplicates."""
     index = F.col("completitud_pct") * 0.4 + F.col("consistencia_temporal_pct") * 0.3 + (100 - F.col("outliers_pct")) * 0.3
     return _quality_inputs(productos, periods, ids, mode).select(
@@ -688,7 +688,7 @@ def trend_projection(productos: DataFrame, periods: Periods, ids: Sequence[int]
     }).drop("_two")
 
 
-def quality_scorecard(productos: DataFrame, periods: Periods, ids: Sequence[int] | None = None, mode: str = "reference") -> DataFrame:
+def quality_scorecard(productos: DataFrame, periods: Periods, ids: Sequence[int] | None = None, mode: str = "tiles") -> DataFrame:
     """Weighted score from measured completeness, outliers, time order, duplicates and coverage."""
     cover = date_gaps(productos, periods, ids).select("trimestre", "cobertura_temporal_pct")
     cap = lambda c: F.least(F.lit(100.0), c)
