@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulario.llm import exact_dedup, url_filter
+from tabulario.llm import exact_dedup, fingerprints, packing, token_counts, url_filter
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +17,22 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
 documents, pages, labels = _table("documents"), _table("pages"), _table("labels")
 
 
+BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), *BYTE_BPE)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), PIECE_MODEL)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages(spark, sf_dir))
 
@@ -25,7 +42,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_url_filter, op10_exact_dedup)}
+    return {f.__name__: f for f in (
+        op3_best_fit_packing, op7_token_counts, op8_fingerprints, op9_url_filter, op10_exact_dedup,
+    )}
 
 
 _URL_SQL = r"""
