@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulario.llm import exact_dedup, fingerprints, packing, token_counts, url_filter
+from tabulario.llm import exact_dedup, fingerprints, ngram_join, packing, substring, token_counts, url_filter
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,10 +21,18 @@ BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), *BYTE_BPE)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed_words(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), PIECE_MODEL)
 
@@ -43,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op3_best_fit_packing, op7_token_counts, op8_fingerprints, op9_url_filter, op10_exact_dedup,
+        op1_ngram_jaccard_join, op3_best_fit_packing, op6_substring_dedup, op7_token_counts, op8_fingerprints, op9_url_filter, op10_exact_dedup,
     )}
 
 
