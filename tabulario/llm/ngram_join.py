@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tabulario.llm.blocks import block_count, bucket_count
 from tabulario.llm.bloom import split_repeated
+from tabulario.llm.cells import CELLS, cell_counts, cell_of
 from tabulario.llm.components import components
 from tabulario.llm.skew import join_groups
 from tabulario.llm.texts import Words, mixed, pieces, window_hashes
@@ -37,8 +38,6 @@ ORDERS = 3
 ALL_ORDERS = (1 << ORDERS) - 1
 # Lists of up to this many nodes give all their pairs at once.
 SMALL = 4
-# Counters of the frequency sketch (four bytes each), the same at any size of the corpus.
-CELLS = 1 << 20
 # Bytes kept of a token's hash.
 TOKEN = 6
 # Nodes whose postings go out together.
@@ -81,36 +80,13 @@ def _shingle_sets(width: int) -> Callable:
     return run
 
 
-def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens per counter of the sketch, in slices."""
-    total = np.zeros(CELLS, dtype=np.uint32)
-    for batch in batches:
-        tokens = _unpacked(b"".join(batch.column(0).to_pylist()))
-        total += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-    step = 1 << 14
-    for lo in range(0, CELLS, step):
-        part = total[lo : lo + step]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["lo", "counts"])
-
-
-def _cell_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lo, total = None, None
-    for batch in batches:
-        for at, blob in zip(batch.column("lo").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            part = np.frombuffer(blob, dtype=np.uint32).astype(np.uint64)
-            lo, total = at, part if total is None else total + part
-    if lo is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["lo", "counts"])
+def _tokens_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield _unpacked(b"".join(batch.column(0).to_pylist()))
 
 
 def frequency_classes(nodes: DataFrame) -> np.ndarray:
     """For each counter 0 up to twice the mean load, then 1 for each further doubling; CELLS bytes at any size."""
-    parts = nodes.select("tokens").mapInArrow(_cell_counts, "lo long, counts binary").groupBy("lo").applyInArrow(_cell_sums, "lo long, counts binary")
-    counts = np.zeros(CELLS, dtype=np.uint64)
-    for row in parts.toLocalIterator():
-        part = np.frombuffer(row["counts"], dtype=np.uint64)
-        counts[row["lo"] : row["lo"] + len(part)] = part
+    counts = cell_counts(nodes.select("tokens"), _tokens_of)
     mean = max(1.0, float(counts.sum()) / CELLS)
     return np.floor(np.log2(np.maximum(1.0, counts / mean))).astype(np.uint8)
 
@@ -119,7 +95,7 @@ def _prefixes(tokens: np.ndarray, classes: np.ndarray, percent: int) -> Iterator
     """Keys (48 bits) of the prefix under each order."""
     n = len(tokens)
     p = n - -(-percent * n // 100) + 1
-    rank = classes[(tokens & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48)
+    rank = classes[cell_of(tokens)].astype(np.uint64) << np.uint64(48)
     for order in range(ORDERS):
         keys = mixed(tokens, 200 + order) >> np.uint64(16)
         if p < n:

@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulario.llm import exact_dedup, fingerprints, ngram_join, packing, substring, token_counts, url_filter
+from tabulario.llm import exact_dedup, fingerprints, ngram_join, packing, substring, token_counts, toxicity, url_filter
+from tabulario.llm.ship import send_package
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        send_package(spark)
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    return read
 
 
 documents, pages, labels = _table("documents"), _table("pages"), _table("labels")
@@ -29,6 +34,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), *BYTE_BPE)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.toxicity(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removed_words(documents(spark, sf_dir))
 
@@ -51,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard_join, op3_best_fit_packing, op6_substring_dedup, op7_token_counts, op8_fingerprints, op9_url_filter, op10_exact_dedup,
+        op1_ngram_jaccard_join, op3_best_fit_packing, op5_toxicity, op6_substring_dedup, op7_token_counts, op8_fingerprints, op9_url_filter, op10_exact_dedup,
     )}
 
 

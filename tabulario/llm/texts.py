@@ -87,9 +87,9 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of every span."""
-    out = np.empty(len(starts), dtype=np.uint64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of every span; with `prefixes` a row for the spans and one for their first bytes, of so many at most."""
+    out = np.empty((1 + len(prefixes), len(starts)), dtype=np.uint64)
     lo = 0
     while lo < len(starts):
         first = starts[lo]
@@ -101,9 +101,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         total = np.zeros(len(piece) + 1, dtype=np.uint64)
         np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
         a, b = starts[lo:hi] - first, ends[lo:hi] - first
-        out[lo:hi] = (total[b] - total[a]) * down[a]
+        for row, most in enumerate((None, *prefixes)):
+            out[row, lo:hi] = (total[b if most is None else np.minimum(b, a + most)] - total[a]) * down[a]
         lo = hi
-    return mixed(out)
+    for row in range(len(out)):
+        out[row] = mixed(out[row], (0, *prefixes)[row])
+    return out if prefixes else out[0]
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,10 +135,10 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 * PIECE) -> Iterato
 class Words:
     """Words of the texts of a column: `hash` of all of them, text i has those from first[i] to first[i + 1]."""
 
-    def __init__(self, column: pa.Array, lower: bool = False, separator: np.ndarray = SPACE):
+    def __init__(self, column: pa.Array, lower: bool = False, separator: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()):
         self.data, self.marks = string_bytes(column)
         self.starts, self.ends = word_spans(self.data, self.marks, separator)
-        self.hash = word_hashes(self.data, self.starts, self.ends, lower)
+        self.hash = word_hashes(self.data, self.starts, self.ends, lower, prefixes)
         self.first = np.searchsorted(self.starts, self.marks, side="left")
 
     def windows(self, width: int, base: int = STEPS[0]) -> tuple[np.ndarray, np.ndarray]:
