@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulario.llm import exact_dedup, fingerprints, ngram_join, packing, substring, token_counts, toxicity, url_filter
+from tabulario.llm import exact_dedup, fingerprints, html_text, ngram_join, packing, substring, token_counts, toxicity, url_filter
 from tabulario.llm.ship import send_package
 
 
@@ -30,6 +30,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(documents(spark, sf_dir))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(pages(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), *BYTE_BPE)
 
@@ -61,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard_join, op3_best_fit_packing, op5_toxicity, op6_substring_dedup, op7_token_counts, op8_fingerprints, op9_url_filter, op10_exact_dedup,
+        op1_ngram_jaccard_join, op2_html_extraction, op3_best_fit_packing, op5_toxicity, op6_substring_dedup, op7_token_counts, op8_fingerprints, op9_url_filter, op10_exact_dedup,
     )}
 
 
