@@ -1,26 +1,62 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Every stage takes all that the one before kept; toxic documents, copies and near
+copies go, repeated passages are cut out of the texts, and the rest is packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulario.llm import exact_dedup
+from tabulario.llm import exact_dedup, ngram_join, packing, substring, toxicity
+from tabulario.llm.queries import BYTE_BPE, labels
+from tabulario.llm.ship import send_package
 from tabulario.llm.workspace import Workspace
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labelled ones, does not reject."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id."""
+    send_package(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shingle similarity connects: words in fives, 0.8 or more."""
+    send_package(spark)
+    return ngram_join.one_of_each(docs, width=5, percent=80)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that occur more than once."""
+    send_package(spark)
+    return substring.without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    send_package(spark)
+    return packing.pack(docs, *BYTE_BPE)
+
+
 STAGES = [
+    ("toxicity", without_toxic),
     ("exact dedup", without_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("substring dedup", without_repeats),
+    ("best-fit packing", packed),
 ]
+# A fitted model and a tokenizer are beyond SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each over the written result of the one before."""
+    send_package(spark)
     work = Workspace(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):

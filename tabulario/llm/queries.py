@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulario.llm import exact_dedup, fingerprints, html_text, ngram_join, packing, substring, token_counts, toxicity, url_filter
+from tabulario.llm import exact_dedup, fingerprints, html_text, ngram_join, packing, sentencepiece_fst, substring, token_counts, toxicity, url_filter
 from tabulario.llm.ship import send_package
 
 
@@ -38,6 +38,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), *BYTE_BPE)
 
 
+def op4_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.round_trip(documents(spark, sf_dir), PIECE_MODEL)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.toxicity(docs, toxicity.fit(docs, labels(spark, sf_dir)))
@@ -65,7 +69,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_html_extraction, op3_best_fit_packing, op5_toxicity, op6_substring_dedup, op7_token_counts, op8_fingerprints, op9_url_filter, op10_exact_dedup,
+        op1_ngram_jaccard_join, op2_html_extraction, op3_best_fit_packing,
+        op4_sentencepiece_fst, op5_toxicity, op6_substring_dedup, op7_token_counts, op8_fingerprints, op9_url_filter, op10_exact_dedup,
     )}
 
 

@@ -120,9 +120,13 @@ def _digests(table: pa.Table, results: Iterator[tuple[int, int, bytes]]) -> pa.T
 
 
 def _texts(table: pa.Table, results: Iterator[tuple[int, int, bytes]]) -> pa.Table:
-    rows = [(gone, kept.decode() if gone else None) for _, gone, kept in results]
-    gone, kept = zip(*rows, strict=True) if rows else ((), ())
-    return pa.table({"doc": table.column("doc"), "gone": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.string())})
+    texts = table.column("text").to_pylist()
+    gone = []
+    for i, (_, n, kept) in enumerate(results):
+        gone.append(n)
+        if n:
+            texts[i] = kept.decode()
+    return pa.table({"doc": table.column("doc"), "text": pa.array(texts, pa.string()), "gone": pa.array(gone, pa.int64())})
 
 
 def _over_blocks(rows: DataFrame, n: int, width: int, of_rows: Callable, schema: str | T.StructType) -> DataFrame:
@@ -155,13 +159,11 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     A text that loses words becomes its kept words joined by one space, and
     `n_chars`, if there is such a column, its new length; all else stays.
     """
-    names = docs.columns
-    rows = docs.select("doc_id", "text", F.struct(*names).alias("doc"))
-    schema = T.StructType([rows.schema["doc"], T.StructField("gone", T.LongType()), T.StructField("kept", T.StringType())])
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*rest).alias("doc"))
+    schema = T.StructType([rows.schema["doc"], T.StructField("text", T.StringType()), T.StructField("gone", T.LongType())])
     out = _over_blocks(rows, docs.count(), width, _texts, schema)
-    changed = F.col("gone") > 0
-    columns = {c: F.col(f"doc.`{c}`") for c in names}
-    columns["text"] = F.when(changed, F.col("kept")).otherwise(F.col("doc.text"))
+    columns = {c: F.col(f"doc.`{c}`") for c in rest} | {"text": F.col("text")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
-    return out.select(*[c.alias(n) for n, c in columns.items()])
+        columns["n_chars"] = F.when(F.col("gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
