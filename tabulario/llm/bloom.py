@@ -91,7 +91,7 @@ def _plane(hashes: DataFrame, bits: int, round_: int, rounds: int) -> np.ndarray
     lists = hashes.mapInArrow(_lists(bits, round_, rounds), "slice long, once binary, twice binary")
     merged = lists.groupBy("slice").applyInArrow(_merge, "slice long, bits binary")
     plane = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.toLocalIterator():  # at most MOST_BITS / 8 bytes in all
+    for row in merged.collect():  # at most MOST_BITS / 8 bytes in all
         plane[row["slice"] * (SLICE // 8) : (row["slice"] + 1) * (SLICE // 8)] = np.frombuffer(row["bits"], dtype=np.uint8)
     return plane
 

@@ -50,7 +50,7 @@ def cell_counts(rows: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.
     """
     parts = rows.mapInArrow(_counted(tokens), _COUNTS).groupBy("lo").applyInArrow(_added, _COUNTS)
     counts = np.zeros(CELLS, dtype=np.uint64)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # one row for each slice of the counters
         part = np.frombuffer(row["counts"], dtype=np.uint64)
         counts[row["lo"] : row["lo"] + len(part)] = part
     return counts

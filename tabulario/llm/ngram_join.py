@@ -287,17 +287,21 @@ def linked_nodes(work: Workspace, sets: DataFrame, percent: int = PERCENT) -> Da
     long = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node"), F.expr(f"z div {ORDERS}").alias("size"), (F.col("z") % ORDERS).alias("order"))
     tried = work.keep(pairs.where(F.col("z") == ALL_ORDERS).select("x", "y"), "tried0")
     edges = work.keep(_linked(nodes, tried, total, percent), "edges0")
+    labels = work.keep(components(edges), "labels0")
     for turn, most in enumerate((2, None), 1):
-        labels = work.keep(components(edges), f"labels{turn}")
         labelled = long.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).withColumn("part", F.pmod(F.xxhash64("key", "order"), F.lit(ORDERS * buckets)))
         more = labelled.select("part", "key", "node", "size", "order", "label").groupBy("part").applyInArrow(_across(most, percent), "x long, y long, z long")
         every = pairs.unionByName(more).groupBy("x", "y").agg(F.bit_or("z").alias("z")).where(F.col("z") == ALL_ORDERS)
         new = work.keep(every.select("x", "y").join(tried, ["x", "y"], "left_anti"), f"new{turn}")
         if new.isEmpty():
             continue
-        edges = work.keep(edges.unionByName(_linked(nodes, new, total, percent)), f"edges{turn}")
+        found_now = work.keep(_linked(nodes, new, total, percent), f"edges{turn}")
         tried = tried.unionByName(new)
-    return work.keep(components(edges), "labels")
+        if not found_now.isEmpty():
+            # What is known of the components stands for the edges that gave it.
+            known = labels.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = work.keep(components(known.unionByName(found_now)), f"labels{turn}")
+    return labels
 
 
 def _sets(work: Workspace, docs: DataFrame, width: int) -> DataFrame:

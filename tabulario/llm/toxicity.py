@@ -176,14 +176,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("fold"), pa.array(blobs, pa.binary())], ["toxic", "fold", "cells"])
 
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class and cell the number of words and beginnings, as few rows as there are cells in use."""
-    counts = np.zeros((2, CELLS), dtype=np.int64)
-    for batch in batches:
-        for toxic, blob in zip(batch.column("toxic").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-            np.add.at(counts[toxic], _rows(blob).ravel(), 1)
-    at = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], ["cell", "clean", "toxic"])
+def _sampled_words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield _rows(b"".join(batch.column(0).to_pylist())).ravel().astype(np.uint64)
 
 
 def _segment_scores(scores: np.ndarray) -> Callable:
@@ -212,10 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), fold_of(F.col("doc_id")).cast("int").alias("fold"))
     sample = rows.mapInArrow(_sample, "toxic int, fold int, cells binary").persist()
     try:
-        counted = sample.where(F.col("fold") != CALIBRATION_FOLD).select("toxic", "cells").mapInArrow(_class_counts, "cell long, clean long, toxic long")
-        clean, toxic = np.zeros(CELLS), np.zeros(CELLS)
-        for r in counted.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toLocalIterator():  # at most CELLS rows
-            clean[r["cell"]], toxic[r["cell"]] = r["clean"], r["toxic"]
+        learned = sample.where(F.col("fold") != CALIBRATION_FOLD)
+        toxic, clean = (cell_counts(learned.where(F.col("toxic") == y).select("cells"), _sampled_words).astype(np.float64) for y in (1, 0))
         scores = log_odds(toxic, clean, corpus).astype(np.float32)
         rest = sample.where(F.col("fold") == CALIBRATION_FOLD).select("toxic", "cells")
         seen = rest.mapInArrow(_segment_scores(scores), "toxic int, words long, found array<double>, bin array<bigint>, times array<bigint>").collect()  # at most `training_rows` rows
