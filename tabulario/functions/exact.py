@@ -12,16 +12,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Holds sums of a million times as many rows as a bigint sum.
+WIDE = "decimal(24,0)"
+
+
 def ratio(num: Column, den: Column, digits: int = 2, scale: int = 100) -> Column:
-    """`scale * num / den` rounded; NULL for an empty denominator."""
-    n = num.cast("decimal(18,0)") * F.lit(Decimal(scale))
-    d = F.nullif(den.cast("decimal(18,0)"), F.lit(Decimal(0)))
-    return F.round(n / d, digits).cast("double")
+    """`scale * num / den` rounded half away from zero; NULL for an empty denominator.
+
+    Quotient and remainder are whole numbers, so no digit is lost whatever the size.
+    """
+    n = num.cast(WIDE) * F.lit(Decimal(scale * 10**digits))
+    d = F.nullif(den.cast(WIDE), F.lit(Decimal(0)))
+    rest = n % d
+    up = F.when(F.abs(rest) * 2 >= F.abs(d), F.signum(n) * F.signum(d)).otherwise(F.lit(0.0)).cast("decimal(2,0)")
+    return (((n - rest) / d + up) / F.lit(Decimal(10**digits))).cast("double")
 
 
 def mean(col: Column, digits: int = 2) -> Column:
     """Rounded average of an integer column (aggregate)."""
-    return ratio(F.sum(col), F.count(col), digits, 1)
+    return ratio(F.sum(col.cast(WIDE)), F.count(col), digits, 1)
 
 
 def share(cond: Column, digits: int = 2) -> Column:
@@ -29,26 +38,19 @@ def share(cond: Column, digits: int = 2) -> Column:
     return ratio(F.count_if(cond), F.count(F.lit(1)), digits)
 
 
-def _power_sums(col: Column) -> tuple[Column, Column, Column]:
-    wide = col.cast("decimal(18,0)")
-    return F.count(col), F.sum(wide), F.sum(wide * wide)
-
-
 def variance(col: Column) -> Column:
-    """Population variance of integers from exact power sums (aggregate).
-
-    Falls back to the built-in floating estimate where the sums outgrow a
-    38-digit decimal.
-    """
-    n, s, s2 = _power_sums(col)
-    n = n.cast("decimal(18,0)")
-    spread = F.try_subtract(F.try_multiply(n, s2), F.try_multiply(s, s)).cast("double")
-    return F.coalesce(spread / F.nullif((n * n).cast("double"), F.lit(0.0)), F.var_pop(col))
+    """Population variance (aggregate), from running means, which no size of values or rows outgrows."""
+    return F.var_pop(col)
 
 
 def deviation(col: Column) -> Column:
-    """Population standard deviation of integers from exact power sums (aggregate)."""
-    return F.sqrt(variance(col))
+    """Population standard deviation (aggregate)."""
+    return F.stddev_pop(col)
+
+
+def figure(col: Column) -> Column:
+    """A floating figure with twelve digits, which is what does not depend on the order of summing."""
+    return F.when(col.isNotNull(), F.format_string("%.11e", col).cast("double"))
 
 
 def cents(col: Column, places: int = 2) -> Column:
@@ -58,7 +60,7 @@ def cents(col: Column, places: int = 2) -> Column:
 
 def mean_of_rounded(col: Column, digits: int = 2, places: int = 2) -> Column:
     """Average of rounded figures without summing doubles (aggregate)."""
-    return ratio(F.sum(cents(col, places)), F.count(col) * 10**places, digits, 1)
+    return ratio(F.sum(cents(col, places).cast(WIDE)), F.count(col) * 10**places, digits, 1)
 
 
 def mean_share(part: Column, whole: Column, digits: int = 1) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tabulario.functions.calls import FAILED_MENUS, inverted, labelled, option_reflected, has_label
 from tabulario.functions.exact import ratio, share
 from tabulario.functions.text import clock_full, filled, is_blank, sorted_set, vocabulary
-from tabulario.plans.materialise import materialise
 from tabulario.plans.order_stats import order_statistics, percentile_rank
 from tabulario.plans.shape import bounded_list, first_match, join_on, leading_list, matching, rows_of, top_per_key
 from tabulario.sources.calls import normalise, parse_date
@@ -298,9 +297,8 @@ def user_outliers(llamadas: DataFrame, mode: str = "position") -> DataFrame:
     mode='position' takes the element at floor(0.95 n); mode='interpolated'
     the linear interpolation between neighbours.
     """
-    # One row per caller, read by every round of the percentile search.
-    users = materialise(llamadas.where(F.col("numero_entrada").isNotNull()).groupBy("numero_entrada").agg(
-        F.count("*").alias("v"), vocabulary("id_8T").alias("z"), vocabulary("menu").alias("m")))
+    users = llamadas.where(F.col("numero_entrada").isNotNull()).groupBy("numero_entrada").agg(
+        F.count("*").alias("v"), vocabulary("id_8T").alias("z"), vocabulary("menu").alias("m"))
     # Metric label and the tenths of P95 a caller has to exceed.
     metrics = [("usuarios_outliers_volumen", "v", 20), ("usuarios_outliers_geograficos", "z", 15), ("usuarios_outliers_diversidad", "m", 15)]
     long = rows_of(users, ["tipo_outlier", "valor", "factor"], [(name, F.col(c), f) for name, c, f in metrics], keep=["numero_entrada"])

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulario.functions.exact import cents, deviation, mean, mean_of_rounded, ratio, share, variance
+from tabulario.functions.exact import cents, deviation, figure, mean, mean_of_rounded, ratio, share, variance
 from tabulario.functions.text import day_name, stamp, vocabulary
 from tabulario.plans.order_stats import ntile_start, order_statistics, percentile_rank
 from tabulario.plans.shape import first_match, rows_of, top_per_key
@@ -392,7 +392,7 @@ def descriptive_statistics(productos: DataFrame, ids: Sequence[int] | None = Non
     x = F.col("valor")
     return long.groupBy("trimestre", "variable").agg(
         F.count("*").alias("n"), F.count(x).alias("n_validos"), F.min(x).alias("minimo"), F.max(x).alias("maximo"),
-        F.avg(x).alias("media"), deviation(x).alias("desviacion_estandar"), variance(x).alias("varianza"),
+        F.avg(x).alias("media"), figure(deviation(x)).alias("desviacion_estandar"), figure(variance(x)).alias("varianza"),
         (F.count(x) * 0.25).alias("q1_posicion"), (F.count(x) * 0.50).alias("mediana_posicion"), (F.count(x) * 0.75).alias("q3_posicion"),
         F.round(deviation(x) / F.nullif(F.avg(x), F.lit(0.0)) * 100, 2).alias("coef_variacion_pct"),
         (F.max(x) - F.min(x)).alias("rango_total"),
@@ -710,7 +710,7 @@ def quality_scorecard(productos: DataFrame, periods: Periods, ids: Sequence[int]
 def normality(productos: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
     x, s, k = F.col("cProducto"), F.col("skewness_aprox"), F.col("curtosis_aprox")
     return _rows(productos, ids).where(x.isNotNull()).groupBy("trimestre").agg(
-        F.lit("Test_Normalidad").alias("test_tipo"), F.avg(x).alias("media"), deviation(x).alias("std_dev"), F.min(x).alias("minimo"),
+        F.lit("Test_Normalidad").alias("test_tipo"), F.avg(x).alias("media"), figure(deviation(x)).alias("std_dev"), F.min(x).alias("minimo"),
         F.max(x).alias("maximo"), F.count("*").alias("n"), F.round(F.skewness(x), 4).alias("skewness_aprox"),
         F.round(F.kurtosis(x), 4).alias("curtosis_aprox"),
     ).withColumns({

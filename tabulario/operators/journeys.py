@@ -11,7 +11,6 @@ from tabulario.functions.calls import (
 from tabulario.functions.exact import deviation, mean, mean_of_rounded, mean_share, ratio, share
 from tabulario.functions.text import clock, clock_full, day_name, filled, hour_of, is_blank, sorted_set, vocabulary
 from tabulario.operators.labels import _commercial, _n, _res, _users
-from tabulario.plans.materialise import materialise
 from tabulario.plans.sessions import SESSION, sessions, steps
 from tabulario.plans.shape import bounded_list, first_match, join_on, matching, only, ranked
 from tabulario.sources.periods import Periods
@@ -93,8 +92,8 @@ def frequent_sequences(llamadas: DataFrame, min_sessions: int = 2, limit: int =
     step = F.concat("menu", F.coalesce(F.concat(F.lit(":"), "opcion"), F.lit("")))
     s = sessions(llamadas.where(F.col("menu").isNotNull()), F.col("hora_inicio_seg"), step=step).withColumnRenamed("journey", "secuencia_navegacion")
     key = ["secuencia_navegacion"]
-    # Per sequence and caller; written once because totals and samples both read it.
-    base = materialise(s.groupBy(*key, "numero_entrada").agg(F.count("*").alias("k"), F.sum("n").alias("n")))
+    # Per sequence and caller: totals and samples share this aggregate's exchange.
+    base = s.groupBy(*key, "numero_entrada").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     found = base.groupBy(*key).agg(
         F.sum("k").alias("frecuencia_secuencia"), (F.sum("n") / F.sum("k")).alias("promedio_pasos"), F.count("numero_entrada").alias("usuarios_unicos"),
     ).where(F.col("frecuencia_secuencia") >= min_sessions)
@@ -107,11 +106,11 @@ def transitions(llamadas: DataFrame, min_rows: int = 5, sample: int = 5) -> Data
     rows = _known(llamadas).where(F.col("menu").isNotNull()).withColumn("_end", end())
     moved = steps(rows, start(), carry=["menu", "opcion", "_end"]).where(F.col("anterior").isNotNull())
     keys, c = ["desde", "hacia"], F.col
-    # Per transition and caller; written once because totals and samples both read it.
-    base = materialise(moved.groupBy(
+    # Per transition and caller: totals and samples share this aggregate's exchange.
+    base = moved.groupBy(
         F.concat("anterior.menu", F.lit(":"), F.coalesce("anterior.opcion", F.lit("NULL"))).alias("desde"),
         F.concat("menu", F.lit(":"), F.coalesce("opcion", F.lit("NULL"))).alias("hacia"), "numero_entrada",
-    ).agg(F.count("*").alias("n"), F.sum(start() - c("anterior._end")).alias("gap"), _n(has_label("VSI"), "vsi"), _n(redirected(), "red")))
+    ).agg(F.count("*").alias("n"), F.sum(start() - c("anterior._end")).alias("gap"), _n(has_label("VSI"), "vsi"), _n(redirected(), "red"))
     found = base.groupBy(*keys).agg(
         F.sum("n").alias("frecuencia_transicion"), F.count("*").alias("usuarios_unicos"), ratio(F.sum("gap"), F.sum("n"), 2, 1).alias("tiempo_promedio_transicion"),
         F.sum("vsi").alias("transiciones_validadas"), F.sum("red").alias("transiciones_con_redireccion")).where(c("frecuencia_transicion") >= min_rows)

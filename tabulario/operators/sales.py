@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulario.functions.exact import cents, deviation, mean, mean_of_rounded, ratio
+from tabulario.functions.exact import cents, deviation, figure, mean, mean_of_rounded, ratio
 from tabulario.plans.shape import first_match, matching, over_all, rows_of
 from tabulario.sources.periods import Periods
 
@@ -103,7 +103,7 @@ def org_summary(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = O
     per_org = products_by_first_appearance(ventas, periods, orgs).groupBy("organizacion").agg(
         F.sum(n).alias("total_productos_periodo"), F.avg(n).alias("promedio_productos_trimestre"),
         F.min(n).alias("min_productos_trimestre"), F.max(n).alias("max_productos_trimestre"),
-        deviation(n).alias("volatilidad_productos"),
+        figure(deviation(n)).alias("volatilidad_productos"),
     )
     by_average = Window.orderBy(F.col("promedio_productos_trimestre").desc())
     return per_org.withColumn("ranking_performance", F.rank().over(by_average).cast("bigint"))

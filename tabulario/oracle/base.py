@@ -35,6 +35,10 @@ def deviation(col: str) -> str:
     return f"sqrt({variance(col)})"
 
 
+def figure(value: str) -> str:
+    return f"CASE WHEN ({value}) IS NOT NULL THEN printf('%.11e', {value})::DOUBLE END"
+
+
 def mean_of_rounded(col: str, digits: int = 2, places: int = 2) -> str:
     return ratio(f"sum(round(({col}) * {10**places})::BIGINT)", f"count({col}) * {10**places}", digits, 1)
 

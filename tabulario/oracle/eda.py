@@ -1,6 +1,6 @@
 """Oracle statements of the exploratory profiles."""
 
-from tabulario.oracle.base import LOG_PERIODS, PRODUCTOS, deviation, mean, mean_of_rounded, q, ratio, share, variance
+from tabulario.oracle.base import LOG_PERIODS, PRODUCTOS, deviation, figure, mean, mean_of_rounded, q, ratio, share, variance
 
 P = """p AS (SELECT trimestre, orden, inicio, fin, productos.*, cast(cFecha AS DATE) AS dia, cHFin_seg - cHInicio_seg AS seg
  FROM productos JOIN per ON cast(cFecha AS DATE) BETWEEN inicio AND fin)"""
@@ -126,7 +126,7 @@ SELECT 'RESUMEN_ESTADÍSTICO_EJECUTIVO' AS tipo_reporte, {', '.join(f"coalesce(m
  {n("cCategoria IN ('N/A', 'NA', 'NULL', 'n/a', '-', '--')", 'categoria_semanticos')}, count(*) AS total_registros, {ratio('count(cProducto)', 'count(*)')} AS completitud_producto_pct, {share(f"{TEXT} AND cCategoria NOT IN ('N/A', 'NA', 'NULL', 'n/a')")} AS completitud_categoria_pct FROM p GROUP BY 1"""),
     "e18_time_integrity": s(f"SELECT trimestre, 'Integridad_Temporal' AS validacion, {n(INV, 'horarios_inconsistentes')}, {n(OUT, 'fechas_fuera_rango')}, {n('hour(cFecha) < 6 OR hour(cFecha) > 22', 'registros_fuera_horario_normal')}, {n('dayofweek(dia) IN (0, 6)', 'registros_fines_semana')} FROM p GROUP BY 1"),
     "e18_numeric_ranges": s(f"SELECT trimestre, 'Rangos_Numericos' AS validacion, {n('cProducto <= 0', 'productos_invalidos')}, {n('cSeleccion NOT IN (0, 1)', 'seleccion_fuera_rango')}, {n('cIOT NOT IN (0, 1)', 'iot_fuera_rango')}, min(cProducto) AS min_producto, max(cProducto) AS max_producto FROM p GROUP BY 1"),
-    "e19_descriptive_statistics": s(LONG3, f"SELECT trimestre, variable, count(*) AS n, count(v) AS n_validos, min(v) AS minimo, max(v) AS maximo, avg(v) AS media, {deviation('v')} AS desviacion_estandar, {variance('v')} AS varianza, count(v) * 0.25::DOUBLE AS q1_posicion, count(v) * 0.5::DOUBLE AS mediana_posicion, count(v) * 0.75::DOUBLE AS q3_posicion, round({deviation('v')} / nullif(avg(v), 0) * 100, 2) AS coef_variacion_pct, max(v) - min(v) AS rango_total FROM l GROUP BY 1, 2"),
+    "e19_descriptive_statistics": s(LONG3, f"SELECT trimestre, variable, count(*) AS n, count(v) AS n_validos, min(v) AS minimo, max(v) AS maximo, avg(v) AS media, {figure(deviation('v'))} AS desviacion_estandar, {figure(variance('v'))} AS varianza, count(v) * 0.25::DOUBLE AS q1_posicion, count(v) * 0.5::DOUBLE AS mediana_posicion, count(v) * 0.75::DOUBLE AS q3_posicion, round({deviation('v')} / nullif(avg(v), 0) * 100, 2) AS coef_variacion_pct, max(v) - min(v) AS rango_total FROM l GROUP BY 1, 2"),
     "e20_distribution_shape": s(f"g AS (SELECT trimestre, avg(cProducto) AS m, {deviation('cProducto')} AS d FROM p GROUP BY 1)", f"""SELECT trimestre, 'cProducto' AS variable, {ratio('count(*) FILTER (WHERE cProducto > m)', 'count(*)', 3, 1)} AS prop_sobre_media, round((max(cProducto) - m) / d, 2) AS distancia_max_std, round((m - min(cProducto)) / d, 2) AS distancia_min_std,
  round(d / m * 100, 2) AS coef_variacion_pct, CASE WHEN d / m < 0.1 THEN 'BAJA_VARIABILIDAD' WHEN d / m < 0.3 THEN 'VARIABILIDAD_MODERADA' ELSE 'ALTA_VARIABILIDAD' END AS clasificacion_variabilidad FROM p JOIN g USING (trimestre) WHERE cProducto IS NOT NULL GROUP BY trimestre, m, d"""),
     "e21_iqr_outliers": s(OUTLIERS, "SELECT * FROM outl"),
@@ -170,7 +170,7 @@ SELECT * EXCLUDE (orden, two), {ratio('registros - registros_anterior', 'registr
  least(100.0::DOUBLE, 100 - {ratio('duplicados_logicos', 'total_registros')}) AS score_duplicados, least(100.0::DOUBLE, cobertura_temporal_pct) AS score_cobertura_temporal, total_registros, {ratio('total_registros - prev', 'prev')} AS crecimiento_vs_anterior_pct FROM qual JOIN gaps USING (trimestre)),
 kk AS (SELECT *, score_completitud * 0.25::DOUBLE + score_outliers * 0.20::DOUBLE + score_consistencia * 0.25::DOUBLE + score_duplicados * 0.15::DOUBLE + score_cobertura_temporal * 0.15::DOUBLE AS z FROM k)""",
         "SELECT * EXCLUDE (z), round(z, 1) AS score_calidad_global, CASE WHEN z >= 95 THEN 'EXCELENTE' WHEN z >= 85 THEN 'BUENA' WHEN z >= 75 THEN 'ACEPTABLE' ELSE 'REQUIERE_MEJORA' END AS clasificacion_calidad FROM kk"),
-    "e41_normality": s(f"g AS (SELECT trimestre, avg(cProducto) AS m, {deviation('cProducto')} AS d FROM p GROUP BY 1), z AS (SELECT trimestre, 'Test_Normalidad' AS test_tipo, m AS media, d AS std_dev, min(cProducto) AS minimo, max(cProducto) AS maximo, count(*) AS n, round(avg(pow((cProducto - m) / d, 3)), 4) AS skewness_aprox, round(avg(pow((cProducto - m) / d, 4)) - 3, 4) AS curtosis_aprox FROM p JOIN g USING (trimestre) WHERE cProducto IS NOT NULL GROUP BY trimestre, m, d)", """
+    "e41_normality": s(f"g AS (SELECT trimestre, avg(cProducto) AS m, {deviation('cProducto')} AS d FROM p GROUP BY 1), z AS (SELECT trimestre, 'Test_Normalidad' AS test_tipo, m AS media, {figure('d')} AS std_dev, min(cProducto) AS minimo, max(cProducto) AS maximo, count(*) AS n, round(avg(pow((cProducto - m) / d, 3)), 4) AS skewness_aprox, round(avg(pow((cProducto - m) / d, 4)) - 3, 4) AS curtosis_aprox FROM p JOIN g USING (trimestre) WHERE cProducto IS NOT NULL GROUP BY trimestre, m, d)", """
 SELECT *, CASE WHEN abs(skewness_aprox) < 0.5 AND abs(curtosis_aprox) < 0.5 THEN 'APROXIMADAMENTE_NORMAL' WHEN abs(skewness_aprox) < 1 AND abs(curtosis_aprox) < 1 THEN 'MODERADAMENTE_NORMAL' ELSE 'NO_NORMAL' END AS interpretacion_normalidad,
  CASE WHEN skewness_aprox > 1 THEN 'CONSIDERAR_LOG_TRANSFORM' WHEN skewness_aprox < -1 THEN 'CONSIDERAR_SQRT_TRANSFORM' WHEN abs(curtosis_aprox) > 2 THEN 'CONSIDERAR_OUTLIER_TREATMENT' ELSE 'NO_TRANSFORMACIÓN_NECESARIA' END AS recomendacion_transformacion FROM z"""),
     "e42_chi_square": s("c AS (SELECT trimestre, cSeleccion AS r, cCategoria, count(*) AS n FROM p WHERE cCategoria IS NOT NULL AND cSeleccion IS NOT NULL GROUP BY 1, 2, 3)", MARG, f"""SELECT trimestre, 'Chi_Cuadrado_Independencia' AS test, r AS cSeleccion, cCategoria, n AS freq_observada, {ratio('nr * nc', 't', 2, 1)} AS freq_esperada,

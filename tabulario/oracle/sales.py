@@ -1,6 +1,6 @@
 """Oracle statements of the sales reports."""
 
-from tabulario.oracle.base import SALES_PERIODS, VENTAS, deviation, mean, mean_of_rounded, q, ratio
+from tabulario.oracle.base import SALES_PERIODS, VENTAS, deviation, figure, mean, mean_of_rounded, q, ratio
 
 V = """v AS (SELECT trimestre, orden, CASE cIDR WHEN 123 THEN 'OP' WHEN 369 THEN 'ONa' ELSE 'OTRO' END AS organizacion, cIDR, categoria, producto_id
  FROM ventas, per WHERE fechaTabla BETWEEN inicio AND fin AND cIDR IN (123, 369))"""
@@ -37,7 +37,7 @@ SELECT organizacion, trimestre, n AS productos_unicos, p AS productos_trimestre_
  {ratio('n - p', 'p')} AS crecimiento_porcentual, avg(n) OVER (PARTITION BY organizacion) AS promedio_organizacion,
  rank() OVER (PARTITION BY trimestre ORDER BY n DESC) AS ranking_por_trimestre FROM l"""),
     "s08_org_summary": s(QO, f"""SELECT organizacion, sum(n)::BIGINT AS total_productos_periodo, avg(n) AS promedio_productos_trimestre,
- min(n) AS min_productos_trimestre, max(n) AS max_productos_trimestre, {deviation('n')} AS volatilidad_productos,
+ min(n) AS min_productos_trimestre, max(n) AS max_productos_trimestre, {figure(deviation('n'))} AS volatilidad_productos,
  rank() OVER (ORDER BY avg(n) DESC) AS ranking_performance FROM qo GROUP BY 1"""),
     "s09_product_lifecycle": s(QP, """SELECT 'PRODUCTOS_NUEVOS_Q2' AS categoria, count(*) AS cantidad, 'Productos que aparecen en Q2 pero no estaban en Q1' AS descripcion FROM qp WHERE q2 AND NOT q1
 UNION ALL SELECT 'PRODUCTOS_NUEVOS_Q3', count(*), 'Productos que aparecen en Q3 pero no estaban en Q1 ni Q2' FROM qp WHERE q3 AND NOT q1 AND NOT q2

@@ -1,10 +1,11 @@
 """Exact order statistics without sorting the data.
 
-The k-th smallest value is located by counting: rows are counted per slice of
-the value range, the slice holding the wanted rank is found on that small
-table, and the search goes on inside it. Each round is a scan with a map-side
-combined count whose output has at most `SLICES` rows per group, so no round
-shuffles the data and a dominating value costs nothing extra.
+Rows are counted once per group and value. The k-th smallest value is then found
+on that table digit by digit, in base 2**16 from the top: occurrences are summed
+per digit, the digit that holds the rank is found, and the search goes on among
+the values that begin with it. Four digits make any bigint, so the number of
+rounds and the size of each round's sums (2**16 a group) do not depend on the
+data, and a dominating value costs nothing extra.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 4096
+DIGIT_BITS = 16
+DIGITS = 4
 
 
 def percentile_rank(percent: int) -> Callable[[Column], Column]:
@@ -48,29 +50,24 @@ def order_statistics(
     column. A rank past the end means the last value.
     """
     keys = list(keys) or ["_all"]
-    rows = (df if keys != ["_all"] else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("bigint").alias("_v")
-    )
-    bounds = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_c"))
-    bounds = bounds.select(
-        *keys, "_lo", "_c", F.expr(f"(_hi - _lo) div {SLICES} + 1").alias("_w1"),
-    ).withColumn("_w2", F.expr(f"(_w1 - 1) div {SLICES} + 1"))
-    wanted = bounds.select(*keys, F.inline(F.array(*[
+    rows = (df if keys != ["_all"] else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull())
+    # The only look at the input; every round below reads this exchange.
+    counts = rows.groupBy(*keys, F.col(value).cast("bigint").alias("_v")).agg(F.count("*").alias("_n"))
+    wanted = counts.groupBy(*keys).agg(F.sum("_n").alias("_c")).select(*keys, F.inline(F.array(*[
         F.struct(F.lit(name).alias("_name"), F.greatest(F.lit(0).cast("bigint"), F.least(rank(F.col("_c")), F.col("_c") - 1)).alias("_k"))
         for name, rank in ranks.items()
     ])))
-
-    # The broadcast sides hold at most groups x ranks rows.
-    sliced = rows.join(F.broadcast(bounds), keys).withColumn("_s1", F.expr("(_v - _lo) div _w1")).withColumn(
-        "_s2", F.expr("(_v - _lo - _s1 * _w1) div _w2")
-    ).select(*keys, "_s1", "_s2", "_v")
-    scope = [*keys, "_name"]
-    coarse = sliced.groupBy(*keys, "_s1").agg(F.count("*").alias("_n")).join(F.broadcast(wanted), keys)
-    found = _locate(coarse, scope, "_s1")
-    fine = sliced.join(F.broadcast(found), [*keys, "_s1"]).groupBy(*scope, "_k", "_s1", "_s2").agg(F.count("*").alias("_n"))
-    found = _locate(fine, scope, "_s2")
-    exact = sliced.join(F.broadcast(found), [*keys, "_s1", "_s2"]).groupBy(*scope, "_k", "_v").agg(F.count("*").alias("_n"))
-    found = _locate(exact, scope, "_v")
+    # The top digit keeps the sign, so digits are in the order of the values.
+    digits = [f"_d{i}" for i in range(DIGITS)]
+    shifted = [F.shiftright("_v", DIGIT_BITS * (DIGITS - 1 - i)) for i in range(DIGITS)]
+    cut = counts.withColumns({d: x if i == 0 else x.bitwiseAND(F.lit(2**DIGIT_BITS - 1)) for i, (d, x) in enumerate(zip(digits, shifted))})
+
+    found = wanted
+    for i, digit in enumerate(digits):
+        known = [*keys, *digits[:i]]
+        # The broadcast side holds groups x ranks rows.
+        level = cut.join(F.broadcast(found), known).groupBy(*known, "_name", "_k", digit).agg(F.sum("_n").alias("_n"), F.max("_v").alias("_v"))
+        found = _locate(level, [*keys, "_name"], digit).drop(*(["_v"] if i < DIGITS - 1 else []))
 
     out = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
     return out.drop("_all")

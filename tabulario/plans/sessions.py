@@ -1,11 +1,10 @@
 """Daily sessions and their steps.
 
-A session is every row of one caller on one day, normally a handful. One caller
-may however hold a large part of the log, so sessions that are too big for one
-task are found first and treated apart: their rows are grouped per minute, and
-only per-minute results (at most 1440 a day) meet in the second step. Both ways
-give the same result; without big sessions the second branch is dropped at run
-time because the list of big sessions is empty.
+A session is every row of one caller on one day, normally a handful; one caller
+may however hold a large part of the log. So all sessions are put together in
+two levels: rows are grouped per slot, that is per second and block of row ids,
+and slots per session. A slot has a bounded number of ids whatever the size of
+the session, and slots are in the order of the rows.
 """
 
 from __future__ import annotations
@@ -17,32 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SESSION = ("numero_entrada", "fecha")
-# Rows that make a session big, and the share of rows looked at to find out (1 in PROBE).
-BIG_ROWS = 200_000
-PROBE = 1024
-# Most sessions treated apart; any further big ones go the ordinary way, which is exact too.
-MOST_BIG = 10_000
-_SLOT = "_minute"
+# Row ids of a block: 2 to this power.
+BLOCK_BITS = 12
+_SLOT = ("_at", "_block")
 
 
-def big_sessions(df: DataFrame, keys: Sequence[str], rows: int | None = None, probe: int | None = None) -> DataFrame:
-    """Keys of the biggest sessions, at most MOST_BIG of them.
-
-    Counted on a fixed pseudo-random part of the rows. The part is chosen by a
-    hash of row id and time, so a recomputed task finds the same sessions.
-    """
-    rows, probe = rows or BIG_ROWS, probe or PROBE
-    row = [c for c in ("idRe", "_at") if c in df.columns]
-    seen = df.where(F.pmod(F.xxhash64(*row), F.lit(probe)) == 0).groupBy(*keys).agg(F.count("*").alias("_n"))
-    big = seen.where(F.col("_n") * probe >= rows)
-    return big.orderBy(F.col("_n").desc(), *keys).limit(MOST_BIG).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-
-
-def _apart(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(ordinary rows, rows of big sessions)"""
-    big = F.broadcast(big_sessions(df, keys))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return df.join(big, same, "left_anti"), df.join(big, same, "left_semi").withColumn(_SLOT, F.floor(F.col("_at") / 60))
+def _slotted(df: DataFrame, at: Column) -> DataFrame:
+    return df.withColumns({"_at": at, "_block": F.shiftright("idRe", BLOCK_BITS)})
 
 
 def _joined(entries: Column, sep: str) -> Column:
@@ -85,14 +65,9 @@ def sessions(
     merge += [F.array_distinct(F.flatten(F.collect_list(k))).alias(k) for k in collected]
     if step is not None:
         partial.append(_text(order, step, sep).alias("journey"))
-        merge.append(_text(F.col(_SLOT), F.nullif("journey", F.lit("")), sep).alias("journey"))
+        merge.append(_text(F.struct(*_SLOT), F.nullif("journey", F.lit("")), sep).alias("journey"))
 
-    rows = df.withColumn("_at", at)
-    if step is None and not collected:
-        grouped = rows.groupBy(*keys).agg(*partial)
-    else:
-        ordinary, big = _apart(rows, keys)
-        grouped = ordinary.groupBy(*keys).agg(*partial).unionByName(big.groupBy(*keys, _SLOT).agg(*partial).groupBy(*keys).agg(*merge))
+    grouped = _slotted(df, at).groupBy(*keys, *_SLOT).agg(*partial).groupBy(*keys).agg(*merge)
 
     final = {k: F.size(k).cast("bigint") for k in sets} | {k: F.col(k)["v"] for k in firsts}
     final |= {k: F.when(F.size(k) > 0, F.array_join(F.array_sort(k), s)) for k, (_, s) in lists.items()}
@@ -101,33 +76,29 @@ def sessions(
     return grouped.withColumns(final) if final else grouped
 
 
-def _numbered(rows: DataFrame, scope: Sequence[str], held: Column) -> DataFrame:
-    w = Window.partitionBy(*scope).orderBy("_at", "idRe")
-    return rows.withColumns({"paso": F.row_number().over(w).cast("bigint"), "anterior": F.lag(held).over(w)})
-
-
 def steps(df: DataFrame, at: Column, keys: Sequence[str] = SESSION, carry: Sequence[str] = ("idRe",)) -> DataFrame:
     """Rows with `paso` (1-based position), `pasos` (session length) and `anterior` (struct of `carry` of the row before).
 
-    The earliest row of a session has a NULL `anterior`. In big sessions the
-    position and the row before are taken inside the minute, and across minutes
-    from the per-minute counts and last rows.
+    The earliest row of a session has a NULL `anterior`. Position and the row
+    before are taken inside the slot, and across slots from their counts and
+    last rows.
     """
-    held = F.struct(*[F.col(c) for c in carry])
-    ordinary, big = _apart(df.withColumn("_at", at), keys)
-    whole = Window.partitionBy(*keys)
-    ordinary = _numbered(ordinary, keys, held).withColumn("pasos", F.count("*").over(whole))
+    scope = [*keys, *_SLOT]
+    held, order = F.struct(*[F.col(c) for c in carry]), F.struct("_at", "idRe")
+    rows = _slotted(df, at)
+    inside = Window.partitionBy(*scope).orderBy("idRe")
+    numbered = rows.withColumns({"paso": F.row_number().over(inside).cast("bigint"), "anterior": F.lag(held).over(inside)})
 
-    order = F.struct("_at", "idRe")
-    minutes = big.groupBy(*keys, _SLOT).agg(F.count("*").alias("_n"), F.max(F.struct(order.alias("o"), held.alias("h"))).alias("_last"))
-    by_minute = whole.orderBy(_SLOT)
-    minutes = minutes.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_SLOT).alias("_k_slot"),
-        F.coalesce(F.sum("_n").over(by_minute.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("pasos"), F.lag(F.col("_last")["h"]).over(by_minute).alias("_last_before"),
+    slots = rows.groupBy(*scope).agg(F.count("*").alias("_n"), F.max(F.struct(order.alias("o"), held.alias("h"))).alias("_last"))
+    whole = Window.partitionBy(*keys)
+    by_slot = whole.orderBy(*_SLOT)
+    slots = slots.select(
+        *[F.col(k).alias(f"_k_{k}") for k in scope],
+        F.coalesce(F.sum("_n").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("pasos"), F.lag(F.col("_last")["h"]).over(by_slot).alias("_last_before"),
     )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col(_SLOT) == F.col("_k_slot"))
-    big = _numbered(big, [*keys, _SLOT], held).join(minutes, same).withColumns({
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in scope])
+    out = numbered.join(slots, same).withColumns({
         "anterior": F.when(F.col("paso") == 1, F.col("_last_before")).otherwise(F.col("anterior")), "paso": F.col("_before") + F.col("paso"),
     })
-    return ordinary.unionByName(big.select(*ordinary.columns)).drop("_at")
+    return out.select(*df.columns, "paso", "anterior", "pasos")

@@ -26,7 +26,7 @@ def tables(spark):
 
 
 CALL_DEFAULTS = dict(
-    idRe=1, numero_entrada="2185000001", numero_digitado="2185000001", menu="SDO", opcion="1", id_CTransferencia=None, cIdentifica=None,
+    idRe=1, numero_entrada="5550000000", numero_digitado="5550000000", menu="SDO", opcion="1", id_CTransferencia=None, cIdentifica=None,
     nidMQ=None, fecha="2024-01-02", hora_inicio_seg=36000, hora_fin_seg=36060, id_8T="Z1", division="NORTE", area="A", etiquetas=None, trimestre="Q01_24",
 )
 

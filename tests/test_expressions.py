@@ -86,3 +86,25 @@ def test_label_lists(spark, text, labels, commas):
     assert ([e.etiqueta for e in got.e] if got.e else None) == labels
     if text is not None:
         assert got.c == commas
+
+
+def test_figures_of_any_size(spark):
+    from tabulario.functions.exact import mean, ratio, variance
+
+    big = 9 * 10**18
+    df = spark.createDataFrame([(big - i % 3,) for i in range(400)], "v bigint")
+    row = df.agg(mean(F.col("v")).alias("m"), variance(F.col("v")).alias("s2"), variance(F.col("v") - big).alias("small")).first()
+    assert row.m == float(big - 1) and row.s2 is not None
+    assert abs(row.small - 0.665) < 0.01
+    wide = spark.sql("select cast('2000000000000000000001' as decimal(24,0)) as a, cast('4000000000000000000000' as decimal(24,0)) as b")
+    assert wide.select(ratio(F.col("a"), F.col("b"), 2)).first()[0] == 50.0
+    spread = spark.createDataFrame([(10**15 * (-1) ** i,) for i in range(400)] + [(9 * 10**17,)] * 400, "v bigint")
+    assert spread.agg(variance(F.col("v"))).first()[0] > 10**35
+
+
+def test_ratio_rounds_half_away_from_zero(spark):
+    from tabulario.functions.exact import ratio
+
+    df = spark.createDataFrame([(1, 8), (-1, 8), (3, 8), (1, 3), (2, 3), (-2, 3), (0, 5), (5, 0), (1, 800), (10**18, 3)], "a bigint, b bigint")
+    got = [r[0] for r in df.select(ratio(F.col("a"), F.col("b"), 2, 1)).collect()]
+    assert got == [0.13, -0.13, 0.38, 0.33, 0.67, -0.67, 0.0, None, 0.0, 333333333333333333.33]

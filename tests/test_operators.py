@@ -18,8 +18,9 @@ def rows_of(df, *cols):
 
 # --- worked samples -------------------------------------------------------------------------
 
-KEPT = [("2185488041", "2255709973"), ("2185530869", None), ("2185530869", None), ("2185574187", None), ("2248836833", "2249274079")]
-DROPPED = [("2185424078", "2185424078"), ("2185530869", "2185530869"), ("2248851172", "2248851172")]
+# Invented numbers: a pair, unknown destinations (one row twice), another pair; then callers that reach themselves.
+KEPT = [("5550000001", "5550000002"), ("5550000003", None), ("5550000003", None), ("5550000004", None), ("5550000005", "5550000006")]
+DROPPED = [("5550000007", "5550000007"), ("5550000003", "5550000003"), ("5550000008", "5550000008")]
 
 
 def pairs(calls_frame, *values):
@@ -41,19 +42,18 @@ def test_transfer_modes_differ_on_blank_numbers(calls_frame):
 
 
 def test_inverted_time_is_repaired(calls_frame):
-    row = calls_frame(dict(hora_inicio_seg=34163, hora_fin_seg=33950)).select(seconds().alias("s"), start().alias("a")).first()
-    assert (row.s, row.a) == (213, 33950)
-    clean = calls.clean_calls(calls_frame(dict(hora_inicio_seg=34163, hora_fin_seg=33950))).first()
-    assert (clean.flag_timestamp, clean.timestamp_inicio_completo) == ("CORREGIDO", "2024-01-02 09:25:50")
+    row = calls_frame(dict(hora_inicio_seg=61500, hora_fin_seg=61389)).select(seconds().alias("s"), start().alias("a")).first()
+    assert (row.s, row.a) == (111, 61389)
+    clean = calls.clean_calls(calls_frame(dict(hora_inicio_seg=61500, hora_fin_seg=61389))).first()
+    assert (clean.flag_timestamp, clean.timestamp_inicio_completo) == ("CORREGIDO", "2024-01-02 17:03:09")
 
 
 def test_journey_is_in_time_order(calls_frame):
-    steps = [(45770, "RES-SP_2024"), (44928, "Desborde_Cabecera"), (46531, "RES-SP_2024"), (45317, "RES-SP_2024"), (45418, "RES-SP_2024")]
-    df = calls_frame(*[dict(numero_entrada="2169010041", menu=m, opcion="TELCO" if m[0] == "D" else "DEFAULT", hora_inicio_seg=t, hora_fin_seg=t + 9) for t, m in steps])
+    steps = [(7260, "B"), (3600, "A"), (7205, "C"), (7199, "A")]
+    df = calls_frame(*[dict(numero_entrada="caller", menu=m, opcion=m.lower(), hora_inicio_seg=t, hora_fin_seg=t + 9) for t, m in steps])
     row = journeys.daily_journeys(df).first()
-    assert row.total_interacciones == 5
-    assert row.patron_navegacion == ("12:28:[Desborde_Cabecera-TELCO] → 12:35:[RES-SP_2024-DEFAULT] → 12:36:[RES-SP_2024-DEFAULT] → "
-                                     "12:42:[RES-SP_2024-DEFAULT] → 12:55:[RES-SP_2024-DEFAULT]")
+    assert row.total_interacciones == 4
+    assert row.patron_navegacion == "01:00:[A-a] → 01:59:[A-a] → 02:00:[C-c] → 02:01:[B-b]"
 
 
 def test_label_rows_keep_repeated_labels(calls_frame):

@@ -15,12 +15,10 @@ from tabulario.plans.shape import bounded_list, join_on, leading_list, matching
 from conftest import SF
 
 
-@pytest.fixture(params=["ordinary", "big"])
+@pytest.fixture(params=[12, 2])
 def way(request, monkeypatch):
-    """Run a test with no session, then with every session, treated as big."""
-    if request.param == "big":
-        monkeypatch.setattr(session_plans, "BIG_ROWS", 1)
-        monkeypatch.setattr(session_plans, "PROBE", 1)
+    """Run a test with slots of thousands of ids and of a few."""
+    monkeypatch.setattr(session_plans, "BLOCK_BITS", request.param)
     return request.param
 
 
@@ -82,16 +80,20 @@ def test_transitions_are_steps_minus_sessions(calls_frame, way):
     assert moved == len(rows) - len(grouped(rows))
 
 
-def test_big_sessions_are_found_by_size(calls_frame, monkeypatch):
-    df, rows = random_calls(calls_frame)
-    sizes = {k: len(v) for k, v in grouped(rows).items()}
-    found = session_plans.big_sessions(df, ["numero_entrada", "fecha"], rows=50, probe=1).collect()
-    assert {(r[0], str(r[1])) for r in found} == {k for k, n in sizes.items() if n >= 50}
+def test_a_hot_second_is_split(spark, calls_frame):
+    rows = [dict(numero_entrada="hot" if i % 3 == 0 else f"c{i}", hora_inicio_seg=36000, hora_fin_seg=36001, menu="M", opcion=str(i % 7)) for i in range(3000)]
+    df = calls_frame(*rows)
+    slots = session_plans._slotted(df, F.col("hora_inicio_seg")).groupBy("numero_entrada", "_at", "_block").count()
+    assert slots.agg(F.max("count")).first()[0] <= 2**session_plans.BLOCK_BITS
+    [hot] = sessions(df, F.col("hora_inicio_seg"), step=F.col("opcion"), sep="").where("numero_entrada = 'hot'").collect()
+    assert (hot.n, hot.journey) == (1000, "".join(str(i % 7) for i in range(0, 3000, 3)))
+    moved = steps(df, F.col("hora_inicio_seg")).where("numero_entrada = 'hot'").orderBy("idRe").collect()
+    assert [r.paso for r in moved] == list(range(1, 1001)) and [r.anterior[0] for r in moved[1:]] == [r.idRe for r in moved[:-1]]
 
 
 @pytest.mark.parametrize("values", [
     [5], [3, 1, 2], [7] * 50 + [1, 2], list(range(-100, 300, 7)), [random.Random(1).randrange(10**9) for _ in range(500)],
-    [0] * 300 + [10**15] + [-(10**15)], [random.Random(2).choice([1, 1, 1, 2, 10**12]) for _ in range(200)],
+    [0] * 300 + [10**15] + [-(10**15)], [-(2**63), 2**63 - 2, -1, 0, 1, 65535, 65536, -65536, 2**62], [v * 4096**4 for v in range(-900, 900, 7)], [random.Random(2).choice([1, 1, 1, 2, 10**12]) for _ in range(200)],
 ])
 def test_order_statistics_match_sorting(spark, values):
     ranks = {f"p{p}": percentile_rank(p) for p in (0, 5, 25, 50, 75, 95, 100)} | {f"t{t}": ntile_start(t, 4) for t in (1, 2, 3, 4)}
