@@ -16,7 +16,7 @@ from tabulario.functions.calls import FAILED_MENUS, inverted, labelled, option_r
 from tabulario.functions.exact import ratio, share
 from tabulario.functions.text import clock_full, filled, is_blank, sorted_set, vocabulary
 from tabulario.plans.order_stats import order_statistics, percentile_rank
-from tabulario.plans.shape import bounded_list, first_match, join_on, leading_list, matching, rows_of, top_per_key
+from tabulario.plans.shape import bounded_list, first_match, join_on, leading_list, matching, rows_of, top_per_key, with_distinct_counts
 from tabulario.sources.calls import normalise, parse_date
 from tabulario.sources.periods import Periods
 
@@ -41,11 +41,13 @@ def cardinality(llamadas: DataFrame, approximate: bool = False) -> DataFrame:
         "destinos_transferencia_unicos": "id_CTransferencia", "claves_cIdentifica": "cIdentifica",
     }
     small = {"menus_diferentes": "menu", "opciones_diferentes": "opcion", "zonas_geograficas": "id_8T", "divisiones": "division", "areas": "area"}
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    return llamadas.groupBy(F.col("trimestre").alias("tabla")).agg(
-        F.count("*").alias("total_registros"), *[distinct(c).alias(a) for a, c in open_ended.items()], *[vocabulary(c).alias(a) for a, c in small.items()],
+    rows = llamadas.withColumnRenamed("trimestre", "tabla")
+    guesses = [F.approx_count_distinct(c).alias(a) for a, c in open_ended.items()] if approximate else []
+    report = rows.groupBy("tabla").agg(
+        F.count("*").alias("total_registros"), *guesses, *[vocabulary(c).alias(a) for a, c in small.items()],
         F.min("fecha").alias("fecha_minima"), F.max("fecha").alias("fecha_maxima"),
     )
+    return report if approximate else with_distinct_counts(report, rows, ["tabla"], {a: [c] for a, c in open_ended.items()})
 
 
 def _missing_per_field(llamadas: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -133,13 +135,14 @@ def key_checks(llamadas: DataFrame, periods: Periods) -> DataFrame:
     return ids.unionByName(callers)
 
 
-def repeated_ids(llamadas: DataFrame) -> DataFrame:
+def repeated_ids(llamadas: DataFrame, first: int | None = None) -> DataFrame:
+    """Ids in several rows of the quarters. One wording shows 100 characters of the list, the other the `first` ids."""
     per_id = llamadas.groupBy("idRe").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("trimestre")).alias("q")).where(F.col("n") > 1)
-    shown = leading_list(per_id, "idRe", _LIST, ",", [F.col("n").desc(), F.col("idRe")])
+    shown = leading_list(per_id, "idRe", first or _LIST, ",", [F.col("n").desc(), F.col("idRe")])
     return per_id.agg(
         F.count("*").alias("ids_duplicados_total"), F.coalesce(F.sum("n"), F.lit(0)).alias("registros_afectados"),
         sorted_set(F.array_join("q", ","), ";").alias("combinaciones_trimestres"),
-    ).withColumn("ejemplos_ids_duplicados", F.nullif(F.left(shown, F.lit(100)), F.lit("")))
+    ).withColumn("ejemplos_ids_duplicados", F.nullif(shown if first else F.left(shown, F.lit(100)), F.lit("")))
 
 
 def daily_distribution(llamadas: DataFrame) -> DataFrame:
@@ -180,20 +183,23 @@ def integral_quality(llamadas: DataFrame) -> DataFrame:
         ratio(n - inv - no_caller - no_menu, n).alias("score_calidad_pct"))
 
 
-def inverted_times(llamadas: DataFrame) -> DataFrame:
+def inverted_times(llamadas: DataFrame, first: int | None = None) -> DataFrame:
+    """Inverted times per quarter with the menus concerned: 100 characters of the list or the `first` menus."""
+    menus = F.array_sort(F.collect_set(F.when(inverted(), F.col("menu"))))
+    shown = F.array_join(F.slice(menus, 1, first) if first else menus, ",")
     return llamadas.groupBy(F.col("trimestre").alias("tabla")).agg(
         F.count("*").alias("total_registros"), _n(inverted(), "timestamps_invertidos"), share(inverted()).alias("porcentaje_invertidos"),
-        F.left(sorted_set(F.when(inverted(), F.col("menu")), ","), F.lit(100)).alias("menus_mas_afectados"))
+        F.when(F.size(menus) > 0, shown if first else F.left(shown, F.lit(100))).alias("menus_mas_afectados"))
 
 
-def base_dates(crudas: DataFrame, base: str = "01/01/1900") -> DataFrame:
-    """Use of the dummy base date in the raw time texts."""
+def base_dates(crudas: DataFrame, base: str = "01/01/1900", first: int | None = None) -> DataFrame:
+    """Use of the dummy base date in the raw time texts, with 100 characters of other texts or the `first` ones."""
     a, b = F.left(F.col("hora_inicio"), F.lit(10)), F.left(F.col("hora_fin"), F.lit(10))
-    odd = leading_list(crudas.where(a != base).select("hora_inicio").distinct(), "hora_inicio", _LIST, ",")
+    odd = leading_list(crudas.where(a != base).select("hora_inicio").distinct(), "hora_inicio", first or _LIST, ",")
     return crudas.agg(
         F.lit("Análisis_timestamps").alias("analisis"), F.count("*").alias("total_registros"), F.count_distinct(a).alias("fechas_diferentes_hora_inicio"),
         F.count_distinct(b).alias("fechas_diferentes_hora_fin"), _n(a == base, "usa_fecha_base_inicio"), _n(b == base, "usa_fecha_base_fin"),
-    ).withColumn("ejemplos_fechas_anomalas", F.nullif(F.left(odd, F.lit(100)), F.lit("")))
+    ).withColumn("ejemplos_fechas_anomalas", F.nullif(odd if first else F.left(odd, F.lit(100)), F.lit("")))
 
 
 def _option_not_reflected() -> Column:
@@ -236,14 +242,20 @@ def outside_calendar(crudas: DataFrame, periods: Periods) -> DataFrame:
         F.col("a").alias("fecha_minima_erronea"), F.col("b").alias("fecha_maxima_erronea"))
 
 
-def _rule_report(rows: DataFrame, names: tuple[str, str, str], rules, all_rules: Sequence[tuple], extra: Sequence[str] = ()) -> DataFrame:
-    """Count and sample values per rule from one exploded scan; rules without hits show 0."""
+def _rule_report(
+    rows: DataFrame, names: tuple[str, str, str], rules, all_rules: Sequence[tuple], extra: Sequence[str] = (), first: int | None = None,
+) -> DataFrame:
+    """Count and sample values per rule from one exploded scan; rules without hits show 0.
+
+    The sample is what 100 characters of the list of values show, or the `first` values.
+    """
     name, count, sample = names
     hits = matching(rows, [name, "_v"], rules, keep=extra)
     keys = [*extra, name]
     found = hits.groupBy(*keys).agg(F.count("*").alias(count))
-    listed = bounded_list(hits, keys, "_v", _LIST, ",", sample)
-    report = found.join(listed, keys, "left").withColumn(sample, _cut(sample))
+    listed = bounded_list(hits, keys, "_v", first or _LIST, ",", sample)
+    report = found.join(listed, keys, "left")
+    report = report if first else report.withColumn(sample, _cut(sample))
     if extra:
         return report
     frame = rows.sparkSession.createDataFrame([(r,) for r in all_rules], f"{name} string")
@@ -267,20 +279,30 @@ def malformed_references(llamadas: DataFrame) -> DataFrame:
     return report.withColumn("descripcion", first_match([(F.col("tipo_problema") == k, v) for k, v in words.items()]))
 
 
-def number_formats(llamadas: DataFrame, shortest: int = 4, longest: int = 15, reject_ones: bool = True) -> DataFrame:
-    """Suspicious phone numbers; the stricter rule set uses shortest=7 and reject_ones=False."""
+def _odd_number(c: Column, shortest: int, longest: int = 15) -> Column:
+    return ~F.octet_length(c).between(shortest, longest) | ~c.rlike("^[0-9]+$") | c.rlike("^0+$")
 
-    def odd(c: Column) -> Column:
-        return ~F.octet_length(c).between(shortest, longest) | ~c.rlike("^[0-9]+$") | c.rlike("^0+$")
 
+def number_formats(llamadas: DataFrame) -> DataFrame:
+    """Suspicious phone numbers: not 4 to 15 digits, or only zeros or (callers) ones."""
     a, b = F.col("numero_entrada"), F.col("numero_digitado")
     rules = [
-        (odd(a) | a.rlike("^1+$") if reject_ones else odd(a), "numero_entrada_formato_sospechoso", a),
-        (filled(b) & odd(b), "numero_digitado_formato_sospechoso", b),
+        (_odd_number(a, 4) | a.rlike("^1+$"), "numero_entrada_formato_sospechoso", a),
+        (filled(b) & _odd_number(b, 4), "numero_digitado_formato_sospechoso", b),
     ]
     return _rule_report(llamadas, ("problema", "casos_problematicos", "ejemplos_sospechosos"), rules, [r[1] for r in rules])
 
 
+def invalid_numbers(llamadas: DataFrame, first: int = 10) -> DataFrame:
+    """The wording with 7 to 15 digits, which shows the first numbers."""
+    a, b = F.col("numero_entrada"), F.col("numero_digitado")
+    rules = [
+        (_odd_number(a, 7), "numero_entrada_formato_invalido", a),
+        (filled(b) & _odd_number(b, 7), "numero_digitado_formato_invalido", b),
+    ]
+    return _rule_report(llamadas, ("problema", "casos_problematicos", "ejemplos_invalidos"), rules, [r[1] for r in rules], first=first)
+
+
 def date_validation(crudas: DataFrame, first: dt.date = dt.date(2020, 1, 1), last: dt.date = dt.date(2030, 12, 31)) -> DataFrame:
     day = parse_date(F.col("fecha"))
     rows = crudas.select(F.col("trimestre").alias("tabla"), "fecha")
@@ -291,11 +313,20 @@ def date_validation(crudas: DataFrame, first: dt.date = dt.date(2020, 1, 1), las
     return _rule_report(rows, ("problema", "casos_problematicos", "ejemplos_fechas_problematicas"), rules, [], extra=["tabla"])
 
 
+def invalid_dates(crudas: DataFrame, first_day: dt.date = dt.date(2020, 1, 1), last_day: dt.date = dt.date(2030, 12, 31), first: int = 10) -> DataFrame:
+    """The wording with one problem per quarter, which shows the first dates."""
+    day = parse_date(F.col("fecha"))
+    rows = crudas.select(F.col("trimestre").alias("tabla"), "fecha")
+    rules = [(day.isNull() | (day < F.lit(first_day)) | (day > F.lit(last_day)), "fechas_invalidas", F.col("fecha"))]
+    return _rule_report(rows, ("problema", "casos_problematicos", "ejemplos_fechas_problematicas"), rules, [], extra=["tabla"], first=first)
+
+
 def user_outliers(llamadas: DataFrame, mode: str = "position") -> DataFrame:
     """Callers far above the 95th percentile of volume (x2), zones and menus (x1.5).
 
-    mode='position' takes the element at floor(0.95 n); mode='interpolated'
-    the linear interpolation between neighbours.
+    mode='position' takes the element at floor(0.95 n) and shows 100 characters
+    of the callers; mode='interpolated' takes the linear interpolation between
+    neighbours and shows the first ten.
     """
     users = llamadas.where(F.col("numero_entrada").isNotNull()).groupBy("numero_entrada").agg(
         F.count("*").alias("v"), vocabulary("id_8T").alias("z"), vocabulary("menu").alias("m"))
@@ -312,7 +343,8 @@ def user_outliers(llamadas: DataFrame, mode: str = "position") -> DataFrame:
     # p is in hundredths and the factor in tenths, so the comparison stays in integers.
     far = long.join(F.broadcast(limits.select("tipo_outlier", "p")), "tipo_outlier").where(F.col("valor") * 1000 > F.col("p") * F.col("factor"))
     found = far.groupBy("tipo_outlier").agg(F.count("*").alias("n"), F.min("valor").alias("a"), F.max("valor").alias("b"))
-    listed = bounded_list(far, ["tipo_outlier"], "numero_entrada", 10, ",", "ejemplos_usuarios")
+    listed = bounded_list(far, ["tipo_outlier"], "numero_entrada", _LIST if mode == "position" else 10, ",", "ejemplos_usuarios")
+    listed = listed.withColumn("ejemplos_usuarios", _cut("ejemplos_usuarios")) if mode == "position" else listed
     frame = llamadas.sparkSession.createDataFrame([(m[0],) for m in metrics], "tipo_outlier string")
     return frame.join(found, "tipo_outlier", "left").join(listed, "tipo_outlier", "left").select(
         "tipo_outlier", F.coalesce("n", F.lit(0)).alias("cantidad_outliers"), F.col("a").alias("min_valor_outlier"),

@@ -141,10 +141,15 @@ def feature_preference(llamadas: DataFrame, min_rows: int = 10) -> DataFrame:
     c, keys = F.col, ["segmento", "menu", "opcion"]
     label = first_match([((c("n") >= 5) & (c("m") <= 2), "POWER_USER"), ((c("m") >= 4) & (c("n") <= 3), "EXPLORADOR"), (c("mins") > 10, "STRUGGLE_USER")], "REGULAR")
     segments = _menu_days(llamadas).select("numero_entrada", label.alias("segmento"))
-    rows = official(llamadas).join(success_days(llamadas), list(SESSION), "left").withColumn("_later", c("ultimo_exito") > c("hora_inicio_seg"))
-    found = rows.join(segments, "numero_entrada").groupBy(*keys).agg(
-        F.count("*").alias("frecuencia_uso"), F.count_distinct("numero_entrada").alias("usuarios_unicos"), mean(raw_seconds(), 1).alias("tiempo_promedio_seg"),
-        ratio(F.count_if("_later"), F.count("*"), 1).alias("tasa_exito_posterior_pct")).where(c("frecuencia_uso") >= min_rows)
+    # Rows are added up per caller, feature and second, then per caller and feature; only sums meet the days and the segments.
+    uses = official(llamadas).groupBy(*SESSION, "menu", "opcion", "hora_inicio_seg").agg(
+        F.count("*").alias("n"), F.sum(raw_seconds()).alias("s"), F.count(raw_seconds()).alias("k"))
+    later = F.when(c("ultimo_exito") > c("hora_inicio_seg"), c("n")).otherwise(F.lit(0))
+    per_caller = uses.join(success_days(llamadas), list(SESSION), "left").groupBy("numero_entrada", "menu", "opcion").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("k").alias("k"), F.sum(later).alias("l"))
+    found = per_caller.join(segments, "numero_entrada").groupBy(*keys).agg(
+        F.sum("n").alias("frecuencia_uso"), F.count("*").alias("usuarios_unicos"), ratio(F.sum("s"), F.sum("k"), 1, 1).alias("tiempo_promedio_seg"),
+        ratio(F.sum("l"), F.sum("n"), 1).alias("tasa_exito_posterior_pct")).where(c("frecuencia_uso") >= min_rows)
     share_ = ratio(c("frecuencia_uso"), F.sum("frecuencia_uso").over(Window.partitionBy("segmento")), 1)  # one row per feature
     part, won = c("preferencia_segmento_pct"), c("tasa_exito_posterior_pct")
     return found.withColumn("preferencia_segmento_pct", share_).withColumn("recomendacion_personalizacion", first_match([

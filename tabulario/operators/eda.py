@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabulario.functions.exact import cents, deviation, figure, mean, mean_of_rounded, ratio, share, variance
 from tabulario.functions.text import day_name, stamp, vocabulary
 from tabulario.plans.order_stats import ntile_start, order_statistics, percentile_rank
-from tabulario.plans.shape import first_match, rows_of, top_per_key
+from tabulario.plans.shape import first_match, rows_of, salted_join, top_per_key, with_distinct_counts
 from tabulario.sources.periods import Periods
 
 # Words that stand for a missing category.
@@ -160,21 +160,26 @@ def consistency_report(productos: DataFrame, periods: Periods, ids: Sequence[int
     ordered, timed = F.count_if(~_inverted()), F.count(_seconds())
     agree, flagged = F.count_if(_flags_agree()), F.count_if(F.col("cSeleccion").isNotNull() & F.col("cIOT").isNotNull())
     positive, known = F.count_if(F.col("cProducto") > 0), F.count("cProducto")
-    counts = _rows(productos, ids).groupBy("trimestre").agg(
+    rows = _rows(productos, ids)
+    counts = rows.groupBy("trimestre").agg(
         F.count("*").alias("total_registros"), _count(_inverted(), "violaciones_orden_temporal"),
         _count(_seconds() > 28800, "sesiones_excesivas_8h"), _count(_seconds() < 60, "sesiones_muy_cortas_1min"),
         _count(F.col("cHInicio_seg") < 6 * 3600, "inicio_muy_temprano"), _count(F.col("cHFin_seg") > 23 * 3600, "fin_muy_tarde"),
         _count(_selected_only(), "seleccionado_sin_iot"), _count(_iot_only(), "no_seleccionado_con_iot"),
         _count(F.col("cSeleccion").isNull() | F.col("cIOT").isNull(), "logica_negocio_nula"),
         _count(~F.col("cSeleccion").isin(0, 1), "seleccion_fuera_rango"), _count(~F.col("cIOT").isin(0, 1), "iot_fuera_rango"),
-        _logical_duplicates().alias("duplicados_logicos_mismo_dia"),
-        (F.count("*") - F.count_distinct("cProducto", "cIDT", "cHInicio_seg", "cHFin_seg")).alias("duplicados_exactos_horario"),
         _count(F.col("cProducto") <= 0, "productos_invalidos_cero_negativo"),
         _count(_too_early(periods) | _too_late(periods), "fechas_fuera_rango_trimestre"),
         _count(_weekend(), "registros_fines_semana"), _count(F.hour("cFecha").between(0, 5), "registros_madrugada"),
         ordered.alias("_o"), timed.alias("_t"), agree.alias("_a"), flagged.alias("_f"), positive.alias("_p"), known.alias("_k"),
     )
 
+    # Rows beyond the first of each combination, rows with a NULL part included.
+    counts = with_distinct_counts(counts, rows, ["trimestre"], {
+        "duplicados_logicos_mismo_dia": ["cProducto", _day(), "cIDT"], "duplicados_exactos_horario": ["cProducto", "cIDT", "cHInicio_seg", "cHFin_seg"],
+    })
+    counts = counts.withColumns({c: F.col("total_registros") - F.col(c) for c in ("duplicados_logicos_mismo_dia", "duplicados_exactos_horario")})
+
     def pct(num: str, den: str) -> Column:
         return F.col(num) * 100.0 / F.nullif(F.col(den), F.lit(0).cast("bigint"))
 
@@ -464,17 +469,40 @@ def logical_duplicates(productos: DataFrame, ids: Sequence[int] | None = None) -
 
 
 def category_pareto(productos: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
-    """Cumulative frequency of categories; equal frequencies accumulate together."""
+    """Cumulative frequency of categories; equal frequencies accumulate together.
+
+    Running totals are taken over the different frequencies, of which there are
+    about as many as the root of the row count, and positions for the deciles
+    inside a frequency and the first letters of the category, so an open
+    vocabulary, most of which occurs once, is never in one task.
+    """
     freq = _rows(productos, ids).where(_text()).groupBy("trimestre", "cCategoria").agg(F.count("*").alias("frecuencia"))
-    whole = Window.partitionBy("trimestre")  # one row per category
-    peers = whole.orderBy(F.col("frecuencia").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    pct = F.col("porcentaje")
-    return freq.withColumn("porcentaje", ratio(F.col("frecuencia"), F.sum("frecuencia").over(whole))).select(
-        "trimestre", "cCategoria", "frecuencia", "porcentaje", F.sum("frecuencia").over(peers).alias("frecuencia_acumulada"),
-        (F.sum(cents(pct)).over(peers) / 100).alias("porcentaje_acumulado"),
+    freq = freq.withColumn("_letters", F.left("cCategoria", F.lit(2)))
+    cell = ["trimestre", "frecuencia", "_letters"]
+    cells = freq.groupBy(*cell).agg(F.count("*").alias("_k"))
+    n, k = F.col("frecuencia"), F.col("_k")
+    whole = Window.partitionBy("trimestre")
+    down = whole.orderBy(n.desc())
+    peers, above = down.rangeBetween(Window.unboundedPreceding, 0), Window.unboundedPreceding
+    # One row per frequency: totals, share, and the running sums with all categories of the frequency.
+    levels = cells.groupBy("trimestre", "frecuencia").agg(F.sum("_k").alias("_k")).withColumns({"_t": F.sum(n * k).over(whole), "_c": F.sum("_k").over(whole)})
+    levels = levels.withColumn("porcentaje", ratio(n, F.col("_t"))).withColumns({
+        "frecuencia_acumulada": F.sum(n * k).over(peers), "porcentaje_acumulado": F.sum(cents(F.col("porcentaje")) * k).over(peers) / 100,
+        "_first": F.coalesce(F.sum("_k").over(down.rowsBetween(above, -1)), F.lit(0)),
+    }).drop("_k")
+    inside = Window.partitionBy("trimestre", "frecuencia").orderBy("_letters").rowsBetween(above, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_k").over(inside), F.lit(0))).drop("_k").join(levels, ["trimestre", "frecuencia"])
+    own = F.row_number().over(Window.partitionBy(*cell).orderBy("cCategoria"))
+    placed = freq.withColumn("_own", own).join(cells, cell).withColumn("_at", F.col("_first") + F.col("_before") + F.col("_own"))
+    # NTILE(10): the first `rest` tiles have one row more.
+    size, rest, pct = F.expr("_c div 10"), F.col("_c") % 10, F.col("porcentaje")
+    wide = rest * (size + 1)
+    tile = F.when(F.col("_at") <= wide, F.ceil(F.col("_at") / (size + 1))).otherwise(rest + F.ceil((F.col("_at") - wide) / F.greatest(size, F.lit(1))))
+    return placed.select(
+        "trimestre", "cCategoria", "frecuencia", "porcentaje", "frecuencia_acumulada", "porcentaje_acumulado",
         first_match([(pct >= 20, "CATEGORÍA_DOMINANTE"), (pct >= 5, "CATEGORÍA_IMPORTANTE"), (pct >= 1, "CATEGORÍA_MENOR")],
                     "CATEGORÍA_RARA").alias("clasificacion_categoria"),
-        F.ntile(10).over(whole.orderBy(F.col("frecuencia").desc(), "cCategoria")).alias("decil_frecuencia"),
+        tile.cast("int").alias("decil_frecuencia"),
     )
 
 
@@ -528,10 +556,10 @@ def _expected(row: Column, column: Column, total: Column) -> Column:
 
 
 def _with_margins(cells: DataFrame, rows: str, columns: str) -> DataFrame:
-    """Cell counts `n` with quarter, row and column totals, each aggregated and joined back."""
+    """Cell counts `n` with quarter, row and column totals; cells of one row or column are spread over several tasks."""
     out = cells.join(F.broadcast(cells.groupBy("trimestre").agg(F.sum("n").alias("_t"))), "trimestre")
-    out = out.join(cells.groupBy("trimestre", rows).agg(F.sum("n").alias("_r")), ["trimestre", rows])
-    return out.join(cells.groupBy("trimestre", columns).agg(F.sum("n").alias("_c")), ["trimestre", columns])
+    out = salted_join(out, cells.groupBy("trimestre", rows).agg(F.sum("n").alias("_r")), ["trimestre", rows], [columns])
+    return salted_join(out, cells.groupBy("trimestre", columns).agg(F.sum("n").alias("_c")), ["trimestre", columns], [rows])
 
 
 def contingency(productos: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
@@ -650,7 +678,9 @@ def anomaly_scores(productos: DataFrame, ids: Sequence[int] | None = None, min_c
     ]
     found = F.filter(F.array(*[F.when(c, F.lit(t)) for c, t in rules]), lambda x: x.isNotNull())
     score = F.col("score_anomalia_total")
-    return rows.join(common, ["trimestre", "cCategoria"], "left").withColumn("_d", found).withColumn("score_anomalia_total", F.size("_d")).where(
+    # A few categories, and rows without one, may be most of the table.
+    dealt = salted_join(rows, common, ["trimestre", "cCategoria"], ["cIDT", "cFecha", "cProducto"], "left")
+    return dealt.withColumn("_d", found).withColumn("score_anomalia_total", F.size("_d")).where(
         score > 0).select(
         "trimestre", "cProducto", "cIDT", "cCategoria", stamp(F.col("cFecha")).alias("cFecha"), "score_anomalia_total",
         first_match([(score >= 3, "ANOMALÍA_CRÍTICA"), (score == 2, "ANOMALÍA_MODERADA")], "ANOMALÍA_LEVE").alias("clasificacion_anomalia"),

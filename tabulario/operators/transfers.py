@@ -206,18 +206,19 @@ def redirection_edges(llamadas: DataFrame) -> DataFrame:
 
 
 def redirection_nodes(llamadas: DataFrame) -> DataFrame:
-    """Degree and weight of callers (out) and destinations (in)."""
+    """Kind, degree and weight of callers (out) and destinations (in); what is both counts as a caller."""
     edges = llamadas.where(F.col("numero_entrada").isNotNull() & redirected()).groupBy("numero_entrada", "id_CTransferencia").agg(F.count("*").alias("w"))
     zero = F.lit(0).cast("bigint")
 
     def side(col: str, out: bool) -> DataFrame:
         deg, weight = F.count("*"), F.sum("w")
         return edges.groupBy(F.col(col).alias("nodo")).agg(
+            F.lit("USUARIO" if out else "DESTINO").alias("tipo_nodo"),
             (deg if out else zero).alias("grado_salida"), (zero if out else deg).alias("grado_entrada"),
             (weight if out else zero).alias("peso_total_salida"), (zero if out else weight).alias("peso_total_entrada"))
 
     cols = ["grado_salida", "grado_entrada", "peso_total_salida", "peso_total_entrada"]
-    return side("numero_entrada", True).unionByName(side("id_CTransferencia", False)).groupBy("nodo").agg(*[F.sum(c).alias(c) for c in cols])
+    return side("numero_entrada", True).unionByName(side("id_CTransferencia", False)).groupBy("nodo").agg(F.max("tipo_nodo").alias("tipo_nodo"), *[F.sum(c).alias(c) for c in cols])
 
 
 def official_vs_derived(llamadas: DataFrame, periods: Periods) -> DataFrame:

@@ -82,7 +82,7 @@ productos AS (SELECT CASE WHEN k % 25 = 0 THEN NULL WHEN k % 25 = 1 THEN -1 ELSE
 LLAMADAS = EV + """,
 llamadas AS (SELECT event_id AS idRe,
  CASE WHEN k = 99 THEN NULL ELSE cast(2185000000 + user_id AS VARCHAR) END AS numero_entrada,
- CASE WHEN k % 10 = 0 THEN NULL WHEN k % 10 <= 3 THEN cast(2185000000 + (user_id * 7 + k) % 150 AS VARCHAR) ELSE cast(2185000000 + user_id AS VARCHAR) END AS numero_digitado,
+ CASE WHEN k % 10 = 0 THEN NULL WHEN k % 10 <= 3 THEN cast(2185000000 + user_id + k % 7 - 3 AS VARCHAR) ELSE cast(2185000000 + user_id AS VARCHAR) END AS numero_digitado,
  CASE event_type WHEN 'click' THEN (CASE WHEN k % 2 = 0 THEN 'RES-SP_2024' ELSE 'RES-ContratacionIfm_2024' END)
    WHEN 'view' THEN (CASE k % 4 WHEN 0 THEN 'SDO' WHEN 1 THEN 'DASHBOARD' WHEN 2 THEN 'SELECCION' ELSE 'PROCESO' END)
    WHEN 'purchase' THEN (CASE WHEN k % 3 = 0 THEN 'comercial_11' ELSE 'comercial_5' END)
@@ -107,7 +107,7 @@ CRUDAS = EV + """,
 cr AS (SELECT CASE WHEN dd < DATE '2024-01-11' THEN 'Q01_24' WHEN dd < DATE '2024-01-21' THEN 'Q02_24' ELSE 'Q03_24' END AS trimestre,
  CASE WHEN k % 50 = 21 THEN event_id % 1000 ELSE event_id END AS idRe,
  CASE k WHEN 99 THEN NULL WHEN 98 THEN '0000000' WHEN 97 THEN '123' WHEN 96 THEN 'ABC123' WHEN 95 THEN '' ELSE cast(2185000000 + user_id AS VARCHAR) END AS numero_entrada,
- CASE WHEN k % 10 = 0 THEN NULL WHEN k = 11 THEN '' WHEN k = 12 THEN '12' WHEN k = 13 THEN '12-34-56' ELSE cast(2185000000 + (user_id * 7 + k) % 150 AS VARCHAR) END AS numero_digitado,
+ CASE WHEN k % 10 = 0 THEN NULL WHEN k = 11 THEN '' WHEN k = 12 THEN '12' WHEN k = 13 THEN '12-34-56' ELSE cast(2185000000 + user_id + k % 7 - 3 AS VARCHAR) END AS numero_digitado,
  CASE k % 12 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'cte_colgo' WHEN 3 THEN 'SDO' ELSE event_type END AS menu,
  CASE WHEN k % 7 = 0 THEN '' ELSE cast(k % 7 AS VARCHAR) END AS opcion,
  CASE k % 6 WHEN 0 THEN cast(9000 + k % 4 AS VARCHAR) WHEN 1 THEN '' WHEN 2 THEN 'EXT-1' ELSE NULL END AS id_CTransferencia,

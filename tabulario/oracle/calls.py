@@ -41,19 +41,22 @@ OK = "numero_entrada IS NOT NULL AND menu IS NOT NULL AND fecha IS NOT NULL"
 USERS = "u AS (SELECT numero_entrada, count(*) AS v, count(DISTINCT id_8T) AS z, count(DISTINCT menu) AS m FROM c WHERE numero_entrada IS NOT NULL GROUP BY 1)"
 
 
-def outliers(p: str) -> str:
+def outliers(p: str, first: int | None = None) -> str:
     def one(name: str, col: str, factor: str) -> str:
+        shown = "string_agg(numero_entrada, ',' ORDER BY numero_entrada)"
+        shown = shown if first else f"left({shown}, 100)"
         return f"""SELECT '{name}' AS tipo_outlier, count(*) AS cantidad_outliers, min({col}) AS min_valor_outlier, max({col}) AS max_valor_outlier,
- (SELECT string_agg(numero_entrada, ',' ORDER BY numero_entrada) FROM (SELECT numero_entrada FROM u WHERE {col} > {p.format(c=col)} * {factor} ORDER BY 1 LIMIT 10)) AS ejemplos_usuarios
+ (SELECT {shown} FROM (SELECT numero_entrada FROM u WHERE {col} > {p.format(c=col)} * {factor} ORDER BY 1 LIMIT {first or 101})) AS ejemplos_usuarios
  FROM u WHERE {col} > {p.format(c=col)} * {factor}"""
     return s(USERS, " UNION ALL ".join([one("usuarios_outliers_volumen", "v", "2"), one("usuarios_outliers_geograficos", "z", "1.5"), one("usuarios_outliers_diversidad", "m", "1.5")]))
 
 
-def rules(src: str, names: tuple[str, str, str], items: list[tuple[str, str, str]], extra: str = "") -> str:
+def rules(src: str, names: tuple[str, str, str], items: list[tuple[str, str, str]], first: int | None = None) -> str:
     a, b, e = names
     parts = []
     for cond, name, value in items:
-        inner = f"(SELECT left(string_agg(v, ',' ORDER BY v), 100) FROM (SELECT DISTINCT {value} AS v FROM {src} WHERE {cond} ORDER BY v LIMIT 101))"
+        shown = "string_agg(v, ',' ORDER BY v)" if first else "left(string_agg(v, ',' ORDER BY v), 100)"
+        inner = f"(SELECT {shown} FROM (SELECT DISTINCT {value} AS v FROM {src} WHERE {cond} ORDER BY v LIMIT {first or 101}))"
         parts.append(f"SELECT '{name}' AS {a}, count(*) AS {b}, {inner} AS {e} FROM {src} WHERE {cond}")
     return " UNION ALL ".join(parts)
 
@@ -62,10 +65,10 @@ def odd(c: str, lo: int, ones: bool = False) -> str:
     return f"(strlen({c}) NOT BETWEEN {lo} AND 15 OR NOT regexp_matches({c}, '^[0-9]+$') OR regexp_matches({c}, '^0+$')" + (f" OR regexp_matches({c}, '^1+$'))" if ones else ")")
 
 
-def formats(lo: int, ones: bool) -> str:
-    return r(rules("crudas", ("problema", "casos_problematicos", "ejemplos_sospechosos"), [
-        (odd("numero_entrada", lo, ones), "numero_entrada_formato_sospechoso", "numero_entrada"),
-        (f"{full('numero_digitado')} AND {odd('numero_digitado', lo)}", "numero_digitado_formato_sospechoso", "numero_digitado")]))
+def formats(lo: int, ones: bool, word: str, sample: str, first: int | None = None) -> str:
+    return r(rules("crudas", ("problema", "casos_problematicos", sample), [
+        (odd("numero_entrada", lo, ones), f"numero_entrada_formato_{word}", "numero_entrada"),
+        (f"{full('numero_digitado')} AND {odd('numero_digitado', lo)}", f"numero_digitado_formato_{word}", "numero_digitado")], first))
 
 
 SQL = {
@@ -100,12 +103,15 @@ UNION ALL SELECT 'numero_entrada_cardinalidad', trimestre, count(*) FILTER (WHER
         (f"{full('nidMQ')} AND {blank('numero_digitado')}", "nidMQ_sin_numero_digitado", "nidMQ"),
         (f"{full('id_CTransferencia')} AND NOT regexp_matches(id_CTransferencia, '^[0-9]+$')", "id_CTransferencia_invalido", "id_CTransferencia")]) + ")",
         "SELECT *, CASE tipo_problema WHEN 'cIdentifica_patron_anomalo' THEN 'Valores que no siguen patrón esperado' WHEN 'nidMQ_sin_numero_digitado' THEN 'nidMQ poblado pero numero_digitado nulo' ELSE 'Valores de transferencia que no siguen patrón esperado' END AS descripcion FROM x"),
-    "c17_number_formats": formats(4, True),
-    "c17_number_formats_strict": formats(7, False),
+    "c17_number_formats": formats(4, True, "sospechoso", "ejemplos_sospechosos"),
+    "c17_invalid_numbers": formats(7, False, "invalido", "ejemplos_invalidos", 10),
+    "c18_invalid_dates": r("""x AS (SELECT trimestre AS tabla, fecha FROM crudas WHERE dia IS NULL OR dia < DATE '2020-01-01' OR dia > DATE '2030-12-31')""",
+        """SELECT 'fechas_invalidas' AS problema, tabla, count(*) AS casos_problematicos,
+ array_to_string(list_sort(list_distinct(list(fecha)))[:10], ',') AS ejemplos_fechas_problematicas FROM x GROUP BY 2"""),
     "c18_date_validation": r("x AS (SELECT trimestre AS tabla, fecha, CASE WHEN dia IS NULL THEN 'fechas_no_convertibles' WHEN dia < DATE '2020-01-01' OR dia > DATE '2030-12-31' THEN 'fechas_fuera_rango' END AS problema FROM crudas)",
         f"SELECT problema, tabla, count(*) AS casos_problematicos, left({lst('fecha')}, 100) AS ejemplos_fechas_problematicas FROM x WHERE problema IS NOT NULL GROUP BY 1, 2"),
     "c19_user_outliers": outliers("(SELECT list({c} ORDER BY {c})[least(count(*) - 1, count(*) * 95 // 100)::INT + 1] FROM u)"),
-    "c19_user_outliers_interpolated": outliers("(SELECT quantile_cont({c}, 0.95) FROM u)"),
+    "c19_user_outliers_interpolated": outliers("(SELECT quantile_cont({c}, 0.95) FROM u)", 10),
     "c20_quality_scores": r(f"x AS (SELECT trimestre AS tabla, count(*) AS total_registros, {n('invertido', 'timestamps_invertidos')}, {n('numero_entrada IS NULL OR menu IS NULL', 'campos_criticos_nulos')}, {n('dia IS NULL', 'fechas_invalidas')} FROM crudas GROUP BY 1), y AS (SELECT *, {ratio('total_registros * 10 - timestamps_invertidos * 3 - campos_criticos_nulos * 4 - fechas_invalidas * 3', 'total_registros * 10')} AS score_calidad, total_registros - timestamps_invertidos - campos_criticos_nulos - fechas_invalidas AS registros_limpios FROM x)",
         f"SELECT *, {ratio('registros_limpios', 'total_registros')} AS porcentaje_utilizable, CASE WHEN score_calidad >= 90 THEN 'EXCELENTE' WHEN score_calidad >= 75 THEN 'BUENA' WHEN score_calidad >= 60 THEN 'REGULAR' WHEN score_calidad >= 40 THEN 'MALA' ELSE 'CRITICA' END AS clasificacion_calidad FROM y"),
     "c21_cleaning_impact": s(SCEN.format(ok=OK + " AND NOT inv"), SCEN_OUT),
@@ -123,3 +129,14 @@ UNION ALL SELECT 'numero_entrada_cardinalidad', trimestre, count(*) FILTER (WHER
     "c25_number_bounds": s("SELECT min(numero_entrada) AS min_numero_entrada, max(numero_entrada) AS max_numero_entrada, min(numero_digitado) AS min_numero_digitado, max(numero_digitado) AS max_numero_digitado, count(DISTINCT menu) AS menus_distintos, count(DISTINCT opcion) AS opciones_distintas FROM c"),
     "c26_quarter_quality": s(f"SELECT trimestre, count(*) AS total_registros, {n(blank('menu'), 'menu_faltante')}, {n(blank('opcion'), 'opcion_faltante')}, {n(blank('etiquetas'), 'etiquetas_faltantes')}, {n('''etiquetas LIKE '%,,' ''', 'etiquetas_doble_coma')}, {n('''etiquetas LIKE '%,' ''', 'etiquetas_coma_final')}, {n('numero_entrada = numero_digitado', 'sin_transferencia')}, {n('numero_entrada <> coalesce(numero_digitado, numero_entrada)', 'con_transferencia')}, {ratio('count(*) * 10 - count(*) FILTER (WHERE ' + blank('menu') + ') * 2 - count(*) FILTER (WHERE ' + blank('etiquetas') + ''') * 3 - count(*) FILTER (WHERE etiquetas LIKE '%,')''', 'count(*) * 10')} AS score_calidad FROM c GROUP BY 1"),
 }
+SQL["c07_repeated_ids_first_ten"] = SQL["c07_repeated_ids"].replace(
+    "left(string_agg(idRe::VARCHAR, ',' ORDER BY k DESC, idRe), 100)", "(SELECT string_agg(idRe::VARCHAR, ',' ORDER BY k DESC, idRe) FROM (FROM d ORDER BY k DESC, idRe LIMIT 10))")
+SQL["c12_inverted_times_first_ten"] = SQL["c12_inverted_times"].replace(
+    f"left({lst('CASE WHEN inv THEN menu END')}, 100)", "array_to_string(list_sort(list_distinct(list(menu) FILTER (WHERE inv AND menu IS NOT NULL)))[:10], ',')")
+_OTHER = "CASE WHEN base_inicio <> '01/01/1900' THEN hora_inicio END"
+SQL["c13_base_dates_first_three"] = SQL["c13_base_dates"].replace(
+    f"left(string_agg(DISTINCT {_OTHER}, ',' ORDER BY {_OTHER}), 100)",
+    "array_to_string(list_sort(list_distinct(list(hora_inicio) FILTER (WHERE base_inicio <> '01/01/1900')))[:3], ',')")
+# The quarterly tables hold the rows of the raw log, so reading them as one gives the figures of the whole.
+SQL["p02_scores_of_quarterly_tables"] = SQL["c20_quality_scores"]
+SQL["p03_ids_of_quarterly_tables"] = SQL["c07_repeated_ids"]

@@ -132,7 +132,7 @@ SELECT 'RESUMEN_ESTADÍSTICO_EJECUTIVO' AS tipo_reporte, {', '.join(f"coalesce(m
     "e21_iqr_outliers": s(OUTLIERS, "SELECT * FROM outl"),
     "e21_iqr_outliers_true_quartiles": s(OUTLIERS.replace("t = 3", "t = 4").replace("t = 1)", "t = 2)"), "SELECT * FROM outl"),
     "e22_rare_combinations": s(f"SELECT trimestre, cIDT, cCategoria, cSeleccion, cIOT, count(*) AS frecuencia_combinacion, {ratio('count(*)', 'sum(count(*)) OVER (PARTITION BY trimestre)', 4)} AS porcentaje_total, CASE WHEN count(*) = 1 THEN 'COMBINACIÓN_ÚNICA' WHEN count(*) <= 3 THEN 'COMBINACIÓN_RARA' WHEN count(*) >= 100 THEN 'COMBINACIÓN_COMÚN' ELSE 'COMBINACIÓN_NORMAL' END AS clasificacion_frecuencia FROM p GROUP BY 1, 2, 3, 4, 5"),
-    "e23_exact_duplicates": s("pp AS (SELECT * FROM p UNION ALL SELECT * FROM p WHERE cIDT % 10 = 0)", f"SELECT trimestre, cProducto, cIDT, cCategoria, cSeleccion, cIOT, {STAMP} AS cFecha, cHInicio_seg, cHFin_seg, count(*) AS veces_duplicado, 'DUPLICADO_EXACTO' AS tipo_duplicado FROM pp GROUP BY trimestre, cProducto, cIDT, cCategoria, cSeleccion, cIOT, pp.cFecha, cHInicio_seg, cHFin_seg HAVING count(*) > 1"),
+    "e23_exact_duplicates": s("pp AS (SELECT * REPLACE (trunc(cProducto / 10000000.0)::BIGINT AS cProducto, date_trunc('hour', cFecha) AS cFecha, (trunc(cHInicio_seg / 3600.0) * 3600)::INT AS cHInicio_seg, (trunc(cHFin_seg / 3600.0) * 3600)::INT AS cHFin_seg) FROM p)", f"SELECT trimestre, cProducto, cIDT, cCategoria, cSeleccion, cIOT, {STAMP} AS cFecha, cHInicio_seg, cHFin_seg, count(*) AS veces_duplicado, 'DUPLICADO_EXACTO' AS tipo_duplicado FROM pp GROUP BY trimestre, cProducto, cIDT, cCategoria, cSeleccion, cIOT, pp.cFecha, cHInicio_seg, cHFin_seg HAVING count(*) > 1"),
     "e24_logical_duplicates": s("SELECT trimestre, cProducto, cIDT, dia AS fecha_solo, count(*) AS registros_mismo_dia, string_agg(DISTINCT cCategoria, ', ' ORDER BY cCategoria) AS categorias_diferentes, count(DISTINCT cCategoria) AS num_categorias_distintas, 'DUPLICADO_LOGICO' AS tipo_duplicado FROM p GROUP BY 1, 2, 3, 4 HAVING count(*) > 1"),
     "e25_category_pareto": s(f"f AS (SELECT trimestre, cCategoria, count(*) AS frecuencia, {ratio('count(*)', 'sum(count(*)) OVER (PARTITION BY trimestre)')} AS porcentaje FROM p WHERE {TEXT} GROUP BY 1, 2)", """
 SELECT trimestre, cCategoria, frecuencia, porcentaje, sum(frecuencia) OVER w::BIGINT AS frecuencia_acumulada, (sum(round(porcentaje * 100)::BIGINT) OVER w)::DOUBLE / 100 AS porcentaje_acumulado,
@@ -176,3 +176,4 @@ SELECT *, CASE WHEN abs(skewness_aprox) < 0.5 AND abs(curtosis_aprox) < 0.5 THEN
     "e42_chi_square": s("c AS (SELECT trimestre, cSeleccion AS r, cCategoria, count(*) AS n FROM p WHERE cCategoria IS NOT NULL AND cSeleccion IS NOT NULL GROUP BY 1, 2, 3)", MARG, f"""SELECT trimestre, 'Chi_Cuadrado_Independencia' AS test, r AS cSeleccion, cCategoria, n AS freq_observada, {ratio('nr * nc', 't', 2, 1)} AS freq_esperada,
  round(pow(n - nr::DOUBLE * nc / t, 2) / (nr::DOUBLE * nc / t), 4) AS contribucion_chi2, round((n - nr::DOUBLE * nc / t) / sqrt(nr::DOUBLE * nc / t), 2) AS residuo_estandarizado FROM m"""),
 }
+SQL["e02_null_profile_of_ids"] = SQL["e02_null_profile"].replace(P, P.replace("FROM productos JOIN", "FROM (SELECT * FROM productos WHERE cIDT BETWEEN 1 AND 50) productos JOIN"))

@@ -81,3 +81,5 @@ g AS (SELECT cluster_comportamiento, count(*) AS usuarios_en_cluster, {mean('n',
     "j16_zone_totals": s(f"SELECT id_8T AS zona, count(*) AS total_interacciones, {USR} AS usuarios_unicos, count(DISTINCT fecha) AS dias_activos, {PUD} AS promedio_bruto_diario, {n(EQ, 'oficiales')}, {n(DIF, 'derivadas')}, {share(EQ, 1)} AS pct_oficiales FROM c GROUP BY 1"),
     "j17_division_area": s(f"SELECT division, area, count(*) AS total_interacciones, {USR} AS usuarios_unicos, count(*)::DOUBLE AS promedio_por_area, {n(EQ, 'numeros_iguales')}, {n(DIF, 'numeros_diferentes')}, count(DISTINCT menu || ':' || opcion) AS diversidad_navegacion, count(DISTINCT id_8T) AS zonas_geograficas FROM c WHERE division IS NOT NULL AND area IS NOT NULL GROUP BY 1, 2"),
 }
+SQL["j03_step_rows"] = s(f"""SELECT numero_entrada, fecha, idRe, row_number() OVER w AS paso, count(*) OVER (PARTITION BY numero_entrada, fecha) AS pasos, lag(idRe) OVER w AS anterior
+ FROM c WHERE {KN} WINDOW w AS (PARTITION BY numero_entrada, fecha ORDER BY {ST}, idRe)""")

@@ -19,6 +19,10 @@ def s(*parts: str) -> str:
     return q(VENTAS, SALES_PERIODS, V, *parts)
 
 
+# The quarters of the whole sales table.
+CALENDAR = """per AS (SELECT concat('Q0', q, '_', lpad((y % 100)::VARCHAR, 2, '0')) AS trimestre, make_date(y, 3 * q - 2, 1) AS inicio, last_day(make_date(y, 3 * q, 1)) AS fin,
+ ((y - 1992) * 4 + q)::INT AS orden FROM range(1992, 2000) ys(y), range(1, 5) qs(q))"""
+
 SQL = {
     "s01_pre_check": s("""SELECT per.trimestre, per.inicio AS fecha_inicio, per.fin AS fecha_fin, count(v.trimestre) AS registros_existentes,
  count(DISTINCT v.categoria) AS categorias_distintas FROM per LEFT JOIN v USING (trimestre) GROUP BY ALL"""),
@@ -124,3 +128,4 @@ SELECT 'ÍNDICE_ESTABILIDAD_CATÁLOGO' AS metrica, {ratio('s', 'n')} AS porcenta
     "s38_rows_without_category": s("""SELECT organizacion, trimestre, count(*) AS registros_sin_categoria FROM v
  WHERE categoria IS NULL OR trim(categoria) = '' OR categoria = 'sin categoria' GROUP BY 1, 2"""),
 }
+SQL |= {f"{key}_all_quarters": SQL[key].replace(SALES_PERIODS, CALENDAR) for key in ("s02_distinct_products", "s07_org_quarter_metrics", "s11_category_products")}

@@ -44,7 +44,7 @@ SQL = {
     "t06_pairs_by_quarter_totals": s(f"k AS (SELECT numero_entrada, numero_digitado, trimestre, {DET} FROM c WHERE {KEPT} GROUP BY 1, 2, 3)", f"""SELECT numero_entrada, numero_digitado, sum(frecuencia_combinacion)::BIGINT AS frecuencia_combinacion, {lst('menu_opciones_usadas', ' | ')} AS menu_opciones_usadas, {lst('etiquetas_patron', ' | ')} AS etiquetas_patron, {lst('zonas_afectadas')} AS zonas_afectadas,
  {lst('divisiones_areas', ' | ')} AS divisiones_areas, sum(dias_activos)::BIGINT AS total_dias_activos, min(primera_aparicion) AS primera_aparicion, max(ultima_aparicion) AS ultima_aparicion, {lst('trimestre')} AS trimestres_activos FROM k GROUP BY 1, 2 ORDER BY sum(k.frecuencia_combinacion) DESC, numero_entrada, numero_digitado NULLS FIRST LIMIT 15"""),
     "t07_top_pairs_per_quarter": s(f"SELECT trimestre, numero_entrada, numero_digitado, {DET} FROM c WHERE {KEPT} GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY trimestre {ORD}) <= 5"),
-    "t08_appearance_dates": s(f"k AS (SELECT DISTINCT numero_entrada, numero_digitado FROM c WHERE trimestre = 'Q01_24' AND {KEPT})", f"SELECT numero_entrada, numero_digitado, min(fecha) AS primera_aparicion, max(fecha) AS ultima_aparicion FROM c WHERE {KEPT} AND EXISTS (SELECT 1 FROM k WHERE k.numero_entrada = c.numero_entrada AND k.numero_digitado IS NOT DISTINCT FROM c.numero_digitado) GROUP BY 1, 2"),
+    "t08_appearance_dates": s(f"k AS (SELECT DISTINCT numero_entrada, numero_digitado FROM c WHERE {KEPT})", f"SELECT numero_entrada, numero_digitado, min(fecha) AS primera_aparicion, max(fecha) AS ultima_aparicion FROM c WHERE {KEPT} AND EXISTS (SELECT 1 FROM k WHERE k.numero_entrada = c.numero_entrada AND k.numero_digitado IS NOT DISTINCT FROM c.numero_digitado) GROUP BY 1, 2"),
     "t09_pair_summary": s(f"SELECT numero_entrada, numero_digitado, count(*) AS frecuencia_combinacion, {lst('menu')} || ':' || {lst('opcion')} AS menu_opciones_usadas, count(DISTINCT fecha) AS dias_activos, min(fecha) AS primera_aparicion, max(fecha) AS ultima_aparicion FROM c WHERE {KEPT} GROUP BY 1, 2 {ORD} LIMIT 15"),
     "t10_transfer_variants": s(f"k AS (SELECT idRe, numero_entrada, numero_digitado, coalesce({STRICT}, false) AS strict, coalesce({KEPT}, false) AS null_kept, coalesce(numero_entrada IS NOT NULL AND (numero_digitado IS NULL OR {STRICT}), false) AS explicit_null, coalesce(trim(numero_entrada) <> coalesce(trim(numero_digitado), '') AND trim(numero_entrada) <> '', false) AS trimmed FROM c)", "SELECT * FROM k WHERE strict OR null_kept OR explicit_null OR trimmed"),
     "t11_redirections": s(f"""SELECT id_CTransferencia, count(*) AS frecuencia_redireccion, count(DISTINCT numero_entrada) AS usuarios_redirigidos, {lst("menu || ':' || opcion", ', ')} AS menus_que_redirigen, {lst("division || '-' || area", ', ')} AS contexto_organizacional, {lst('etiquetas', ' | ')} AS patron_etiquetas,
@@ -58,7 +58,7 @@ p AS (SELECT *, CASE WHEN red > 0 AND dest > 2 THEN 'USUARIO_MULTI_REDIRECCION'
     "t15_transfer_network": s(f"""SELECT numero_entrada, numero_digitado, count(*) AS frecuencia_transferencia, {lst("menu || ':' || opcion", ', ')} AS menus_generadores, {lst("division || '-' || area", ', ')} AS contexto_organizacional, {lst('etiquetas', ' | ')} AS patron_etiquetas, count(DISTINCT fecha) AS dias_activos, min(fecha) AS primera_transferencia, max(fecha) AS ultima_transferencia,
  CASE WHEN EXISTS (SELECT 1 FROM c b WHERE b.numero_entrada = a.numero_digitado AND b.numero_digitado = a.numero_entrada) THEN 'SI' ELSE 'NO' END AS es_bidireccional FROM c a WHERE {STRICT} AND numero_digitado <> '' GROUP BY 1, 2 {ORD} LIMIT 25"""),
     "t16_redirection_edges": s(f"SELECT numero_entrada AS nodo_origen, id_CTransferencia AS nodo_destino, count(*) AS peso_conexion, count(DISTINCT fecha) AS dias_conexion, {lst('menu')} AS menus_generadores, {lst(chr(100) + 'ivision || ' + chr(39) + '-' + chr(39) + ' || area')} AS ubicaciones, avg(abs(hora_fin_seg - hora_inicio_seg)) AS duracion_promedio_antes_redireccion FROM c WHERE numero_entrada IS NOT NULL AND {full('id_CTransferencia')} GROUP BY 1, 2"),
-    "t16_redirection_nodes": s(f"e AS (SELECT numero_entrada AS a, id_CTransferencia AS b, count(*) AS w FROM c WHERE numero_entrada IS NOT NULL AND {full('id_CTransferencia')} GROUP BY 1, 2)", "SELECT nodo, sum(gs)::BIGINT AS grado_salida, sum(ge)::BIGINT AS grado_entrada, sum(ps)::BIGINT AS peso_total_salida, sum(pe)::BIGINT AS peso_total_entrada FROM (SELECT a AS nodo, 1 AS gs, 0 AS ge, w AS ps, 0 AS pe FROM e UNION ALL SELECT b, 0, 1, 0, w FROM e) GROUP BY 1"),
+    "t16_redirection_nodes": s(f"e AS (SELECT numero_entrada AS a, id_CTransferencia AS b, count(*) AS w FROM c WHERE numero_entrada IS NOT NULL AND {full('id_CTransferencia')} GROUP BY 1, 2)", "SELECT nodo, max(t) AS tipo_nodo, sum(gs)::BIGINT AS grado_salida, sum(ge)::BIGINT AS grado_entrada, sum(ps)::BIGINT AS peso_total_salida, sum(pe)::BIGINT AS peso_total_entrada FROM (SELECT a AS nodo, 'USUARIO' AS t, 1 AS gs, 0 AS ge, w AS ps, 0 AS pe FROM e UNION ALL SELECT b, 'DESTINO', 0, 1, 0, w FROM e) GROUP BY 1"),
     "t17_official_vs_derived": s(I, SES, "SELECT tipo_llamada AS tipo, count(DISTINCT numero_entrada) AS usuarios_unicos, avg(total_interacciones) AS promedio_interacciones, avg(menus_visitados) AS promedio_menus FROM ses GROUP BY 1"),
     "t17_official_vs_derived_by_zone": s("u AS (SELECT id_8T AS zona, CASE WHEN numero_entrada = numero_digitado THEN 'OFICIAL' ELSE 'DERIVADO' END AS tipo, numero_entrada, count(*) AS n FROM c WHERE numero_entrada IS NOT NULL AND numero_digitado IS NOT NULL GROUP BY 1, 2, 3)", f"SELECT zona, tipo, count(*) AS usuarios_unicos, {mean('n')} AS promedio_interacciones FROM u GROUP BY 1, 2"),
     "t17_derived_share_by_quarter": s(f"SELECT trimestre, count(*) FILTER (WHERE numero_entrada = numero_digitado) AS oficiales, count(*) FILTER (WHERE {STRICT}) AS derivadas, {ratio(f'count(*) FILTER (WHERE {STRICT})', 'count(*)')} AS pct_derivadas FROM c GROUP BY 1"),

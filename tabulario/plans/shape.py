@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,6 +88,39 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(r, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def distinct_count(df: DataFrame, keys: Sequence[str], values: Sequence, name: str) -> DataFrame:
+    """Per key (few groups, not NULL) the number of distinct combinations without a NULL.
+
+    Distinct first and counted then, so each count reads and shuffles its own
+    columns only and no row is copied for the other counts of a report.
+    """
+    cols = [lit_or(F.col(v) if isinstance(v, str) else v).alias(f"_v{i}") for i, v in enumerate(values)]
+    known = df.select(*keys, *cols).dropna(subset=[f"_v{i}" for i in range(len(cols))])
+    return known.distinct().groupBy(*keys).agg(F.count("*").alias(name))
+
+
+def with_distinct_counts(report: DataFrame, df: DataFrame, keys: Sequence[str], counts: Mapping[str, Sequence]) -> DataFrame:
+    """A report with one row per key and the distinct counts of `df`, 0 where there is nothing to count."""
+    for name, values in counts.items():
+        report = report.join(distinct_count(df, keys, values, name), list(keys), "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    return report
+
+
+# Copies of the smaller side of a salted join.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join with a table of one row per key, where few keys (or NULL) hold most rows.
+
+    Rows are dealt by a hash of `by` to SALTS copies of the table's rows, so
+    those of one key meet it in as many tasks.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def only(rows: DataFrame, top: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is among the few rows of `top` (a limited frame, hence safe to broadcast)."""
     few = F.broadcast(top.select(*[F.col(k).alias(f"_k_{k}") for k in keys]))

@@ -9,10 +9,11 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulario.functions.calls import transfer
+from tabulario.functions.calls import start, transfer
 from tabulario.operators import calls, digital, eda, journeys, labels, operations, reports, sales, service, transfers
-from tabulario.sources.calls import normalise
-from tabulario.sources.fixtures import LOG_PERIODS, SALES_PERIODS, Tables
+from tabulario.plans.sessions import steps
+from tabulario.sources.calls import normalise, union_quarters
+from tabulario.sources.fixtures import LOG_PERIODS, SALES_CALENDAR, SALES_PERIODS, Tables
 
 ORACLES = ["sales", "eda", "calls", "reports", "transfers", "labels", "journeys", "service"]
 
@@ -66,6 +67,9 @@ SALES = {
     "s36_category_states_by_rank": _sales(sales.category_states_by_rank),
     "s37_cleaned_categories": _sales(sales.cleaned_categories),
     "s38_rows_without_category": _sales(sales.rows_without_category),
+    "s02_distinct_products_all_quarters": lambda t: sales.distinct_products(t.ventas, SALES_CALENDAR),
+    "s07_org_quarter_metrics_all_quarters": lambda t: sales.org_quarter_metrics(t.ventas, SALES_CALENDAR),
+    "s11_category_products_all_quarters": lambda t: sales.category_products(t.ventas, SALES_CALENDAR),
 }
 
 def _eda(fn, **kw):
@@ -76,15 +80,21 @@ def _eda_dated(fn, **kw):
     return lambda t: fn(t.productos_por_trimestre, LOG_PERIODS, **kw)
 
 
-def _delivered_twice(t: Tables) -> DataFrame:
-    """Every tenth id delivered a second time."""
-    rows = t.productos_por_trimestre
-    return rows.unionByName(rows.where(F.col("cIDT") % 10 == 0))
+def _by_the_hour(t: Tables) -> DataFrame:
+    """The log as a system would record it that keeps hours and product lines only, so that rows repeat."""
+    hour = lambda c: F.expr(f"{c} div 3600 * 3600").cast("int")
+    return t.productos_por_trimestre.withColumns({
+        "cProducto": F.expr("cProducto div 10000000"), "cFecha": F.date_trunc("hour", "cFecha").cast("timestamp_ntz"), "cHInicio_seg": hour("cHInicio_seg"), "cHFin_seg": hour("cHFin_seg")})
+
+
+# The ids that a report is restricted to, as nearly all these reports can be.
+SOME_IDS = range(1, 51)
 
 
 EDA = {
     "e01_pre_check": _eda_dated(eda.pre_check),
     "e02_null_profile": _eda(eda.null_profile),
+    "e02_null_profile_of_ids": _eda(eda.null_profile, ids=list(SOME_IDS)),
     "e03_null_summary": _eda(eda.null_summary),
     "e04_consistency_pre_check": _eda_dated(eda.consistency_pre_check),
     "e05_consistency_report": _eda_dated(eda.consistency_report),
@@ -107,7 +117,7 @@ EDA = {
     "e21_iqr_outliers": _eda(eda.iqr_outliers),
     "e21_iqr_outliers_true_quartiles": _eda(eda.iqr_outliers, mode="iqr"),
     "e22_rare_combinations": _eda(eda.rare_combinations),
-    "e23_exact_duplicates": lambda t: eda.exact_duplicates(_delivered_twice(t)),
+    "e23_exact_duplicates": lambda t: eda.exact_duplicates(_by_the_hour(t)),
     "e24_logical_duplicates": _eda(eda.logical_duplicates),
     "e25_category_pareto": _eda(eda.category_pareto),
     "e26_category_cardinality": _eda(eda.category_cardinality),
@@ -142,9 +152,19 @@ def _calls_dated(fn, **kw):
     return lambda t: fn(t.llamadas_por_trimestre, LOG_PERIODS, **kw)
 
 
-def _pairs_of_first_quarter(t: Tables) -> DataFrame:
-    rows = t.llamadas_por_trimestre.where(F.col("trimestre") == LOG_PERIODS[0].trimestre)
-    return rows.where(transfer()).select(*transfers.PAIR).distinct()
+def _pairs(t: Tables) -> DataFrame:
+    return t.llamadas_por_trimestre.where(transfer()).select(*transfers.PAIR).distinct()
+
+
+def _quarterly_tables(t: Tables) -> DataFrame:
+    """The raw log as three tables, one a quarter, read as one; each branch is tagged with its table's quarter."""
+    raw = t.llamadas_crudas
+    return union_quarters({p.trimestre: raw.where(F.col("trimestre") == p.trimestre).drop("trimestre") for p in LOG_PERIODS})
+
+
+def _step_rows(t: Tables) -> DataFrame:
+    rows = t.llamadas_por_trimestre.where(F.col("numero_entrada").isNotNull())
+    return steps(rows, start()).select("numero_entrada", "fecha", "idRe", "paso", "pasos", F.col("anterior.idRe").alias("anterior"))
 
 
 CALLS = {
@@ -158,19 +178,23 @@ CALLS = {
     "c05_zone_locations": _calls(calls.zone_locations),
     "c06_key_checks": lambda t: calls.key_checks(t.llamadas_crudas, LOG_PERIODS),
     "c07_repeated_ids": _raw(calls.repeated_ids),
+    "c07_repeated_ids_first_ten": _raw(calls.repeated_ids, first=10),
     "c08_daily_distribution": _calls(calls.daily_distribution),
     "c09_time_inconsistencies": _raw(calls.time_inconsistencies),
     "c10_reference_prefixes": _calls(calls.reference_prefixes),
     "c10_queue_vs_dialled": _calls(calls.queue_vs_dialled),
     "c11_integral_quality": _calls(calls.integral_quality),
     "c12_inverted_times": _calls(calls.inverted_times),
+    "c12_inverted_times_first_ten": _calls(calls.inverted_times, first=10),
     "c13_base_dates": _raw(calls.base_dates),
+    "c13_base_dates_first_three": _raw(calls.base_dates, first=3),
     "c14_label_consistency": _calls(calls.label_consistency),
     "c15_outside_calendar": lambda t: calls.outside_calendar(t.llamadas_crudas, LOG_PERIODS),
     "c16_malformed_references": _raw(calls.malformed_references),
     "c17_number_formats": _raw(calls.number_formats),
-    "c17_number_formats_strict": _raw(calls.number_formats, shortest=7, reject_ones=False),
+    "c17_invalid_numbers": _raw(calls.invalid_numbers),
     "c18_date_validation": _raw(calls.date_validation),
+    "c18_invalid_dates": _raw(calls.invalid_dates),
     "c19_user_outliers": _calls(calls.user_outliers),
     "c19_user_outliers_interpolated": _calls(calls.user_outliers, mode="interpolated"),
     "c20_quality_scores": lambda t: calls.quality_scores(normalise(t.llamadas_crudas)),
@@ -182,6 +206,8 @@ CALLS = {
     "c25_sample_rows": _calls(calls.sample_rows),
     "c25_number_bounds": _calls(calls.number_bounds),
     "c26_quarter_quality": _calls(calls.quarter_quality),
+    "p02_scores_of_quarterly_tables": lambda t: calls.quality_scores(normalise(_quarterly_tables(t))),
+    "p03_ids_of_quarterly_tables": lambda t: calls.repeated_ids(_quarterly_tables(t)),
 }
 
 REPORTS = {
@@ -212,7 +238,7 @@ TRANSFERS = {
     "t05_pairs_by_null": _calls(transfers.pairs_by_null),
     "t06_pairs_by_quarter_totals": _calls(transfers.pairs_by_quarter_totals),
     "t07_top_pairs_per_quarter": _calls(transfers.top_pairs_per_quarter),
-    "t08_appearance_dates": lambda t: transfers.appearance_dates(t.llamadas_por_trimestre, _pairs_of_first_quarter(t)),
+    "t08_appearance_dates": lambda t: transfers.appearance_dates(t.llamadas_por_trimestre, _pairs(t)),
     "t09_pair_summary": _calls(transfers.pair_summary),
     "t10_transfer_variants": _calls(transfers.transfer_variants),
     "t11_redirections": _calls(transfers.redirections),
@@ -284,6 +310,7 @@ JOURNEYS = {
     "j02_frequent_sequences": _calls(journeys.frequent_sequences),
     "j03_transitions": _calls(journeys.transitions),
     "j03_step_transitions": _calls(journeys.step_transitions),
+    "j03_step_rows": _step_rows,
     "j04_user_patterns": _calls(journeys.user_patterns),
     "j05_user_types": _calls(journeys.user_types),
     "j06_anomalous_users": _calls(journeys.anomalous_users, volume=2),

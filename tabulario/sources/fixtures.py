@@ -15,6 +15,10 @@ SALES_PERIODS = Periods.of(
     ("Q02_95", "1995-04-01", "1995-06-30"),
     ("Q03_95", "1995-07-01", "1995-09-30"),
 )
+# Every quarter that the sales table has.
+SALES_CALENDAR = Periods.of(*[
+    (f"Q0{q}_{year % 100}", f"{year}-{3 * q - 2:02d}-01", f"{year}-{3 * q:02d}-{31 if q in (1, 4) else 30}") for year in range(1992, 2000) for q in range(1, 5)
+])
 LOG_PERIODS = Periods.of(
     ("Q01_24", "2024-01-01", "2024-01-10"),
     ("Q02_24", "2024-01-11", "2024-01-20"),
@@ -81,7 +85,7 @@ class Tables:
         return conform(self._events.selectExpr(
             "event_id as idRe",
             "case when k = 99 then null else cast(2185000000 + user_id as string) end as numero_entrada",
-            "case when k % 10 = 0 then null when k % 10 <= 3 then cast(2185000000 + (user_id * 7 + k) % 150 as string) "
+            "case when k % 10 = 0 then null when k % 10 <= 3 then cast(2185000000 + user_id + k % 7 - 3 as string) "
             "else cast(2185000000 + user_id as string) end as numero_digitado",
             "case event_type when 'click' then if(k % 2 = 0, 'RES-SP_2024', 'RES-ContratacionIfm_2024') "
             "when 'view' then (case k % 4 when 0 then 'SDO' when 1 then 'DASHBOARD' when 2 then 'SELECCION' else 'PROCESO' end) "
@@ -121,7 +125,7 @@ class Tables:
             "case k when 99 then null when 98 then '0000000' when 97 then '123' when 96 then 'ABC123' when 95 then '' "
             "else cast(2185000000 + user_id as string) end as numero_entrada",
             "case when k % 10 = 0 then null when k = 11 then '' when k = 12 then '12' when k = 13 then '12-34-56' "
-            "else cast(2185000000 + (user_id * 7 + k) % 150 as string) end as numero_digitado",
+            "else cast(2185000000 + user_id + k % 7 - 3 as string) end as numero_digitado",
             "case k % 12 when 0 then null when 1 then '' when 2 then 'cte_colgo' when 3 then 'SDO' else event_type end as menu",
             "case when k % 7 = 0 then '' else cast(k % 7 as string) end as opcion",
             "case k % 6 when 0 then cast(9000 + k % 4 as string) when 1 then '' when 2 then 'EXT-1' else null end as id_CTransferencia",
