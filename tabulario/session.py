@@ -18,6 +18,12 @@ CLUSTER_CONF = {
 }
 
 
+def cluster_session(name: str = "tabulario", checkpoint_dir: str | None = None, **more: str) -> SparkSession:
+    """Session with CLUSTER_CONF for a master given by the submission; `more` overrides single settings (dots as __)."""
+    builder = SparkSession.builder.appName(name).config(map=CLUSTER_CONF | {k.replace("__", "."): v for k, v in more.items()})
+    return (builder.config("spark.checkpoint.dir", checkpoint_dir) if checkpoint_dir else builder).getOrCreate()
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", name: str = "tabulario") -> SparkSession:
     """Single-process session for tests and benchmarks."""
     return (

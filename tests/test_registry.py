@@ -6,21 +6,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry_mod
+from tabulario import registry
 
 from conftest import SF
 
 duckdb = pytest.importorskip("duckdb")
 
-# A sample over all families; every key with FULL_ORACLE=1 (or tools/check.py).
-SAMPLE = [
-    "s06_quarter_variation", "s09_product_lifecycle", "s15_category_variability", "s16_top_bottom_categories", "s23_org_matrix_with_total", "s31_presence_executive",
-    "e02_null_profile", "e05_consistency_report", "e09_numeric_summary", "e25_category_pareto", "e28_date_gaps", "e31_evolution_dashboard", "e42_chi_square",
-    "c06_key_checks", "c07_repeated_ids", "c14_label_consistency", "c18_date_validation", "c22_clean_calls", "t03_first_of_pair", "t06_pairs_by_quarter_totals",
-    "t15_transfer_network", "l01_exploded_labels", "l09_menu_option_flow", "l20_record_anomalies", "l29_option_label_dependency", "j01_detailed_journeys",
-    "j03_transitions", "j09_score_clusters", "j11_user_evolution", "r02_weekly_average", "r06_quarterly_report", "r07_official_beside_derived",
-    "v02_abandonment_points", "v04_frustration", "o05_bottlenecks", "o06_operating_cost", "d01_archetypes", "d04_churn_risk", "d05_funnel", "d08_weekly_ux",
-]
-KEYS = sorted(entry_mod.queries()) if os.environ.get("FULL_ORACLE") else SAMPLE
+KEYS = sorted(registry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +24,8 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_mod.queries()) == set(entry_mod.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.queries()) <= set(entry_mod.queries()) and set(registry.oracle_sql()) <= set(entry_mod.oracle_sql())
 
 
 def test_entry(spark):
@@ -45,8 +38,8 @@ def clean(value):
 
 @pytest.mark.parametrize("key", KEYS)
 def test_equals_oracle(spark, duck, key):
-    df = entry_mod.queries()[key](spark, SF)
-    rel = duck.execute(entry_mod.oracle_sql()[key])
+    df = registry.queries()[key](spark, SF)
+    rel = duck.execute(registry.oracle_sql()[key])
     names = [d[0] for d in rel.description]
     assert sorted(names) == sorted(df.columns)
     want = sorted((tuple(clean(v) for v in r) for r in rel.fetchall()), key=repr)
