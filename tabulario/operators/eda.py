@@ -458,9 +458,11 @@ def exact_duplicates(productos: DataFrame, ids: Sequence[int] | None = None) ->
 
 
 def logical_duplicates(productos: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
-    cats = F.array_sort(F.collect_set("cCategoria"))
-    return _rows(productos, ids).groupBy("trimestre", "cProducto", "cIDT", _day().alias("fecha_solo")).agg(
-        F.count("*").alias("registros_mismo_dia"), cats.alias("_c"),
+    # Counted per category first: a group, such as all rows of an id and day without a product, gets each category once.
+    keys = ["trimestre", "cProducto", "cIDT", "fecha_solo"]
+    per_category = _rows(productos, ids).groupBy("trimestre", "cProducto", "cIDT", _day().alias("fecha_solo"), "cCategoria").agg(F.count("*").alias("_n"))
+    return per_category.groupBy(*keys).agg(
+        F.sum("_n").alias("registros_mismo_dia"), F.array_sort(F.collect_list("cCategoria")).alias("_c"),
     ).where(F.col("registros_mismo_dia") > 1).select(
         "trimestre", "cProducto", "cIDT", "fecha_solo", "registros_mismo_dia",
         F.when(F.size("_c") > 0, F.array_join("_c", ", ")).alias("categorias_diferentes"),

@@ -15,7 +15,7 @@ from tabulario.functions.exact import mean, mean_share, ratio, share
 from tabulario.functions.labels import clean_list, comma_count, entries
 from tabulario.functions.text import filled, is_blank, sorted_set, vocabulary
 from tabulario.operators.calls import GENERIC_OPTIONS
-from tabulario.plans.shape import bounded_list, first_match, join_on, matching, only, ranked, top_per_key
+from tabulario.plans.shape import bounded_list, first_match, join_on, matching, only, ranked, top_per_key, whole_lists
 
 KEY = ["menu", "opcion"]
 
@@ -448,7 +448,7 @@ def option_label_dependency(llamadas: DataFrame, min_pattern: int = 2, min_rows:
     found = groups.groupBy(*KEY).agg(
         hits.alias("casos_opcion_reflejada"), n.alias("total_casos"), ratio(hits, n, 1).alias("pct_opcion_reflejada")).where(F.col("total_casos") >= min_rows)
     shown = found.orderBy(F.col("pct_opcion_reflejada").desc(), F.col("total_casos").desc(), *[F.col(k).asc_nulls_first() for k in KEY]).limit(limit)
-    listed = only(groups.where("hit"), shown, KEY).groupBy(*KEY).agg(sorted_set(F.concat(F.lit("REFLEJA:"), "etiquetas"), " | ").alias("ejemplos_reflexion"))
+    listed = whole_lists(only(groups.where("hit"), shown, KEY), KEY, {"ejemplos_reflexion": (F.concat(F.lit("REFLEJA:"), "etiquetas"), " | ")})
     return join_on(shown, listed, KEY)
 
 

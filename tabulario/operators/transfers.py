@@ -17,20 +17,31 @@ from tabulario.functions.calls import (
 from tabulario.functions.exact import mean, mean_share, ratio
 from tabulario.functions.text import filled, is_blank, sorted_set
 from tabulario.operators.reports import clean_interactions, daily_sessions
-from tabulario.plans.shape import bounded_list, first_match, join_on, matching, only, ranked, top_per_key
+from tabulario.plans.shape import bounded_list, first_match, join_on, matching, only, ranked, top_per_key, value_rows, whole_lists
 from tabulario.sources.periods import Periods
 
 PAIR = ["numero_entrada", "numero_digitado"]
 N = "frecuencia_combinacion"
 
 
-def _details() -> list[Column]:
-    return [
-        F.count("*").alias(N), sorted_set(menu_option(), ", ").alias("menu_opciones_usadas"),
-        sorted_set(F.col("etiquetas"), "|").alias("etiquetas_patron"), sorted_set(F.col("id_8T"), ",").alias("zonas_afectadas"),
-        sorted_set(location(), ", ").alias("divisiones_areas"), F.size(F.collect_set("fecha")).cast("bigint").alias("dias_activos"),
-        F.min("fecha").alias("primera_aparicion"), F.max("fecha").alias("ultima_aparicion"),
-    ]
+def _figures() -> list[Column]:
+    return [F.count("*").alias(N), F.size(F.collect_set("fecha")).cast("bigint").alias("dias_activos")]
+
+
+def _dates() -> list[Column]:
+    return [F.min("fecha").alias("primera_aparicion"), F.max("fecha").alias("ultima_aparicion")]
+
+
+def _lists() -> dict[str, tuple[Column, str]]:
+    return {
+        "menu_opciones_usadas": (menu_option(), ", "), "etiquetas_patron": (F.col("etiquetas"), "|"), "zonas_afectadas": (F.col("id_8T"), ","),
+        "divisiones_areas": (location(), ", "),
+    }
+
+
+def _described(rows: DataFrame, keys: Sequence[str] = PAIR, dates: bool = True) -> DataFrame:
+    """Figures and lists of the keys of `rows`."""
+    return join_on(rows.groupBy(*keys).agg(*_figures(), *(_dates() if dates else [])), whole_lists(rows, keys, _lists()), keys)
 
 
 def _top(rows: DataFrame, limit: int, keys: Sequence[str] = PAIR) -> DataFrame:
@@ -40,7 +51,13 @@ def _top(rows: DataFrame, limit: int, keys: Sequence[str] = PAIR) -> DataFrame:
 def transfer_pairs(llamadas: DataFrame, limit: int = 15, mode: str = "null_kept") -> DataFrame:
     """Most frequent transfer pairs with what was used on them; a NULL dialled number is its own pair."""
     rows = llamadas.where(transfer(mode))
-    return only(rows, _top(rows, limit), PAIR).groupBy(*PAIR).agg(*_details(), sorted_set(F.col("trimestre"), ",").alias("trimestres_activos"))
+    shown = only(rows, _top(rows, limit), PAIR)
+    return join_on(_described(shown), shown.groupBy(*PAIR).agg(sorted_set(F.col("trimestre"), ",").alias("trimestres_activos")), PAIR)
+
+
+def pair_values(llamadas: DataFrame, mode: str = "null_kept") -> DataFrame:
+    """What the lists of the pair reports hold, for every pair and as rows: (pair, lista, valor)."""
+    return value_rows(llamadas.where(transfer(mode)), PAIR, {name: c for name, (c, _) in _lists().items()})
 
 
 def complete_pairs(llamadas: DataFrame, limit: int = 15, trimestre: str | None = None) -> DataFrame:
@@ -48,7 +65,7 @@ def complete_pairs(llamadas: DataFrame, limit: int = 15, trimestre: str | None =
     rows = llamadas.where(transfer("strict"))
     if trimestre is not None:
         rows = rows.where(F.col("trimestre") == trimestre)
-    return only(rows, _top(rows, limit), PAIR).groupBy(*PAIR).agg(*_details())
+    return _described(only(rows, _top(rows, limit), PAIR))
 
 
 def first_of_pair(llamadas: DataFrame, limit: int = 15) -> DataFrame:
@@ -62,9 +79,8 @@ def first_of_pair(llamadas: DataFrame, limit: int = 15) -> DataFrame:
 def pairs_joined_to_dates(llamadas: DataFrame, limit: int = 15) -> DataFrame:
     """Pair report whose first and last dates come from a separate keyed aggregate."""
     rows = llamadas.where(transfer())
-    shown = only(rows, _top(rows, limit), PAIR).groupBy(*PAIR).agg(*_details()[:-2])
-    dates = rows.groupBy(*PAIR).agg(*_details()[-2:])
-    return join_on(shown, dates, PAIR)
+    shown = _described(only(rows, _top(rows, limit), PAIR), dates=False)
+    return join_on(shown, rows.groupBy(*PAIR).agg(*_dates()), PAIR)
 
 
 def pairs_by_null(llamadas: DataFrame, limit: int = 10, null_limit: int = 5) -> DataFrame:
@@ -72,7 +88,7 @@ def pairs_by_null(llamadas: DataFrame, limit: int = 10, null_limit: int = 5) ->
     known, missing = llamadas.where(transfer("strict")), llamadas.where(F.col("numero_entrada").isNotNull() & F.col("numero_digitado").isNull())
 
     def part(rows: DataFrame, k: int, label: str) -> DataFrame:
-        return only(rows, _top(rows, k), PAIR).groupBy(*PAIR).agg(F.lit(label).alias("tipo_digitado"), *_details())
+        return _described(only(rows, _top(rows, k), PAIR)).withColumn("tipo_digitado", F.lit(label))
 
     return part(known, limit, "NOT_NULL").unionByName(part(missing, null_limit, "NULL"))
 
@@ -81,7 +97,7 @@ def pairs_by_quarter_totals(llamadas: DataFrame, limit: int = 15) -> DataFrame:
     """Per-quarter pair reports added up; days are summed and per-quarter lists kept whole."""
     rows = llamadas.where(transfer())
     shown = only(rows, _top(rows, limit), PAIR)
-    quarterly = shown.groupBy(*PAIR, "trimestre").agg(*_details())
+    quarterly = _described(shown, [*PAIR, "trimestre"])
     return quarterly.groupBy(*PAIR).agg(
         F.sum(N).alias(N), sorted_set(F.col("menu_opciones_usadas"), " | ").alias("menu_opciones_usadas"),
         sorted_set(F.col("etiquetas_patron"), " | ").alias("etiquetas_patron"), sorted_set(F.col("zonas_afectadas"), ",").alias("zonas_afectadas"),
@@ -95,7 +111,7 @@ def top_pairs_per_quarter(llamadas: DataFrame, limit: int = 5) -> DataFrame:
     rows, keys = llamadas.where(transfer()), ["trimestre", *PAIR]
     counts = rows.groupBy(*keys).agg(F.count("*").alias(N))
     order = [F.col(N).desc(), *[F.col(k).asc_nulls_first() for k in PAIR]]
-    return only(rows, top_per_key(counts, ["trimestre"], order, limit), keys).groupBy(*keys).agg(*_details())
+    return _described(only(rows, top_per_key(counts, ["trimestre"], order, limit), keys), keys)
 
 
 def appearance_dates(llamadas: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -107,12 +123,10 @@ def appearance_dates(llamadas: DataFrame, pairs: DataFrame) -> DataFrame:
 def pair_summary(llamadas: DataFrame, limit: int = 15) -> DataFrame:
     """Pair report with menus and options listed apart."""
     rows = llamadas.where(transfer())
-    return only(rows, _top(rows, limit), PAIR).groupBy(*PAIR).agg(
-        F.count("*").alias(N),
-        F.concat(sorted_set(F.col("menu"), ","), F.lit(":"), sorted_set(F.col("opcion"), ",")).alias("menu_opciones_usadas"),
-        F.size(F.collect_set("fecha")).cast("bigint").alias("dias_activos"), F.min("fecha").alias("primera_aparicion"),
-        F.max("fecha").alias("ultima_aparicion"),
-    )
+    shown = only(rows, _top(rows, limit), PAIR)
+    lists = whole_lists(shown, PAIR, {"_m": (F.col("menu"), ","), "_o": (F.col("opcion"), ",")})
+    report = join_on(shown.groupBy(*PAIR).agg(*_figures(), *_dates()), lists, PAIR)
+    return report.withColumn("menu_opciones_usadas", F.concat("_m", F.lit(":"), "_o")).drop("_m", "_o")
 
 
 def transfer_variants(llamadas: DataFrame) -> DataFrame:
@@ -126,13 +140,14 @@ def redirections(llamadas: DataFrame, limit: int = 20) -> DataFrame:
     top = _top(rows, limit, keys)
     users = only(rows, top, keys).groupBy(*keys).agg(
         F.count_distinct("numero_entrada").alias("usuarios_redirigidos"), F.count_distinct("cIdentifica").alias("referencias_cIdentifica"))
+    lists = whole_lists(only(rows, top, keys), keys, {
+        "menus_que_redirigen": (menu_option(), ", "), "contexto_organizacional": (location(), ", "), "patron_etiquetas": (F.col("etiquetas"), " | ")})
     shown = only(rows, top, keys).groupBy(*keys).agg(
-        F.count("*").alias("frecuencia_redireccion"), sorted_set(menu_option(), ", ").alias("menus_que_redirigen"),
-        sorted_set(location(), ", ").alias("contexto_organizacional"), sorted_set(F.col("etiquetas"), " | ").alias("patron_etiquetas"),
+        F.count("*").alias("frecuencia_redireccion"),
         F.size(F.collect_set("fecha")).cast("bigint").alias("dias_activos"), F.min("fecha").alias("primera_redireccion"),
         F.max("fecha").alias("ultima_redireccion"), F.count_if(different()).alias("casos_con_procesamiento_interno"),
     )
-    return shown.join(users, keys)
+    return join_on(shown.join(users, keys), lists, keys)
 
 
 def _first_menus(rows: DataFrame, key: str, name: str, k: int = 5) -> DataFrame:
@@ -188,12 +203,13 @@ def transfer_network(llamadas: DataFrame, limit: int = 25) -> DataFrame:
     swapped = F.broadcast(top.select(F.col("numero_entrada").alias("_d"), F.col("numero_digitado").alias("_e")))
     back = llamadas.join(swapped, (F.col("numero_entrada") == F.col("_e")) & (F.col("numero_digitado") == F.col("_d"))).select(
         F.col("_d").alias("numero_entrada"), F.col("_e").alias("numero_digitado")).distinct().withColumn("_back", F.lit("SI"))
+    lists = whole_lists(only(rows, top, PAIR), PAIR, {
+        "menus_generadores": (menu_option(), ", "), "contexto_organizacional": (location(), ", "), "patron_etiquetas": (F.col("etiquetas"), " | ")})
     shown = only(rows, top, PAIR).groupBy(*PAIR).agg(
-        F.count("*").alias("frecuencia_transferencia"), sorted_set(menu_option(), ", ").alias("menus_generadores"),
-        sorted_set(location(), ", ").alias("contexto_organizacional"), sorted_set(F.col("etiquetas"), " | ").alias("patron_etiquetas"),
+        F.count("*").alias("frecuencia_transferencia"),
         F.size(F.collect_set("fecha")).cast("bigint").alias("dias_activos"), F.min("fecha").alias("primera_transferencia"),
         F.max("fecha").alias("ultima_transferencia"))
-    return shown.join(back, PAIR, "left").withColumn("es_bidireccional", F.coalesce("_back", F.lit("NO"))).drop("_back")
+    return join_on(shown, lists, PAIR).join(back, PAIR, "left").withColumn("es_bidireccional", F.coalesce("_back", F.lit("NO"))).drop("_back")
 
 
 def redirection_edges(llamadas: DataFrame) -> DataFrame:

@@ -66,3 +66,7 @@ p AS (SELECT *, CASE WHEN red > 0 AND dest > 2 THEN 'USUARIO_MULTI_REDIRECCION'
     "t18_derived_pairs_by_zone": s(f"dv AS (SELECT *, id_8T AS zona FROM c WHERE {STRICT})", usage("trimestre, numero_entrada, numero_digitado, zona", "dv", "hora_fin_seg - hora_inicio_seg", 20, 15), "SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY trimestre ORDER BY frecuencia_uso DESC, numero_entrada, numero_digitado, zona) <= 20"),
     "t18_suspicious_pairs": s(I, "dv AS (SELECT * FROM i WHERE tipo_llamada = 'DERIVADO')", usage("numero_entrada, numero_digitado", "dv", "hora_fin_real - hora_inicio_real", 25, 20), f"SELECT numero_entrada, numero_digitado, dias_activos, {ratio('frecuencia_uso', 'dias_activos', 2, 1)} AS interacciones_promedio, patron_comportamiento, opciones_usadas FROM b WHERE patron_comportamiento <> 'NORMAL'"),
 }
+SQL["t01_pair_values"] = s(" UNION ".join(
+    f"SELECT numero_entrada, numero_digitado, '{name}' AS lista, {value} AS valor FROM c WHERE {KEPT} AND {value} IS NOT NULL"
+    for name, value in (("menu_opciones_usadas", "menu || ':' || opcion"), ("etiquetas_patron", "etiquetas"), ("zonas_afectadas", "id_8T"),
+                        ("divisiones_areas", "division || '-' || area"))))

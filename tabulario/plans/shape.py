@@ -69,6 +69,23 @@ def bounded_list(
     return ranked.groupBy(*keys).agg(joined.alias(name))
 
 
+def value_rows(rows: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Distinct (keys, lista, valor): the values of several lists as rows, for keys of any size."""
+    flat = rows.select(*keys, *[c.cast("string").alias(f"_l{i}") for i, c in enumerate(values.values())]).distinct()
+    entries = [F.struct(F.lit(name).alias("lista"), F.col(f"_l{i}").alias("valor")) for i, name in enumerate(values)]
+    return flat.select(*keys, F.inline(F.array(*entries))).where(F.col("valor").isNotNull()).distinct()
+
+
+def whole_lists(rows: DataFrame, keys: Sequence[str], lists: Mapping[str, tuple[Column, str]]) -> DataFrame:
+    """Per key, all distinct values of several columns in order, each as one string (NULL without values).
+
+    A value reaches the task of its key once, however often it occurs.
+    """
+    long = value_rows(rows, keys, {name: c for name, (c, _) in lists.items()})
+    gathered = {name: F.array_sort(F.collect_list(F.when(F.col("lista") == name, F.col("valor")))) for name in lists}
+    return long.groupBy(*keys).agg(*[F.when(F.size(g) > 0, F.array_join(g, lists[name][1])).alias(name) for name, g in gathered.items()])
+
+
 def leading_list(df: DataFrame, value: str, k: int, sep: str, order: Sequence[Column] | None = None) -> Column:
     """First `k` rows of the whole frame by `order` (default: the value) as one string, usable as a column.
 

@@ -231,6 +231,7 @@ REPORTS = {
 
 TRANSFERS = {
     "t01_transfer_pairs": _calls(transfers.transfer_pairs),
+    "t01_pair_values": _calls(transfers.pair_values),
     "t02_complete_pairs": _calls(transfers.complete_pairs),
     "t02_complete_pairs_of_quarter": _calls(transfers.complete_pairs, limit=10, trimestre="Q02_24"),
     "t03_first_of_pair": _calls(transfers.first_of_pair),
