@@ -82,14 +82,17 @@ productos AS (SELECT CASE WHEN k % 25 = 0 THEN NULL WHEN k % 25 = 1 THEN -1 ELSE
 LLAMADAS = EV + """,
 llamadas AS (SELECT event_id AS idRe,
  CASE WHEN k = 99 THEN NULL ELSE cast(2185000000 + user_id AS VARCHAR) END AS numero_entrada,
- CASE WHEN k % 10 = 0 THEN NULL WHEN k % 10 <= 3 THEN cast(2185000000 + user_id + k % 7 - 3 AS VARCHAR) ELSE cast(2185000000 + user_id AS VARCHAR) END AS numero_digitado,
+ CASE WHEN k % 10 = 0 THEN NULL WHEN k % 10 <= 3 THEN cast(2185000000 + user_id + k % 7 - 3 AS VARCHAR) ELSE cast(2185000000 + user_id AS VARCHAR)
+ END AS numero_digitado,
  CASE event_type WHEN 'click' THEN (CASE WHEN k % 2 = 0 THEN 'RES-SP_2024' ELSE 'RES-ContratacionIfm_2024' END)
    WHEN 'view' THEN (CASE k % 4 WHEN 0 THEN 'SDO' WHEN 1 THEN 'DASHBOARD' WHEN 2 THEN 'SELECCION' ELSE 'PROCESO' END)
    WHEN 'purchase' THEN (CASE WHEN k % 3 = 0 THEN 'comercial_11' ELSE 'comercial_5' END)
    WHEN 'error' THEN (CASE k % 3 WHEN 0 THEN 'cte_colgo' WHEN 1 THEN 'SinOpcion_Cbc' ELSE 'Desborde_Cabecera' END)
    ELSE (CASE WHEN k % 5 = 0 THEN NULL WHEN k % 2 = 0 THEN 'CONFIRMACION' ELSE 'INICIO' END) END AS menu,
- CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN 'DEFAULT' WHEN 2 THEN '2L' WHEN 3 THEN 'TELCO' WHEN 4 THEN '5' WHEN 5 THEN NULL ELSE 'NoTmx_SOMC' END AS opcion,
- CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN NULL WHEN event_type = 'click' THEN (CASE WHEN k % 7 = 2 THEN '2L,ZMB,VSI,NVS,' ELSE '1L,ZMB,NOBOT,VSI,' END)
+ CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN 'DEFAULT' WHEN 2 THEN '2L' WHEN 3 THEN 'TELCO' WHEN 4 THEN '5' WHEN 5 THEN NULL ELSE 'NoTmx_SOMC' END AS
+ opcion,
+ CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN NULL WHEN event_type = 'click' THEN (CASE WHEN k % 7 = 2 THEN '2L,ZMB,VSI,NVS,' ELSE
+ '1L,ZMB,NOBOT,VSI,' END)
    WHEN event_type = 'error' THEN (CASE WHEN k % 7 = 6 THEN 'NoTmx_SOMC,NoTmx_SOMC,' ELSE '' END)
    WHEN k % 7 = 3 THEN 'ZMB,WTS,TELCO,,' ELSE 'ZMB,MGC' END AS etiquetas,
  CASE WHEN k % 6 = 0 THEN cast(9000 + k % 4 AS VARCHAR) WHEN k % 6 = 1 THEN '' ELSE NULL END AS id_CTransferencia,
@@ -106,8 +109,10 @@ llamadas AS (SELECT event_id AS idRe,
 CRUDAS = EV + """,
 cr AS (SELECT CASE WHEN dd < DATE '2024-01-11' THEN 'Q01_24' WHEN dd < DATE '2024-01-21' THEN 'Q02_24' ELSE 'Q03_24' END AS trimestre,
  CASE WHEN k % 50 = 21 THEN event_id % 1000 ELSE event_id END AS idRe,
- CASE k WHEN 99 THEN NULL WHEN 98 THEN '0000000' WHEN 97 THEN '123' WHEN 96 THEN 'ABC123' WHEN 95 THEN '' ELSE cast(2185000000 + user_id AS VARCHAR) END AS numero_entrada,
- CASE WHEN k % 10 = 0 THEN NULL WHEN k = 11 THEN '' WHEN k = 12 THEN '12' WHEN k = 13 THEN '12-34-56' ELSE cast(2185000000 + user_id + k % 7 - 3 AS VARCHAR) END AS numero_digitado,
+ CASE k WHEN 99 THEN NULL WHEN 98 THEN '0000000' WHEN 97 THEN '123' WHEN 96 THEN 'ABC123' WHEN 95 THEN '' ELSE cast(2185000000 + user_id AS VARCHAR)
+ END AS numero_entrada,
+ CASE WHEN k % 10 = 0 THEN NULL WHEN k = 11 THEN '' WHEN k = 12 THEN '12' WHEN k = 13 THEN '12-34-56' ELSE cast(2185000000 + user_id + k % 7 - 3 AS
+ VARCHAR) END AS numero_digitado,
  CASE k % 12 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'cte_colgo' WHEN 3 THEN 'SDO' ELSE event_type END AS menu,
  CASE WHEN k % 7 = 0 THEN '' ELSE cast(k % 7 AS VARCHAR) END AS opcion,
  CASE k % 6 WHEN 0 THEN cast(9000 + k % 4 AS VARCHAR) WHEN 1 THEN '' WHEN 2 THEN 'EXT-1' ELSE NULL END AS id_CTransferencia,
@@ -119,6 +124,7 @@ cr AS (SELECT CASE WHEN dd < DATE '2024-01-11' THEN 'Q01_24' WHEN dd < DATE '202
  cast(ts AS DATE) + CASE WHEN k % 10 = 3 THEN 1 ELSE 0 END AS insertado,
  CASE WHEN k % 8 = 0 THEN NULL ELSE concat('MQ', cast(2185000000 + user_id AS VARCHAR)) END AS nidMQ
  FROM (SELECT *, cast(ts AS DATE) - CASE WHEN k = 22 THEN 10 ELSE 0 END AS dd, cast(hour(ts)*3600 + minute(ts)*60 + second(ts) AS INT) AS ini,
-  cast(((hour(ts)*3600 + minute(ts)*60 + second(ts) + (CASE WHEN k % 9 = 0 THEN -1 ELSE 1 END) * cast(floor(value) AS INT)) % 86400 + 86400) % 86400 AS INT) AS fin FROM ev)),
+  cast(((hour(ts)*3600 + minute(ts)*60 + second(ts) + (CASE WHEN k % 9 = 0 THEN -1 ELSE 1 END) * cast(floor(value) AS INT)) % 86400 + 86400) % 86400
+ AS INT) AS fin FROM ev)),
 crudas AS (SELECT *, try_strptime(fecha, '%d/%m/%Y')::DATE AS dia, fin < ini AS invertido,
  format('{} {:02d}:{:02d}:{:02d}', base_inicio, ini // 3600, ini // 60 % 60, ini % 60) AS hora_inicio FROM cr)"""
