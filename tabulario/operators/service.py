@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulario.fixed import class_sql, points_sql
 from tabulario.functions.calls import raw_seconds
 from tabulario.functions.exact import ratio
 from tabulario.plans.official import journey_table, official, session_table, with_week
 from tabulario.plans.sessions import steps
-from tabulario.plans.shape import first_match
 
 
 def abandoned_sequences(llamadas: DataFrame, min_sessions: int = 10, limit: int = 20) -> DataFrame:
@@ -20,9 +20,7 @@ def abandoned_sequences(llamadas: DataFrame, min_sessions: int = 10, limit: int
         F.sum("exito").alias("completados_exitosos")).where(n >= min_sessions).withColumn("abandonados", n - F.col("completados_exitosos"))
     classed = found.withColumns({
         "tasa_abandono_pct": ratio(lost, n, 1),
-        "nivel_problematico": first_match([
-            ((F.col("promedio_duracion_min") > 10) & (lost * 100 > n * 70), "CRITICO"), ((F.col("promedio_pasos") > 6) & (lost * 100 > n * 50), "ALTO"),
-            (lost * 100 > n * 30, "MEDIO")], "BAJO"),
+        "nivel_problematico": F.expr(class_sql("nivel_problematico")),
     })
     return classed.orderBy(F.col("tasa_abandono_pct").desc(), n.desc(), F.col("secuencia_completa").asc_nulls_first()).limit(limit)
 
@@ -36,8 +34,7 @@ def abandonment_points(llamadas: DataFrame, min_rows: int = 20) -> DataFrame:
         F.avg(F.when(last, F.col("pasos"))).alias("promedio_pasos_antes_abandono"), F.avg(F.when(last, raw_seconds())).alias("tiempo_promedio_antes_abandono_seg"),
     ).where(n >= min_rows).withColumns({
         "tasa_abandono_pct": ratio(hits, n, 1),
-        "clasificacion_abandono": first_match([
-            ((hits * 100 > n * 40) & (F.col("tiempo_promedio_antes_abandono_seg") > 60), "PUNTO_CRITICO"), (hits * 100 > n * 25, "REQUIERE_ATENCION")], "NORMAL"),
+        "clasificacion_abandono": F.expr(class_sql("clasificacion_abandono")),
     })
 
 
@@ -50,26 +47,19 @@ def resolution_time(llamadas: DataFrame) -> DataFrame:
         F.avg("n").alias("promedio_interacciones"), F.avg("menus").alias("promedio_menus_visitados"),
     ).withColumns({
         "tasa_exito_pct": ratio(ok, n, 1),
-        "recomendacion": first_match([(ok * 100 < n * 50, "REDISEÑAR_FLUJO"), (F.col("tiempo_promedio_exito_min") > 8, "SIMPLIFICAR_PROCESO"),
-                                      (F.col("promedio_interacciones") > 6, "REDUCIR_PASOS")], "OPTIMIZAR_CONTENIDO"),
+        "recomendacion": F.expr(class_sql("recomendacion")),
     })
 
 
 def frustration(llamadas: DataFrame, min_days: int = 2, limit: int = 50) -> DataFrame:
     """Frustration score and risk of callers with repeated attempts."""
     c = F.col
-    days, ok, avg_n, avg_min = c("dias_intentos"), c("sesiones_exitosas"), c("promedio_interacciones_por_sesion"), c("promedio_duracion_sesion")
+    days = c("dias_intentos")
     users = session_table(llamadas).groupBy("numero_entrada").agg(
         F.count("*").alias("dias_intentos"), F.count("*").alias("total_sesiones"), F.avg("n").alias("promedio_interacciones_por_sesion"),
         F.avg("minutos").alias("promedio_duracion_sesion"), F.sum("exito").alias("sesiones_exitosas")).where(days >= min_days)
-    points = [(avg_min > 10, 25), (avg_n > 8, 25), (ok * 100 < days * 30, 30), (days > 3, 20)]
-    score = F.lit(0)
-    for cond, value in points:
-        score = score + F.when(cond, value).otherwise(0)
     scored = users.withColumns({
-        "tasa_exito_pct": ratio(ok, days, 1), "score_frustracion": F.least(F.lit(100), score),
-        "nivel_riesgo": first_match([((ok == 0) & (days >= 3), "CRITICO_CONTACTAR"), ((avg_min > 12) & (ok * 100 < days * 40), "ALTO_RIESGO"),
-                                     (avg_n > 10, "MEDIO_RIESGO")], "BAJO_RIESGO"),
+        "tasa_exito_pct": ratio(c("sesiones_exitosas"), days, 1), "score_frustracion": F.expr(points_sql()), "nivel_riesgo": F.expr(class_sql("nivel_riesgo")),
     })
     return scored.orderBy(c("score_frustracion").desc(), days.desc(), "numero_entrada").limit(limit)
 

@@ -1,5 +1,6 @@
 """Oracle statements of service, operations and digital-product reports."""
 
+from tabulario.fixed import class_sql, points_sql
 from tabulario.oracle.base import LLAMADAS, LOG_PERIODS, deviation, mean, mean_of_rounded, q, ratio
 from tabulario.oracle.calls import C
 from tabulario.oracle.labels import USR
@@ -27,31 +28,23 @@ def s(*parts: str) -> str:
 SQL = {
     "v01_abandoned_sequences": s(f"g AS (SELECT j AS secuencia_completa, count(*) AS frecuencia_journey, avg(n) AS promedio_pasos, avg(mins) AS "
         f"promedio_duracion_min, sum(e)::BIGINT AS completados_exitosos, (count(*) - sum(e))::BIGINT AS abandonados FROM ses WHERE n > 1 GROUP BY 1 "
-        f"HAVING count(*) >= 2)", f"""SELECT *, {ratio('abandonados', 'frecuencia_journey', 1)} AS tasa_abandono_pct, CASE WHEN promedio_duracion_min
- > 10 AND abandonados * 100 > frecuencia_journey * 70 THEN 'CRITICO' WHEN promedio_pasos > 6 AND abandonados * 100 > frecuencia_journey * 50 THEN
- 'ALTO' WHEN abandonados * 100 > frecuencia_journey * 30 THEN 'MEDIO' ELSE 'BAJO' END AS nivel_problematico
+        f"HAVING count(*) >= 2)", f"""SELECT *, {ratio('abandonados', 'frecuencia_journey', 1)} AS tasa_abandono_pct, {class_sql('nivel_problematico')} AS nivel_problematico
  FROM g ORDER BY tasa_abandono_pct DESC, frecuencia_journey DESC, secuencia_completa NULLS FIRST LIMIT 20"""),
     "v02_abandonment_points": s("p AS (SELECT *, row_number() OVER w AS paso, count(*) OVER (PARTITION BY numero_entrada, fecha) AS pasos FROM o "
         "WINDOW w AS (PARTITION BY numero_entrada, fecha ORDER BY hora_inicio_seg, idRe)), g AS (SELECT menu, opcion, paso AS numero_paso, count(*) "
         "FILTER (WHERE paso = pasos) AS veces_fue_punto_abandono, count(*) AS total_veces_visitado, avg(pasos) FILTER (WHERE paso = pasos) AS "
         "promedio_pasos_antes_abandono, avg(seg) FILTER (WHERE paso = pasos) AS tiempo_promedio_antes_abandono_seg FROM p GROUP BY 1, 2, 3 HAVING "
         "count(*) >= 20)",
-        f"SELECT *, {ratio('veces_fue_punto_abandono', 'total_veces_visitado', 1)} AS tasa_abandono_pct, CASE WHEN veces_fue_punto_abandono * 100 > "
-        f"total_veces_visitado * 40 AND tiempo_promedio_antes_abandono_seg > 60 THEN 'PUNTO_CRITICO' WHEN veces_fue_punto_abandono * 100 > "
-        f"total_veces_visitado * 25 THEN 'REQUIERE_ATENCION' ELSE 'NORMAL' END AS clasificacion_abandono FROM g"),
+        f"SELECT *, {ratio('veces_fue_punto_abandono', 'total_veces_visitado', 1)} AS tasa_abandono_pct, {class_sql('clasificacion_abandono')} AS clasificacion_abandono FROM g"),
     "v03_resolution_time": s("g AS (SELECT primero AS tipo_consulta_inicial, count(*) AS total_sesiones, sum(e)::BIGINT AS sesiones_exitosas, "
         "avg(mins) FILTER (WHERE e = 1) AS tiempo_promedio_exito_min, avg(mins) FILTER (WHERE e = 0) AS tiempo_promedio_abandono_min, avg(n) AS "
         "promedio_interacciones, avg(m) AS promedio_menus_visitados FROM ses GROUP BY 1)",
-        f"SELECT *, {ratio('sesiones_exitosas', 'total_sesiones', 1)} AS tasa_exito_pct, CASE WHEN sesiones_exitosas * 100 < total_sesiones * 50 "
-        f"THEN 'REDISEÑAR_FLUJO' WHEN tiempo_promedio_exito_min > 8 THEN 'SIMPLIFICAR_PROCESO' WHEN promedio_interacciones > 6 THEN 'REDUCIR_PASOS' "
-        f"ELSE 'OPTIMIZAR_CONTENIDO' END AS recomendacion FROM g"),
+        f"SELECT *, {ratio('sesiones_exitosas', 'total_sesiones', 1)} AS tasa_exito_pct, {class_sql('recomendacion')} AS recomendacion FROM g"),
     "v04_frustration": s("u AS (SELECT numero_entrada, count(DISTINCT fecha) AS dias_intentos, count(*) AS total_sesiones, avg(n) AS "
         "promedio_interacciones_por_sesion, avg(mins) AS promedio_duracion_sesion, sum(e)::BIGINT AS sesiones_exitosas FROM ses GROUP BY 1 HAVING "
         "count(DISTINCT fecha) >= 2)", f"""SELECT *, {ratio('sesiones_exitosas', 'total_sesiones', 1)} AS tasa_exito_pct,
- least(100, CASE WHEN promedio_duracion_sesion > 10 THEN 25 ELSE 0 END + CASE WHEN promedio_interacciones_por_sesion > 8 THEN 25 ELSE 0 END + CASE
- WHEN sesiones_exitosas * 100 < total_sesiones * 30 THEN 30 ELSE 0 END + CASE WHEN dias_intentos > 3 THEN 20 ELSE 0 END)::INT AS score_frustracion,
- CASE WHEN sesiones_exitosas = 0 AND dias_intentos >= 3 THEN 'CRITICO_CONTACTAR' WHEN promedio_duracion_sesion > 12 AND sesiones_exitosas * 100 <
- total_sesiones * 40 THEN 'ALTO_RIESGO' WHEN promedio_interacciones_por_sesion > 10 THEN 'MEDIO_RIESGO' ELSE 'BAJO_RIESGO' END AS nivel_riesgo FROM u
+ {points_sql()}::INT AS score_frustracion,
+ {class_sql('nivel_riesgo')} AS nivel_riesgo FROM u
  ORDER BY score_frustracion DESC, dias_intentos DESC, numero_entrada LIMIT 50"""),
     "v05_weekly_kpis": s(f"SELECT year(fecha)::INT AS año, {WEEK} AS semana, {USR} AS clientes_unicos, count(*) AS total_interacciones, avg(n) AS "
         f"promedio_interacciones_cliente, sum(e)::BIGINT AS total_exitosas, count(*) AS total_sesiones, {ratio('sum(e)', 'count(*)', 1)} AS "
