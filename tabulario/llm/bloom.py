@@ -15,10 +15,12 @@ any number of rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulario.llm.texts import mixed
@@ -96,30 +98,59 @@ def _plane(hashes: DataFrame, bits: int, round_: int, rounds: int) -> np.ndarray
     return plane
 
 
-def split_repeated(rows: DataFrame, hashes: DataFrame, column: str, n: int, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
-    """(rows whose hash may occur again, rows whose hash occurs once).
+class Filter:
+    """One round's plane on its way to the workers."""
+
+    def __init__(self, plane: Broadcast, bits: int, round_: int, rounds: int):
+        self.plane, self.bits, self.round, self.rounds = plane, bits, round_, rounds
+
+    def state(self, h: np.ndarray) -> np.ndarray:
+        """For each hash 1 if it may occur again, 0 if it occurs once, -1 if it belongs to another round."""
+        held, at = self.plane.value, _bits(h, self.bits)
+        maybe = ((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1).astype(np.int32)
+        return np.where(_class(h, self.rounds) == self.round, maybe, -1).astype(np.int32) if self.rounds > 1 else maybe
+
+    def column(self, column: str) -> Column:
+        """`state` of a long column without nulls."""
+
+        @F.pandas_udf("int")
+        def state(h):
+            import pandas as pd
+
+            return pd.Series(self.state(h.to_numpy().view(np.uint64)))
+
+        return state(F.col(column))
+
+    def before(self, column: str, step: Callable) -> Callable:
+        """`step`, a function over Arrow batches, on the rows whose hash occurs once."""
 
-    `column` is a long without nulls in `rows`; `hashes` has that column alone
-    for the same `n` rows, from a place that is cheap to read once a round. The
-    first frame has every repeated hash and a few others.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return step(b.filter(pa.array(self.state(b.column(column).to_numpy(zero_copy_only=False).view(np.uint64)) == 0)) for b in batches)
+
+        return run
+
+
+def filters(hashes: DataFrame, column: str, n: int, most_bits: int = MOST_BITS) -> list[Filter]:
+    """Filters of what occurs more than once among the `n` longs of a column, one for each round.
+
+    `hashes` is read once a round, so it should be cheap to read.
     """
     bits = min(most_bits, 1 << max(16, (n * BITS_PER_ROW).bit_length()))
     rounds = max(1, -(-n * BITS_PER_ROW // (2 * bits)))
-    spark = rows.sparkSession
-    out: tuple[DataFrame, DataFrame] | None = None
-    for r in range(rounds):
-        plane = spark.sparkContext.broadcast(_plane(hashes.select(column), bits, r, rounds))
+    context = hashes.sparkSession.sparkContext
+    return [Filter(context.broadcast(_plane(hashes.select(column), bits, r, rounds)), bits, r, rounds) for r in range(rounds)]
 
-        @F.pandas_udf("int")
-        def found(h, plane=plane, r=r):
-            import pandas as pd
 
-            keys, held = h.to_numpy().view(np.uint64), plane.value
-            at = _bits(keys, bits)
-            maybe = ((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-            return pd.Series(np.where(_class(keys, rounds) == r, maybe, -1).astype(np.int32))
+def where_state(rows: DataFrame, found: list[Filter], column: str, state: int) -> DataFrame:
+    """The rows in the given state, from one pass for each round."""
+    return reduce(DataFrame.unionByName, [rows.where(f.column(column) == state) for f in found])
 
-        marked = rows.withColumn("_found", found(F.col(column)))
-        parts = tuple(marked.where(F.col("_found") == v).drop("_found") for v in (1, 0))
-        out = parts if out is None else (out[0].unionByName(parts[0]), out[1].unionByName(parts[1]))
-    return out
+
+def split_repeated(rows: DataFrame, hashes: DataFrame, column: str, n: int, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash may occur again, rows whose hash occurs once).
+
+    `column` is a long without nulls in `rows`; `hashes` has that column for the
+    same `n` rows. The first frame has every repeated hash and a few others.
+    """
+    found = filters(hashes, column, n, most_bits)
+    return where_state(rows, found, column, 1), where_state(rows, found, column, 0)

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 # Counters, the same number at any size of the corpus.
 CELLS = 1 << 20
 _STEP = 1 << 14
-_COUNTS = "lo long, counts binary"
+COUNTS = "lo long, counts binary"
 
 
 def cell_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def _counted(tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callable:
+def counting(tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callable:
+    """A function over Arrow batches that gives the counters of their tokens, in slices (COUNTS)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.uint64)
         for batch in batches:
@@ -42,15 +44,19 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["lo", "counts"])
 
 
+def added_up(parts: DataFrame) -> np.ndarray:
+    """The counters of all tasks together: CELLS numbers, whatever the corpus."""
+    counts = np.zeros(CELLS, dtype=np.uint64)
+    for row in parts.groupBy("lo").applyInArrow(_added, COUNTS).collect():  # one row for each slice of the counters
+        part = np.frombuffer(row["counts"], dtype=np.uint64)
+        counts[row["lo"] : row["lo"] + len(part)] = part
+    return counts
+
+
 def cell_counts(rows: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
     """How often the tokens that `tokens` finds in batches of `rows` fall on each counter.
 
     Tasks send the counters that they touched in slices, which are added up on
-    the executors; the driver gets CELLS numbers, whatever the corpus.
+    the executors.
     """
-    parts = rows.mapInArrow(_counted(tokens), _COUNTS).groupBy("lo").applyInArrow(_added, _COUNTS)
-    counts = np.zeros(CELLS, dtype=np.uint64)
-    for row in parts.collect():  # one row for each slice of the counters
-        part = np.frombuffer(row["counts"], dtype=np.uint64)
-        counts[row["lo"] : row["lo"] + len(part)] = part
-    return counts
+    return added_up(rows.mapInArrow(counting(tokens), COUNTS))

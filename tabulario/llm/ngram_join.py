@@ -17,6 +17,8 @@ no square.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulario.llm.blocks import block_count, bucket_count
-from tabulario.llm.bloom import split_repeated
-from tabulario.llm.cells import CELLS, cell_counts, cell_of
+from tabulario.llm.bloom import Filter, filters, split_repeated, where_state
+from tabulario.llm.cells import CELLS, COUNTS, added_up, cell_of, counting
 from tabulario.llm.components import components
 from tabulario.llm.skew import join_groups
 from tabulario.llm.texts import Words, mixed, pieces, window_hashes
@@ -81,12 +83,42 @@ def _shingle_sets(width: int) -> Callable:
 
 
 def _tokens_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield _unpacked(b"".join(batch.column(0).to_pylist()))
+    yield _unpacked(b"".join(batch.column("tokens").to_pylist()))
 
 
-def frequency_classes(nodes: DataFrame) -> np.ndarray:
+@dataclass(frozen=True)
+class Nodes:
+    """(node, n_shingles, tokens) of the different sets: those of `sets` that occur once, and `repeated` with one row each."""
+
+    sets: DataFrame
+    found: list[Filter]
+    repeated: DataFrame
+
+    def map(self, step: Callable, schema: str) -> DataFrame:
+        """`step` over all of them, the filter being part of the same Python task."""
+        parts = [self.sets.mapInArrow(f.before("node", step), schema) for f in self.found]
+        return reduce(DataFrame.unionByName, parts, self.repeated.mapInArrow(step, schema))
+
+    def among(self, wanted: list[Filter]) -> DataFrame:
+        """Nodes that may be among those of a filter."""
+        parts = [where_state(self.repeated, wanted, "node", 1)]
+        for f in self.found:
+            for w in wanted:
+
+                @F.pandas_udf("boolean")
+                def both(node, f=f, w=w):
+                    import pandas as pd
+
+                    h = node.to_numpy().view(np.uint64)
+                    return pd.Series((f.state(h) == 0) & (w.state(h) == 1))
+
+                parts.append(self.sets.where(both("node")))
+        return reduce(DataFrame.unionByName, parts)
+
+
+def frequency_classes(nodes: Nodes) -> np.ndarray:
     """For each counter 0 up to twice the mean load, then 1 for each further doubling; CELLS bytes at any size."""
-    counts = cell_counts(nodes.select("tokens"), _tokens_of)
+    counts = added_up(nodes.map(counting(_tokens_of), COUNTS))
     mean = max(1.0, float(counts.sum()) / CELLS)
     return np.floor(np.log2(np.maximum(1.0, counts / mean))).astype(np.uint8)
 
@@ -259,17 +291,19 @@ def _alike(percent: int) -> Callable:
     return run
 
 
-def _nodes(work: Workspace, sets: DataFrame, total: int) -> DataFrame:
-    """(node, n_shingles, tokens), one row for each different set; only rows of sets that may occur again are shuffled."""
+def _nodes(work: Workspace, sets: DataFrame, total: int) -> Nodes:
+    """The different sets; only rows of sets that may occur again are shuffled."""
     full = sets.where(F.col("n_shingles") > 0).select("node", "n_shingles", "tokens")
-    again, single = split_repeated(full, full.select("node"), "node", total)
-    return work.keep(again.dropDuplicates(["node"]), "repeated").unionByName(single)
+    found = filters(full.select("node"), "node", total)
+    return Nodes(full, found, work.keep(where_state(full, found, "node", 1).dropDuplicates(["node"]), "repeated"))
 
 
-def _linked(nodes: DataFrame, pairs: DataFrame, total: int, percent: int) -> DataFrame:
+def _linked(nodes: Nodes, pairs: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (x, y) those whose sets are alike enough, as (a, b); only sets of nodes in a pair are moved."""
     wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    needed, _ = split_repeated(nodes.select("node", "tokens"), nodes.select("node").unionByName(wanted), "node", 2 * total)
+    # Each wanted node twice: the filter then tells what is among them.
+    twice = wanted.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    needed = nodes.among(filters(twice, "node", twice.count())).select("node", "tokens")
     with_x = pairs.select("x", "y").join(needed.select(F.col("node").alias("x"), F.col("tokens").alias("p")), "x")
     return with_x.join(needed.select(F.col("node").alias("y"), F.col("tokens").alias("q")), "y").select("x", "y", "p", "q").mapInArrow(_alike(percent), "a long, b long")
 
@@ -281,12 +315,12 @@ def linked_nodes(work: Workspace, sets: DataFrame, percent: int = PERCENT) -> Da
     buckets = bucket_count(block_count(total))
     nodes = _nodes(work, sets, total)
     classes = spark.sparkContext.broadcast(frequency_classes(nodes))
-    postings = nodes.mapInArrow(_postings(classes, buckets, percent), _POSTINGS)
+    postings = nodes.map(_postings(classes, buckets, percent), _POSTINGS)
     found = work.keep(postings.groupBy("part").applyInArrow(_lists(percent), _FOUND), "found")
     pairs = work.keep(found.where("kind = 0").groupBy("x", "y").agg(F.bit_or("z").alias("z")), "pairs")
     long = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node"), F.expr(f"z div {ORDERS}").alias("size"), (F.col("z") % ORDERS).alias("order"))
     tried = work.keep(pairs.where(F.col("z") == ALL_ORDERS).select("x", "y"), "tried0")
-    edges = work.keep(_linked(nodes, tried, total, percent), "edges0")
+    edges = work.keep(_linked(nodes, tried, percent), "edges0")
     labels = work.keep(components(edges), "labels0")
     for turn, most in enumerate((2, None), 1):
         labelled = long.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).withColumn("part", F.pmod(F.xxhash64("key", "order"), F.lit(ORDERS * buckets)))
@@ -295,7 +329,7 @@ def linked_nodes(work: Workspace, sets: DataFrame, percent: int = PERCENT) -> Da
         new = work.keep(every.select("x", "y").join(tried, ["x", "y"], "left_anti"), f"new{turn}")
         if new.isEmpty():
             continue
-        found_now = work.keep(_linked(nodes, new, total, percent), f"edges{turn}")
+        found_now = work.keep(_linked(nodes, new, percent), f"edges{turn}")
         tried = tried.unionByName(new)
         if not found_now.isEmpty():
             # What is known of the components stands for the edges that gave it.
