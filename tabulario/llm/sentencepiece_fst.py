@@ -82,48 +82,46 @@ class Transducer:
         return symbols
 
     def _free(self, left: str, right: str) -> bool:
-        """Whether the arc from one piece to the next costs nothing."""
+        """Whether the arc from one piece (or the start, as an empty one) to the next costs nothing."""
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self._merged(list(left + right)) == [left, right]
+            known = self.pairs[key] = self._merged(list(left + right)) == ([left, right] if left else [right])
         return known
 
     def path(self, text: str) -> list[str]:
         """Pieces on the shortest path of a normalised text; characters without a piece stand for themselves."""
         n = len(text)
-        # Arcs into each place, by the place that they come from; the shorter ones of a trie path come first.
-        arcs: list[list[tuple[int, str]]] = [[] for _ in range(n + 1)]
+        # The piece by which the one path of finite cost comes to each place; the start has an empty one.
+        by: list[str | None] = ["", *[None] * n]
+        known, free, trie = self.pairs.get, self._free, self.trie
         for a in range(n):
-            node = self.trie.get(text[a])
-            if node is None or _END not in node:
-                arcs[a + 1].append((a, text[a]))
+            before = by[a]
+            if before is None:
+                continue
+            node = trie.get(text[a])
             b = a + 1
+            if (node is None or _END not in node) and by[b] is None and free(before, text[a]):
+                by[b] = text[a]
             while node is not None:
-                if _END in node:
-                    arcs[b].append((a, node[_END]))
+                piece = node.get(_END)
+                if piece is not None and by[b] is None:
+                    cheap = known((before, piece))
+                    if cheap or (cheap is None and free(before, piece)):
+                        by[b] = piece
                 if b == n:
                     break
                 node = node.get(text[b])
                 b += 1
-        last: list[tuple[int, str] | None] = [None] * (n + 1)
-        for b in range(1, n + 1):
-            for a, piece in arcs[b]:
-                if a == 0:
-                    if self._merged(list(piece)) == [piece]:
-                        last[b] = (a, piece)
-                        break
-                elif last[a] is not None and self._free(last[a][1], piece):
-                    last[b] = (a, piece)
-                    break
         out: list[str] = []
         while n:
-            if last[n] is None:
+            piece = by[n]
+            if piece is None:
                 raise ValueError("no path")
-            n, piece = last[n]
             out.append(piece)
+            n -= len(piece)
         return out[::-1]
 
     def _ids(self, text: str) -> bytes:
