@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 # Odd multipliers of the polynomials (any odd numbers do).
 BASE = 0x9E3779B97F4A7C15
 STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)

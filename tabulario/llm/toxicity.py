@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tabulario.llm.cells import CELLS, cell_counts, cell_of
 from tabulario.llm.texts import Words, pieces
+from tabulario.llm.workspace import Workspace
 
 # Labelled rows that the model is fitted on at most, by order of a hash of the id.
 TRAINING_ROWS = 40_000
@@ -204,15 +205,14 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     labelled = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), fold_of(F.col("doc_id")).cast("int").alias("fold"))
-    sample = rows.mapInArrow(_sample, "toxic int, fold int, cells binary").persist()
-    try:
-        learned = sample.where(F.col("fold") != CALIBRATION_FOLD)
-        toxic, clean = (cell_counts(learned.where(F.col("toxic") == y).select("cells"), _sampled_words).astype(np.float64) for y in (1, 0))
-        scores = log_odds(toxic, clean, corpus).astype(np.float32)
-        rest = sample.where(F.col("fold") == CALIBRATION_FOLD).select("toxic", "cells")
-        seen = rest.mapInArrow(_segment_scores(scores), "toxic int, words long, found array<double>, bin array<bigint>, times array<bigint>").collect()  # at most `training_rows` rows
-    finally:
-        sample.unpersist()
+    work = Workspace(docs.sparkSession)
+    sample = work.keep(rows.mapInArrow(_sample, "toxic int, fold int, cells binary"), "sample")
+    learned = sample.where(F.col("fold") != CALIBRATION_FOLD)
+    toxic, clean = (cell_counts(learned.where(F.col("toxic") == y).select("cells"), _sampled_words).astype(np.float64) for y in (1, 0))
+    scores = log_odds(toxic, clean, corpus).astype(np.float32)
+    rest = sample.where(F.col("fold") == CALIBRATION_FOLD).select("toxic", "cells")
+    seen = rest.mapInArrow(_segment_scores(scores), "toxic int, words long, found array<double>, bin array<bigint>, times array<bigint>").collect()  # at most `training_rows` rows
+    work.drop("sample")
     times = np.zeros(2 * MOST * BINS + 1)
     for r in seen:
         if not r["toxic"]:

@@ -14,7 +14,7 @@ from array import array
 from collections.abc import Iterable, Sequence
 
 # Units kept by a worker; a full table is begun anew.
-MOST_UNITS = 1_000_000
+MOST_UNITS = 400_000
 # Texts with other characters than these, or with the special token, are left to the tokenizer as a whole. (Fixed values:
 # characters whose class is the same in every version of Unicode.)
 _PLAIN = re.compile(r"[^\t\n\r -~¡-ɏ–—‘’“”…]|<\|")
