@@ -165,3 +165,26 @@ SELECT 'ÍNDICE_ESTABILIDAD_CATÁLOGO' AS metrica, {ratio('s', 'n')} AS porcenta
  WHERE categoria IS NULL OR trim(categoria) = '' OR categoria = 'sin categoria' GROUP BY 1, 2"""),
 }
 SQL |= {f"{key}_all_quarters": SQL[key].replace(SALES_PERIODS, CALENDAR) for key in ("s02_distinct_products", "s07_org_quarter_metrics", "s11_category_products")}
+
+# Every quarter of the sales table, 1995 to 2001.
+N = 28
+WHOLE = """per AS (SELECT concat('Q0', q, '_', lpad((y % 100)::VARCHAR, 2, '0')) AS trimestre, make_date(y, 3 * q - 2, 1) AS inicio,
+ last_day(make_date(y, 3 * q, 1)) AS fin,
+ ((y - 1995) * 4 + q)::INT AS orden FROM range(1995, 2002) ys(y), range(1, 5) qs(q))"""
+# What statements say about the number of quarters.
+_COUNTS = {
+    "s15_category_variability": [("WHEN 3 THEN", f"WHEN {N} THEN"), ("WHEN 2 THEN", f"WHEN {N - 1} THEN")],
+    "s17_executive_categories": [("k = 3", f"k = {N}"), ("los 3 trimestres", f"los {N} trimestres")],
+}
+
+
+def _whole(key: str) -> str:
+    text = SQL[key].replace(SALES_PERIODS, WHOLE)
+    for old, new in _COUNTS.get(key, []):
+        text = text.replace(old, new)
+    return text
+
+
+# Not those with a column or a pattern for each quarter: their statements are for three.
+_PER_QUARTER = ("s09", "s10", "s25", "s26", "s27", "s28", "s29", "s30", "s31", "s32")
+SQL |= {f"{key}_whole_table": _whole(key) for key in SQL if not key.startswith(_PER_QUARTER) and not key.endswith("_all_quarters")}

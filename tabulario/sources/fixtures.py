@@ -15,10 +15,14 @@ SALES_PERIODS = Periods.of(
     ("Q02_95", "1995-04-01", "1995-06-30"),
     ("Q03_95", "1995-07-01", "1995-09-30"),
 )
-# Every quarter that the sales table has.
+# The quarters of the *_all_quarters keys and their statements; the sales table goes on to 2001.
 SALES_CALENDAR = Periods.of(*[
     (f"Q0{q}_{year % 100}", f"{year}-{3 * q - 2:02d}-01", f"{year}-{3 * q:02d}-{31 if q in (1, 4) else 30}") for year in range(1992, 2000) for q in range(1, 5)
 ])
+# Every quarter that the sales table has.
+SALES_WHOLE = Periods.of(*[
+    (f"Q0{q}_{year % 100:02d}", f"{year}-{3 * q - 2:02d}-01", f"{year}-{3 * q:02d}-{31 if q in (1, 4) else 30}") for year in range(1995, 2002) for q in range(1, 5)
+])
 LOG_PERIODS = Periods.of(
     ("Q01_24", "2024-01-01", "2024-01-10"),
     ("Q02_24", "2024-01-11", "2024-01-20"),

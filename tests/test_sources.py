@@ -105,3 +105,12 @@ def test_bucketed_sessions_need_no_shuffle(spark, tmp_path):
 def test_view_and_catalog_table(spark):
     as_view(spark.range(2), "dos")
     assert read_table(spark, "dos", fmt="table").count() == 2
+
+
+def test_whole_calendar_has_every_sale(tables):
+    from tabulario.sources.fixtures import SALES_WHOLE
+
+    days = tables.ventas
+    assert days.where(SALES_WHOLE.label_of(days["fechaTabla"]).isNull()).count() == 0
+    assert SALES_WHOLE.tag(days, "fechaTabla").count() == tables._read("lineitem").count()
+    assert SALES_WHOLE.labels[0] == "Q01_95" and "Q01_00" in SALES_WHOLE.labels and SALES_WHOLE.labels[-1] == "Q04_01"
