@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulario.llm import exact_dedup, fingerprints, html_text, ngram_join, packing, sentencepiece_fst, substring, token_counts, toxicity, url_filter, winnowing
+from tabulario.llm import (
+    alignment, exact_dedup, fingerprints, html_text, ngram_join, packing, sentencepiece_fst, spelling, substring, token_counts, toxicity, url_filter, winnowing,
+)
 from tabulario.llm.ship import send_package
 
 
@@ -67,15 +69,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_links(documents(spark, sf_dir), BYTE_BPE, PIECE_MODEL)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_html_extraction, op3_best_fit_packing,
         op4_sentencepiece_fst, op5_toxicity, op6_substring_dedup, op7_token_counts, op8_fingerprints, op9_url_filter, op10_exact_dedup,
-        op12_benchmark_decontamination,
+        op11_spelling_variants, op12_benchmark_decontamination, op13_tokenizer_alignment,
     )}
 
 

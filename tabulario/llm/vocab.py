@@ -2,7 +2,8 @@
 
 A text is cut where no token can cross, at spaces, and the tokens of each unit
 come from a table; only units that are not in it go to the tokenizer library.
-The tables live in the Python worker, over tasks, and are bounded.
+The tables live in the Python worker, over tasks, and are bounded in entries and
+in bytes: units that are longer than MOST_LETTERS are encoded each time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Iterable, Sequence
 
 # Units kept by a worker; a full table is begun anew.
 MOST_UNITS = 400_000
+# Code points of a unit that a table keeps.
+MOST_LETTERS = 64
 # Texts with other characters than these, or with the special token, are left to the tokenizer as a whole. (Fixed values:
 # characters whose class is the same in every version of Unicode.)
 _PLAIN = re.compile(r"[^\t\n\r -~¡-ɏ–—‘’“”…]|<\|")
@@ -27,14 +30,16 @@ class ByteLevel:
     A space before something that is no white space always begins a new unit of
     the vocabulary's split, so the words of a text with its spaces are encoded
     one by one. `ranks`, the same vocabulary as a rank file, speeds up words not
-    seen before; without it the tokenizer does them all.
+    seen before; without it the tokenizer does them all. Strings of special tokens
+    in a text are those tokens, unless `literal` makes them plain text.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, literal: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = literal
         self.fast = None
         if ranks:
             import tiktoken
@@ -64,9 +69,11 @@ class ByteLevel:
                 if b is None:
                     b = known.get(rest[i])
                     if b is None:
-                        if len(known) >= MOST_UNITS:
-                            known.clear()
-                        b = known[rest[i]] = self._plain(" " + rest[i])
+                        b = self._plain(" " + rest[i])
+                        if len(rest[i]) <= MOST_LETTERS:
+                            if len(known) >= MOST_UNITS:
+                                known.clear()
+                            known[rest[i]] = b
                     got[i] = b
         return self._plain(words[0]) + b"".join(got)
 
@@ -89,6 +96,39 @@ def piece_units(text: str) -> Sequence[str] | None:
     return text.split(" ")
 
 
+class PieceIds:
+    """Ids of a SentencePiece BPE model, as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.known: dict[str, bytes] = {}
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.model.encode(text, num_threads=1)).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        units = piece_units(text)
+        if units is None:
+            return self._encoded(text)
+        known = self.known
+        got = list(map(known.get, units))
+        if None in got:
+            for i, b in enumerate(got):
+                if b is None:
+                    b = known.get(units[i])
+                    if b is None:
+                        # The model puts no space before an empty text, but an empty unit is a space.
+                        b = self._encoded(units[i]) if units[i] else array("I", [self.model.piece_to_id("▁")]).tobytes()
+                        if len(units[i]) <= MOST_LETTERS:
+                            if len(known) >= MOST_UNITS:
+                                known.clear()
+                            known[units[i]] = b
+                    got[i] = b
+        return b"".join(got)
+
+
 class PieceCounts:
     """Number of tokens by a SentencePiece model: a table of frequent units, a bounded table of others, then the library."""
 
