@@ -4,9 +4,9 @@ Both encodings of a text are turned into byte offsets at which their tokens end.
 Where both end, a group of tokens closes. Stretches in which every token of one
 is a token of the other lie on a diagonal: the places of the two arrays differ by
 a constant shift. Such a stretch is run through in probes of doubling length
-that compare the arrays at the shift, the last of which is halved down to its
-first difference; there the irregular group is closed by steps on the side that
-is behind, and the shift is taken anew.
+that compare the arrays at the shift, up to the first difference; there the
+irregular group is closed by steps on the side that is behind, and the shift is
+taken anew.
 
 A document's links are kept as distinct id pairs with their number. Pairs are
 counted over all documents on the executors; the most frequent ones, a bounded
@@ -17,7 +17,7 @@ join.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,10 @@ from tabulario.llm.workspace import Workspace
 
 # Id pairs whose counts go out to the workers: 17 bytes each.
 TABLE_PAIRS = 1 << 20
+# Tokens of the first probe of a stretch.
+PROBE = 8
+# Names of single links that a worker keeps; a full table is begun anew.
+MOST_NAMES = 500_000
 # Links laid out at once, and pairs that a task holds before it sends their numbers on.
 LINKS = 1 << 20
 HELD = 1 << 21
@@ -38,44 +42,51 @@ _GROUPS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_
 _HELD: dict[tuple, _Pair] = {}
 
 
-def group_ends(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
-    """How many tokens of each side lie before the end of each group, from the offsets at which tokens end.
+def one_to_one(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches in which each token of one side is a token of the other: first places in both and length.
 
-    Offsets increase and the last ones are equal.
+    `a` and `b` are the increasing offsets (unsigned 32-bit) at which tokens end,
+    the last ones equal. Between two stretches lies one irregular group; a
+    stretch may be empty. A probe compares both arrays as bytes; the lowest bit
+    in which a failed one differs tells the first place that does.
     """
     i, j, n, m = 0, 0, len(a), len(b)
-    left: list[int] = []
-    right: list[int] = []
-    while i < n:
-        probe = 1
-        while True:
-            probe = min(probe, n - i, m - j)
-            if not probe or a[i : i + probe] != b[j : j + probe]:
-                break
-            left.extend(range(i + 1, i + probe + 1))
-            right.extend(range(j + 1, j + probe + 1))
-            i, j, probe = i + probe, j + probe, 2 * probe
-        while probe > 1:
-            half = probe // 2
-            if a[i : i + half] == b[j : j + half]:
-                left.extend(range(i + 1, i + half + 1))
-                right.extend(range(j + 1, j + half + 1))
-                i, j, probe = i + half, j + half, probe - half
+    x, y, p, q = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
+    starts_a, starts_b, lengths = [], [], []
+    while True:
+        first, probe = i, PROBE
+        while i < n and j < m:
+            step = min(probe, n - i, m - j)
+            u, v = x[4 * i : 4 * (i + step)], y[4 * j : 4 * (j + step)]
+            if u == v:
+                i, j, probe = i + step, j + step, 2 * probe
+                continue
+            differ = int.from_bytes(u, "little") ^ int.from_bytes(v, "little")
+            same = ((differ & -differ).bit_length() - 1) >> 5
+            i, j = i + same, j + same
+            break
+        starts_a.append(first)
+        starts_b.append(j - (i - first))
+        lengths.append(i - first)
+        if i == n:
+            return np.array(starts_a, dtype=np.int64), np.array(starts_b, dtype=np.int64), np.array(lengths, dtype=np.int64)
+        end_a, end_b = p[i], q[j]
+        while end_a != end_b:
+            if end_a < end_b:
+                i += 1
+                end_a = p[i]
             else:
-                probe = half
-        if i < n:
-            x, y = a[i], b[j]
-            while x != y:
-                if x < y:
-                    i += 1
-                    x = a[i]
-                else:
-                    j += 1
-                    y = b[j]
-            i, j = i + 1, j + 1
-            left.append(i)
-            right.append(j)
-    return left, right
+                j += 1
+                end_b = q[j]
+        i, j = i + 1, j + 1
+
+
+def borders(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where the groups of one side begin, and the end: those of the stretches one token each, the others between them."""
+    # After each stretch but the last stands the end of the irregular group.
+    size = lengths + 1
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(starts, size) + at
 
 
 def byte_level_bytes() -> dict[str, int]:
@@ -86,7 +97,7 @@ def byte_level_bytes() -> dict[str, int]:
 
 
 class _Pair:
-    """Both tokenizers with the bytes and decimal forms of their ids."""
+    """Both tokenizers with the bytes of their ids."""
 
     def __init__(self, byte_level: tuple, piece_model: str):
         self.a, self.b = ByteLevel(*byte_level, literal=True), PieceIds(piece_model)
@@ -99,30 +110,50 @@ class _Pair:
         names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
         self.b_bytes = [bytes([int(s[3:5], 16)]) if model.is_byte(k) else s.replace("▁", " ").encode() for k, s in enumerate(names)]
         self.a_length, self.b_length = (np.array([len(x) for x in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes))
-        self.a_name, self.b_name = [str(k) for k in range(len(self.a_bytes))], [str(k) for k in range(len(self.b_bytes))]
-
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both; none if the text has none or its bytes don't come back."""
-        if text:
-            whole = " " + text
-            a, b = np.frombuffer(self.a.ids(whole), dtype=np.uint32), np.frombuffer(self.b.ids(text), dtype=np.uint32)
-            raw = whole.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
-                return a, b
-        return np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.uint32)
-
-    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Borders of the groups in both, from 0 on."""
-        left, right = group_ends(np.cumsum(self.a_length[a]).tolist(), np.cumsum(self.b_length[b]).tolist())
-        return np.array([0, *left], dtype=np.int64), np.array([0, *right], dtype=np.int64)
-
-    def text_of(self, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> str:
+        self.pair_names: dict[int, str] = {}
+
+    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both for each text; none if it has none or its bytes don't come back."""
+        none = np.empty(0, dtype=np.uint32)
+        out = []
+        for text, b in zip(texts, self.b.ids([t or "" for t in texts]), strict=True):
+            made = (none, none)
+            if text:
+                whole = " " + text
+                x, y = np.frombuffer(self.a.ids(whole), dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+                raw = whole.encode()
+                if b"".join(map(self.a_bytes.__getitem__, x.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, y.tolist())):
+                    made = (x, y)
+            out.append(made)
+        return out
+
+    def stretches(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return one_to_one(np.cumsum(self.a_length[a]).astype(np.uint32), np.cumsum(self.b_length[b]).astype(np.uint32))
+
+    def _names(self, codes: list[int]) -> list[str]:
+        """a|b for the codes a * width + b of tokens that are alone in their group."""
+        found = list(map(self.pair_names.get, codes))
+        if None in found:
+            width = len(self.b_bytes)
+            new = {code: f"{code // width}|{code % width}" for code, name in zip(codes, found, strict=True) if name is None}
+            if len(self.pair_names) + len(new) > MOST_NAMES:
+                self.pair_names = {}
+            self.pair_names.update(new)
+            found = [new[code] if name is None else name for code, name in zip(codes, found, strict=True)]
+        return found
+
+    def text_of(self, a: np.ndarray, b: np.ndarray, starts_a: np.ndarray, starts_b: np.ndarray, lengths: np.ndarray) -> str:
         """a1,a2|b1;a3|b2,b3"""
-        x, y = [self.a_name[k] for k in a.tolist()], [self.b_name[k] for k in b.tolist()]
-        parts, i, j = [], 0, 0
-        for p, q in zip(left[1:].tolist(), right[1:].tolist(), strict=True):
-            parts.append(f"{x[i]}|{y[j]}" if p - i == 1 == q - j else f"{','.join(x[i:p])}|{','.join(y[j:q])}")
-            i, j = p, q
+        at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        alone = a[np.repeat(starts_a, lengths) + at].astype(np.int64) * len(self.b_bytes) + b[np.repeat(starts_b, lengths) + at]
+        names = self._names(alone.tolist())
+        x, y = a.tolist(), b.tolist()
+        parts, i, j, k = [], 0, 0, 0
+        for p, q, n in zip(starts_a.tolist(), starts_b.tolist(), lengths.tolist(), strict=True):
+            if p:
+                parts.append(f"{','.join(map(str, x[i:p]))}|{','.join(map(str, y[j:q]))}")
+            parts += names[k : k + n]
+            i, j, k = p + n, q + n, k + n
         return ";".join(parts)
 
 
@@ -135,13 +166,11 @@ def _added(codes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def links(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct links a * width + b of all groups and how often each occurs.
+    """Distinct links a * width + b of all groups and how often each occurs; `left` and `right` are the groups' borders.
 
     A group's links are all pairs of its tokens. They are laid out in bounded
     runs of groups; a larger group is taken by its distinct ids.
     """
-    if not len(a):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     a, b = a.astype(np.int64) * width, b.astype(np.int64)
     many, other = np.diff(left), np.diff(right)
     size = many * other
@@ -182,11 +211,14 @@ def _aligned(byte_level: tuple, piece_model: str) -> Callable:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 rows = []
-                for text in batch.column("text").to_pylist():
-                    a, b = both.tokens(text)
-                    left, right = both.groups(a, b)
+                for a, b in both.tokens(batch.column("text").to_pylist()):
+                    if not len(a):
+                        rows.append((0, 0, 0, 0, "", b"", b""))
+                        continue
+                    runs = both.stretches(a, b)
+                    left, right = borders(runs[0], runs[2]), borders(runs[1], runs[2])
                     code, n = links(a, b, left, right, width)
-                    sha = hashlib.sha256(both.text_of(a, b, left, right).encode()).hexdigest() if len(a) else ""
+                    sha = hashlib.sha256(both.text_of(a, b, *runs).encode()).hexdigest()
                     rows.append((len(a), len(b), len(left) - 1, int(n.sum()), sha, code.astype(np.uint64).tobytes(), n.astype(np.uint64).tobytes()))
                 kinds = [*[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary()]
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]

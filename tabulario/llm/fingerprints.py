@@ -4,9 +4,12 @@ A substring of K code points is a closed syncmer if the smallest of its inner
 substrings of S code points, by hash, is its first or its last one. That is a
 property of the substring alone, so equal passages have equal anchors whatever
 stands around them, and no K - S + 1 substrings in a row are without one. The
-ANCHORS smallest distinct anchor hashes, listed in order of their first places,
-are the fingerprint. Two fingerprints are alike by the anchors that match in
-place, that is in the same order in both, among the smallest of both together.
+fingerprint lists, in order of their first places, the distinct anchor hashes
+below a fixed bound, one in RATE, and in any case the ANCHORS smallest ones. So it
+grows with the text, and a passage that two texts share keeps its anchors in both,
+however long they are. Two fingerprints are alike by the anchors that match in
+place, that is in the same order in both, among those of both together that
+both would list.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from tabulario.llm.texts import mixed, window_hashes
 K = 16
 S = 6
 ANCHORS = 64
+RATE = 16
+BOUND = (1 << 32) // RATE
 _PART = 1 << 20
 
 
@@ -47,7 +52,7 @@ def _syncmers(codes: np.ndarray) -> np.ndarray:
 
 
 def anchors(text: str) -> np.ndarray:
-    """The ANCHORS smallest distinct anchor hashes (32 bits) in order of their first places.
+    """The distinct anchor hashes (32 bits) below BOUND, or the ANCHORS smallest, in order of their first places.
 
     A text of fewer than K code points is its own only anchor; an empty one has none.
     """
@@ -60,7 +65,13 @@ def anchors(text: str) -> np.ndarray:
     h = np.concatenate(found) if len(found) > 1 else found[0]
     h = (h >> np.uint64(32)).astype(np.uint32)
     distinct, place = np.unique(h, return_index=True)
-    return distinct[:ANCHORS][np.argsort(place[:ANCHORS])]
+    keep = max(ANCHORS, int(np.searchsorted(distinct, BOUND)))
+    return distinct[:keep][np.argsort(place[:keep])]
+
+
+def _known(marks: np.ndarray) -> int:
+    """Up to which hash a fingerprint lists all anchors of its text."""
+    return max(int(marks.max()), BOUND - 1) if len(marks) >= ANCHORS else 0xFFFFFFFF
 
 
 def short_hash(text: str) -> int:
@@ -77,8 +88,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         return float(len(a) == len(b))
     if np.array_equal(a, b):
         return 1.0
-    # A full fingerprint says nothing about anchors above its largest one.
-    known = min(x.max() if len(x) >= ANCHORS else 0xFFFFFFFF for x in (a, b))
+    known = min(_known(a), _known(b))
     both = np.union1d(a, b)
     both = both[both <= known]
     shared = np.intersect1d(np.intersect1d(a, b), both)

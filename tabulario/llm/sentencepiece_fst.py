@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulario.llm.texts import pieces
-from tabulario.llm.vocab import piece_units
+from tabulario.llm.vocab import MOST_LETTERS, piece_units
 
 MARK = "▁"
 # Entries kept of each table; a full one is begun anew.
@@ -144,11 +144,13 @@ class Transducer:
         if None in found:
             for i, ids in enumerate(found):
                 if ids is None:
-                    if len(self.words) >= MOST_WORDS:
-                        self.words.clear()
                     ids = self.words.get(units[i])
                     if ids is None:
-                        ids = self.words[units[i]] = self._ids((MARK + units[i]).replace(" ", MARK))
+                        ids = self._ids((MARK + units[i]).replace(" ", MARK))
+                        if len(units[i]) <= MOST_LETTERS:  # so the table is bounded in bytes as well
+                            if len(self.words) >= MOST_WORDS:
+                                self.words.clear()
+                            self.words[units[i]] = ids
                     found[i] = ids
         return b"".join(found)
 

@@ -1,15 +1,15 @@
 """Token counts by a two-tier lookup, with no shuffle of the texts' units.
 
-First every task counts its units and keeps the most frequent ones; these short
-lists are added up and the most frequent of all go out to the workers with
-their token counts. The second pass looks each unit up there, then in a table
-that the worker keeps of what it met before, and gives the rest to the library.
+The first tier are the units that are whole pieces of the model, with their
+token counts: a compact table, bounded by the model, that goes out to the
+workers. Each unit is looked up there, then in a table that the worker keeps of
+what it met before; the rest goes to the library. Texts are read once and no unit
+leaves its task.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,26 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulario.llm.texts import pieces
-from tabulario.llm.vocab import PieceCounts, piece_units
+from tabulario.llm.vocab import PieceCounts, whole_pieces
 
-# Units in the first tier, units that a task reports, and those that it counts at once before rare ones go.
-FREQUENT = 1 << 17
-REPORTED = 1 << 14
-COUNTED = 1 << 20
 _HELD: dict[tuple[str, str], PieceCounts] = {}
 
 
-def _frequent_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(piece_units(text or "") or ())
-            if len(seen) > COUNTED:
-                seen = Counter(dict(seen.most_common(COUNTED // 2)))
-    top = seen.most_common(REPORTED)
-    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["unit", "n"])
-
-
 def _counter(path: str, frequent: Broadcast, call: str) -> PieceCounts:
     """The worker's tables for one call of the operator."""
     key = (path, call)
@@ -70,11 +55,6 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     text counts as empty and has no tokens. Texts of any length are counted
     whole; no documents give no rows.
     """
-    spark = docs.sparkSession
-    units = docs.select("text").mapInArrow(_frequent_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = [r["unit"] for r in units.orderBy(F.desc("n"), "unit").limit(FREQUENT).collect()]
-    counter = PieceCounts(model, {})
-    counter._learn(u for u in top if u)
-    frequent = spark.sparkContext.broadcast(counter.known)
+    frequent = docs.sparkSession.sparkContext.broadcast(whole_pieces(model))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return rows.mapInArrow(_counts(model, frequent, uuid.uuid4().hex, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -105,28 +105,45 @@ class PieceIds:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.known: dict[str, bytes] = {}
 
-    def _encoded(self, text: str) -> bytes:
-        return array("I", self.model.encode(text, num_threads=1)).tobytes()
+        # The model puts no space before an empty text, but an empty unit is a space.
+        self.space = array("I", [self.model.piece_to_id("▁")]).tobytes()
+
+    def _encoded(self, texts: Sequence[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self.model.encode(list(texts), num_threads=1)]
+
+    def _learnt(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of the units, the shorter of which are kept for later texts."""
+        new = dict(zip(units, self._encoded(units), strict=True))
+        short = {u: b for u, b in new.items() if len(u) <= MOST_LETTERS}
+        if len(self.known) + len(short) > MOST_UNITS:
+            self.known = {}
+        self.known.update(short)
+        return new | {"": self.space}
+
+    def ids(self, texts: Sequence[str]) -> list[bytes]:
+        units = [piece_units(t) for t in texts]
+        get = self.known.get
+        found = [None if u is None else list(map(get, u)) for u in units]
+        open_ = [i for i, f in enumerate(found) if f is not None and None in f]
+        if open_:
+            missing = {u for i in open_ for u, b in zip(units[i], found[i], strict=True) if b is None}
+            new = self._learnt([u for u in missing if u])
+            for i in open_:
+                found[i] = [new[u] if b is None else b for u, b in zip(units[i], found[i], strict=True)]
+        return [self._encoded([t])[0] if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
 
-    def ids(self, text: str) -> bytes:
-        units = piece_units(text)
-        if units is None:
-            return self._encoded(text)
-        known = self.known
-        got = list(map(known.get, units))
-        if None in got:
-            for i, b in enumerate(got):
-                if b is None:
-                    b = known.get(units[i])
-                    if b is None:
-                        # The model puts no space before an empty text, but an empty unit is a space.
-                        b = self._encoded(units[i]) if units[i] else array("I", [self.model.piece_to_id("▁")]).tobytes()
-                        if len(units[i]) <= MOST_LETTERS:
-                            if len(known) >= MOST_UNITS:
-                                known.clear()
-                            known[units[i]] = b
-                    got[i] = b
-        return b"".join(got)
+
+def whole_pieces(path: str) -> dict[str, int]:
+    """Number of tokens of the units that are whole pieces of a SentencePiece model: the units that its vocabulary was made for.
+
+    A table of at most as many entries as the model has pieces, of bounded length.
+    """
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
+    units = [u for u in (name[1:] for name in names if name[:1] == "▁") if u and "▁" not in u and len(u) <= MOST_LETTERS]
+    return dict(zip(units, map(len, model.encode(units, num_threads=1)), strict=True))
 
 
 class PieceCounts:
@@ -139,11 +156,15 @@ class PieceCounts:
         self.frequent = frequent
         self.known = {"": 1, **frequent}
 
-    def _learn(self, units: Iterable[str]) -> None:
+    def _learnt(self, units: Iterable[str]) -> dict[str, int]:
+        """Counts of the units, the shorter of which are kept for later texts."""
         units = list(units)
-        if len(self.known) + len(units) > MOST_UNITS + len(self.frequent):
+        new = dict(zip(units, map(len, self.model.encode(units, num_threads=1)), strict=True))
+        short = {u: n for u, n in new.items() if len(u) <= MOST_LETTERS}
+        if len(self.known) + len(short) > MOST_UNITS + len(self.frequent):
             self.known = {"": 1, **self.frequent}
-        self.known.update(zip(units, map(len, self.model.encode(units, num_threads=1)), strict=True))
+        self.known.update(short)
+        return new
 
     def counts(self, texts: Sequence[str]) -> list[int]:
         units = [piece_units(t) for t in texts]
@@ -154,10 +175,7 @@ class PieceCounts:
         for i in open_:
             missing.update(u for u, n in zip(units[i], found[i], strict=True) if n is None)
         if missing:
-            before = self.known
-            self._learn(missing)
-            new = self.known
+            new = self._learnt(missing)
             for i in open_:
                 found[i] = [new[u] if n is None else n for u, n in zip(units[i], found[i], strict=True)]
-            del before
         return [len(self.model.encode(t, num_threads=1)) if f is None else sum(f) for t, f in zip(texts, found, strict=True)]

@@ -28,6 +28,26 @@ def test_empty_and_null_ids(documents):
     assert [r.n_tokens for r in token_counts.token_counts(documents((None, "a b"), (None, "a b")), PIECE_MODEL).collect()] == [2, 2]
 
 
+def test_no_exchange_and_one_pass(documents):
+    plan = token_counts.token_counts(documents((1, "a b")), PIECE_MODEL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_first_tier_is_what_the_library_counts():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    tier = vocab.whole_pieces(PIECE_MODEL)
+    assert 1000 < len(tier) <= model.get_piece_size() and max(map(len, tier)) <= vocab.MOST_LETTERS
+    assert all(tier[u] == len(model.encode(u)) for u in list(tier)[::50])
+
+
+def test_texts_of_one_long_unit_are_not_kept():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    counts = vocab.PieceCounts(PIECE_MODEL, {})
+    texts = ["日本" * 400, "a" * 65, "b" * 64, "x" * 5000 + " short", "日本" * 400]
+    assert counts.counts(texts) == [len(x) for x in model.encode(texts)]
+    assert set(counts.known) == {"", "b" * 64, "short"}
+
+
 def test_full_tables_begin_anew(monkeypatch):
     monkeypatch.setattr(vocab, "MOST_UNITS", 5)
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
