@@ -17,10 +17,21 @@ WIDE = "decimal(24,0)"
 
 
 def ratio(num: Column, den: Column, digits: int = 2, scale: int = 100) -> Column:
-    """`scale * num / den` rounded half away from zero; NULL for an empty denominator.
+    """`scale * num / den` of two counts, rounded half away from zero; NULL for an empty denominator.
 
-    Quotient and remainder are whole numbers, so no digit is lost whatever the size.
+    Whole part and remainder are divided as bigints, so no digit is lost while the
+    denominator is below 2^63 / (2 * scale * 10^digits): 4.6 * 10^14 rows for
+    percentages with two digits. Beyond that it fails; `wide_ratio` has no such bound.
     """
+    n, d = num.cast("bigint"), F.nullif(den.cast("bigint"), F.lit(0).cast("bigint"))
+    k = F.lit(scale * 10**digits).cast("bigint")
+    rest = n % d * k
+    up = F.when(F.abs(rest % d) * 2 >= F.abs(d), F.signum(n) * F.signum(d)).otherwise(F.lit(0.0))
+    return ((F.call_function("div", n, d) * k + F.call_function("div", rest, d)).cast("double") + up) / F.lit(float(10**digits))
+
+
+def wide_ratio(num: Column, den: Column, digits: int = 2, scale: int = 100) -> Column:
+    """`ratio` for sums of any size, in decimals of 24 digits."""
     n = num.cast(WIDE) * F.lit(Decimal(scale * 10**digits))
     d = F.nullif(den.cast(WIDE), F.lit(Decimal(0)))
     rest = n % d
@@ -30,7 +41,12 @@ def ratio(num: Column, den: Column, digits: int = 2, scale: int = 100) -> Column
 
 def mean(col: Column, digits: int = 2) -> Column:
     """Rounded average of an integer column (aggregate)."""
-    return ratio(F.sum(col.cast(WIDE)), F.count(col), digits, 1)
+    return wide_ratio(F.sum(col.cast(WIDE)), F.count(col), digits, 1)
+
+
+def mean_of(total: Column, count: Column, digits: int = 2) -> Column:
+    """Rounded average from a sum and a count."""
+    return wide_ratio(total, count, digits, 1)
 
 
 def share(cond: Column, digits: int = 2) -> Column:
@@ -60,7 +76,7 @@ def cents(col: Column, places: int = 2) -> Column:
 
 def mean_of_rounded(col: Column, digits: int = 2, places: int = 2) -> Column:
     """Average of rounded figures without summing doubles (aggregate)."""
-    return ratio(F.sum(cents(col, places).cast(WIDE)), F.count(col) * 10**places, digits, 1)
+    return wide_ratio(F.sum(cents(col, places).cast(WIDE)), F.count(col) * 10**places, digits, 1)
 
 
 def mean_share(part: Column, whole: Column, digits: int = 1) -> Column:

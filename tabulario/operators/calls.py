@@ -16,9 +16,10 @@ from tabulario.functions.calls import FAILED_MENUS, inverted, labelled, option_r
 from tabulario.functions.exact import ratio, share
 from tabulario.functions.text import clock_full, filled, is_blank, sorted_set, vocabulary
 from tabulario.plans.order_stats import order_statistics, percentile_rank
-from tabulario.plans.shape import bounded_list, first_match, join_on, leading_list, matching, rows_of, top_per_key, with_distinct_counts
+from tabulario.plans.shape import bounded_list, first_match, join_on, leading_list, matching, number_of_values, rows_of, top_per_key, with_distinct_counts
 from tabulario.sources.calls import normalise, parse_date
 from tabulario.sources.periods import Periods
+from tabulario.sources.sinks import TableStore
 
 FIELDS = ("numero_entrada", "numero_digitado", "menu", "opcion", "id_CTransferencia", "etiquetas", "division", "area", "cIdentifica")
 # Options whose text is not expected among the labels.
@@ -64,11 +65,8 @@ def completeness(llamadas: DataFrame, fields: Sequence[str] = FIELDS) -> DataFra
 def field_domains(llamadas: DataFrame) -> DataFrame:
     """Distinct and missing values of the free-text fields."""
     names = ("etiquetas", "cIdentifica", "nidMQ")
-    wide = llamadas.agg(
-        *[F.count_distinct(c).alias(f"d_{c}") for c in names],
-        _n(is_blank(F.col("etiquetas")), "n_etiquetas"), *[_n(F.col(c).isNull(), f"n_{c}") for c in names[1:]],
-    )
-    return rows_of(wide, ["campo", "valores_distintos", "valores_nulos"], [(c, F.col(f"d_{c}"), F.col(f"n_{c}")) for c in names])
+    wide = llamadas.agg(_n(is_blank(F.col("etiquetas")), "n_etiquetas"), *[_n(F.col(c).isNull(), f"n_{c}") for c in names[1:]])
+    return rows_of(wide, ["campo", "valores_distintos", "valores_nulos"], [(c, number_of_values(llamadas, F.col(c)), F.col(f"n_{c}")) for c in names])
 
 
 def criticality(llamadas: DataFrame, fields: Sequence[str] = ("numero_entrada", "menu", "numero_digitado", "etiquetas")) -> DataFrame:
@@ -197,9 +195,9 @@ def base_dates(crudas: DataFrame, base: str = "01/01/1900", first: int | None =
     a, b = F.left(F.col("hora_inicio"), F.lit(10)), F.left(F.col("hora_fin"), F.lit(10))
     odd = leading_list(crudas.where(a != base).select("hora_inicio").distinct(), "hora_inicio", first or _LIST, ",")
     return crudas.agg(
-        F.lit("Análisis_timestamps").alias("analisis"), F.count("*").alias("total_registros"), F.count_distinct(a).alias("fechas_diferentes_hora_inicio"),
-        F.count_distinct(b).alias("fechas_diferentes_hora_fin"), _n(a == base, "usa_fecha_base_inicio"), _n(b == base, "usa_fecha_base_fin"),
-    ).withColumn("ejemplos_fechas_anomalas", F.nullif(odd if first else F.left(odd, F.lit(100)), F.lit("")))
+        F.lit("Análisis_timestamps").alias("analisis"), F.count("*").alias("total_registros"),
+        _n(a == base, "usa_fecha_base_inicio"), _n(b == base, "usa_fecha_base_fin"),
+    ).withColumns({"fechas_diferentes_hora_inicio": number_of_values(crudas, a), "fechas_diferentes_hora_fin": number_of_values(crudas, b)}).withColumn("ejemplos_fechas_anomalas", F.nullif(odd if first else F.left(odd, F.lit(100)), F.lit("")))
 
 
 def _option_not_reflected() -> Column:
@@ -395,6 +393,13 @@ def clean_calls(llamadas: DataFrame) -> DataFrame:
     )
 
 
+def refresh_clean_calls(store: TableStore, llamadas: DataFrame, quarters: Sequence[str] | None = None) -> DataFrame:
+    """The stored clean data set, one folder a quarter; with `quarters` only theirs are computed and rewritten."""
+    if quarters is None:
+        return store.replace("clean_calls", clean_calls(llamadas), by=["trimestre_origen"])
+    return store.replace_parts("clean_calls", clean_calls(llamadas.where(F.col("trimestre").isin(*quarters))), by=["trimestre_origen"])
+
+
 def problem_records(llamadas: DataFrame, limit: int = 100) -> DataFrame:
     a, b, size = F.col("numero_entrada"), F.col("numero_digitado"), F.octet_length
     rules = [

@@ -15,7 +15,7 @@ from tabulario.functions.exact import mean, mean_share, ratio, share
 from tabulario.functions.labels import clean_list, comma_count, entries
 from tabulario.functions.text import filled, is_blank, sorted_set, vocabulary
 from tabulario.operators.calls import GENERIC_OPTIONS
-from tabulario.plans.shape import bounded_list, first_match, join_on, matching, only, ranked, top_per_key, whole_lists
+from tabulario.plans.shape import bounded_list, first_match, join_on, matching, only, ranked, top_per_key, whole_lists, with_distinct_counts
 
 KEY = ["menu", "opcion"]
 
@@ -200,10 +200,11 @@ def rule_violation_counts(llamadas: DataFrame, sample: int = 5) -> DataFrame:
 def pattern_evolution(llamadas: DataFrame) -> DataFrame:
     combo = F.concat("menu", F.lit("|"), F.coalesce("opcion", F.lit("NULL")))
     res_vsi = _res() & has_label("VSI")
-    return llamadas.where(F.col("menu").isNotNull()).groupBy("trimestre").agg(
+    rows = llamadas.where(F.col("menu").isNotNull())
+    found = rows.groupBy("trimestre").agg(
         vocabulary(combo).alias("combinaciones_menu_opcion"), F.count_distinct("etiquetas").alias("patrones_etiquetas_unicos"),
-        _n(res_vsi, "res_con_vsi"), _n(_res(), "total_res"), ratio(F.count_if(res_vsi), F.count_if(_res())).alias("consistencia_res_vsi"),
-        F.count_distinct(F.concat("menu", F.lit(":"), "etiquetas")).alias("patrones_completos"))
+        _n(res_vsi, "res_con_vsi"), _n(_res(), "total_res"), ratio(F.count_if(res_vsi), F.count_if(_res())).alias("consistencia_res_vsi"))
+    return with_distinct_counts(found, rows, ["trimestre"], {"patrones_completos": [F.concat("menu", F.lit(":"), "etiquetas")]})
 
 
 def menu_dashboard(llamadas: DataFrame, min_rows: int = 10, options: int = 3) -> DataFrame:
@@ -453,9 +454,11 @@ def option_label_dependency(llamadas: DataFrame, min_pattern: int = 2, min_rows:
 
 
 def label_combinations(llamadas: DataFrame) -> DataFrame:
-    return llamadas.where(labelled()).groupBy("etiquetas").agg(
-        F.count("*").alias("frecuencia"), _users("numeros_entrada_unicos"), F.count_distinct("numero_digitado").alias("numeros_digitado_unicos"),
+    rows = llamadas.where(labelled())
+    found = rows.groupBy("etiquetas").agg(
+        F.count("*").alias("frecuencia"), _users("numeros_entrada_unicos"),
         _n(equal(), "iguales"), _n(different(), "diferentes"), vocabulary(menu_option()).alias("combinaciones_menu_opcion"))
+    return with_distinct_counts(found, rows, ["etiquetas"], {"numeros_digitado_unicos": ["numero_digitado"]})
 
 
 def navigation_by_relation(llamadas: DataFrame, limit: int = 20, sample: int = 10) -> DataFrame:
@@ -486,16 +489,19 @@ def _validated() -> Column:
 
 
 def menu_efficiency(llamadas: DataFrame) -> DataFrame:
-    return llamadas.where(F.col("menu").isNotNull()).groupBy(*KEY).agg(
+    rows = llamadas.where(F.col("menu").isNotNull())
+    found = rows.groupBy(*KEY).agg(
         F.count("*").alias("total_usos"), _users(), _n(_validated(), "interacciones_validadas"), _n(failed(), "interacciones_fallidas"),
-        share(_validated()).alias("tasa_validacion_pct"), F.count_distinct("id_CTransferencia").alias("destinos_redireccion_diferentes"),
+        share(_validated()).alias("tasa_validacion_pct"),
         _n(redirected(), "casos_con_redireccion"), _n(different(), "casos_procesamiento_diferente"), mean(raw_seconds()).alias("duracion_promedio_seg"))
+    return with_distinct_counts(found, rows, KEY, {"destinos_redireccion_diferentes": ["id_CTransferencia"]})
 
 
 def menu_efficiency_by_destination(llamadas: DataFrame, sample: int = 3) -> DataFrame:
     rows = llamadas.where(F.col("menu").isNotNull())
     found = rows.groupBy(*KEY).agg(
         F.count("*").alias("total_usos"), _users(), _n(_validated(), "interacciones_exitosas"), _n(failed(), "interacciones_fallidas"),
-        share(_validated()).alias("tasa_exito_pct"), F.count_distinct("numero_digitado").alias("destinos_diferentes"), _n(different(), "transferencias"),
+        share(_validated()).alias("tasa_exito_pct"), _n(different(), "transferencias"),
         mean(raw_seconds()).alias("duracion_promedio_seg"), vocabulary("division").alias("divisiones_activas"))
+    found = with_distinct_counts(found, rows, KEY, {"destinos_diferentes": ["numero_digitado"]})
     return join_on(found, bounded_list(rows, KEY, "division", sample, ",", "principales_divisiones"), KEY)

@@ -13,7 +13,7 @@ from tabulario.functions.text import day_name, vocabulary
 from tabulario.operators.eda import DIAS
 from tabulario.plans.official import official, success_days
 from tabulario.plans.sessions import SESSION
-from tabulario.plans.shape import first_match, over_all
+from tabulario.plans.shape import first_match, over_all, with_distinct_counts
 
 
 def _zoned(llamadas: DataFrame) -> DataFrame:
@@ -57,8 +57,9 @@ def _zone_totals(llamadas: DataFrame) -> DataFrame:
 
 def zone_efficiency(llamadas: DataFrame) -> DataFrame:
     c, n = F.col, F.col("n")
-    spread = _zoned(llamadas).groupBy("zona").agg(
-        F.count_distinct("numero_entrada").alias("u"), vocabulary("fecha").alias("d"), F.count_distinct("fecha", "hora").alias("h"))
+    rows = _zoned(llamadas)
+    spread = rows.groupBy("zona").agg(F.count_distinct("numero_entrada").alias("u"), vocabulary("fecha").alias("d"))
+    spread = with_distinct_counts(spread, rows, ["zona"], {"h": ["fecha", "hora"]})
     t = _zone_totals(llamadas).join(spread, "zona")  # one row per zone
     secs, depth = c("seg") / n, c("nn").cast("double") / n
     score = (100 - F.least(F.lit(100.0), secs)) * 0.3 + F.least(F.lit(100.0), c("won") * 100.0 / n) * 0.4 + (100 - F.least(F.lit(100.0), depth * 10)) * 0.3

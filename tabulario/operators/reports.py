@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulario.functions.calls import different, end, failed, has_label, inverted, kind, menu_option, raw_seconds, start
-from tabulario.functions.exact import deviation, mean, mean_of_rounded, ratio, share
+from tabulario.functions.exact import deviation, mean, mean_of, mean_of_rounded, ratio, share
 from tabulario.functions.text import month_name, sorted_set, vocabulary, week_from_monday
 from tabulario.plans.sessions import sessions
 from tabulario.plans.shape import join_on
 from tabulario.sources.periods import Periods
+from tabulario.sources.sinks import TableStore
 
 
 def _per_user(digits: int = 2) -> Column:
@@ -112,13 +115,22 @@ def _roll_up(daily: DataFrame, keys: list, average: str, total: str) -> DataFram
 
 
 def weekly_report(llamadas: DataFrame, periods: Periods) -> DataFrame:
+    return weekly_of(daily_report(llamadas, periods))
+
+
+def weekly_of(daily: DataFrame) -> DataFrame:
+    """The weekly report from the rows of the daily one, as stored by `refresh_daily`, say."""
     keys = ["trimestre", F.year("fecha").alias("año"), week_from_monday(F.col("fecha")).alias("semana"), *_ZONE]
-    return _roll_up(daily_report(llamadas, periods), keys, "promedio_semanal", "interacciones_totales_semana").drop("_q")
+    return _roll_up(daily, keys, "promedio_semanal", "interacciones_totales_semana").drop("_q")
 
 
 def monthly_report(llamadas: DataFrame, periods: Periods) -> DataFrame:
+    return monthly_of(daily_report(llamadas, periods))
+
+
+def monthly_of(daily: DataFrame) -> DataFrame:
     keys = ["trimestre", F.year("fecha").alias("año"), F.month("fecha").alias("mes"), *_ZONE]
-    return _roll_up(daily_report(llamadas, periods), keys, "promedio_mensual", "interacciones_totales_mes").drop("_q")
+    return _roll_up(daily, keys, "promedio_mensual", "interacciones_totales_mes").drop("_q")
 
 
 def quarterly_report(llamadas: DataFrame, periods: Periods) -> DataFrame:
@@ -131,20 +143,40 @@ def quarterly_report(llamadas: DataFrame, periods: Periods) -> DataFrame:
 
 
 def annual_report(llamadas: DataFrame, periods: Periods) -> DataFrame:
+    return annual_of(daily_report(llamadas, periods))
+
+
+def annual_of(daily: DataFrame) -> DataFrame:
     keys = [F.year("fecha").alias("año"), *_ZONE]
-    return _roll_up(daily_report(llamadas, periods), keys, "promedio_anual", "interacciones_totales_año").withColumnRenamed("_q", "trimestres_incluidos")
+    return _roll_up(daily, keys, "promedio_anual", "interacciones_totales_año").withColumnRenamed("_q", "trimestres_incluidos")
+
+
+def refresh_daily(store: TableStore, llamadas: DataFrame, periods: Periods, quarters: Sequence[str] | None = None) -> DataFrame:
+    """The stored daily report with the given quarters computed anew, after a correction of their calls.
+
+    Only these quarters are read and only their folders rewritten; their weeks,
+    months and years follow from the stored rows (`weekly_of` and so on). Without
+    `quarters` the whole table is written. A quarter that has lost all its rows
+    needs that too.
+    """
+    if quarters is None:
+        return store.replace("daily_report", daily_report(llamadas, periods), by=["trimestre"])
+    touched = Periods([p for p in periods if p.trimestre in set(quarters)])
+    return store.replace_parts("daily_report", daily_report(llamadas, touched), by=["trimestre"])
 
 
 def official_beside_derived(llamadas: DataFrame, periods: Periods) -> DataFrame:
     """Average and callers per date, official and derived side by side, over all zones."""
     s, kind_ = _light_sessions(llamadas, periods), F.col("tipo_llamada")
+    # One row per date, kind and caller first: callers are then counted like rows.
+    callers = s.groupBy("fecha", "tipo_llamada", "numero_entrada").agg(F.sum("n").alias("n"), F.count("*").alias("sesiones"))
 
     def of(label: str) -> tuple[Column, Column]:
         rows = kind_ == label
-        return mean(F.when(rows, F.col("n"))), F.count_distinct(F.when(rows, F.col("numero_entrada")))
+        return mean_of(F.sum(F.when(rows, F.col("n"))), F.sum(F.when(rows, F.col("sesiones")))), F.count_if(rows & F.col("numero_entrada").isNotNull())
 
     (a, b), (c, d) = of("OFICIAL"), of("DERIVADO")
-    return s.groupBy("fecha").agg(
+    return callers.groupBy("fecha").agg(
         a.alias("promedio_oficial"), b.alias("usuarios_oficiales"), c.alias("promedio_derivado"), d.alias("usuarios_derivados"),
     ).where(F.col("promedio_oficial").isNotNull())
 

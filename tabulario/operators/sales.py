@@ -8,14 +8,15 @@ distinct value, so a dominating category or organisation stays spread.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulario.functions.bits import Mask
 from tabulario.functions.exact import cents, deviation, figure, mean, mean_of_rounded, ratio
 from tabulario.plans.shape import first_match, matching, over_all, rows_of
 from tabulario.sources.periods import Periods
+from tabulario.sources.sinks import TableStore
 
 ORGS: Mapping[str, int] = {"OP": 123, "ONa": 369}
 
@@ -71,10 +72,12 @@ def products_by_first_appearance(ventas: DataFrame, periods: Periods, orgs: Mapp
 
 
 def quarter_variation(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    per_quarter = distinct_products(ventas, periods, orgs)
-    w = Window.orderBy(periods.order_of(F.col("trimestre")))
+    per_quarter = periods.numbered(distinct_products(ventas, periods, orgs), "_orden")
+    w = Window.orderBy("_orden")
     now, before = F.col("productos_unicos"), F.col("productos_trimestre_anterior")
-    return per_quarter.withColumn("productos_trimestre_anterior", F.lag("productos_unicos").over(w)).select(
+    # A quarter without rows has no figure, so the one after it has nothing to be compared with.
+    follows = F.lag("_orden").over(w) == F.col("_orden") - 1
+    return per_quarter.withColumn("productos_trimestre_anterior", F.when(follows, F.lag("productos_unicos").over(w))).select(
         "trimestre", "productos_unicos", "productos_trimestre_anterior",
         (now - before).alias("diferencia_absoluta"),
         F.when(before > 0, ratio(now - before, before)).alias("variacion_porcentual"),
@@ -86,8 +89,8 @@ def quarter_variation(ventas: DataFrame, periods: Periods, orgs: Mapping[str, in
 
 
 def org_quarter_metrics(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    per_org = products_by_first_appearance(ventas, periods, orgs)
-    timeline = Window.partitionBy("organizacion").orderBy(periods.order_of(F.col("trimestre")))
+    per_org = periods.numbered(products_by_first_appearance(ventas, periods, orgs), "_orden")
+    timeline = Window.partitionBy("organizacion").orderBy("_orden")
     now, before = F.col("productos_unicos"), F.col("productos_trimestre_anterior")
     return per_org.withColumn("productos_trimestre_anterior", F.lag("productos_unicos").over(timeline)).select(
         "organizacion", "trimestre", "productos_unicos", "productos_trimestre_anterior",
@@ -109,37 +112,45 @@ def org_summary(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = O
     return per_org.withColumn("ranking_performance", F.rank().over(by_average).cast("bigint"))
 
 
-def _presence_flags(df: DataFrame, key: str, periods: Periods) -> DataFrame:
-    """One row per key with a Boolean per period; a single shuffle."""
-    flags = [F.max(F.col("trimestre") == p.trimestre).alias(f"q{i}") for i, p in enumerate(periods, 1)]
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*flags)
+def _masks(df: DataFrame, key: str, periods: Periods) -> DataFrame:
+    """One row per key with the set of periods it occurs in (`Mask` m); a single shuffle, whatever the number of periods."""
+    numbered = periods.numbered(df.where(F.col(key).isNotNull()), "_orden")
+    return numbered.groupBy(key).agg(*Mask.gather(F.col("_orden"), len(periods), "m"))
+
+
+def _calendar(df: DataFrame, periods: Periods) -> DataFrame:
+    return F.broadcast(periods.frame(df.sparkSession))
 
 
 def product_lifecycle(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    flags = _presence_flags(active(ventas, periods, orgs), "producto_id", periods)
-    n = len(periods)
-    q = [F.col(f"q{i}") for i in range(1, n + 1)]
-    rules = []
-    for i in range(2, n + 1):
-        before = " ni ".join(f"Q{j}" for j in range(1, i))
-        never = reduce(lambda a, b: a & b, [~c for c in q[: i - 1]])
-        rules.append((f"PRODUCTOS_NUEVOS_Q{i}", q[i - 1] & never,
-                      f"Productos que aparecen en Q{i} pero no estaban en {before}"))
-    for i in range(2, n + 1):
-        rules.append((f"PRODUCTOS_DESCONTINUADOS_Q{i}", q[i - 2] & ~q[i - 1],
-                      f"Productos que estaban en Q{i - 1} pero no aparecen en Q{i}"))
-    rules.append(("PRODUCTOS_CONSISTENTES", reduce(lambda a, b: a & b, q),
-                  f"Productos que aparecen en los {n} trimestres"))
-    totals = flags.agg(*[F.count_if(cond).alias(f"n{i}") for i, (_, cond, _) in enumerate(rules)])
-    return rows_of(totals, ["categoria", "cantidad", "descripcion"],
-                   [(name, F.col(f"n{i}"), text) for i, (name, _, text) in enumerate(rules)])
+    """A product is new in the first quarter it occurs in, and discontinued in each one that it is missing from after it occurred."""
+    masks = _masks(active(ventas, periods, orgs), "producto_id", periods)
+    n, m = len(periods), Mask.of("m", len(periods))
+    missed = F.filter(m.without(m.earlier()).members(), lambda i: i < n)
+    events = F.concat(
+        F.array(F.struct(F.lit("N").alias("que"), m.first().alias("i")), F.struct(F.when(m.full(), "C").alias("que"), F.lit(0).alias("i"))),
+        F.transform(missed, lambda i: F.struct(F.lit("D").alias("que"), (i + 1).alias("i"))),
+    )
+    counts = masks.select(F.inline(events)).where(F.col("que").isNotNull()).groupBy("que", "i").agg(F.count("*").alias("cantidad"))
+    later = _calendar(ventas, periods).where(F.col("orden") > 1).select(F.explode(F.array(F.lit("N"), F.lit("D"))).alias("que"), F.col("orden").alias("i"))
+    asked = later.unionByName(ventas.sparkSession.createDataFrame([("C", 0)], "que string, i int"))
+    i, q = F.col("i").cast("string"), F.concat(F.lit("Q"), F.col("i").cast("string"))
+    before = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("i") - 1)), lambda j: F.concat(F.lit("Q"), j.cast("string"))), " ni ")
+    return asked.join(counts, ["que", "i"], "left").select(
+        F.when(F.col("que") == "N", F.concat(F.lit("PRODUCTOS_NUEVOS_"), q)).when(F.col("que") == "D", F.concat(F.lit("PRODUCTOS_DESCONTINUADOS_"), q))
+        .otherwise("PRODUCTOS_CONSISTENTES").alias("categoria"),
+        F.coalesce("cantidad", F.lit(0).cast("bigint")).alias("cantidad"),
+        F.when(F.col("que") == "N", F.concat(F.lit("Productos que aparecen en Q"), i, F.lit(" pero no estaban en "), before))
+        .when(F.col("que") == "D", F.concat(F.lit("Productos que estaban en Q"), (F.col("i") - 1).cast("string"), F.lit(" pero no aparecen en Q"), i))
+        .otherwise(f"Productos que aparecen en los {n} trimestres").alias("descripcion"),
+    )
 
 
 def executive_products(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    flags = _presence_flags(active(ventas, periods, orgs), "producto_id", periods)
-    n = len(periods)
-    totals = flags.agg(
-        *[F.count_if(F.col(f"q{i}")).alias(f"productos_Q{i}") for i in range(1, n + 1)],
+    masks = _masks(active(ventas, periods, orgs), "producto_id", periods)
+    n, m = len(periods), Mask.of("m", len(periods))
+    totals = masks.agg(
+        *[F.count_if(m.has(i)).alias(f"productos_Q{i}") for i in range(1, n + 1)],
         F.count("*").alias("productos_unicos_totales"),
     )
     first, last = F.col("productos_Q1"), F.col(f"productos_Q{n}")
@@ -319,73 +330,121 @@ def average_by_dedup(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int
     return counts.groupBy("organizacion", "categoria").agg(mean(_n()).alias("promedio_productos"))
 
 
+def category_masks(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
+    """The quarters of each category as a `Mask` m; what all presence reports start from, so it can be stored once."""
+    return _masks(active(ventas, periods, orgs), "categoria", periods)
+
+
 def presence(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
     """Presence pattern per category over the quarters ('111', '101', ...)."""
-    flags = _presence_flags(active(ventas, periods, orgs), "categoria", periods)
-    q = [F.col(f"q{i}") for i in range(1, len(periods) + 1)]
-    return flags.select(
-        "categoria", *[c.alias(f"presente_q{i}") for i, c in enumerate(q, 1)],
-        F.concat(*[F.when(c, "1").otherwise("0") for c in q]).alias("patron_presencia"),
-        reduce(lambda a, b: a + b, [c.cast("int") for c in q]).alias("trimestres_activos"),
-    )
+    return presence_of(category_masks(ventas, periods, orgs), periods)
 
 
-def _lost_pairs(periods: Periods) -> list[tuple[int, int, str]]:
-    n = len(periods)
-    pairs = [(i, i + 1, f"CATEGORÍAS_NO_COMPRADAS_EN_Q{i + 1}") for i in range(1, n)]
-    return pairs + ([(1, n, f"CATEGORÍAS_NO_COMPRADAS_EN_Q{n}_VS_Q1")] if n > 2 else [])
+def presence_of(masks: DataFrame, periods: Periods) -> DataFrame:
+    m = Mask.of("m", len(periods))
+    return masks.select(
+        "categoria", *[m.has(i).alias(f"presente_q{i}") for i in range(1, len(periods) + 1)],
+        m.text().alias("patron_presencia"), m.size().alias("trimestres_activos"),
+    )
 
 
-def _lost(i: int, j: int) -> Column:
-    return F.col(f"presente_q{i}") & ~F.col(f"presente_q{j}")
+def _losses(m: Mask) -> Column:
+    """Pairs (i, j) of quarters, the category being in i and not in j: each quarter with the next, and the first with the last."""
+    pairs = F.transform(F.filter(m.without(m.earlier()).members(), lambda i: i < m.n), lambda i: F.struct(i.alias("i"), (i + 1).alias("j")))
+    if m.n <= 2:
+        return pairs
+    ends = F.when(m.has(1) & ~m.has(m.n), F.array(F.struct(F.lit(1).alias("i"), F.lit(m.n).alias("j"))))
+    return F.concat(pairs, F.coalesce(ends, F.array().cast("array<struct<i:int,j:int>>")))
 
 
 def lost_categories(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    pairs = _lost_pairs(periods)
-    totals = presence(ventas, periods, orgs).agg(*[F.count_if(_lost(i, j)).alias(f"n{i}{j}") for i, j, _ in pairs])
-    return rows_of(totals, ["tipo_analisis", "trimestre_sin_compra", "trimestre_referencia", "cantidad_categorias"], [
-        (name, periods[j - 1].trimestre, periods[i - 1].trimestre, F.col(f"n{i}{j}")) for i, j, name in pairs
-    ])
+    return lost_of(category_masks(ventas, periods, orgs), periods)
+
+
+def lost_of(masks: DataFrame, periods: Periods) -> DataFrame:
+    n, spark = len(periods), masks.sparkSession
+    counts = masks.select(F.inline(_losses(Mask.of("m", n)))).groupBy("i", "j").agg(F.count("*").alias("cantidad"))
+    calendar = periods.frame(spark)
+    after, before = (calendar.select(F.col("orden").alias(k), F.col("trimestre").alias(name)) for k, name in (("j", "trimestre_sin_compra"), ("i", "trimestre_referencia")))
+    pairs = calendar.where(F.col("orden") < n).select(F.col("orden").alias("i"), (F.col("orden") + 1).alias("j"))
+    pairs = pairs.unionByName(spark.createDataFrame([(1, n)], "i int, j int")) if n > 2 else pairs
+    named = pairs.join(F.broadcast(after), "j").join(F.broadcast(before), "i")
+    to_last = F.when(F.col("j") - F.col("i") > 1, "_VS_Q1").otherwise("")
+    return named.join(counts, ["i", "j"], "left").select(
+        F.concat(F.lit("CATEGORÍAS_NO_COMPRADAS_EN_Q"), F.col("j").cast("string"), to_last).alias("tipo_analisis"),
+        "trimestre_sin_compra", "trimestre_referencia", F.coalesce("cantidad", F.lit(0).cast("bigint")).alias("cantidad_categorias"),
+    )
 
 
 def lost_category_listing(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    return matching(presence(ventas, periods, orgs), ["tipo_listado", "descripcion"], [
-        (_lost(i, j), f"LISTADO_CATEGORÍAS_Q{i}_NO_Q{j}", f"Categoría presente en Q{i} pero ausente en Q{j}")
-        for i, j, _ in _lost_pairs(periods)
-    ], keep=["categoria"])
+    return lost_listing_of(category_masks(ventas, periods, orgs), periods)
+
+
+def lost_listing_of(masks: DataFrame, periods: Periods) -> DataFrame:
+    i, j = F.col("i").cast("string"), F.col("j").cast("string")
+    return masks.select("categoria", F.inline(_losses(Mask.of("m", len(periods))))).select(
+        "categoria", F.concat(F.lit("LISTADO_CATEGORÍAS_Q"), i, F.lit("_NO_Q"), j).alias("tipo_listado"),
+        F.concat(F.lit("Categoría presente en Q"), i, F.lit(" pero ausente en Q"), j).alias("descripcion"),
+    )
 
 
 def categories_per_quarter(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    return presence(ventas, periods, orgs).agg(
+    return per_quarter_of(category_masks(ventas, periods, orgs), periods)
+
+
+def per_quarter_of(masks: DataFrame, periods: Periods) -> DataFrame:
+    m = Mask.of("m", len(periods))
+    return masks.agg(
         F.lit("ESTADÍSTICAS_CATEGORÍAS_POR_TRIMESTRE").alias("analisis"),
-        *[F.count_if(F.col(f"presente_q{i}")).alias(f"categorias_Q{i}") for i in range(1, len(periods) + 1)],
+        *[F.count_if(m.has(i)).alias(f"categorias_Q{i}") for i in range(1, len(periods) + 1)],
     )
 
 
-# Description of each pattern of three quarters.
-PATTERNS = {
-    "111": "PRESENTE_EN_TODOS", "110": "PRESENTE_Q1_Q2_AUSENTE_Q3", "101": "PRESENTE_Q1_Q3_AUSENTE_Q2",
-    "011": "AUSENTE_Q1_PRESENTE_Q2_Q3", "100": "SOLO_Q1", "010": "SOLO_Q2", "001": "SOLO_Q3",
-}
+def _names(numbers: Column, sep: str, last: str | None = None) -> Column:
+    """Q1<sep>Q2<last>Q3 for an array of quarters."""
+    names = F.transform(numbers, lambda i: F.concat(F.lit("Q"), i.cast("string")))
+    if last is None:
+        return F.array_join(names, sep)
+    head = F.slice(names, F.lit(1), F.greatest(F.lit(0), F.size(names) - 1))
+    return F.when(F.size(names) > 1, F.concat(F.array_join(head, sep), F.lit(last), F.element_at(names, -1))).otherwise(F.array_join(names, sep))
+
+
+def _pattern_name(m: Mask) -> Column:
+    """Description of a presence pattern, the quarters in the order of the first one's state."""
+    here = F.concat(F.lit("PRESENTE_"), _names(m.members(), "_"))
+    away = F.concat(F.lit("AUSENTE_"), _names(m.absent().members(), "_"))
+    return first_match([
+        (m.full(), "PRESENTE_EN_TODOS"), (m.size() == 1, F.concat(F.lit("SOLO_Q"), m.first().cast("string"))), (m.has(1), F.concat(here, F.lit("_"), away)),
+    ], F.concat(away, F.lit("_"), here))
+
+
+def _irregular(m: Mask) -> Column:
+    """Gone and back again, or missing from both the first and the last quarter."""
+    return ~m.gapless() | (~m.has(1) & ~m.has(m.n))
 
 
 def presence_distribution(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    pattern = F.col("patron_presencia")
-    counts = presence(ventas, periods, orgs).groupBy("patron_presencia").agg(F.count("*").alias("cantidad_categorias"))
+    return distribution_of(category_masks(ventas, periods, orgs), periods)
+
+
+def distribution_of(masks: DataFrame, periods: Periods) -> DataFrame:
+    m = Mask.of("m", len(periods))
+    names = [f"m{w}" for w in range(len(m.words))]
+    counts = masks.groupBy(*names).agg(F.count("*").alias("cantidad_categorias"))
+    total = masks.agg(F.count("*")).scalar()
     return counts.select(
-        "patron_presencia",
-        first_match([(pattern == k, v) for k, v in PATTERNS.items()], "PATRON_INESPERADO").alias("descripcion_patron"),
-        "cantidad_categorias",
-        ratio(F.col("cantidad_categorias"), F.sum("cantidad_categorias").over(over_all())).alias("porcentaje"),
+        m.text().alias("patron_presencia"), _pattern_name(m).alias("descripcion_patron"), "cantidad_categorias",
+        ratio(F.col("cantidad_categorias"), total).alias("porcentaje"),
     )
 
 
 def presence_problems(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    p = F.col("patron_presencia")
-    totals = presence(ventas, periods, orgs).agg(
-        F.count_if(p == "100").alias("a"), F.count_if(p.isin("101", "010")).alias("b"),
-        F.count_if(p.isin("011", "001", "010")).alias("c"),
-    )
+    return problems_of(category_masks(ventas, periods, orgs), periods)
+
+
+def problems_of(masks: DataFrame, periods: Periods) -> DataFrame:
+    m = Mask.of("m", len(periods))
+    totals = masks.agg(F.count_if(m.only(1)).alias("a"), F.count_if(_irregular(m)).alias("b"), F.count_if(~m.has(1)).alias("c"))
     return rows_of(totals, ["tipo_problema", "cantidad", "descripcion"], [
         ("CATEGORÍAS_DESAPARECIDAS_DESPUÉS_Q1", F.col("a"), "Categorías que solo aparecen en Q1"),
         ("CATEGORÍAS_INTERMITENTES", F.col("b"), "Categorías con patrón de presencia irregular"),
@@ -394,34 +453,47 @@ def presence_problems(ventas: DataFrame, periods: Periods, orgs: Mapping[str, in
 
 
 def problem_listing(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    p = F.col("patron_presencia")
-    return matching(presence(ventas, periods, orgs), ["tipo_problema", "detalle"], [
-        (p == "100", "POSIBLE_DESCONTINUACIÓN", "Solo presente en Q1"),
-        (p == "101", "CATEGORÍA_INTERMITENTE_Q1_Q3", "Presente en Q1 y Q3 pero ausente en Q2"),
-        (p == "011", "NUEVA_CATEGORÍA_EXITOSA", "Ausente en Q1 pero presente en Q2 y Q3"),
+    return problem_listing_of(category_masks(ventas, periods, orgs), periods)
+
+
+def problem_listing_of(masks: DataFrame, periods: Periods) -> DataFrame:
+    n, m = len(periods), Mask.of("m", len(periods))
+    away = _names(m.absent().members(), ", ", " y ")
+    later = _names(F.sequence(F.lit(2), F.lit(max(2, n))), ", ", " y ")
+    return matching(masks, ["tipo_problema", "detalle"], [
+        (m.only(1), "POSIBLE_DESCONTINUACIÓN", "Solo presente en Q1"),
+        (m.has(1) & m.has(n) & ~m.full(), f"CATEGORÍA_INTERMITENTE_Q1_Q{n}", F.concat(F.lit(f"Presente en Q1 y Q{n} pero ausente en "), away)),
+        (~m.has(1) & (m.size() == n - 1), "NUEVA_CATEGORÍA_EXITOSA", F.concat(F.lit("Ausente en Q1 pero presente en "), later)),
     ], keep=["categoria"])
 
 
 def presence_executive(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    p = F.col("patron_presencia")
+    return executive_of(category_masks(ventas, periods, orgs), periods)
+
+
+def executive_of(masks: DataFrame, periods: Periods) -> DataFrame:
+    n, m = len(periods), Mask.of("m", len(periods))
+    irregular = "(patrón 101 o 010)" if n == 3 else "(con huecos, o ausentes en el primero y el último trimestre)"
     metrics = [
         ("TOTAL_CATEGORÍAS_ÚNICAS", F.lit(True), "Total de categorías únicas que aparecieron en al menos un trimestre"),
-        ("CATEGORÍAS_ESTABLES", p == "111", "Categorías que aparecen en los 3 trimestres (patrón 111)"),
-        ("CATEGORÍAS_PROBLEMÁTICAS", p != "111", "Categorías que NO aparecen en los 3 trimestres"),
-        ("CATEGORÍAS_DESCONTINUADAS", p.isin("100", "110"), "Categorías que desaparecieron después de aparecer"),
-        ("CATEGORÍAS_NUEVAS", p.isin("011", "001", "010"), "Categorías que aparecieron después de Q1"),
-        ("CATEGORÍAS_INTERMITENTES", p.isin("101", "010"), "Categorías con presencia irregular (patrón 101 o 010)"),
+        ("CATEGORÍAS_ESTABLES", m.full(), f"Categorías que aparecen en los {n} trimestres (patrón {'1' * n})"),
+        ("CATEGORÍAS_PROBLEMÁTICAS", ~m.full(), f"Categorías que NO aparecen en los {n} trimestres"),
+        ("CATEGORÍAS_DESCONTINUADAS", m.has(1) & m.gapless() & ~m.full(), "Categorías que desaparecieron después de aparecer"),
+        ("CATEGORÍAS_NUEVAS", ~m.has(1), "Categorías que aparecieron después de Q1"),
+        ("CATEGORÍAS_INTERMITENTES", _irregular(m), f"Categorías con presencia irregular {irregular}"),
     ]
-    totals = presence(ventas, periods, orgs).agg(*[F.count_if(c).alias(f"m{i}") for i, (_, c, _) in enumerate(metrics)])
+    totals = masks.agg(*[F.count_if(c).alias(f"m{i}") for i, (_, c, _) in enumerate(metrics)])
     return rows_of(totals, ["metrica", "valor", "descripcion", "porcentaje_del_total"], [
         (name, F.col(f"m{i}"), text, ratio(F.col(f"m{i}"), F.col("m0"))) for i, (name, _, text) in enumerate(metrics)
     ])
 
 
 def catalogue_stability(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    t = presence(ventas, periods, orgs).agg(
-        F.count_if(F.col("trimestres_activos") == len(periods)).alias("s"), F.count("*").alias("t")
-    )
+    return stability_of(category_masks(ventas, periods, orgs), periods)
+
+
+def stability_of(masks: DataFrame, periods: Periods) -> DataFrame:
+    t = masks.agg(F.count_if(Mask.of("m", len(periods)).full()).alias("s"), F.count("*").alias("t"))
     s, n = F.col("s"), F.col("t")
     return t.select(
         F.lit("ÍNDICE_ESTABILIDAD_CATÁLOGO").alias("metrica"), ratio(s, n).alias("porcentaje_estabilidad"),
@@ -432,6 +504,20 @@ def catalogue_stability(ventas: DataFrame, periods: Periods, orgs: Mapping[str,
     )
 
 
+# The reports of the presence script, each from the stored masks.
+PRESENCE_REPORTS = {
+    "presence": presence_of, "lost_categories": lost_of, "lost_category_listing": lost_listing_of, "categories_per_quarter": per_quarter_of,
+    "presence_distribution": distribution_of, "presence_problems": problems_of, "problem_listing": problem_listing_of,
+    "presence_executive": executive_of, "catalogue_stability": stability_of,
+}
+
+
+def presence_bundle(store: TableStore, ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> dict[str, DataFrame]:
+    """All presence reports from one scan of the sales, whose masks are stored as the table `presence_masks`."""
+    masks = store.replace("presence_masks", category_masks(ventas, periods, orgs))
+    return {name: report(masks, periods) for name, report in PRESENCE_REPORTS.items()}
+
+
 # State labels kept as the reports word them: 'vacia' marks a category that is present.
 PRESENT, ABSENT = "vacia", "no comprada"
 
@@ -444,10 +530,15 @@ def _universe(known: DataFrame, periods: Periods) -> DataFrame:
 
 
 def category_states(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:
-    """State of every category in every quarter, from the presence flags (one shuffle)."""
-    return rows_of(presence(ventas, periods, orgs), ["trimestre", "estado"], [
-        (p.trimestre, F.when(F.col(f"presente_q{i}"), PRESENT).otherwise(ABSENT)) for i, p in enumerate(periods, 1)
-    ], keep=["categoria"])
+    """State of every category in every quarter, from the presence masks (one shuffle)."""
+    m = Mask.of("m", len(periods))
+
+    def marked(quarters: Column, state: str) -> Column:
+        return F.transform(quarters, lambda i: F.struct(i.alias("orden"), F.lit(state).alias("estado")))
+
+    states = F.concat(marked(m.members(), PRESENT), marked(m.absent().members(), ABSENT))
+    named = _calendar(ventas, periods).select("orden", "trimestre")
+    return category_masks(ventas, periods, orgs).select("categoria", F.inline(states)).join(named, "orden").select("trimestre", "categoria", "estado")
 
 
 def category_states_by_join(ventas: DataFrame, periods: Periods, orgs: Mapping[str, int] = ORGS) -> DataFrame:

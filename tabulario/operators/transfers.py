@@ -17,7 +17,8 @@ from tabulario.functions.calls import (
 from tabulario.functions.exact import mean, mean_share, ratio
 from tabulario.functions.text import filled, is_blank, sorted_set
 from tabulario.operators.reports import clean_interactions, daily_sessions
-from tabulario.plans.shape import bounded_list, first_match, join_on, matching, only, ranked, top_per_key, value_rows, whole_lists
+from tabulario.plans.heavy import most_frequent
+from tabulario.plans.shape import bounded_list, first_match, join_on, listed, matching, only, ranked, top_per_key, value_rows, whole_lists, with_distinct_counts
 from tabulario.sources.periods import Periods
 
 PAIR = ["numero_entrada", "numero_digitado"]
@@ -39,20 +40,23 @@ def _lists() -> dict[str, tuple[Column, str]]:
     }
 
 
-def _described(rows: DataFrame, keys: Sequence[str] = PAIR, dates: bool = True) -> DataFrame:
-    """Figures and lists of the keys of `rows`."""
-    return join_on(rows.groupBy(*keys).agg(*_figures(), *(_dates() if dates else [])), whole_lists(rows, keys, _lists()), keys)
+def _described(rows: DataFrame, keys: Sequence[str] = PAIR, dates: bool = True, more: Sequence[Column] = ()) -> DataFrame:
+    """Figures and lists of the keys of `rows`, which are few; `more` aggregates."""
+    return rows.groupBy(*keys).agg(*_figures(), *(_dates() if dates else []), *listed(_lists()), *more)
 
 
-def _top(rows: DataFrame, limit: int, keys: Sequence[str] = PAIR) -> DataFrame:
+def _top(rows: DataFrame, limit: int, keys: Sequence[str] = PAIR, by_cells: bool = False) -> DataFrame:
+    """The most frequent keys; `by_cells` finds them without counting all keys, for logs with very many."""
+    if by_cells:
+        return most_frequent(rows, keys, N, limit)
     return ranked(rows.groupBy(*keys).agg(F.count("*").alias(N)), N, keys, limit)
 
 
-def transfer_pairs(llamadas: DataFrame, limit: int = 15, mode: str = "null_kept") -> DataFrame:
+def transfer_pairs(llamadas: DataFrame, limit: int = 15, mode: str = "null_kept", by_cells: bool = False) -> DataFrame:
     """Most frequent transfer pairs with what was used on them; a NULL dialled number is its own pair."""
     rows = llamadas.where(transfer(mode))
-    shown = only(rows, _top(rows, limit), PAIR)
-    return join_on(_described(shown), shown.groupBy(*PAIR).agg(sorted_set(F.col("trimestre"), ",").alias("trimestres_activos")), PAIR)
+    shown = only(rows, _top(rows, limit, by_cells=by_cells), PAIR)
+    return _described(shown, more=[sorted_set(F.col("trimestre"), ",").alias("trimestres_activos")])
 
 
 def pair_values(llamadas: DataFrame, mode: str = "null_kept") -> DataFrame:
@@ -124,8 +128,7 @@ def pair_summary(llamadas: DataFrame, limit: int = 15) -> DataFrame:
     """Pair report with menus and options listed apart."""
     rows = llamadas.where(transfer())
     shown = only(rows, _top(rows, limit), PAIR)
-    lists = whole_lists(shown, PAIR, {"_m": (F.col("menu"), ","), "_o": (F.col("opcion"), ",")})
-    report = join_on(shown.groupBy(*PAIR).agg(*_figures(), *_dates()), lists, PAIR)
+    report = shown.groupBy(*PAIR).agg(*_figures(), *_dates(), *listed({"_m": (F.col("menu"), ","), "_o": (F.col("opcion"), ",")}))
     return report.withColumn("menu_opciones_usadas", F.concat("_m", F.lit(":"), "_o")).drop("_m", "_o")
 
 
@@ -135,19 +138,17 @@ def transfer_variants(llamadas: DataFrame) -> DataFrame:
     return kept.where(F.col("strict") | F.col("null_kept") | F.col("explicit_null") | F.col("trimmed"))
 
 
-def redirections(llamadas: DataFrame, limit: int = 20) -> DataFrame:
+def redirections(llamadas: DataFrame, limit: int = 20, by_cells: bool = False) -> DataFrame:
     rows, keys = llamadas.where(redirected()), ["id_CTransferencia"]
-    top = _top(rows, limit, keys)
-    users = only(rows, top, keys).groupBy(*keys).agg(
-        F.count_distinct("numero_entrada").alias("usuarios_redirigidos"), F.count_distinct("cIdentifica").alias("referencias_cIdentifica"))
-    lists = whole_lists(only(rows, top, keys), keys, {
+    top = _top(rows, limit, keys, by_cells)
+    lists = listed({
         "menus_que_redirigen": (menu_option(), ", "), "contexto_organizacional": (location(), ", "), "patron_etiquetas": (F.col("etiquetas"), " | ")})
     shown = only(rows, top, keys).groupBy(*keys).agg(
         F.count("*").alias("frecuencia_redireccion"),
         F.size(F.collect_set("fecha")).cast("bigint").alias("dias_activos"), F.min("fecha").alias("primera_redireccion"),
-        F.max("fecha").alias("ultima_redireccion"), F.count_if(different()).alias("casos_con_procesamiento_interno"),
+        F.max("fecha").alias("ultima_redireccion"), F.count_if(different()).alias("casos_con_procesamiento_interno"), *lists,
     )
-    return join_on(shown.join(users, keys), lists, keys)
+    return with_distinct_counts(shown, only(rows, top, keys), keys, {"usuarios_redirigidos": ["numero_entrada"], "referencias_cIdentifica": ["cIdentifica"]})
 
 
 def _first_menus(rows: DataFrame, key: str, name: str, k: int = 5) -> DataFrame:
@@ -173,9 +174,9 @@ def external_references(llamadas: DataFrame) -> DataFrame:
     ref = F.col("cIdentifica")
     rows = llamadas.withColumn("tipo_registro", F.when(filled(ref), "CON_CIDENTIFICA").otherwise("SIN_CIDENTIFICA"))
     found = rows.groupBy("tipo_registro").agg(
-        F.count("*").alias("total_registros"), F.count_distinct(F.when(filled(ref), ref)).alias("referencias_unicas"),
-        F.count_distinct("numero_entrada").alias("usuarios"), F.count_if(redirected()).alias("tambien_con_redireccion"),
+        F.count("*").alias("total_registros"), F.count_distinct("numero_entrada").alias("usuarios"), F.count_if(redirected()).alias("tambien_con_redireccion"),
         F.count_if(has_label("VSI")).alias("con_validacion_vsi"))
+    found = with_distinct_counts(found, rows, ["tipo_registro"], {"referencias_unicas": [F.when(filled(ref), ref)]})
     return found.join(_first_menus(rows, "tipo_registro", "menus"), "tipo_registro", "left")
 
 
@@ -203,13 +204,13 @@ def transfer_network(llamadas: DataFrame, limit: int = 25) -> DataFrame:
     swapped = F.broadcast(top.select(F.col("numero_entrada").alias("_d"), F.col("numero_digitado").alias("_e")))
     back = llamadas.join(swapped, (F.col("numero_entrada") == F.col("_e")) & (F.col("numero_digitado") == F.col("_d"))).select(
         F.col("_d").alias("numero_entrada"), F.col("_e").alias("numero_digitado")).distinct().withColumn("_back", F.lit("SI"))
-    lists = whole_lists(only(rows, top, PAIR), PAIR, {
+    lists = listed({
         "menus_generadores": (menu_option(), ", "), "contexto_organizacional": (location(), ", "), "patron_etiquetas": (F.col("etiquetas"), " | ")})
     shown = only(rows, top, PAIR).groupBy(*PAIR).agg(
         F.count("*").alias("frecuencia_transferencia"),
         F.size(F.collect_set("fecha")).cast("bigint").alias("dias_activos"), F.min("fecha").alias("primera_transferencia"),
-        F.max("fecha").alias("ultima_transferencia"))
-    return join_on(shown, lists, PAIR).join(back, PAIR, "left").withColumn("es_bidireccional", F.coalesce("_back", F.lit("NO"))).drop("_back")
+        F.max("fecha").alias("ultima_transferencia"), *lists)
+    return shown.join(back, PAIR, "left").withColumn("es_bidireccional", F.coalesce("_back", F.lit("NO"))).drop("_back")
 
 
 def redirection_edges(llamadas: DataFrame) -> DataFrame:

@@ -170,6 +170,8 @@ SELECT 'RESUMEN_ESTADÍSTICO_EJECUTIVO' AS tipo_reporte,
  avg(p) < 0.20 THEN 'SISTEMA_MODERADAMENTE_VARIABLE' ELSE 'SISTEMA_ALTAMENTE_VARIABLE' END AS clasificacion_estabilidad_sistema FROM g"""),
     "e14_percentiles": s(f"SELECT trimestre, 'cProducto' AS variable, 'Percentiles_Detallados' AS analisis, {kth(5)} AS P05, {kth(10)} AS P10, "
         f"{kth(25)} AS P25_Q1, {kth(50)} AS P50_Mediana, {kth(75)} AS P75_Q3, {kth(90)} AS P90, {kth(95)} AS P95 FROM p GROUP BY 1"),
+    "e14_percentiles_sketched": s("SELECT trimestre, 'cProducto' AS variable, TRUE AS P05, TRUE AS P10, TRUE AS P25_Q1, TRUE AS P50_Mediana, "
+        "TRUE AS P75_Q3, TRUE AS P90, TRUE AS P95 FROM p WHERE cProducto IS NOT NULL GROUP BY 1"),
     "e15_flag_correlation": s(f"""SELECT trimestre, 'Correlacion_Seleccion_IOT' AS analisis, count(*) AS n_pares_validos, round({CORR}, 4) AS
  correlacion_pearson_aprox, {', '.join(n(f'cSeleccion = {a} AND cIOT = {b}', f'sel{a}_iot{b}') for a in (0, 1) for b in (0, 1))},
  CASE WHEN abs({CORR}) > 0.7 THEN 'CORRELACIÓN_FUERTE' WHEN abs({CORR}) > 0.3 THEN 'CORRELACIÓN_MODERADA' WHEN abs({CORR}) > 0.1 THEN

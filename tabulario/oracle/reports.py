@@ -25,6 +25,14 @@ VSI = "etiquetas LIKE '%VSI%'"
 BAD = "menu IN ('cte_colgo', 'SinOpcion_Cbc')"
 
 
+# Every session once for each length of period.
+GRAINS = f"""g AS (SELECT 'dia' AS grano, fecha::VARCHAR AS periodo, * FROM ses
+UNION ALL SELECT 'semana', concat(year(fecha), '-S', lpad({WEEK1}::VARCHAR, 2, '0')), * FROM ses
+UNION ALL SELECT 'mes', strftime(fecha, '%Y-%m'), * FROM ses
+UNION ALL SELECT 'trimestre', trimestre, * FROM ses
+UNION ALL SELECT 'año', year(fecha)::VARCHAR, * FROM ses)"""
+
+
 def s(*parts: str) -> str:
     return q(LLAMADAS, LOG_PERIODS, C, I, SES, D, *parts)
 
@@ -63,6 +71,11 @@ SQL = {
         "grupo_zonas)"),
     "r06_annual_report": s(roll("year(fecha)::INT AS año", "promedio_anual", "interacciones_totales_año", ", string_agg(DISTINCT trimestre, ',' "
         "ORDER BY trimestre) AS trimestres_incluidos")),
+    "r06_period_callers": s(GRAINS, "SELECT grano, periodo, tipo_llamada, count(DISTINCT numero_entrada) AS usuarios_unicos FROM g GROUP BY ALL "
+        "HAVING count(numero_entrada) > 0"),
+    "r06_period_report": s(GRAINS, f"""SELECT grano, periodo, tipo_llamada, count(DISTINCT fecha) AS dias_con_datos, count(*) AS sesiones,
+ sum(total_interacciones)::BIGINT AS interacciones_totales, {mean('total_interacciones')} AS promedio_por_sesion,
+ count(DISTINCT numero_entrada) AS usuarios_unicos, TRUE AS estimacion_fiel FROM g GROUP BY ALL HAVING count(numero_entrada) > 0"""),
     "r07_official_beside_derived": s(f"k AS (SELECT fecha, tipo_llamada, {mean('total_interacciones')} AS p, count(DISTINCT numero_entrada) AS u "
         f"FROM ses GROUP BY 1, 2)", "SELECT a.fecha, a.p AS promedio_oficial, a.u AS usuarios_oficiales, b.p AS promedio_derivado, coalesce(b.u, 0) "
         "AS usuarios_derivados FROM k a LEFT JOIN k b ON a.fecha = b.fecha AND b.tipo_llamada = 'DERIVADO' WHERE a.tipo_llamada = 'OFICIAL'"),

@@ -23,7 +23,7 @@ def s(*parts: str) -> str:
 # The quarters of the whole sales table.
 CALENDAR = """per AS (SELECT concat('Q0', q, '_', lpad((y % 100)::VARCHAR, 2, '0')) AS trimestre, make_date(y, 3 * q - 2, 1) AS inicio,
  last_day(make_date(y, 3 * q, 1)) AS fin,
- ((y - 1992) * 4 + q)::INT AS orden FROM range(1992, 2000) ys(y), range(1, 5) qs(q))"""
+ ((y - 1992) * 4 + q)::INT AS orden FROM range(1992, 2002) ys(y), range(1, 5) qs(q))"""
 
 SQL = {
     "s01_pre_check": s("""SELECT per.trimestre, per.inicio AS fecha_inicio, per.fin AS fecha_fin, count(v.trimestre) AS registros_existentes,
@@ -185,6 +185,100 @@ def _whole(key: str) -> str:
     return text
 
 
-# Not those with a column or a pattern for each quarter: their statements are for three.
+# Reports with a column, a pattern or a sentence for each quarter, for any number of quarters.
 _PER_QUARTER = ("s09", "s10", "s25", "s26", "s27", "s28", "s29", "s30", "s31", "s32")
 SQL |= {f"{key}_whole_table": _whole(key) for key in SQL if not key.startswith(_PER_QUARTER) and not key.endswith("_all_quarters")}
+
+
+def w(*parts: str) -> str:
+    return q(VENTAS, WHOLE, V, *parts)
+
+
+def _sets(key: str) -> str:
+    """The quarters of each key, in order, as `o`."""
+    return f"""sets AS (SELECT {key} AS k, list_sort(list(DISTINCT orden)) AS o FROM v WHERE {key} IS NOT NULL GROUP BY 1),
+pat AS (SELECT k AS categoria, o, array_to_string([CASE WHEN list_contains(o, i) THEN '1' ELSE '0' END for i in range(1, {N + 1})], '') AS patron,
+ [i for i in range(1, {N + 1}) if NOT list_contains(o, i)] AS sin, len(o) = o[-1] - o[1] + 1 AS seguido FROM sets)"""
+
+
+CATS, PRODS = _sets("categoria"), _sets("producto_id")
+LOSSES = f"""losses AS (SELECT categoria, i, i + 1 AS j FROM (SELECT categoria, o, unnest(o) AS i FROM pat) WHERE i < {N} AND NOT list_contains(o, i + 1)
+UNION ALL SELECT categoria, 1, {N} FROM pat WHERE list_contains(o, 1) AND NOT list_contains(o, {N}))"""
+IRREGULAR = f"(NOT seguido OR (NOT list_contains(o, 1) AND NOT list_contains(o, {N})))"
+
+
+def _columns(template: str) -> str:
+    return ", ".join(template.format(i=i) for i in range(1, N + 1))
+
+
+def _listed(numbers: str) -> str:
+    names = f"[concat('Q', i) for i in {numbers}]"
+    return f"CASE WHEN len({numbers}) > 1 THEN concat(array_to_string({names}[:-2], ', '), ' y ', {names}[-1]) ELSE array_to_string({names}, '') END"
+
+
+SQL |= {f"{key}_whole_table": text for key, text in {
+    "s09_product_lifecycle": w(PRODS, f"""SELECT concat('PRODUCTOS_NUEVOS_Q', orden) AS categoria, (SELECT count(*) FROM sets WHERE o[1] = orden) AS cantidad,
+ concat('Productos que aparecen en Q', orden, ' pero no estaban en ', array_to_string([concat('Q', j) for j in range(1, orden)], ' ni ')) AS descripcion
+ FROM per WHERE orden > 1
+UNION ALL SELECT concat('PRODUCTOS_DESCONTINUADOS_Q', orden), (SELECT count(*) FROM sets WHERE list_contains(o, orden - 1) AND NOT list_contains(o, orden)),
+ concat('Productos que estaban en Q', orden - 1, ' pero no aparecen en Q', orden) FROM per WHERE orden > 1
+UNION ALL SELECT 'PRODUCTOS_CONSISTENTES', count(*) FILTER (WHERE len(o) = {N}), 'Productos que aparecen en los {N} trimestres' FROM sets"""),
+    "s10_executive_products": w(f"""SELECT 'RESUMEN_EJECUTIVO' AS tipo_reporte, {_columns("count(DISTINCT producto_id) FILTER (WHERE orden = {i}) AS productos_Q{i}")},
+ count(DISTINCT producto_id) AS productos_unicos_totales,
+ {ratio(f"count(DISTINCT producto_id) FILTER (WHERE orden = {N}) - count(DISTINCT producto_id) FILTER (WHERE orden = 1)", "count(DISTINCT producto_id) FILTER (WHERE orden = 1)")}
+ AS crecimiento_Q1_a_Q{N}_pct FROM v"""),
+    "s25_lost_categories": w(CATS, LOSSES, f"""pairs AS (SELECT orden AS i, orden + 1 AS j FROM per WHERE orden < {N} UNION ALL SELECT 1, {N})""", f"""
+SELECT concat('CATEGORÍAS_NO_COMPRADAS_EN_Q', p.j, CASE WHEN p.j - p.i > 1 THEN '_VS_Q1' ELSE '' END) AS tipo_analisis, b.trimestre AS trimestre_sin_compra,
+ a.trimestre AS trimestre_referencia, (SELECT count(*) FROM losses l WHERE l.i = p.i AND l.j = p.j) AS cantidad_categorias
+FROM pairs p JOIN per a ON a.orden = p.i JOIN per b ON b.orden = p.j"""),
+    "s26_lost_category_listing": w(CATS, LOSSES, """SELECT concat('LISTADO_CATEGORÍAS_Q', i, '_NO_Q', j) AS tipo_listado, categoria,
+ concat('Categoría presente en Q', i, ' pero ausente en Q', j) AS descripcion FROM losses"""),
+    "s27_categories_per_quarter": w(f"""SELECT 'ESTADÍSTICAS_CATEGORÍAS_POR_TRIMESTRE' AS analisis,
+ {_columns("count(DISTINCT categoria) FILTER (WHERE orden = {i}) AS categorias_Q{i}")} FROM v"""),
+    "s28_presence": w(CATS, f"""SELECT categoria, {_columns("list_contains(o, {i}) AS presente_q{i}")}, patron AS patron_presencia, len(o)::INT AS trimestres_activos
+ FROM pat"""),
+    "s29_presence_distribution": w(CATS, f"""named AS (SELECT patron, CASE WHEN len(o) = {N} THEN 'PRESENTE_EN_TODOS' WHEN len(o) = 1 THEN concat('SOLO_Q', o[1])
+ WHEN o[1] = 1 THEN concat('PRESENTE_', array_to_string([concat('Q', i) for i in o], '_'), '_AUSENTE_', array_to_string([concat('Q', i) for i in sin], '_'))
+ ELSE concat('AUSENTE_', array_to_string([concat('Q', i) for i in sin], '_'), '_PRESENTE_', array_to_string([concat('Q', i) for i in o], '_')) END AS d FROM pat)""",
+        f"""SELECT patron AS patron_presencia, d AS descripcion_patron, count(*) AS cantidad_categorias, {ratio('count(*)', '(SELECT count(*) FROM pat)')} AS porcentaje
+ FROM named GROUP BY 1, 2"""),
+    "s30_presence_problems": w(CATS, f"""SELECT 'CATEGORÍAS_DESAPARECIDAS_DESPUÉS_Q1' AS tipo_problema, count(*) FILTER (WHERE o = [1]) AS cantidad,
+ 'Categorías que solo aparecen en Q1' AS descripcion FROM pat
+UNION ALL SELECT 'CATEGORÍAS_INTERMITENTES', count(*) FILTER (WHERE {IRREGULAR}), 'Categorías con patrón de presencia irregular' FROM pat
+UNION ALL SELECT 'CATEGORÍAS_APARICIÓN_TARDÍA', count(*) FILTER (WHERE o[1] > 1), 'Categorías que no estaban en Q1 pero aparecen después' FROM pat"""),
+    "s30_problem_listing": w(CATS, f"""SELECT 'POSIBLE_DESCONTINUACIÓN' AS tipo_problema, categoria, 'Solo presente en Q1' AS detalle FROM pat WHERE o = [1]
+UNION ALL SELECT 'CATEGORÍA_INTERMITENTE_Q1_Q{N}', categoria, concat('Presente en Q1 y Q{N} pero ausente en ', {_listed('sin')}) FROM pat
+ WHERE o[1] = 1 AND o[-1] = {N} AND len(o) < {N}
+UNION ALL SELECT 'NUEVA_CATEGORÍA_EXITOSA', categoria, concat('Ausente en Q1 pero presente en ', {_listed(f'range(2, {N + 1})')}) FROM pat
+ WHERE o[1] > 1 AND len(o) = {N - 1}"""),
+    "s31_presence_executive": w(CATS, f"""m AS (SELECT 'TOTAL_CATEGORÍAS_ÚNICAS' AS metrica, count(*) AS valor,
+ 'Total de categorías únicas que aparecieron en al menos un trimestre' AS descripcion FROM pat
+UNION ALL SELECT 'CATEGORÍAS_ESTABLES', count(*) FILTER (WHERE len(o) = {N}), 'Categorías que aparecen en los {N} trimestres (patrón {"1" * N})' FROM pat
+UNION ALL SELECT 'CATEGORÍAS_PROBLEMÁTICAS', count(*) FILTER (WHERE len(o) < {N}), 'Categorías que NO aparecen en los {N} trimestres' FROM pat
+UNION ALL SELECT 'CATEGORÍAS_DESCONTINUADAS', count(*) FILTER (WHERE o[1] = 1 AND seguido AND len(o) < {N}), 'Categorías que desaparecieron después de aparecer'
+ FROM pat
+UNION ALL SELECT 'CATEGORÍAS_NUEVAS', count(*) FILTER (WHERE o[1] > 1), 'Categorías que aparecieron después de Q1' FROM pat
+UNION ALL SELECT 'CATEGORÍAS_INTERMITENTES', count(*) FILTER (WHERE {IRREGULAR}),
+ 'Categorías con presencia irregular (con huecos, o ausentes en el primero y el último trimestre)' FROM pat)""",
+        f"SELECT metrica, valor, descripcion, {ratio('valor', '(SELECT count(*) FROM pat)')} AS porcentaje_del_total FROM m"),
+    "s32_catalogue_stability": w(CATS, f"t AS (SELECT count(*) FILTER (WHERE len(o) = {N}) AS s, count(*) AS n FROM pat)", f"""
+SELECT 'ÍNDICE_ESTABILIDAD_CATÁLOGO' AS metrica, {ratio('s', 'n')} AS porcentaje_estabilidad, CASE WHEN s * 100 >= n * 80 THEN 'CATÁLOGO_MUY_ESTABLE'
+ WHEN s * 100 >= n * 60 THEN 'CATÁLOGO_ESTABLE' WHEN s * 100 >= n * 40 THEN 'CATÁLOGO_MODERADAMENTE_ESTABLE' ELSE 'CATÁLOGO_INESTABLE' END AS
+ clasificacion_estabilidad,
+ concat('De ', n, ' categorías únicas, ', s, ' aparecen en los {N} trimestres') AS interpretacion FROM t"""),
+}.items()}
+
+# Ten thousand periods of one day each.
+DAYS = """per AS (SELECT strftime(d, '%Y-%m-%d') AS trimestre, d::DATE AS inicio, d::DATE AS fin, (row_number() OVER (ORDER BY d))::INT AS orden
+ FROM range(DATE '1992-01-01', DATE '1992-01-01' + 10000, INTERVAL 1 DAY) ds(d))"""
+SQL |= {f"{key}_by_day": SQL[key].replace(SALES_PERIODS, DAYS) for key in ("s02_distinct_products", "s06_quarter_variation", "s11_category_products")}
+
+# The reports of the presence script, by the name of their function.
+BUNDLE = {
+    "presence": "s28_presence", "lost_categories": "s25_lost_categories", "lost_category_listing": "s26_lost_category_listing",
+    "categories_per_quarter": "s27_categories_per_quarter", "presence_distribution": "s29_presence_distribution", "presence_problems": "s30_presence_problems",
+    "problem_listing": "s30_problem_listing", "presence_executive": "s31_presence_executive", "catalogue_stability": "s32_catalogue_stability",
+}
+SQL["s32_presence_bundle"] = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS informe, count(*) AS filas FROM ({SQL[key + '_whole_table']})" for name, key in BUNDLE.items()
+)

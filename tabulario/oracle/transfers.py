@@ -128,3 +128,4 @@ SQL["t01_pair_values"] = s(" UNION ".join(
     f"SELECT numero_entrada, numero_digitado, '{name}' AS lista, {value} AS valor FROM c WHERE {KEPT} AND {value} IS NOT NULL"
     for name, value in (("menu_opciones_usadas", "menu || ':' || opcion"), ("etiquetas_patron", "etiquetas"), ("zonas_afectadas", "id_8T"),
                         ("divisiones_areas", "division || '-' || area"))))
+SQL["t01_transfer_pairs_by_cells"] = SQL["t01_transfer_pairs"]

@@ -71,3 +71,18 @@ def order_statistics(
 
     out = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
     return out.drop("_all")
+
+
+# Items of a quantile sketch's largest level: ranks are off by less than 0.2% of the rows with 99% confidence.
+SKETCH_K = 2000
+
+
+def sketched_statistics(df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float], k: int = SKETCH_K) -> DataFrame:
+    """`order_statistics` at fractions of the rows, from one pass and sketches of a few KB per task and group.
+
+    Any number of groups and values; ranks are estimates within the error that
+    `k` gives, and small groups (fewer rows than about `k`) come out exact.
+    """
+    known = df.where(F.col(value).isNotNull())
+    sketches = known.groupBy(*keys).agg(F.kll_sketch_agg_bigint(F.col(value).cast("bigint"), k).alias("_sketch"))
+    return sketches.select(*keys, *[F.kll_sketch_get_quantile_bigint("_sketch", F.lit(float(p))).alias(name) for name, p in fractions.items()])

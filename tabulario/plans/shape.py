@@ -86,6 +86,16 @@ def whole_lists(rows: DataFrame, keys: Sequence[str], lists: Mapping[str, tuple[
     return long.groupBy(*keys).agg(*[F.when(F.size(g) > 0, F.array_join(g, lists[name][1])).alias(name) for name, g in gathered.items()])
 
 
+def listed(lists: Mapping[str, tuple[Column, str]]) -> list[Column]:
+    """`whole_lists` as aggregates, for the few keys of a report that is cut already: one pass over their rows for all lists.
+
+    Values are gathered map-side in sets, so one reaches the task of its key once from every task that met it.
+    """
+    return [
+        F.when(F.size(g := F.array_sort(F.collect_set(c.cast("string")))) > 0, F.array_join(g, sep)).alias(name) for name, (c, sep) in lists.items()
+    ]
+
+
 def leading_list(df: DataFrame, value: str, k: int, sep: str, order: Sequence[Column] | None = None) -> Column:
     """First `k` rows of the whole frame by `order` (default: the value) as one string, usable as a column.
 
@@ -106,7 +116,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 def distinct_count(df: DataFrame, keys: Sequence[str], values: Sequence, name: str) -> DataFrame:
-    """Per key (few groups, not NULL) the number of distinct combinations without a NULL.
+    """Per key the number of distinct combinations without a NULL.
 
     Distinct first and counted then, so each count reads and shuffles its own
     columns only and no row is copied for the other counts of a report.
@@ -119,10 +129,15 @@ def distinct_count(df: DataFrame, keys: Sequence[str], values: Sequence, name: s
 def with_distinct_counts(report: DataFrame, df: DataFrame, keys: Sequence[str], counts: Mapping[str, Sequence]) -> DataFrame:
     """A report with one row per key and the distinct counts of `df`, 0 where there is nothing to count."""
     for name, values in counts.items():
-        report = report.join(distinct_count(df, keys, values, name), list(keys), "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+        report = join_on(report, distinct_count(df, keys, values, name), keys).withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
     return report
 
 
+def number_of_values(df: DataFrame, value: Column) -> Column:
+    """How many different values a column of a whole frame has, NULL aside; distinct first and counted then."""
+    return df.select(value.alias("_v")).where(F.col("_v").isNotNull()).distinct().agg(F.count("*")).scalar()
+
+
 # Copies of the smaller side of a salted join.
 SALTS = 16
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulario.functions.calls import start, transfer
-from tabulario.operators import calls, digital, eda, journeys, labels, operations, reports, sales, service, transfers
+from tabulario.operators import calls, digital, eda, journeys, labels, operations, reports, rollups, sales, service, transfers
 from tabulario.plans.sessions import steps
 from tabulario.sources.calls import normalise, union_quarters
-from tabulario.sources.fixtures import LOG_PERIODS, SALES_CALENDAR, SALES_PERIODS, SALES_WHOLE, Tables
+from tabulario.sources.fixtures import LOG_PERIODS, SALES_CALENDAR, SALES_DAYS, SALES_PERIODS, SALES_WHOLE, Tables
+from tabulario.sources.storage import session_store
 
 ORACLES = ["sales", "eda", "calls", "reports", "transfers", "labels", "journeys", "service"]
 
@@ -71,13 +73,18 @@ SALES = {
     "s07_org_quarter_metrics_all_quarters": lambda t: sales.org_quarter_metrics(t.ventas, SALES_CALENDAR),
     "s11_category_products_all_quarters": lambda t: sales.category_products(t.ventas, SALES_CALENDAR),
 }
-# Reports with a column, rule or pattern for each quarter run over three only: s29 to s31 name the patterns of three, s09 took
-# 129 s over 28 quarters at sf0.001 and failed once, the others were not tried.
-PER_QUARTER = ("s09", "s10", "s25", "s26", "s27", "s28", "s29", "s30", "s31", "s32")
-SALES |= {
-    f"{key}_whole_table": lambda t, build=build: build(t, SALES_WHOLE)
-    for key, build in SALES.items() if not key.startswith(PER_QUARTER) and not key.endswith("_all_quarters")
-}
+SALES |= {f"{key}_whole_table": lambda t, build=build: build(t, SALES_WHOLE) for key, build in SALES.items() if not key.endswith("_all_quarters")}
+SALES |= {f"{key}_by_day": lambda t, build=SALES[key]: build(t, SALES_DAYS) for key in ("s02_distinct_products", "s06_quarter_variation", "s11_category_products")}
+
+
+def _presence_bundle(t: Tables) -> DataFrame:
+    """Number of rows of each presence report, all from the one stored table."""
+    reports = sales.presence_bundle(session_store(t.spark), t.ventas, SALES_WHOLE)
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("informe"), F.count("*").alias("filas")) for name, df in reports.items()])
+
+
+SALES["s32_presence_bundle"] = _presence_bundle
+
 
 def _eda(fn, **kw):
     return lambda t: fn(t.productos_por_trimestre, **kw)
@@ -98,6 +105,18 @@ def _by_the_hour(t: Tables) -> DataFrame:
 SOME_IDS = range(1, 51)
 
 
+def _sketched_percentiles(t: Tables) -> DataFrame:
+    """Per quarter and percentile whether the rows up to the estimated value are that share of all, give or take 0.5%."""
+    rows = t.productos_por_trimestre.where(F.col("cProducto").isNotNull())
+    found = eda.percentiles_sketched(rows)
+    names = {"P05": 5, "P10": 10, "P25_Q1": 25, "P50_Mediana": 50, "P75_Q3": 75, "P90": 90, "P95": 95}
+    x, n = F.col("cProducto"), F.count("*")
+    below = rows.join(F.broadcast(found), "trimestre").groupBy("trimestre").agg(*[
+        ((F.count_if(x < F.col(c)) <= n * (p + 0.5) / 100) & (F.count_if(x <= F.col(c)) >= n * (p - 0.5) / 100)).alias(c) for c, p in names.items()
+    ])
+    return below.withColumn("variable", F.lit("cProducto"))
+
+
 EDA = {
     "e01_pre_check": _eda_dated(eda.pre_check),
     "e02_null_profile": _eda(eda.null_profile),
@@ -114,6 +133,7 @@ EDA = {
     "e12_histogram": _eda(eda.histogram),
     "e13_executive_dashboard": _eda_dated(eda.executive_dashboard),
     "e14_percentiles": _eda(eda.percentiles),
+    "e14_percentiles_sketched": _sketched_percentiles,
     "e15_flag_correlation": _eda(eda.flag_correlation),
     "e16_structure": _eda(eda.structure),
     "e17_null_report": _eda(eda.null_report),
@@ -217,6 +237,15 @@ CALLS = {
     "p03_ids_of_quarterly_tables": lambda t: calls.repeated_ids(_quarterly_tables(t)),
 }
 
+def _sketched_periods(t: Tables) -> DataFrame:
+    """The report from stored daily partials, its estimated callers replaced by whether they are within 3% of the exact ones."""
+    store = session_store(t.spark)
+    daily = store.replace("daily_partials", rollups.daily_partials(t.llamadas, LOG_PERIODS))
+    exact = rollups.period_callers(rollups.caller_bitmaps(t.llamadas, LOG_PERIODS))
+    near = F.abs(F.col("usuarios_estimados") - F.col("usuarios_unicos")) <= F.col("usuarios_unicos") * 0.03
+    return rollups.period_report(daily).join(exact, rollups.KEYS).withColumn("estimacion_fiel", near).drop("usuarios_estimados", "P50_sesion", "P90_sesion", "P95_sesion")
+
+
 REPORTS = {
     "r01_daily_average": _calls(reports.daily_average),
     "r01_daily_average_filtered": _calls(reports.daily_average_filtered),
@@ -230,6 +259,8 @@ REPORTS = {
     "r06_monthly_report": _calls_dated(reports.monthly_report),
     "r06_quarterly_report": _calls_dated(reports.quarterly_report),
     "r06_annual_report": _calls_dated(reports.annual_report),
+    "r06_period_callers": lambda t: rollups.period_callers(rollups.caller_bitmaps(t.llamadas, LOG_PERIODS)),
+    "r06_period_report": _sketched_periods,
     "r07_official_beside_derived": _calls_dated(reports.official_beside_derived),
     "r08_quarter_context": _calls_dated(reports.quarter_context),
     "r09_usage_by_kind": _calls_dated(reports.usage_by_kind),
@@ -238,6 +269,7 @@ REPORTS = {
 
 TRANSFERS = {
     "t01_transfer_pairs": _calls(transfers.transfer_pairs),
+    "t01_transfer_pairs_by_cells": _calls(transfers.transfer_pairs, by_cells=True),
     "t01_pair_values": _calls(transfers.pair_values),
     "t02_complete_pairs": _calls(transfers.complete_pairs),
     "t02_complete_pairs_of_quarter": _calls(transfers.complete_pairs, limit=10, trimestre="Q02_24"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulario.sources.periods import Periods
+from tabulario.sources.periods import Period, Periods
 from tabulario.sources.schemas import LLAMADAS, PRODUCTOS, VENTAS, conform
 
 SALES_PERIODS = Periods.of(
@@ -15,14 +16,19 @@ SALES_PERIODS = Periods.of(
     ("Q02_95", "1995-04-01", "1995-06-30"),
     ("Q03_95", "1995-07-01", "1995-09-30"),
 )
-# The quarters of the *_all_quarters keys and their statements; the sales table goes on to 2001.
-SALES_CALENDAR = Periods.of(*[
-    (f"Q0{q}_{year % 100}", f"{year}-{3 * q - 2:02d}-01", f"{year}-{3 * q:02d}-{31 if q in (1, 4) else 30}") for year in range(1992, 2000) for q in range(1, 5)
-])
-# Every quarter that the sales table has.
-SALES_WHOLE = Periods.of(*[
-    (f"Q0{q}_{year % 100:02d}", f"{year}-{3 * q - 2:02d}-01", f"{year}-{3 * q:02d}-{31 if q in (1, 4) else 30}") for year in range(1995, 2002) for q in range(1, 5)
-])
+
+
+def quarters(first: int, last: int) -> Periods:
+    """The quarters of the years from `first` to `last`."""
+    return Periods.of(*[
+        (f"Q0{q}_{year % 100:02d}", f"{year}-{3 * q - 2:02d}-01", f"{year}-{3 * q:02d}-{31 if q in (1, 4) else 30}") for year in range(first, last + 1) for q in range(1, 5)
+    ])
+
+
+# A calendar that begins before the sales table does, and one of every quarter that it has.
+SALES_CALENDAR, SALES_WHOLE = quarters(1992, 2001), quarters(1995, 2001)
+# A calendar too long for an expression: ten thousand days.
+SALES_DAYS = Periods([Period(d.isoformat(), d, d) for d in (dt.date(1992, 1, 1) + dt.timedelta(days=i) for i in range(10_000))])
 LOG_PERIODS = Periods.of(
     ("Q01_24", "2024-01-01", "2024-01-10"),
     ("Q02_24", "2024-01-11", "2024-01-20"),

@@ -1,8 +1,10 @@
-"""Analysis periods: a short, driver-known calendar.
+"""Analysis periods: a driver-known calendar.
 
-Periods are compiled into a CASE expression instead of a join, so tagging a
-row costs no shuffle and no broadcast, and the date bounds stay visible to the
-Parquet reader as a pushed-down filter.
+A short calendar is compiled into a CASE expression instead of a join, so tagging
+a row costs no shuffle and no broadcast. A long one, of days over decades, say,
+would make a plan that grows with it; its rows are joined by day buckets
+(`plans.intervals`). Either way the outer date bounds reach the Parquet reader as
+a pushed-down filter.
 """
 
 from __future__ import annotations
@@ -15,6 +17,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulario.plans.intervals import bucket_of, in_buckets
+
+# Calendars of up to this many periods become expressions.
+CASES = 64
+# Longer ones of up to this many are broadcast, some 40 bytes a period.
+BROADCAST_PERIODS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Period:
@@ -80,8 +89,27 @@ class Periods(Sequence):
     def tag(self, df: DataFrame, date_col: str, inclusive_end: bool = False) -> DataFrame:
         """Rows inside some period, with their `trimestre`."""
         when = F.col(date_col)
-        keep = reduce(lambda a, b: a | b, [self._inside(when, p, inclusive_end) for p in self])
-        return df.where(keep).withColumn("trimestre", self.label_of(when, inclusive_end))
+        if len(self) <= CASES:
+            keep = reduce(lambda a, b: a | b, [self._inside(when, p, inclusive_end) for p in self])
+            return df.where(keep).withColumn("trimestre", self.label_of(when, inclusive_end))
+        outer = Period("", min(p.inicio for p in self), max(p.fin for p in self))
+        width = max(1, -(-sum((p.fin - p.inicio).days + 1 for p in self) // len(self)))
+        bounds = self.frame(df.sparkSession).select("trimestre", F.col("inicio").alias("_inicio"), F.col("fin").alias("_fin"))
+        places = self._small(in_buckets(bounds, "_inicio", "_fin", width))
+        upper = when < F.date_add("_fin", 1) if inclusive_end else when <= F.col("_fin")
+        rows = df.where(self._inside(when, outer, inclusive_end)).withColumn("_day", bucket_of(when, width))
+        joined = rows.join(places, (F.col("_day") == F.col("_bucket")) & (when >= F.col("_inicio")) & upper)
+        return joined.select(*df.columns, "trimestre")
+
+    def _small(self, calendar: DataFrame) -> DataFrame:
+        return F.broadcast(calendar) if len(self) <= BROADCAST_PERIODS else calendar
+
+    def numbered(self, df: DataFrame, name: str) -> DataFrame:
+        """Tagged rows with the place of their period in the calendar, from 1 on."""
+        if len(self) <= CASES:
+            return df.withColumn(name, self.order_of(F.col("trimestre")))
+        order = self.frame(df.sparkSession).select(F.col("trimestre").alias("_label"), F.col("orden").alias(name))
+        return df.join(self._small(order), F.col("trimestre") == F.col("_label")).drop("_label")
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(p.trimestre, p.inicio, p.fin, i) for i, p in enumerate(self, 1)]

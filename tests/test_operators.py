@@ -1,11 +1,12 @@
 """Worked samples, methods that must agree, and properties of results."""
 
 import datetime as dt
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabulario.functions.calls import seconds, start, transfer
+from tabulario.functions.calls import TRANSFER_MODES, seconds, start, transfer
 from tabulario.operators import calls, digital, eda, journeys, labels, operations, reports, sales, transfers
 from tabulario.sources.calls import normalise
 from tabulario.sources.fixtures import LOG_PERIODS, SALES_PERIODS
@@ -18,25 +19,32 @@ def rows_of(df, *cols):
 
 # --- worked samples -------------------------------------------------------------------------
 
-# Invented numbers: a pair, unknown destinations (one row twice), another pair; then callers that reach themselves.
-KEPT = [("5550000001", "5550000002"), ("5550000003", None), ("5550000003", None), ("5550000004", None), ("5550000005", "5550000006")]
-DROPPED = [("5550000007", "5550000007"), ("5550000003", "5550000003"), ("5550000008", "5550000008")]
+# Every combination of what a number can be, on both sides.
+SIDES = (None, "", " ", "7", " 7", "8")
 
 
-def pairs(calls_frame, *values):
-    return calls_frame(*[dict(numero_entrada=a, numero_digitado=b) for a, b in values])
+def expected(mode, caller, dialled):
+    """The truth table of a transfer, in words: known caller, and a dialled number that is another one."""
+    if caller is None:
+        return False
+    if mode == "strict":
+        return dialled is not None and caller != dialled
+    if mode == "null_kept":
+        return caller != (dialled or "")
+    if mode == "explicit_null":
+        return dialled is None or caller != dialled
+    return caller.strip() != "" and caller.strip() != (dialled or "").strip()
 
 
-def test_transfer_samples(calls_frame):
-    df = pairs(calls_frame, *KEPT, *DROPPED)
-    kept = {m: [r.idRe for r in df.where(transfer(m)).orderBy("idRe").collect()] for m in ("strict", "null_kept", "explicit_null", "trimmed")}
-    assert kept == {"strict": [1, 5], "null_kept": [1, 2, 3, 4, 5], "explicit_null": [1, 2, 3, 4, 5], "trimmed": [1, 2, 3, 4, 5]}
+@pytest.mark.parametrize("mode", TRANSFER_MODES)
+def test_transfer_truth_table(calls_frame, mode):
+    cases = list(itertools.product(SIDES, SIDES))
+    df = calls_frame(*[dict(numero_entrada=a, numero_digitado=b) for a, b in cases])
+    kept = {r.idRe for r in df.where(transfer(mode)).collect()}
+    assert kept == {i for i, (a, b) in enumerate(cases, 1) if expected(mode, a, b)}
 
 
-def test_transfer_modes_differ_on_blank_numbers(calls_frame):
-    df = pairs(calls_frame, ("1", ""), (None, "1"), ("", None), ("1 ", "1"), (" ", "2"))
-    kept = {m: [r.idRe for r in df.where(transfer(m)).orderBy("idRe").collect()] for m in ("strict", "null_kept", "explicit_null", "trimmed")}
-    assert kept == {"strict": [1, 4, 5], "null_kept": [1, 4, 5], "explicit_null": [1, 3, 4, 5], "trimmed": [1]}
+def test_unknown_transfer_mode():
     with pytest.raises(ValueError):
         transfer("other")
 
@@ -57,8 +65,8 @@ def test_journey_is_in_time_order(calls_frame):
 
 
 def test_label_rows_keep_repeated_labels(calls_frame):
-    df = labels.exploded_labels(calls_frame(dict(etiquetas="NoTmx_SOMC,NoTmx_SOMC,"), dict(etiquetas=""), dict(etiquetas=None)))
-    assert rows_of(df, "etiqueta_individual", "posicion_etiqueta") == [("NoTmx_SOMC", 1), ("NoTmx_SOMC", 2)]
+    df = labels.exploded_labels(calls_frame(dict(etiquetas="uno,dos,uno,,"), dict(etiquetas=""), dict(etiquetas=None)))
+    assert rows_of(df, "etiqueta_individual", "posicion_etiqueta") == [("dos", 2), ("uno", 1), ("uno", 3)]
 
 
 def test_option_wildcards_and_whole_labels(calls_frame):
