@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulario.llm.texts import pieces
-from tabulario.llm.vocab import ByteLevel, PieceIds
+from tabulario.llm.vocab import MOST_LETTERS, ByteLevel, PieceIds, joint_units
 from tabulario.llm.workspace import Workspace
 
 # Id pairs whose counts go out to the workers: 17 bytes each.
 TABLE_PAIRS = 1 << 20
 # Tokens of the first probe of a stretch.
 PROBE = 8
-# Names of single links that a worker keeps; a full table is begun anew.
-MOST_NAMES = 500_000
+# Units whose ids in both a worker keeps; a full table is begun anew.
+MOST_UNITS = 400_000
 # Links laid out at once, and pairs that a task holds before it sends their numbers on.
 LINKS = 1 << 20
 HELD = 1 << 21
@@ -110,51 +110,102 @@ class _Pair:
         names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
         self.b_bytes = [bytes([int(s[3:5], 16)]) if model.is_byte(k) else s.replace("▁", " ").encode() for k, s in enumerate(names)]
         self.a_length, self.b_length = (np.array([len(x) for x in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes))
-        self.pair_names: dict[int, str] = {}
+        self.known: dict[str, tuple[bytes, bytes] | tuple[None, None]] = {}
+
+    def _same_bytes(self, text: str, a: bytes, b: bytes) -> bool:
+        """Whether both sides give back a space and the text."""
+        raw = (" " + text).encode()
+        x, y = (np.frombuffer(ids, dtype=np.uint32).tolist() for ids in (a, b))
+        return b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y))
+
+    def _cut(self, ids: np.ndarray, length: np.ndarray, table: list[bytes], raw: bytes, ends: np.ndarray) -> list[bytes] | None:
+        """The ids of each of the units that lie in a row in `raw`; None if they don't give it back unit by unit."""
+        own = np.cumsum(length[ids])
+        cut = np.searchsorted(own, ends, side="right")
+        if not len(ids) or (own[cut - 1] != ends).any() or b"".join(map(table.__getitem__, ids.tolist())) != raw:
+            return None
+        flat = ids.astype(np.uint32).tobytes()
+        at = [0, *(4 * cut).tolist()]
+        return [flat[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+    def _learnt(self, units: list[str]) -> dict[str, tuple[bytes, bytes] | tuple[None, None]]:
+        """Ids of the units in both, the shorter of which are kept; (None, None) for one whose bytes don't come back."""
+        # All in one text, which is cut again where the units end; those that begin with white space could join the one before.
+        units = [*(u for u in units if u[0] > " "), *(u for u in units if u[0] <= " ")]
+        some = sum(u[0] > " " for u in units)
+        new: dict[str, tuple[bytes, bytes] | tuple[None, None]] = {}
+        if some and self.a.fast:
+            raw = " " + " ".join(units[:some])
+            ends = np.cumsum([len(u.encode()) + 1 for u in units[:some]])
+            left = self._cut(np.array(self.a.fast.encode_ordinary(raw), dtype=np.int64), self.a_length, self.a_bytes, raw.encode(), ends)
+            right = self._cut(np.array(self.b.model.encode(raw[1:], num_threads=1), dtype=np.int64), self.b_length, self.b_bytes, raw.encode(), ends)
+            if left is not None and right is not None:
+                new.update(zip(units, zip(left, right, strict=True)))
+        rest = [u for u in units if u not in new]
+        for u, b in zip(rest, self.b.encoded(rest), strict=True):
+            ids = (self.a.unit(u), b)
+            new[u] = ids if self._same_bytes(u, *ids) else (None, None)
+        short = {u: ids for u, ids in new.items() if len(u) <= MOST_LETTERS}
+        if len(self.known) + len(short) > MOST_UNITS:
+            self.known = {}
+        self.known.update(short)
+        return new
+
+    def _whole(self, text: str) -> tuple[bytes, bytes] | tuple[None, None]:
+        ids = (self.a.ids(" " + text), self.b.ids([text])[0])
+        return ids if self._same_bytes(text, *ids) else (None, None)
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both for each text; none if it has none or its bytes don't come back."""
-        none = np.empty(0, dtype=np.uint32)
+        units = [joint_units(t) if t else None for t in texts]
+        get = self.known.get
+        found = [None if u is None else list(map(get, u)) for u in units]
+        open_ = [i for i, f in enumerate(found) if f is not None and None in f]
+        if open_:
+            new = self._learnt(list({u for i in open_ for u, ids in zip(units[i], found[i], strict=True) if ids is None}))
+            for i in open_:
+                found[i] = [new[u] if ids is None else ids for u, ids in zip(units[i], found[i], strict=True)]
         out = []
-        for text, b in zip(texts, self.b.ids([t or "" for t in texts]), strict=True):
-            made = (none, none)
-            if text:
-                whole = " " + text
-                x, y = np.frombuffer(self.a.ids(whole), dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-                raw = whole.encode()
-                if b"".join(map(self.a_bytes.__getitem__, x.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, y.tolist())):
-                    made = (x, y)
-            out.append(made)
+        for text, ids in zip(texts, found, strict=True):
+            a = b = None
+            if ids is not None:
+                left, right = zip(*ids, strict=True)
+                if None not in left:
+                    a, b = b"".join(left), b"".join(right)
+            elif text:
+                a, b = self._whole(text)
+            out.append((np.frombuffer(a or b"", dtype=np.uint32), np.frombuffer(b or b"", dtype=np.uint32)))
         return out
 
     def stretches(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return one_to_one(np.cumsum(self.a_length[a]).astype(np.uint32), np.cumsum(self.b_length[b]).astype(np.uint32))
 
-    def _names(self, codes: list[int]) -> list[str]:
-        """a|b for the codes a * width + b of tokens that are alone in their group."""
-        found = list(map(self.pair_names.get, codes))
-        if None in found:
-            width = len(self.b_bytes)
-            new = {code: f"{code // width}|{code % width}" for code, name in zip(codes, found, strict=True) if name is None}
-            if len(self.pair_names) + len(new) > MOST_NAMES:
-                self.pair_names = {}
-            self.pair_names.update(new)
-            found = [new[code] if name is None else name for code, name in zip(codes, found, strict=True)]
-        return found
-
-    def text_of(self, a: np.ndarray, b: np.ndarray, starts_a: np.ndarray, starts_b: np.ndarray, lengths: np.ndarray) -> str:
-        """a1,a2|b1;a3|b2,b3"""
-        at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        alone = a[np.repeat(starts_a, lengths) + at].astype(np.int64) * len(self.b_bytes) + b[np.repeat(starts_b, lengths) + at]
-        names = self._names(alone.tolist())
-        x, y = a.tolist(), b.tolist()
-        parts, i, j, k = [], 0, 0, 0
-        for p, q, n in zip(starts_a.tolist(), starts_b.tolist(), lengths.tolist(), strict=True):
-            if p:
-                parts.append(f"{','.join(map(str, x[i:p]))}|{','.join(map(str, y[j:q]))}")
-            parts += names[k : k + n]
-            i, j, k = p + n, q + n, k + n
-        return ";".join(parts)
+
+def text_of(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -> bytes:
+    """a1,a2|b1;a3|b2,b3 for the groups with the given borders."""
+    # Each token with the sign after it; tokens of B come after those of A of their group.
+    numbers = np.empty(len(a) + len(b), dtype=np.int64)
+    signs = np.full(len(numbers), ord(","), dtype=np.uint8)
+    many, other = np.diff(left), np.diff(right)
+    numbers[np.arange(len(a)) + np.repeat(right[:-1], many)] = a
+    numbers[np.arange(len(b)) + np.repeat(left[1:], other)] = b
+    signs[left[1:] + right[:-1] - 1] = ord("|")
+    signs[left[1:] + right[1:] - 1] = ord(";")
+    digits = np.ones(len(numbers), dtype=np.int64)
+    power = 10
+    while power <= numbers.max(initial=0):
+        digits += numbers >= power
+        power *= 10
+    ends = np.cumsum(digits + 1)
+    out = np.empty(int(ends[-1]), dtype=np.uint8)
+    out[ends - 1] = signs
+    at, rest, left_over = ends - 2, numbers, digits
+    while len(at):
+        rest, digit = np.divmod(rest, 10)
+        out[at] = digit + ord("0")
+        more = np.flatnonzero(left_over > 1)
+        at, rest, left_over = at[more] - 1, rest[more], left_over[more] - 1
+    return out[:-1].tobytes()
 
 
 def _added(codes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +269,7 @@ def _aligned(byte_level: tuple, piece_model: str) -> Callable:
                     runs = both.stretches(a, b)
                     left, right = borders(runs[0], runs[2]), borders(runs[1], runs[2])
                     code, n = links(a, b, left, right, width)
-                    sha = hashlib.sha256(both.text_of(a, b, *runs).encode()).hexdigest()
+                    sha = hashlib.sha256(text_of(a, b, left, right)).hexdigest()
                     rows.append((len(a), len(b), len(left) - 1, int(n.sum()), sha, code.astype(np.uint64).tobytes(), n.astype(np.uint64).tobytes()))
                 kinds = [*[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary()]
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]

@@ -24,6 +24,13 @@ _PLAIN = re.compile(r"[^\t\n\r -~¡-ɏ–—‘’“”…]|<\|")
 _GAPS = re.compile(r" [\t\n\r ]")
 
 
+def joint_units(text: str) -> list[str] | None:
+    """Units at whose spaces both kinds of vocabulary cut a text; None where they may differ."""
+    if not text or text[0] == " " or text[-1] == " " or _PLAIN.search(text) or _GAPS.search(text):
+        return None
+    return text.split(" ")
+
+
 class ByteLevel:
     """Ids of a byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes.
 
@@ -55,6 +62,10 @@ class ByteLevel:
     def _plain(self, text: str) -> bytes:
         return array("I", self.fast.encode_ordinary(text)).tobytes() if self.fast else self._whole(text)
 
+    def unit(self, word: str) -> bytes:
+        """Ids of a space and a word of `joint_units`."""
+        return self._plain(" " + word)
+
     def ids(self, text: str) -> bytes:
         if _PLAIN.search(text):
             return self._whole(text)
@@ -108,12 +119,12 @@ class PieceIds:
         # The model puts no space before an empty text, but an empty unit is a space.
         self.space = array("I", [self.model.piece_to_id("▁")]).tobytes()
 
-    def _encoded(self, texts: Sequence[str]) -> list[bytes]:
+    def encoded(self, texts: Sequence[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self.model.encode(list(texts), num_threads=1)]
 
     def _learnt(self, units: list[str]) -> dict[str, bytes]:
         """Ids of the units, the shorter of which are kept for later texts."""
-        new = dict(zip(units, self._encoded(units), strict=True))
+        new = dict(zip(units, self.encoded(units), strict=True))
         short = {u: b for u, b in new.items() if len(u) <= MOST_LETTERS}
         if len(self.known) + len(short) > MOST_UNITS:
             self.known = {}
@@ -130,7 +141,7 @@ class PieceIds:
             new = self._learnt([u for u in missing if u])
             for i in open_:
                 found[i] = [new[u] if b is None else b for u, b in zip(units[i], found[i], strict=True)]
-        return [self._encoded([t])[0] if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
+        return [self.encoded([t])[0] if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
 
 
 def whole_pieces(path: str) -> dict[str, int]:

@@ -127,3 +127,28 @@ def test_units_longer_than_the_tables_keep(monkeypatch):
         assert np.frombuffer(pair[0].ids(text), dtype=np.uint32).tolist() == A.encode(text, add_special_tokens=False).ids
         assert [np.frombuffer(x, dtype=np.uint32).tolist() for x in pair[1].ids([text, "", text])] == [B.encode(text), [], B.encode(text)]
     assert all(len(u) <= 3 for p in pair for u in p.known)
+
+
+def test_units_are_learnt_together_as_alone():
+    pair = alignment._Pair(BYTE_BPE, PIECE_MODEL)
+    units = ["the", "\nnew", "word\n", "x\n\ny", "é1", "...", "don't", "A" * 300, "\t", "12345", "\r\nz"]
+    together = pair._learnt(list(units))
+    for u in units:
+        a, b = (np.frombuffer(ids, dtype=np.uint32).tolist() for ids in together[u])
+        assert a == A.encode(" " + u, add_special_tokens=False).ids and b == B.encode(u)
+    assert "A" * 300 not in pair.known and len(pair.known) == len(units) - 1
+
+
+def test_texts_of_units_in_any_order():
+    pair = alignment._Pair(BYTE_BPE, PIECE_MODEL)
+    rng = np.random.default_rng(9)
+    parts = ["a", "the", "\n", "foo\n", "\nbar", "é", "x.y", "  ", " ", "I'm", "2024", "ñandú"]
+    for _ in range(300):
+        texts = [" ".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(4)]
+        for text, (a, b) in zip(texts, pair.tokens(texts)):
+            want = plain_groups(text)
+            assert a.tolist() == [k for x, _ in want for k in x] and b.tolist() == [k for _, y in want for k in y], repr(text)
+            if len(a):
+                runs = pair.stretches(a, b)
+                left, right = alignment.borders(runs[0], runs[2]), alignment.borders(runs[1], runs[2])
+                assert alignment.text_of(a, b, left, right).decode() == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in want)
