@@ -119,7 +119,8 @@ class Filter:
 
             return pd.Series(self.state(h.to_numpy().view(np.uint64)))
 
-        return state(F.col(column))
+        # Otherwise the test would be inferred for the other side of a later join as well.
+        return state.asNondeterministic()(F.col(column))
 
     def before(self, column: str, step: Callable) -> Callable:
         """`step`, a function over Arrow batches, on the rows whose hash occurs once."""

@@ -6,12 +6,13 @@ used, each by a hash of its own, with tokens that are frequent in the corpus
 last. A pair is a candidate only if it shares a prefix token under every order;
 only candidates are compared as a whole.
 
-Documents with equal sets are one node. A token that a few nodes share gives all
-their pairs; one that many share gives a chain and a star, which connect a group
-of near copies with about as many pairs as it has members. What these leave
-apart is then paired over the longer lists, but only across components, so no
-linked pair of different components is missed and a group of near copies costs
-no square.
+Documents with equal sets are one node. The nodes that share a prefix token under
+the first order are a list, and lists with the same smallest node are put
+together as one group, so that a group of near copies is one or two groups and
+not one for each of its tokens. A group goes to one task with its sets, a large
+one as pairs of tiles of at most TILE nodes on average. The task intersects the
+filters of the other orders, compares the candidates, and gives the components
+of the group's links, so neither candidates nor links become rows by the pair.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulario.llm.blocks import block_count, bucket_count
 from tabulario.llm.bloom import Filter, filters, split_repeated, where_state
 from tabulario.llm.cells import CELLS, COUNTS, added_up, cell_of, counting
 from tabulario.llm.components import components
@@ -38,12 +38,13 @@ SHINGLE = 4
 PERCENT = 85
 ORDERS = 3
 ALL_ORDERS = (1 << ORDERS) - 1
-# Lists of up to this many nodes give all their pairs at once.
-SMALL = 4
+# Nodes of a tile of a group on average, and of a part that holds smaller groups.
+TILE = 1024
+PART_NODES = 4096
+# Tokens of up to this many sets are counted by their pairs, others in matrices of so many columns.
+FEW, COLUMNS = 8, 4096
 # Bytes kept of a token's hash.
 TOKEN = 6
-# Nodes whose postings go out together.
-FLUSH = 8192
 _SETS = "doc_id long, k long, n_shingles long, node long, tokens binary"
 
 
@@ -112,7 +113,8 @@ class Nodes:
                     h = node.to_numpy().view(np.uint64)
                     return pd.Series((f.state(h) == 0) & (w.state(h) == 1))
 
-                parts.append(self.sets.where(both("node")))
+                # Otherwise the test would be inferred for the other side of a later join as well.
+                parts.append(self.sets.where(both.asNondeterministic()("node")))
         return reduce(DataFrame.unionByName, parts)
 
 
@@ -135,158 +137,113 @@ def _prefixes(tokens: np.ndarray, classes: np.ndarray, percent: int) -> Iterator
         yield keys
 
 
-_POSTINGS = "part long, keys binary, at binary, nodes binary, sizes binary"
-
-
-def _postings(classes: Broadcast, buckets: int, percent: int) -> Callable:
-    """Prefix tokens of many nodes, by order and bucket."""
-
-    def out(held: list[tuple[int, int, list[np.ndarray]]]) -> pa.RecordBatch:
-        rows = []
-        nodes = np.array([h[0] for h in held], dtype=np.int64)
-        sizes = np.array([h[1] for h in held], dtype=np.uint32)
-        for order in range(ORDERS):
-            keys = np.concatenate([h[2][order] for h in held])
-            owner = np.repeat(np.arange(len(held)), [len(h[2][order]) for h in held])
-            bucket = (keys * np.uint64(buckets)) >> np.uint64(48) if buckets < 1 << 16 else keys % np.uint64(buckets)
-            sort = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[sort], np.arange(buckets + 1, dtype=np.uint64))
-            for b in np.flatnonzero(np.diff(cut)):
-                mine = sort[cut[b] : cut[b + 1]]
-                present, at = np.unique(owner[mine], return_inverse=True)
-                rows.append((int(b) * ORDERS + order, _packed(keys[mine]), at.astype(np.uint16).tobytes(), nodes[present].tobytes(), sizes[present].tobytes()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), *[pa.binary()] * 4))], ["part", "keys", "at", "nodes", "sizes"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, list[np.ndarray]]] = []
-        for batch in batches:
-            for node, n, blob in zip(*(batch.column(c).to_pylist() for c in ("node", "n_shingles", "tokens")), strict=True):
-                held.append((node, n, list(_prefixes(_unpacked(blob), classes.value, percent))))
-                if len(held) == FLUSH:
-                    yield out(held)
-                    held = []
-        if held:
-            yield out(held)
-
-    return run
-
-
 def _fits(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of such sizes can be alike enough."""
     return 100 * np.minimum(small, large) >= percent * np.maximum(small, large)
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    sort = np.lexsort((high, low))
-    low, high = low[sort], high[sort]
-    first = np.r_[np.ones(min(1, len(low)), dtype=bool), (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
-    return low[first], high[first]
-
-
-_FOUND = "kind int, x long, y long, z long"
-
-
-def _found(kind: int, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64)), pa.array(z.astype(np.int64))], ["kind", "x", "y", "z"],
-    )
-
-
-def _lists(percent: int) -> Callable:
-    """Of the postings of a bucket: pairs (kind 0: node, node, order bit) and longer lists (kind 1: key, node, size and order)."""
+def _postings(classes: Broadcast, percent: int) -> Callable:
+    """(key, node) for each prefix token under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, sizes, order = [], [], [], 0
         for batch in batches:
-            for part, k, at, own, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.frombuffer(at, dtype=np.uint16)
-                keys.append(_unpacked(k))
-                nodes.append(np.frombuffer(own, dtype=np.int64)[at])
-                sizes.append(np.frombuffer(n, dtype=np.uint32)[at].astype(np.int64))
-                order = part % ORDERS
-        if not keys:
-            return
-        keys, nodes, sizes = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
-        by_key = np.argsort(keys, kind="stable")
-        k = keys[by_key]
-        shared = np.r_[False, k[1:] == k[:-1]] | np.r_[k[1:] == k[:-1], False]
-        mine = by_key[shared]
-        if not len(mine):
-            return
-        mine = mine[np.lexsort((nodes[mine], sizes[mine], keys[mine]))]
-        keys, nodes, sizes = keys[mine], nodes[mine], sizes[mine]
-        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        length = np.diff(np.r_[start, len(keys)])
-        of = np.repeat(np.arange(len(start)), length)
-        long = length[of] > SMALL
-        left, right = [], []
-        for step in range(1, SMALL):
-            i = np.flatnonzero(of[step:] == of[:-step])
-            i = i[~long[i]] if step > 1 else i
-            left.append(i)
-            right.append(i + step)
-        i = np.flatnonzero(long)
-        left.append(i)
-        right.append((start + length // 2)[of[i]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        ok = (nodes[a] != nodes[b]) & _fits(sizes[a], sizes[b], percent)
-        x, y = _unique_pairs(nodes[a[ok]], nodes[b[ok]])
-        yield _found(0, x, y, np.full(len(x), 1 << order))
-        yield _found(1, keys[long], nodes[long], sizes[long] * ORDERS + order)
+            keys = [next(_prefixes(_unpacked(blob), classes.value, percent)) for blob in batch.column("tokens").to_pylist()]
+            if keys:
+                node = np.repeat(batch.column("node").to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(node)], ["key", "node"])
 
     return run
 
 
-def _across(most: int | None, percent: int) -> Callable:
-    """Pairs of nodes of different components in the longer lists; with `most` only of so many nodes of each component in a list."""
-
-    def run(table: pa.Table) -> pa.Table:
-        key, node, size, order, label = (table.column(c).to_numpy() for c in ("key", "node", "size", "order", "label"))
-        sort = np.lexsort((node, size, label, order, key))
-        key, node, size, order, label = key[sort], node[sort], size[sort], order[sort], label[sort]
-        new = np.r_[True, (key[1:] != key[:-1]) | (order[1:] != order[:-1])]
-        if most is not None:
-            fresh = new | np.r_[True, label[1:] != label[:-1]]
-            at = np.flatnonzero(fresh)
-            stay = np.arange(len(key)) - at[np.cumsum(fresh) - 1] < most
-            key, node, size, order, label = key[stay], node[stay], size[stay], order[stay], label[stay]
-            new = np.r_[True, (key[1:] != key[:-1]) | (order[1:] != order[:-1])]
-        seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        cut = np.r_[np.flatnonzero(new), len(key)]
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if label[a] == label[b - 1]:  # sorted by label: one component only
-                continue
-            for i in range(a, b - 1):
-                # Nodes of later labels only; sizes are sorted within a label.
-                j = i + 1 + np.flatnonzero((label[i + 1 : b] != label[i]) & _fits(size[i + 1 : b], size[i], percent))
-                if len(j):
-                    seen.setdefault(int(order[a]), []).append((np.full(len(j), node[i]), node[j]))
-        x, y, z = [], [], []
-        for o, got in seen.items():
-            p, q = _unique_pairs(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-            x.append(p)
-            y.append(q)
-            z.append(np.full(len(p), 1 << o))
-        empty = np.empty(0, dtype=np.int64)
-        return pa.table({"x": np.concatenate(x or [empty]), "y": np.concatenate(y or [empty]), "z": np.concatenate(z or [empty])})
+def _shared(owner: np.ndarray, token: np.ndarray, m: int) -> np.ndarray:
+    """How many tokens each two of `m` sets share, as an m x m matrix; (owner, token) are the distinct entries of the sets."""
+    number = np.float32 if len(token) < 1 << 24 else np.float64  # whole numbers that the matrices keep exactly
+    out = np.zeros((m, m), dtype=number)
+    sort = np.argsort(token, kind="stable")
+    token, owner = token[sort], owner[sort]
+    start = np.flatnonzero(np.r_[np.ones(min(1, len(token)), dtype=bool), token[1:] != token[:-1]])
+    count = np.diff(np.r_[start, len(token)])
+    # Tokens of a few sets by their pairs, those of many as columns of matrices.
+    few = np.repeat((count > 1) & (count <= FEW), count)
+    o, t = owner[few], token[few]
+    for step in range(1, FEW):
+        i = np.flatnonzero(t[step:] == t[:-step])
+        if not len(i):
+            break
+        np.add.at(out, (o[i], o[i + step]), 1)
+    out += out.T
+    many = np.flatnonzero(count > FEW)
+    for lo in range(0, len(many), COLUMNS):
+        some = many[lo : lo + COLUMNS]
+        column = np.repeat(np.arange(len(some)), count[some])
+        place = np.arange(len(column)) - np.repeat(np.cumsum(count[some]) - count[some], count[some]) + np.repeat(start[some], count[some])
+        held = np.zeros((m, len(some)), dtype=number)
+        held[owner[place], column] = 1
+        out += held @ held.T
+    return out
+
+
+def _spanning(links: np.ndarray) -> np.ndarray:
+    """For each of the linked sets the smallest number that it is connected to."""
+    label = np.arange(len(links))
+    while True:
+        least = np.minimum(label, np.where(links, label, len(label)).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def linked(tokens: list[np.ndarray], sides: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of the sets are alike enough, as a matrix; with two tiles only pairs across them.
+
+    A pair has to share a prefix token under each order before it is compared.
+    """
+    m = len(tokens)
+    size = np.array([len(t) for t in tokens])
+    able = _fits(size[:, None], size[None, :], percent)
+    if sides.any() and not sides.all():
+        able &= sides[:, None] != sides[None, :]
+    np.fill_diagonal(able, False)
+    prefixes = [list(_prefixes(t, classes, percent)) for t in tokens]
+    for order in range(ORDERS):
+        if not able.any():
+            return able
+        keys = [p[order] for p in prefixes]
+        able &= _shared(np.repeat(np.arange(m), [len(k) for k in keys]), np.concatenate(keys), m) > 0
+    rows = np.flatnonzero(able.any(axis=1))
+    if len(rows):
+        some = [tokens[i] for i in rows]
+        both = _shared(np.repeat(np.arange(len(rows)), size[rows]), np.concatenate(some), len(rows))
+        enough = 100 * both >= percent * (size[rows][:, None] + size[rows][None, :] - both)
+        able[np.ix_(rows, rows)] &= enough
+    return able
 
-    return run
 
+_EDGES = "a long, b long"
+
+
+def _compared(classes: Broadcast, percent: int) -> Callable:
+    """Edges that connect what the links of each group of a part connect: at most one for a node."""
 
-def _alike(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "p", "q")), strict=True):
-                s, t = _unpacked(p), _unpacked(q)
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        table = pa.Table.from_batches(batches)
+        if not table.num_rows:
+            return
+        group = table.column("leader").to_numpy()
+        sort = np.argsort(group, kind="stable")
+        cut = np.r_[0, np.flatnonzero(np.diff(group[sort])) + 1, len(sort)]
+        node, side, blobs = table.column("node").to_numpy(), table.column("side").to_numpy(), table.column("tokens")
+        a, b = [], []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            mine = sort[lo:hi]
+            if hi - lo > 1:
+                label = _spanning(linked([_unpacked(blobs[int(i)].as_py()) for i in mine], side[mine], classes.value, percent))
+                away = np.flatnonzero(label != np.arange(len(label)))
+                a.append(node[mine[away]])
+                b.append(node[mine[label[away]]])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
@@ -298,44 +255,50 @@ def _nodes(work: Workspace, sets: DataFrame, total: int) -> Nodes:
     return Nodes(full, found, work.keep(where_state(full, found, "node", 1).dropDuplicates(["node"]), "repeated"))
 
 
-def _linked(nodes: Nodes, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (x, y) those whose sets are alike enough, as (a, b); only sets of nodes in a pair are moved."""
-    wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    # Each wanted node twice: the filter then tells what is among them.
-    twice = wanted.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    needed = nodes.among(filters(twice, "node", twice.count())).select("node", "tokens")
-    with_x = pairs.select("x", "y").join(needed.select(F.col("node").alias("x"), F.col("tokens").alias("p")), "x")
-    return with_x.join(needed.select(F.col("node").alias("y"), F.col("tokens").alias("q")), "y").select("x", "y", "p", "q").mapInArrow(_alike(percent), "a long, b long")
+def _groups(work: Workspace, postings: DataFrame, total: int) -> DataFrame:
+    """(leader, node, n) of groups that together hold every two nodes of a list; n is the size of the group.
+
+    A group all of whose nodes are in one other group is left out.
+    """
+    lists = postings.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("n"))
+    lists = work.keep(lists.where(F.col("leader") != F.col("last")).drop("last"), "lists")
+    members = work.keep(join_groups(postings, lists, "key", "n", total).select("leader", "node").distinct(), "members")
+    least = members.groupBy("node").agg(F.min("leader").alias("least"))
+    groups = members.join(least, "node").groupBy("leader").agg(F.min("least").alias("low"), F.max("least").alias("high"), F.count("*").alias("n"))
+    needed = groups.where((F.col("low") != F.col("high")) | (F.col("low") == F.col("leader")))
+    return join_groups(members, work.keep(needed.select("leader", "n"), "needed"), "leader", "n", members.count())
+
+
+def _dealt(groups: DataFrame, parts: int, tile: int) -> DataFrame:
+    """Rows (part, leader, side, node): small groups many to a part, each pair of tiles of a large one a part of its own."""
+    small = groups.where(F.col("n") <= tile).select(F.pmod(F.xxhash64("leader"), F.lit(parts)).alias("part"), F.lit(-1).alias("pair"), "leader", F.lit(0).alias("side"), "node")
+    large = groups.where(F.col("n") > tile).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    large = large.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("tiles") - 1)
+    large = large.withColumn("other", F.explode(other))
+    pair = F.least("mine", "other") * F.col("tiles") + F.greatest("mine", "other")
+    return small.unionByName(large.select(F.col("leader").alias("part"), pair.alias("pair"), "leader", (F.col("mine") > F.col("other")).cast("int").alias("side"), "node"))
 
 
 def linked_nodes(work: Workspace, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of all nodes with a link, from `sets` (_SETS)."""
     spark = sets.sparkSession
     total = sets.count()
-    buckets = bucket_count(block_count(total))
     nodes = _nodes(work, sets, total)
     classes = spark.sparkContext.broadcast(frequency_classes(nodes))
-    postings = nodes.map(_postings(classes, buckets, percent), _POSTINGS)
-    found = work.keep(postings.groupBy("part").applyInArrow(_lists(percent), _FOUND), "found")
-    pairs = work.keep(found.where("kind = 0").groupBy("x", "y").agg(F.bit_or("z").alias("z")), "pairs")
-    long = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("node"), F.expr(f"z div {ORDERS}").alias("size"), (F.col("z") % ORDERS).alias("order"))
-    tried = work.keep(pairs.where(F.col("z") == ALL_ORDERS).select("x", "y"), "tried0")
-    edges = work.keep(_linked(nodes, tried, percent), "edges0")
-    labels = work.keep(components(edges), "labels0")
-    for turn, most in enumerate((2, None), 1):
-        labelled = long.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).withColumn("part", F.pmod(F.xxhash64("key", "order"), F.lit(ORDERS * buckets)))
-        more = labelled.select("part", "key", "node", "size", "order", "label").groupBy("part").applyInArrow(_across(most, percent), "x long, y long, z long")
-        every = pairs.unionByName(more).groupBy("x", "y").agg(F.bit_or("z").alias("z")).where(F.col("z") == ALL_ORDERS)
-        new = work.keep(every.select("x", "y").join(tried, ["x", "y"], "left_anti"), f"new{turn}")
-        if new.isEmpty():
-            continue
-        found_now = work.keep(_linked(nodes, new, percent), f"edges{turn}")
-        tried = tried.unionByName(new)
-        if not found_now.isEmpty():
-            # What is known of the components stands for the edges that gave it.
-            known = labels.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = work.keep(components(known.unionByName(found_now)), f"labels{turn}")
-    return labels
+    postings = work.keep(nodes.map(_postings(classes, percent), "key long, node long"), "postings")
+    groups = work.keep(_groups(work, postings, postings.count()), "grouped")
+    work.drop("postings", "members")
+    wanted = groups.select("node").distinct()
+    # Each wanted node twice: the filter then tells what is among them.
+    twice = wanted.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    needed = nodes.among(filters(twice, "node", twice.count())).select("node", "tokens")
+    parts = max(1, -(-total // PART_NODES))
+    dealt = _dealt(groups, parts, TILE).join(needed, "node")
+    # Groups are little data and much work, so the number of partitions is given and not merged by size.
+    dealt = dealt.repartition(parts, "part", "pair")
+    edges = work.keep(dealt.groupBy("part", "pair").applyInArrow(_compared(classes, percent), _EDGES), "edges")
+    return work.keep(components(edges), "labels")
 
 
 def _sets(work: Workspace, docs: DataFrame, width: int) -> DataFrame:

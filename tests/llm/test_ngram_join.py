@@ -60,9 +60,11 @@ def corpus(seed, families=12, members=14, words=120):
     return rows + [(rows[20][0], rows[20][1]), (rows[30][0], "another text under a known id"), (10**12, rows[40][1])]
 
 
-@pytest.mark.parametrize("seed, small", [(0, 4), (1, 2)])
-def test_against_brute_force(documents, clashing, monkeypatch, seed, small):
-    monkeypatch.setattr(ngram_join, "SMALL", small)
+@pytest.mark.parametrize("seed, tile", [(0, 1024), (1, 4)])
+def test_against_brute_force(documents, clashing, monkeypatch, seed, tile):
+    """With small tiles every family is cut into many pairs of them."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "PART_NODES", 16 * tile)
     rows = corpus(seed)
     got = ngram_join.join_components(clashing(documents(*rows)))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(brute(rows), key=repr)
@@ -105,3 +107,42 @@ def test_prefixes_of_linked_sets_meet():
         if 100 * both >= 85 * len(np.union1d(a, b)):
             for p, q in zip(ngram_join._prefixes(a, classes, 85), ngram_join._prefixes(b, classes, 85)):
                 assert len(np.intersect1d(p, q))
+
+
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(2)
+    for few, columns in ((8, 4096), (2, 3), (1, 1)):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+        for m in (1, 2, 7, 30):
+            sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30), dtype=np.uint64)) for _ in range(m)]
+            got = ngram_join._shared(np.repeat(np.arange(m), [len(s) for s in sets]), np.concatenate(sets), m)
+            for i in range(m):
+                assert [int(got[i, j]) for j in range(m) if j != i] == [len(np.intersect1d(sets[i], sets[j])) for j in range(m) if j != i]
+
+
+def test_links_of_a_group_against_all_pairs():
+    rng = np.random.default_rng(3)
+    classes = rng.integers(0, 3, ngram_join.CELLS).astype(np.uint8)
+    base = rng.integers(0, 2**48, 100, dtype=np.uint64)
+    sets = []
+    for _ in range(40):
+        own = base.copy()
+        own[rng.integers(0, 100, rng.integers(0, 14))] = rng.integers(0, 2**48, dtype=np.uint64)
+        sets.append(np.unique(own))
+    sides = np.arange(40) % 2
+    for side in (np.zeros(40, dtype=int), sides):
+        got = ngram_join.linked(sets, side, classes, 85)
+        for i in range(40):
+            for j in range(40):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                want = i != j and 100 * both >= 85 * len(np.union1d(sets[i], sets[j])) and (not side.any() or side[i] != side[j])
+                assert got[i, j] == want
+    links = ngram_join.linked(sets, np.zeros(40, dtype=int), classes, 85)
+    label = ngram_join._spanning(links)
+    for i in range(40):
+        reached, edge = {i}, {i}
+        while edge:
+            edge = {int(j) for x in edge for j in np.flatnonzero(links[x])} - reached
+            reached |= edge
+        assert label[i] == min(reached)
