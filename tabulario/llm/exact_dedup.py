@@ -49,8 +49,9 @@ def duplicate_groups(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 def drop_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """The rows of `docs` without those that have an equal text with a larger doc_id.
 
-    All columns stay. Of rows that repeat even the id one stays, with the other
-    columns of some one of them.
+    All columns stay, whatever their names. A null text counts as empty, a null id
+    comes last. Of rows that repeat even the id one stays, with the other
+    columns of some one of them. No documents give no rows.
     """
     work = Workspace(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))

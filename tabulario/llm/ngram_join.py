@@ -335,7 +335,9 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` with one document of each component, that with the smallest doc_id.
 
-    Documents without words all stay. Of rows that repeat id and text one stays.
+    Documents without words, null texts included, all stay. Of rows that repeat id
+    and text one stays; a null id comes after all others. Columns of any name are
+    carried; no documents give no rows.
     """
     work = Workspace(docs.sparkSession)
     sets = _sets(work, docs, width)

@@ -196,12 +196,15 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
-    """`rows` (doc_id, text, ids) with the text that the ids stand for as `decoded`."""
+    """`rows` (doc_id, text, ids) with the text that the ids stand for as `decoded`; null ids stand for the empty text, other columns go."""
     return rows.select("doc_id", "text", "ids").mapInArrow(_column(model, "ids", "decoded", pa.string(), _decoded), "doc_id long, text string, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_tokens, ids_crc32, decoded_sha256, same (whether decoding gives the text back)."""
+    """One row per row of `docs`: doc_id, n_tokens, ids_crc32, decoded_sha256, same (whether decoding gives the text back).
+
+    A null text counts as empty, repeated rows come each time, no documents give no rows.
+    """
     both = decode(encode(docs, model), model)
     return both.select(
         "doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),

@@ -157,7 +157,9 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of `docs` with repeated passages taken out of `text`.
 
     A text that loses words becomes its kept words joined by one space, and
-    `n_chars`, if there is such a column, its new length; all else stays.
+    `n_chars`, if there is such a column, its new length; all else stays, columns
+    of any name included. A null text has no words and stays null; repeated rows
+    lose what they share with each other; no documents give no rows.
     """
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select("doc_id", "text", F.struct(*rest).alias("doc"))

@@ -265,7 +265,11 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, passages: bo
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, with all their columns."""
+    """The rows of `docs` that are not predicted toxic, with all their columns, whatever their names.
+
+    Null texts are scored as empty ones; repeated rows are judged alike and all
+    stay or go; no documents give no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("int")
