@@ -9,7 +9,10 @@ only candidates are compared as a whole.
 Documents with equal sets are one node. The nodes that share a prefix token under
 the first order are a list, and lists with the same smallest node are put
 together as one group, so that a group of near copies is one or two groups and
-not one for each of its tokens. A group goes to one task with its sets, a large
+not one for each of its tokens. Prefixes are taken somewhat longer than needed
+here: alike sets then share several tokens of theirs, and a set that shares fewer
+with all others together takes no part. Groups are cut where sizes differ too
+much. A group goes to one task with its sets, a large
 one as pairs of tiles of at most TILE nodes on average. The task intersects the
 filters of the other orders, compares the candidates, and gives the components
 of the group's links, so neither candidates nor links become rows by the pair.
@@ -24,7 +27,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulario.llm.bloom import Filter, filters, split_repeated, where_state
@@ -41,6 +44,10 @@ ALL_ORDERS = (1 << ORDERS) - 1
 # Nodes of a tile of a group on average, and of a part that holds smaller groups.
 TILE = 1024
 PART_NODES = 4096
+# Prefixes for the lists are longer by one part in so many.
+LENGTHENED = 4
+# Nodes whose keys go out together (numbered in 16 bits), and nodes to a bucket of keys.
+BLOCK_NODES, BUCKET_NODES = 8192, 8192
 # Tokens of up to this many sets are counted by their pairs, others in matrices of so many columns.
 FEW, COLUMNS = 8, 4096
 # Bytes kept of a token's hash.
@@ -125,10 +132,25 @@ def frequency_classes(nodes: Nodes) -> np.ndarray:
     return np.floor(np.log2(np.maximum(1.0, counts / mean))).astype(np.uint8)
 
 
-def _prefixes(tokens: np.ndarray, classes: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Keys (48 bits) of the prefix under each order."""
+def _prefix(n: int, percent: int) -> int:
+    """Tokens of a prefix of n tokens: alike sets share one of theirs."""
+    return n - -(-percent * n // 100) + 1
+
+
+def _more(n: int, percent: int) -> int:
+    """Tokens by which prefixes are lengthened for the lists: alike sets then share as many more."""
+    return _prefix(n, percent) // LENGTHENED
+
+
+def _needed(n: int, percent: int) -> int:
+    """How many tokens of its lengthened prefix a set shares with any set that it is alike to, whose prefix may be shorter."""
+    return _more(-(-percent * n // 100), percent) + 1
+
+
+def _prefixes(tokens: np.ndarray, classes: np.ndarray, percent: int, more: int = 0) -> Iterator[np.ndarray]:
+    """Keys (48 bits) of the prefix under each order, of `more` tokens above those that alike sets need to share one."""
     n = len(tokens)
-    p = n - -(-percent * n // 100) + 1
+    p = min(n, _prefix(n, percent) + more)
     rank = classes[cell_of(tokens)].astype(np.uint64) << np.uint64(48)
     for order in range(ORDERS):
         keys = mixed(tokens, 200 + order) >> np.uint64(16)
@@ -142,19 +164,123 @@ def _fits(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(small, large) >= percent * np.maximum(small, large)
 
 
+_PACKED = "keys binary, at binary, nodes binary, sizes binary"
+_LOCAL = "bucket long, row long, keys binary, least binary, several binary"
+_LEADERS = "row long, keys binary, leaders binary"
+_MEMBERS = "leader long, node long, size long"
+
+
 def _postings(classes: Broadcast, percent: int) -> Callable:
-    """(key, node) for each prefix token under the first order."""
+    """Blocks of up to BLOCK_NODES nodes: the keys of their prefixes under the first order in order, and whose they are."""
+
+    def out(nodes: list[int], sizes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.repeat(np.arange(len(nodes)), [len(k) for k in keys])
+        key = np.concatenate(keys)
+        sort = np.argsort(key, kind="stable")
+        columns = (_packed(key[sort]), at[sort].astype(np.uint16).tobytes(), np.array(nodes, dtype=np.int64).tobytes(), np.array(sizes, dtype=np.int64).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["keys", "at", "nodes", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[int] = []
+        sizes: list[int] = []
+        keys: list[np.ndarray] = []
         for batch in batches:
-            keys = [next(_prefixes(_unpacked(blob), classes.value, percent)) for blob in batch.column("tokens").to_pylist()]
-            if keys:
-                node = np.repeat(batch.column("node").to_numpy(), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(node)], ["key", "node"])
+            for node, blob in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                tokens = _unpacked(blob)
+                nodes.append(node)
+                sizes.append(len(tokens))
+                keys.append(next(_prefixes(tokens, classes.value, percent, _more(len(tokens), percent))))
+                if len(nodes) == BLOCK_NODES:
+                    yield out(nodes, sizes, keys)
+                    nodes, sizes, keys = [], [], []
+        if nodes:
+            yield out(nodes, sizes, keys)
 
     return run
 
 
+def _entries(keys: bytes, at: bytes, nodes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, places of their nodes, nodes, where each key's entries begin) of a block."""
+    key, place = _unpacked(keys), np.frombuffer(at, dtype=np.uint16)
+    return key, place, np.frombuffer(nodes, dtype=np.int64)[place], np.flatnonzero(np.r_[np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1]])
+
+
+def _sent(buckets: int) -> Callable:
+    """What blocks tell of their keys, once each: the smallest node, and whether there are several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, *packed in zip(*(batch.column(c).to_pylist() for c in ("row", "keys", "at", "nodes")), strict=True):
+                key, _, node, first = _entries(*packed)
+                least = np.minimum.reduceat(node, first)
+                several = np.diff(np.r_[first, len(key)]) > 1
+                key = key[first]
+                # Upper bits, in proportion: the keys of a bucket follow each other.
+                cut = np.searchsorted((key >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                full = [(k, x, y) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                columns = (
+                    pa.array([k for k, _, _ in full], pa.int64()), pa.array([row] * len(full), pa.int64()), pa.array([_packed(key[x:y]) for _, x, y in full], pa.binary()),
+                    pa.array([least[x:y].tobytes() for _, x, y in full], pa.binary()), pa.array([np.packbits(several[x:y]).tobytes() for _, x, y in full], pa.binary()),
+                )
+                yield pa.RecordBatch.from_arrays(list(columns), ["bucket", "row", "keys", "least", "several"])
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block of a bucket its keys that several nodes have anywhere, with the smallest of them."""
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    if not rows:
+        return
+    keys = [_unpacked(r["keys"]) for r in rows]
+    ends = np.cumsum([len(k) for k in keys])
+    key = np.concatenate(keys)
+    least = np.frombuffer(b"".join(r["least"] for r in rows), dtype=np.int64)
+    several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], dtype=np.uint8), count=len(k)) for r, k in zip(rows, keys, strict=True)]).astype(bool)
+    sort = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.r_[True, key[sort][1:] != key[sort][:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    shared = np.empty(len(key), dtype=bool)
+    leader = np.empty(len(key), dtype=np.int64)
+    shared[sort] = np.repeat((size > 1) | np.logical_or.reduceat(several[sort], first), size)
+    leader[sort] = np.repeat(np.minimum.reduceat(least[sort], first), size)
+    out = [(r["row"], _packed(k[m]), lead[m].tobytes()) for r, k, m, lead in zip(rows, keys, np.split(shared, ends[:-1]), np.split(leader, ends[:-1]), strict=True) if m.any()]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], ["row", "keys", "leaders"],
+    )
+
+
+def _members(percent: int) -> Callable:
+    """(leader, node, size) of a block's nodes, once each, without nodes that share too few keys to be alike to any other."""
+
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        leaders = nodes = sizes = np.empty(0, dtype=np.int64)
+        if packed.num_rows and answers.num_rows:
+            key, place, node, _ = _entries(*(packed.column(c)[0].as_py() for c in ("keys", "at", "nodes")))
+            size = np.frombuffer(packed.column("sizes")[0].as_py(), dtype=np.int64)
+            known = np.concatenate([_unpacked(b) for b in answers.column("keys").to_pylist()])
+            lead = np.frombuffer(b"".join(answers.column("leaders").to_pylist()), dtype=np.int64)
+            sort = np.argsort(known, kind="stable")
+            known, lead = known[sort], lead[sort]
+            at = np.searchsorted(known, key)
+            met = at < len(known)
+            met[met] = known[at[met]] == key[met]
+            enough = np.bincount(place[met], minlength=len(size)) >= np.array([_needed(n, percent) for n in size.tolist()])
+            met &= enough[place]
+            leaders, place = _unique_rows(lead[at[met]], place[met].astype(np.int64))
+            nodes, sizes = np.frombuffer(packed.column("nodes")[0].as_py(), dtype=np.int64)[place], size[place]
+        return pa.table({"leader": pa.array(leaders, pa.int64()), "node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int64())})
+
+    return run
+
+
+def _unique_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sort = np.lexsort((b, a))
+    a, b = a[sort], b[sort]
+    first = np.r_[np.ones(min(1, len(a)), dtype=bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return a[first], b[first]
+
+
 def _shared(owner: np.ndarray, token: np.ndarray, m: int) -> np.ndarray:
     """How many tokens each two of `m` sets share, as an m x m matrix; (owner, token) are the distinct entries of the sets."""
     number = np.float32 if len(token) < 1 << 24 else np.float64  # whole numbers that the matrices keep exactly
@@ -255,18 +381,30 @@ def _nodes(work: Workspace, sets: DataFrame, total: int) -> Nodes:
     return Nodes(full, found, work.keep(where_state(full, found, "node", 1).dropDuplicates(["node"]), "repeated"))
 
 
-def _groups(work: Workspace, postings: DataFrame, total: int) -> DataFrame:
+def _groups(work: Workspace, nodes: Nodes, classes: Broadcast, percent: int, total: int) -> DataFrame:
     """(leader, node, n) of groups that together hold every two nodes of a list; n is the size of the group.
 
+    Blocks of nodes tell the smallest node of each of their keys and learn the
+    smallest of all, so a key that very many nodes share costs a block one entry.
     A group all of whose nodes are in one other group is left out.
     """
-    lists = postings.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("n"))
-    lists = work.keep(lists.where(F.col("leader") != F.col("last")).drop("last"), "lists")
-    members = work.keep(join_groups(postings, lists, "key", "n", total).select("leader", "node").distinct(), "members")
-    least = members.groupBy("node").agg(F.min("leader").alias("least"))
-    groups = members.join(least, "node").groupBy("leader").agg(F.min("least").alias("low"), F.max("least").alias("high"), F.count("*").alias("n"))
+    packed = work.keep(nodes.map(_postings(classes, percent), _PACKED).withColumn("row", F.monotonically_increasing_id()), "packed")
+    buckets = max(1, -(-total // BUCKET_NODES))
+    answers = packed.mapInArrow(_sent(buckets), _LOCAL).groupBy("bucket").applyInArrow(_answered, _LEADERS)
+    members = packed.groupBy("row").cogroup(answers.groupBy("row")).applyInArrow(_members(percent), _MEMBERS)
+    # Sets of a group are in order of their sizes; where the next one is too large to be alike, a group of its own begins.
+    by_size = Window.partitionBy("leader").orderBy("size", "node")
+    before = F.lag("size").over(by_size)
+    begins = F.when(before.isNull() | (before * 100 < F.col("size") * percent), F.col("node"))
+    members = members.withColumn("first", F.last(begins, ignorenulls=True).over(by_size))
+    members = work.keep(members.select(F.xxhash64("leader", "first").alias("leader"), "node"), "members")
+    sizes = members.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # A group that has all its nodes in one other group, named by the smallest that any of them is in, is not needed.
+    own = join_groups(members, sizes, "leader", "n", members.count())
+    least = own.groupBy("node").agg(F.min("leader").alias("least"))
+    groups = own.join(least, "node").groupBy("leader", "n").agg(F.min("least").alias("low"), F.max("least").alias("high"))
     needed = groups.where((F.col("low") != F.col("high")) | (F.col("low") == F.col("leader")))
-    return join_groups(members, work.keep(needed.select("leader", "n"), "needed"), "leader", "n", members.count())
+    return join_groups(members, work.keep(needed.select("leader", "n"), "leaders"), "leader", "n", members.count())
 
 
 def _dealt(groups: DataFrame, parts: int, tile: int) -> DataFrame:
@@ -286,9 +424,8 @@ def linked_nodes(work: Workspace, sets: DataFrame, percent: int = PERCENT) -> Da
     total = sets.count()
     nodes = _nodes(work, sets, total)
     classes = spark.sparkContext.broadcast(frequency_classes(nodes))
-    postings = work.keep(nodes.map(_postings(classes, percent), "key long, node long"), "postings")
-    groups = work.keep(_groups(work, postings, postings.count()), "grouped")
-    work.drop("postings", "members")
+    groups = work.keep(_groups(work, nodes, classes, percent, total), "grouped")
+    work.drop("packed", "members")
     wanted = groups.select("node").distinct()
     # Each wanted node twice: the filter then tells what is among them.
     twice = wanted.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))

@@ -146,3 +146,21 @@ def test_links_of_a_group_against_all_pairs():
             edge = {int(j) for x in edge for j in np.flatnonzero(links[x])} - reached
             reached |= edge
         assert label[i] == min(reached)
+
+
+def test_lengthened_prefixes_of_linked_sets_share_enough():
+    """The number that a node has to share is reached by all linked sets, of whatever sizes."""
+    rng = np.random.default_rng(7)
+    classes = rng.integers(0, 3, ngram_join.CELLS).astype(np.uint8)
+    linked = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 2**48, rng.integers(1, 200), dtype=np.uint64))
+        b = np.concatenate([a[rng.random(len(a)) < rng.choice([0.88, 0.95, 1.0])], rng.integers(0, 2**48, rng.integers(0, 1 + len(a) // 8), dtype=np.uint64)])
+        b = np.unique(b) if len(b) else a
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 85 * len(np.union1d(a, b)):
+            linked += 1
+            p, q = (next(ngram_join._prefixes(x, classes, 85, ngram_join._more(len(x), 85))) for x in (a, b))
+            shared = len(np.intersect1d(p, q))
+            assert shared >= ngram_join._needed(len(a), 85) and shared >= ngram_join._needed(len(b), 85)
+    assert linked > 100
