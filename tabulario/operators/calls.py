@@ -330,20 +330,24 @@ def user_outliers(llamadas: DataFrame, mode: str = "position") -> DataFrame:
         F.count("*").alias("v"), vocabulary("id_8T").alias("z"), vocabulary("menu").alias("m"))
     # Metric label and the tenths of P95 a caller has to exceed.
     metrics = [("usuarios_outliers_volumen", "v", 20), ("usuarios_outliers_geograficos", "z", 15), ("usuarios_outliers_diversidad", "m", 15)]
-    long = rows_of(users, ["tipo_outlier", "valor", "factor"], [(name, F.col(c), f) for name, c, f in metrics], keep=["numero_entrada"])
+    long = rows_of(users, ["tipo_outlier", "valor"], [(name, F.col(c)) for name, c, _ in metrics], keep=["numero_entrada"])
+    # Callers are counted per metric and value once; limits and figures are read off that small table.
+    counts = long.groupBy("tipo_outlier", "valor").agg(F.count("*").alias("n"))
     if mode == "position":
-        limits = order_statistics(long, ["tipo_outlier"], "valor", {"lo": percentile_rank(95)}).withColumn("p", F.col("lo") * 100)
+        limits = order_statistics(counts, ["tipo_outlier"], "valor", {"lo": percentile_rank(95)}, weight="n").withColumn("p", F.col("lo") * 100)
     else:
         at = lambda n: F.floor(((n - 1) * 95 - (n - 1) * 95 % 100) / 100)
-        size = long.groupBy("tipo_outlier").agg(((F.count("*") - 1) * 95 % 100).alias("frac"))
-        limits = order_statistics(long, ["tipo_outlier"], "valor", {"lo": at, "hi": lambda n: at(n) + 1}).join(size, "tipo_outlier").withColumn(
+        size = counts.groupBy("tipo_outlier").agg(((F.sum("n") - 1) * 95 % 100).alias("frac"))
+        limits = order_statistics(counts, ["tipo_outlier"], "valor", {"lo": at, "hi": lambda n: at(n) + 1}, weight="n").join(size, "tipo_outlier").withColumn(
             "p", F.col("lo") * 100 + (F.col("hi") - F.col("lo")) * F.col("frac"))
     # p is in hundredths and the factor in tenths, so the comparison stays in integers.
-    far = long.join(F.broadcast(limits.select("tipo_outlier", "p")), "tipo_outlier").where(F.col("valor") * 1000 > F.col("p") * F.col("factor"))
-    found = far.groupBy("tipo_outlier").agg(F.count("*").alias("n"), F.min("valor").alias("a"), F.max("valor").alias("b"))
+    frame = llamadas.sparkSession.createDataFrame([(m[0], m[2]) for m in metrics], "tipo_outlier string, factor int")
+    bounds = F.broadcast(limits.join(frame, "tipo_outlier").select("tipo_outlier", (F.col("p") * F.col("factor")).alias("_bound")))
+    beyond = F.col("valor") * 1000 > F.col("_bound")
+    found = counts.join(bounds, "tipo_outlier").where(beyond).groupBy("tipo_outlier").agg(F.sum("n").alias("n"), F.min("valor").alias("a"), F.max("valor").alias("b"))
+    far = long.join(bounds, "tipo_outlier").where(beyond)
     listed = bounded_list(far, ["tipo_outlier"], "numero_entrada", _LIST if mode == "position" else 10, ",", "ejemplos_usuarios")
     listed = listed.withColumn("ejemplos_usuarios", _cut("ejemplos_usuarios")) if mode == "position" else listed
-    frame = llamadas.sparkSession.createDataFrame([(m[0],) for m in metrics], "tipo_outlier string")
     return frame.join(found, "tipo_outlier", "left").join(listed, "tipo_outlier", "left").select(
         "tipo_outlier", F.coalesce("n", F.lit(0)).alias("cantidad_outliers"), F.col("a").alias("min_valor_outlier"),
         F.col("b").alias("max_valor_outlier"), "ejemplos_usuarios")

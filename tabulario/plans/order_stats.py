@@ -42,17 +42,18 @@ def _locate(counts: DataFrame, scope: Sequence[str], slot: str) -> DataFrame:
 
 
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Callable[[Column], Column]]
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Callable[[Column], Column]], weight: str | None = None
 ) -> DataFrame:
     """One column per entry of `ranks` holding the value at that 0-based index.
 
     `keys` must name few groups (quarters, metrics); `value` is an integer
-    column. A rank past the end means the last value.
+    column. A row stands for `weight` rows, if that column is given. A rank past
+    the end means the last value.
     """
     keys = list(keys) or ["_all"]
     rows = (df if keys != ["_all"] else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull())
     # The only look at the input; every round below reads this exchange.
-    counts = rows.groupBy(*keys, F.col(value).cast("bigint").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(*keys, F.col(value).cast("bigint").alias("_v")).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
     wanted = counts.groupBy(*keys).agg(F.sum("_n").alias("_c")).select(*keys, F.inline(F.array(*[
         F.struct(F.lit(name).alias("_name"), F.greatest(F.lit(0).cast("bigint"), F.least(rank(F.col("_c")), F.col("_c") - 1)).alias("_k"))
         for name, rank in ranks.items()
