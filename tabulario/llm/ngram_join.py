@@ -10,8 +10,9 @@ Documents with equal sets are one node. The nodes that share a prefix token unde
 the first order are a list, and lists with the same smallest node are put
 together as one group, so that a group of near copies is one or two groups and
 not one for each of its tokens. Prefixes are taken somewhat longer than needed
-here: alike sets then share several tokens of theirs, and a set that shares fewer
-with all others together takes no part. Groups are cut where sizes differ too
+here: alike sets then share several tokens of theirs, a set that shares fewer with
+all others together takes no part, and one that is in many groups leaves those
+with the fewest of its tokens, up to less than half of what it needs. Groups are cut where sizes differ too
 much. A group goes to one task with its sets, a large
 one as pairs of tiles of at most TILE nodes on average. The task intersects the
 filters of the other orders, compares the candidates, and gives the components
@@ -45,7 +46,7 @@ ALL_ORDERS = (1 << ORDERS) - 1
 TILE = 1024
 PART_NODES = 4096
 # Prefixes for the lists are longer by one part in so many.
-LENGTHENED = 4
+LENGTHENED = 2
 # Nodes whose keys go out together (numbered in 16 bits), and nodes to a bucket of keys.
 BLOCK_NODES, BUCKET_NODES = 8192, 8192
 # Tokens of up to this many sets are counted by their pairs, others in matrices of so many columns.
@@ -251,7 +252,10 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(percent: int) -> Callable:
-    """(leader, node, size) of a block's nodes, once each, without nodes that share too few keys to be alike to any other."""
+    """(leader, node, size) of a block's nodes, once each, without nodes that share too few keys to be alike to any other.
+
+    A node with many leaders also leaves those that it has few keys of.
+    """
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         leaders = nodes = sizes = np.empty(0, dtype=np.int64)
@@ -265,20 +269,30 @@ def _members(percent: int) -> Callable:
             at = np.searchsorted(known, key)
             met = at < len(known)
             met[met] = known[at[met]] == key[met]
-            enough = np.bincount(place[met], minlength=len(size)) >= np.array([_needed(n, percent) for n in size.tolist()])
-            met &= enough[place]
-            leaders, place = _unique_rows(lead[at[met]], place[met].astype(np.int64))
+            needed = np.array([_needed(n, percent) for n in size.tolist()], dtype=np.int64)
+            met &= (np.bincount(place[met], minlength=len(size)) >= needed)[place]
+            leaders, place, count = _counted_rows(lead[at[met]], place[met].astype(np.int64))
+            # Two alike sets share as many keys as either needs. If each leaves out groups with less than half of these keys in all,
+            # its weakest ones, a group stays in which they meet.
+            sort = np.lexsort((leaders, count, place))
+            leaders, place, count = leaders[sort], place[sort], count[sort]
+            running = np.cumsum(count)
+            first = np.flatnonzero(np.r_[np.ones(min(1, len(place)), dtype=bool), place[1:] != place[:-1]])
+            running -= np.repeat(running[first] - count[first], np.diff(np.r_[first, len(place)]))
+            stay = running > (needed[place] - 1) // 2
+            leaders, place = leaders[stay], place[stay]
             nodes, sizes = np.frombuffer(packed.column("nodes")[0].as_py(), dtype=np.int64)[place], size[place]
         return pa.table({"leader": pa.array(leaders, pa.int64()), "node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int64())})
 
     return run
 
 
-def _unique_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of `a` and `b`, and how often each occurs."""
     sort = np.lexsort((b, a))
     a, b = a[sort], b[sort]
-    first = np.r_[np.ones(min(1, len(a)), dtype=bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-    return a[first], b[first]
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(a)), dtype=bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[first], b[first], np.diff(np.r_[first, len(a)])
 
 
 def _shared(owner: np.ndarray, token: np.ndarray, m: int) -> np.ndarray:
