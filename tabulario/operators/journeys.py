@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabulario.functions.calls import (
     different, end, equal, failed, has_label, hour, inverted, labelled, location, menu_option, raw_seconds, redirected, seconds, start, unlabelled,
 )
-from tabulario.functions.exact import deviation, mean, mean_of_rounded, mean_share, ratio, share
+from tabulario.functions.exact import mean, mean_of_rounded, mean_share, ratio, share, spread
 from tabulario.functions.text import clock, clock_full, day_name, filled, hour_of, is_blank, sorted_set, vocabulary
 from tabulario.operators.labels import _commercial, _n, _res, _users
 from tabulario.plans.sessions import SESSION, sessions, steps
@@ -272,17 +272,21 @@ def user_evolution(llamadas: DataFrame, min_sessions: int = 3) -> DataFrame:
     users = s.groupBy("numero_entrada").agg(
         F.count("*").alias("total_sesiones"), first("n").alias("interacciones_primera_sesion"), last("n").alias("interacciones_ultima_sesion"),
         first("vsi").alias("validaciones_primera_sesion"), last("vsi").alias("validaciones_ultima_sesion"), mean(n).alias("promedio_interacciones_por_sesion"),
-        mean_share(c("vsi"), n).alias("promedio_tasa_validacion"), F.avg(n).alias("_avg"), deviation(n).alias("_dev")).where(c("total_sesiones") >= min_sessions)
+        mean_share(c("vsi"), n).alias("promedio_tasa_validacion"), F.sum(n.cast("decimal(19,0)")).alias("_sum"), spread(n).alias("_spread")).where(c("total_sesiones") >= min_sessions)
     a, b = c("interacciones_primera_sesion"), c("interacciones_ultima_sesion")
+
+    def within(tenths: int) -> Column:
+        """Whether the deviation is at most so many tenths of the average, both taken times the sessions and squared."""
+        return c("_spread") * 100 <= c("_sum") * c("_sum") * tenths**2
+
     return users.withColumns({
         "cambio_interacciones": b - a, "cambio_validaciones": c("validaciones_ultima_sesion") - c("validaciones_primera_sesion"),
-        "variabilidad_interacciones": F.round(c("_dev"), 2),
+        "variabilidad_interacciones": F.round(F.sqrt(c("_spread").cast("double")) / c("total_sesiones"), 2),
         "patron_evolucion": first_match([
             (b * 10 < a * 7, "MEJORO_EFICIENCIA"), (b * 10 > a * 13, "AUMENTO_COMPLEJIDAD"),
-            (c("validaciones_ultima_sesion") > c("validaciones_primera_sesion"), "MEJORO_EXITO"), (c("_dev") <= c("_avg") * 0.3, "COMPORTAMIENTO_ESTABLE")], "SIN_PATRON_CLARO"),
-        "nivel_consistencia": first_match([(c("_dev") <= c("_avg") * 0.2, "MUY_CONSISTENTE"), (c("_dev") <= c("_avg") * 0.5, "CONSISTENTE"),
-                                           (c("_dev") <= c("_avg") * 0.8, "MODERADAMENTE_VARIABLE")], "ALTAMENTE_VARIABLE"),
-    }).drop("_avg", "_dev")
+            (c("validaciones_ultima_sesion") > c("validaciones_primera_sesion"), "MEJORO_EXITO"), (within(3), "COMPORTAMIENTO_ESTABLE")], "SIN_PATRON_CLARO"),
+        "nivel_consistencia": first_match([(within(2), "MUY_CONSISTENTE"), (within(5), "CONSISTENTE"), (within(8), "MODERADAMENTE_VARIABLE")], "ALTAMENTE_VARIABLE"),
+    }).drop("_sum", "_spread")
 
 
 def intensity_segments(llamadas: DataFrame) -> DataFrame:

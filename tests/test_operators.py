@@ -209,3 +209,14 @@ def test_interpolated_percentile_differs_from_position(calls_frame):
         got = {r.tipo_outlier: r for r in calls.user_outliers(calls_frame(*rows), mode).collect()}
         assert got["usuarios_outliers_volumen"].max_valor_outlier == 5 and "w" in got["usuarios_outliers_volumen"].ejemplos_usuarios
         assert got["usuarios_outliers_geograficos"].cantidad_outliers == 0
+
+
+def test_consistency_on_a_bound_does_not_depend_on_row_order(calls_frame):
+    # Ten sessions with 28 interactions and a deviation of 1.4, which is half their average: on the bound.
+    sizes = [1, 1, 2, 2, 3, 3, 3, 3, 4, 6]
+    cases = {f"55500000{k:02d}": sizes[k:] + sizes[:k] for k in range(10)}
+    df = calls_frame(*[
+        dict(numero_entrada=number, fecha=f"2024-01-{day + 1:02d}") for number, own in cases.items() for day, size in enumerate(own) for _ in range(size)])
+    for parts in (1, 7):
+        got = [(r.nivel_consistencia, r.variabilidad_interacciones) for r in journeys.user_evolution(df.repartition(parts, "idRe")).collect()]
+        assert got == [("CONSISTENTE", 1.4)] * 10
