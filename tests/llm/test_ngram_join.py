@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm.tables import read
@@ -164,3 +165,16 @@ def test_lengthened_prefixes_of_linked_sets_share_enough():
             shared = len(np.intersect1d(p, q))
             assert shared >= ngram_join._needed(len(a), 85) and shared >= ngram_join._needed(len(b), 85)
     assert linked > 100
+
+
+def test_buckets_of_keys_are_of_one_size():
+    class Classes:
+        value = np.zeros(1 << 20, dtype=np.uint8)
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 48, 400, dtype=np.uint64)) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"node": list(range(300)), "tokens": [ngram_join._packed(s) for s in sets]})
+    blocks = [b.append_column("row", pa.array([1], pa.int64())) for b in ngram_join._postings(Classes, 80)(iter([batch]))]
+    sent = [len(r["keys"]) for b in ngram_join._sent(16)(iter(blocks)) for r in b.to_pylist()]
+    # Prefixes take the smallest keys; without names spread evenly the first buckets of a corpus hold all.
+    assert len(sent) == 16 and max(sent) < 1.3 * sum(sent) / 16
