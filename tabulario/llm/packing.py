@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulario.llm.memory import giving_back
 from tabulario.llm.texts import pieces
 from tabulario.llm.vocab import ByteLevel
 from tabulario.llm.workspace import Workspace
@@ -146,7 +147,7 @@ def pack(
     work = Workspace(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     # Written once: a task that runs again would replace its whole file, so ranks and rows stay together.
-    parts = work.keep(rows.mapInArrow(_tokenised((tokenizer, ranks, pattern), capacity, end_id), _PIECE), "pieces")
+    parts = work.keep(rows.mapInArrow(giving_back(_tokenised((tokenizer, ranks, pattern), capacity, end_id)), _PIECE), "pieces")
     by_task = parts.groupBy("_task", "length").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     by_task = work.keep(by_task.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))), "by_task")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulario.llm.blocks import SENT, Sent, block_count, bucket_count, in_blocks, repeated
+from tabulario.llm.memory import lean
 from tabulario.llm.texts import STEPS, Words
 
 WIDTH = 35
@@ -91,25 +92,27 @@ def _answer(masks: pa.Table, step: int) -> tuple[list[int], list[bytes]]:
 
 def _send_anchors(width: int, buckets: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        return _Block(table.column("text"), width, buckets).anchors.rows(key[0].as_py())
+        return lean(lambda: _Block(table.column("text"), width, buckets).anchors.rows(key[0].as_py()))
 
     return run
 
 
 def _send_windows(width: int, buckets: int) -> Callable:
     def run(key: tuple, table: pa.Table, masks: pa.Table) -> pa.Table:
-        block = _Block(table.column("text"), width, buckets)
-        return block.candidates(_answer(masks, 1)).rows(key[0].as_py())
+        return lean(lambda: _Block(table.column("text"), width, buckets).candidates(_answer(masks, 1)).rows(key[0].as_py()))
 
     return run
 
 
 def _finish(width: int, buckets: int, of_rows: Callable) -> Callable:
-    def run(key: tuple, table: pa.Table, masks: pa.Table) -> pa.Table:
+    def rest(table: pa.Table, masks: pa.Table) -> pa.Table:
         block = _Block(table.column("text"), width, buckets)
         results = block.kept(block.removed(_answer(masks, 1), _answer(masks, 2)))
         return of_rows(table, results)
 
+    def run(key: tuple, table: pa.Table, masks: pa.Table) -> pa.Table:
+        return lean(lambda: rest(table, masks))
+
     return run
 
 
