@@ -17,21 +17,12 @@ WIDE = "decimal(24,0)"
 
 
 def ratio(num: Column, den: Column, digits: int = 2, scale: int = 100) -> Column:
-    """`scale * num / den` of two counts, rounded half away from zero; NULL for an empty denominator.
-
-    Whole part and remainder are divided as bigints, so no digit is lost while the
-    denominator is below 2^63 / (2 * scale * 10^digits): 4.6 * 10^14 rows for
-    percentages with two digits. Beyond that it fails; `wide_ratio` has no such bound.
-    """
-    n, d = num.cast("bigint"), F.nullif(den.cast("bigint"), F.lit(0).cast("bigint"))
-    k = F.lit(scale * 10**digits).cast("bigint")
-    rest = n % d * k
-    up = F.when(F.abs(rest % d) * 2 >= F.abs(d), F.signum(n) * F.signum(d)).otherwise(F.lit(0.0))
-    return ((F.call_function("div", n, d) * k + F.call_function("div", rest, d)).cast("double") + up) / F.lit(float(10**digits))
+    """`scale * num / den` of two counts of any size, rounded half away from zero; NULL for an empty denominator."""
+    return wide_ratio(num, den, digits, scale)
 
 
 def wide_ratio(num: Column, den: Column, digits: int = 2, scale: int = 100) -> Column:
-    """`ratio` for sums of any size, in decimals of 24 digits."""
+    """`scale * num / den` of two sums, rounded half away from zero, in decimals of 24 digits; NULL for an empty denominator."""
     n = num.cast(WIDE) * F.lit(Decimal(scale * 10**digits))
     d = F.nullif(den.cast(WIDE), F.lit(Decimal(0)))
     rest = n % d
